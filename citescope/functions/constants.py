@@ -29,10 +29,13 @@ PLATFORM_DOMAINS = [
     "goodoc.co.kr", "ddocdoc.com", "modoodoc.com", "gangnamunni.com", "babitalk.com",
     "google.com", "wikipedia.org", "namu.wiki",
 ]
-REDIRECT_HOSTS = (
-    r"(?i)vertexaisearch\.cloud\.google\.com|\.bing\.com$|translate\.goog$"
-    r"|webcache\.googleusercontent\.com"
-)
+# Host patterns of redirectors: anywhere in the host, or its end.
+REDIRECT_HOSTS = [
+    r"[^/?#:]*vertexaisearch\.cloud\.google\.com[^/?#:]*",
+    r"[^/?#:]*\.bing\.com",
+    r"[^/?#:]*translate\.goog",
+    r"[^/?#:]*webcache\.googleusercontent\.com[^/?#:]*",
+]
 REDIRECT_PARAMS = ["url", "u", "q", "target", "dest", "r"]
 MAX_URL_LENGTH = 2048
 ALLOWED_PORTS = ["80", "443"]

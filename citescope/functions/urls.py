@@ -10,46 +10,62 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .text import col, first_or_null, strip, text_or_empty
 
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*:/{1,}(?:[^/?#\\@]*@)?(\[[^\]]*\]|[^/?#\\:]*)"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:/+"
+_AUTHORITY = rf"^{_SCHEME}(?:[^/?#\\@]*@)?(\[[^\]]*\]|[^/?#\\:]*)"
 _BAD_HOST = r"[\s<>^|%\"{}`\x00-\x1f]"
+# Host of a URL with or without scheme; no match if the host holds a forbidden character.
+_HOST = (
+    rf"^\s*(?:{_SCHEME})?(?:[^/?#\\@]*@)?"
+    r"(\[[^\]]*\]|[^/?#\\:@\s<>^|%\"{}`\x00-\x1f]+)(?=[/?#\\:]|\s*$)"
+)
+
+
+def _or_else(value: Column, other: Column) -> Column:
+    return F.coalesce(F.nullif(value, F.lit("")), other)
 
 
 def url_host(url: Column | str) -> Column:
     """Lower-case host; a missing scheme is added; text without a host comes back in lower case."""
-    raw = strip(col(url))
-    full = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("http://"), raw))
-    host = F.lower(F.regexp_extract(full, _AUTHORITY, 1))
-    return F.when((host == "") | host.rlike(_BAD_HOST), F.lower(col(url))).otherwise(host)
+    raw = col(url)
+    return _or_else(F.lower(F.regexp_extract(raw, _HOST, 1)), F.lower(raw))
 
 
 def domain_of_host(host: Column, suffixes: Sequence[str] = K.MULTI_LABEL_SUFFIXES) -> Column:
+    """One label more than the public suffix; numeric hosts and single labels stay as they are."""
     known = "|".join(s.replace(".", r"\.") for s in suffixes)
-    domain = F.regexp_extract(host, rf"([^.]+\.(?:{known}|[^.]+))$", 1)
-    numeric = host.rlike(r"^[0-9.]+$|:")
-    return F.when(numeric | (domain == ""), F.regexp_replace(host, r"^www\.", "")).otherwise(domain)
+    domain = F.regexp_extract(
+        host, rf"^(?![0-9.]+$)(?:[^:]*?\.)??([^.:]+\.(?:{known}|[^.:]+))$", 1
+    )
+    return _or_else(domain, F.regexp_replace(host, r"^www\.", ""))
 
 
 def registrable_domain(url: Column | str, suffixes: Sequence[str] = K.MULTI_LABEL_SUFFIXES) -> Column:
     """eTLD+1 of a URL or host, '' for empty input."""
-    filled = text_or_empty(url)
-    return F.when(filled == "", F.lit("")).otherwise(domain_of_host(url_host(filled), suffixes))
+    return F.coalesce(domain_of_host(url_host(url), suffixes), F.lit(""))
 
 
 def unwrap_redirect(url: Column | str) -> Column:
     """The wrapped target of a known redirector link, else the link itself."""
     raw = col(url)
-    query = F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1)
-    targets = []
-    for name in K.REDIRECT_PARAMS:
-        value = F.try_url_decode(F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1))
-        targets.append(F.when(value.rlike(r"(?i)^https?://"), value))
-    wrapper = raw.contains("://") & url_host(raw).rlike(K.REDIRECT_HOSTS)
-    return F.when(wrapper, F.coalesce(*targets, raw)).otherwise(raw)
-
-
-def same_site(cited: Column | str, target: Column | str) -> Column:
-    domain = registrable_domain(unwrap_redirect(cited))
-    return (domain != "") & (domain == registrable_domain(target))
+    values = F.array(
+        *[
+            F.try_url_decode(F.regexp_extract(raw, rf"^[^?#]*\?(?:[^#]*?&)??{name}=([^&#]*)", 1))
+            for name in K.REDIRECT_PARAMS
+        ]
+    )
+    target = first_or_null(F.filter(values, lambda v: v.rlike(r"(?i)^https?://")))
+    return F.when(raw.rlike(_WRAPPER), F.coalesce(target, raw)).otherwise(raw)
+
+
+_WRAPPER = (
+    rf"(?i)^{_SCHEME}(?:[^/?#\\@]*@)?"
+    rf"(?:{'|'.join(K.REDIRECT_HOSTS)})(?=[:/?#]|$)"
+)
+
+
+def same_site(cited: Column | str, target_domain: Column) -> Column:
+    """A cited link belongs to the registrable domain of the target."""
+    return (target_domain != "") & (registrable_domain(unwrap_redirect(cited)) == target_domain)
 
 
 def is_platform(url: Column | str) -> Column:

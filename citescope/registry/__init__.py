@@ -1 +1,13 @@
+"""All registered queries."""
 
+from importlib import import_module
+
+_MODULES = ["panel"]
+
+
+def load():
+    from .core import QUERIES
+
+    for name in _MODULES:
+        import_module(f"{__name__}.{name}")
+    return dict(QUERIES)
