@@ -38,6 +38,16 @@ def unicode_space(pattern: str) -> str:
     return "".join(out)
 
 
+def one_of(words: Sequence[str]) -> str:
+    """Alternation of literal words behind a look at the first character, which most text fails.
+
+    Hangul counts as one range: a class of many single characters would be slower than the words.
+    """
+    latin = "".join(sorted({w[0] for w in words if w[0] < "가"}))
+    hangul = "가-힣" if any(w[0] >= "가" for w in words) else ""
+    return f"(?=[{hangul}{latin}])(?:{'|'.join(words)})"
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of white space become one blank; none at either end."""
     return F.trim(F.regexp_replace(col(c), WS + "+", " "))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import (
-    WS, col, count_matches, first_or_null, host_in, let, squeeze, strip, text_or_empty,
+    WS, col, count_matches, first_or_null, host_in, let, one_of, squeeze, strip, text_or_empty,
     unicode_space,
 )
 from ..functions.urls import domain_of_host
@@ -28,19 +28,18 @@ N_FINAL = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 ==
 # --- patterns assembled from the fixed values -------------------------------------------------
 
 def address_pattern() -> str:
-    sido = _sido_alternatives()
-    return unicode_space(rf"(?:{sido})(?:\s*{K.DISTRICT}){{0,2}}\s*{K.ROAD}\s*\d")
+    return unicode_space(rf"{_sido()}(?:\s*{K.DISTRICT}){{0,2}}\s*{K.ROAD}\s*\d")
 
 
 def full_address_pattern() -> str:
-    sido = _sido_alternatives()
     return unicode_space(
-        rf"(?:{sido})(?:(?:\s*{K.DISTRICT}){{1,2}}(?:\s*{K.ROAD})?|\s*{K.ROAD}\s*\d)"
+        rf"{_sido()}(?:(?:\s*{K.DISTRICT}){{1,2}}(?:\s*{K.ROAD})?|\s*{K.ROAD}\s*\d)"
     )
 
 
-def _sido_alternatives() -> str:
-    return "|".join(sorted((name for name, _ in K.SIDO), key=len, reverse=True))
+def _sido() -> str:
+    """Any province spelling, the longest first."""
+    return one_of(sorted((name for name, _ in K.SIDO), key=len, reverse=True))
 
 
 def question_pattern() -> str:
@@ -51,6 +50,9 @@ def question_pattern() -> str:
 
 
 STATISTIC = unicode_space(K.STATISTIC)
+SOURCE_INLINE = unicode_space("(?=[가-힣RrBbSs])(?:" + K.SOURCE_INLINE + ")")
+PRICE_ITEM = one_of(K.PRICE_ITEM.split("|"))
+CREDENTIALS = one_of(K.CREDENTIAL_TERMS.split("|"))
 
 
 # --- element access ---------------------------------------------------------------------------
@@ -64,9 +66,8 @@ def has_attr(node: Column, name: str) -> Column:
 
 
 def has_class(node: Column, *names: str) -> Column:
-    return F.arrays_overlap(
-        F.split(attr(node, "class"), WS + "+"), F.array(*[F.lit(n) for n in names])
-    )
+    tokens = F.split(node["attrs"]["class"], WS + "+")
+    return has_attr(node, "class") & F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in names]))
 
 
 def below(node: Column, tags: Sequence[str]) -> Column:
@@ -97,7 +98,7 @@ def text_ratio(visible_len: Column, html: Column | str) -> Column:
     return F.when(size > 0, F.round(visible_len / size, 3)).otherwise(F.lit(0.0))
 
 
-def credential_hits(text: Column | str, terms: str = K.CREDENTIAL_TERMS) -> Column:
+def credential_hits(text: Column | str, terms: str = CREDENTIALS) -> Column:
     return count_matches(text, terms)
 
 
@@ -167,32 +168,57 @@ def procedure_hits(
     text: Column | str, procedures: Sequence[tuple[str, str, Sequence[str]]] = K.PROCEDURES
 ) -> Column:
     """array<struct<q, label, hits>> of procedures with hits, most frequent first, then in order."""
-    source = col(text)
-    rows = []
-    for position, (query, label, words) in enumerate(procedures):
-        hits = sum(
-            (count_matches(source, r"(?i)\Q" + w + r"\E") for w in words[1:]),
-            count_matches(source, r"(?i)\Q" + words[0] + r"\E"),
-        )
-        rows.append(
-            F.struct(
-                (-hits).alias("rank"), F.lit(position).alias("position"),
-                F.lit(query).alias("q"), F.lit(label).alias("label"), hits.alias("hits"),
+    def count(source: Column, word: str) -> Column:
+        gone = F.length(source) - F.length(F.replace(source, F.lit(word.lower()), F.lit("")))
+        return (gone / len(word)).cast("int")
+
+    def ranked(source: Column) -> Column:
+        rows = []
+        for position, (query, label, words) in enumerate(procedures):
+            hits = count(source, words[0])
+            for word in words[1:]:
+                hits = hits + count(source, word)
+            rows.append(
+                F.struct(hits.alias("hits"), F.lit(position).alias("position"), F.lit(query).alias("q"), F.lit(label).alias("label"))
+            )
+        hit = F.filter(F.array(*rows), lambda r: r["hits"] > 0)
+        found = F.array_sort(
+            F.transform(
+                hit,
+                lambda r: F.struct(
+                    (-r["hits"]).alias("rank"), r["position"].alias("position"), r["q"].alias("q"), r["label"].alias("label"),
+                    r["hits"].alias("hits"),
+                ),
             )
         )
-    found = F.array_sort(F.filter(F.array(*rows), lambda r: r["hits"] > 0))
-    return F.transform(
-        found, lambda r: F.struct(r["q"].alias("q"), r["label"].alias("label"), r["hits"].alias("hits"))
-    )
+        return F.transform(
+            found, lambda r: F.struct(r["q"].alias("q"), r["label"].alias("label"), r["hits"].alias("hits"))
+        )
+
+    # One look for any keyword spares most pages the count of each.
+    every = one_of([w.lower() for _, _, words in procedures for w in words])
+    none = F.array().cast("array<struct<q:string,label:string,hits:int>>")
+    return let(F.lower(col(text)), lambda low: F.when(low.rlike(every), ranked(low)).otherwise(none))
 
 
 # --- JSON-LD ----------------------------------------------------------------------------------
 
 def jsonld_profile(ld: Column) -> Column:
     """What the JSON-LD objects of a page say, first occurrence first."""
+    def of(o: Column, pattern: str) -> Column:
+        return F.coalesce(F.exists(o["types"], lambda t: t.rlike(pattern)), F.lit(False))
+
     typed = F.filter(ld, lambda o: o["types"].isNotNull())
-    types = F.array_distinct(F.flatten(F.transform(typed, lambda o: o["types"])))
+    shared = F.struct(
+        F.array_distinct(F.flatten(F.transform(typed, lambda o: o["types"]))).alias("types"),
+        F.size(typed).alias("count"),
+        F.filter(ld, lambda o: of(o, K.DENTAL_TYPE) | of(o, "(?i)Organization|LocalBusiness")).alias("organisations"),
+        F.flatten(F.transform(ld, lambda o: o["same_as"])).alias("same_as"),
+    )
+    return let(shared, lambda s: _profile_struct(ld, s["types"], s["count"], s["organisations"], s["same_as"]))
+
 
+def _profile_struct(ld: Column, types: Column, count: Column, organisations: Column, same_as: Column) -> Column:
     def any_type(pattern: str) -> Column:
         return F.exists(types, lambda t: t.rlike(pattern))
 
@@ -205,10 +231,6 @@ def jsonld_profile(ld: Column) -> Column:
             lambda o: F.arrays_overlap(o["truthy"], F.array(*[F.lit(n) for n in names])),
         )
 
-    organisations = F.filter(
-        ld, lambda o: of_type(o, K.DENTAL_TYPE) | of_type(o, "(?i)Organization|LocalBusiness")
-    )
-
     def entity(*names: str) -> Column:
         return F.exists(
             organisations,
@@ -257,10 +279,9 @@ def jsonld_profile(ld: Column) -> Column:
     address_text = first_or_null(
         F.filter(F.transform(ld, lambda o: strip(text_or_empty(o["scalars"]["address"]))), lambda a: a != "")
     )
-    same_as = F.flatten(F.transform(ld, lambda o: o["same_as"]))
     return F.struct(
         types.alias("types"),
-        F.size(typed).alias("count"),
+        count.alias("count"),
         with_key("datePublished", "dateModified").alias("has_date"),
         with_key("telephone").alias("has_telephone"),
         with_key("address").alias("has_address"),
@@ -299,7 +320,7 @@ def review_boxes(nodes: Column) -> Column:
     """Ids of elements whose class or id marks patient reviews."""
     def marked(n: Column) -> Column:
         marks = F.concat(attr(n, "class"), F.lit(" "), attr(n, "id"))
-        return marks.rlike(K.REVIEW_BOX)
+        return (has_attr(n, "class") | has_attr(n, "id")) & marks.rlike(K.REVIEW_BOX)
 
     return ids(F.filter(nodes, marked))
 
@@ -334,15 +355,25 @@ def prose_nodes(nodes: Column) -> Column:
     candidates = F.filter(
         nodes, lambda n: n["tag"].isin(_JUDGED) | has_class(n, "reference", "citation")
     )
+
+    def judged(r: Column) -> Column:
+        # Most pages hold no review box, cite or review heading: then every element stays.
+        plain = (
+            (F.size(r["boxes"]) == 0) & (F.size(r["cites"]) == 0)
+            & ~F.exists(r["heads"], lambda h: h["text"].rlike(unicode_space(K.REVIEW_HEADING)))
+            & ~F.exists(r["found"], lambda n: has_attr(n, "cite"))
+        )
+        kept = F.filter(r["found"], lambda n: ~is_review(n, r["boxes"], r["cites"], r["heads"]))
+        return F.when(plain, r["found"]).otherwise(kept)
+
     return let(
         F.struct(
             review_boxes(nodes).alias("boxes"),
             with_tag(nodes, "cite").alias("cites"),
             with_tag(nodes, *HEADINGS).alias("heads"),
+            candidates.alias("found"),
         ),
-        lambda r: F.filter(
-            candidates, lambda n: ~is_review(n, r["boxes"], r["cites"], r["heads"])
-        ),
+        judged,
     )
 
 
@@ -355,12 +386,15 @@ def link_host(href: Column) -> Column:
 def source_links(nodes: Column, prose: Column, own_domain: Column) -> Column:
     """array<struct<host, domain, authority>> of links that can count as sources."""
     containers = ids(F.filter(nodes, lambda n: has_class(n, *K.SOURCE_CONTAINER_CLASSES)))
-    links = F.filter(
-        prose,
-        lambda n: (n["tag"] == "a")
-        & has_attr(n, "href")
-        & ~below(n, ["nav", "footer", "header", "aside"])
-        & (below(n, K.SOURCE_CONTAINER_TAGS) | F.arrays_overlap(n["up"], containers)),
+    links = let(
+        containers,
+        lambda boxes: F.filter(
+            prose,
+            lambda n: (n["tag"] == "a")
+            & has_attr(n, "href")
+            & ~below(n, ["nav", "footer", "header", "aside"])
+            & (below(n, K.SOURCE_CONTAINER_TAGS) | F.arrays_overlap(n["up"], boxes)),
+        ),
     )
     hosts = F.filter(F.transform(links, lambda n: link_host(attr(n, "href"))), lambda h: h != "")
     found = F.transform(
@@ -394,11 +428,15 @@ def section_profile(nodes: Column) -> Column:
 
         return F.transform(r["h2s"], length)
 
-    h2s = with_tag(nodes, "h2")
-    siblings = F.filter(
-        nodes, lambda n: n["text"].isNotNull() & F.array_contains(F.transform(h2s, lambda h: h["parent"]), n["parent"])
-    )
-    lengths = let(F.struct(h2s.alias("h2s"), siblings.alias("siblings")), sections)
+    def beside(h2s: Column) -> Column:
+        parents = F.array_distinct(F.transform(h2s, lambda h: h["parent"]))
+        siblings = let(
+            parents,
+            lambda p: F.filter(nodes, lambda n: n["text"].isNotNull() & F.array_contains(p, n["parent"])),
+        )
+        return let(F.struct(h2s.alias("h2s"), siblings.alias("siblings")), sections)
+
+    lengths = let(with_tag(nodes, "h2"), beside)
     return let(
         lengths,
         lambda ls: F.when(
@@ -564,8 +602,8 @@ def sido_short(name: Column) -> Column:
     """Short spelling of a province; unknown spellings lose their suffix."""
     known = F.create_map(*[F.lit(x) for pair in K.SIDO for x in pair])
     text = strip(name)
-    cut = strip(F.regexp_replace(text, K.SIDO_TAIL, ""))
-    return F.coalesce(known[text], F.when(cut != "", cut), text)
+    cut = F.nullif(strip(F.regexp_replace(text, K.SIDO_TAIL, "")), F.lit(""))
+    return F.coalesce(known[text], cut, text)
 
 
 def colloquial_district(district: Column) -> Column:
@@ -576,7 +614,7 @@ def colloquial_district(district: Column) -> Column:
 
 def location_guess(text: Column, profile: Column) -> Column:
     """struct<raw, sido, district, dong, region> from JSON-LD or text, NULL if nothing is found."""
-    sido = _sido_alternatives()
+    sido = _sido()
     parts = profile["address_parts"]
     joined = F.concat_ws(
         " ", *[F.when(parts[p] != "", parts[p]) for p in ("region", "locality", "street")]
@@ -585,39 +623,45 @@ def location_guess(text: Column, profile: Column) -> Column:
         profile["address_raw"] != "", profile["address_raw"]
     ).otherwise(F.regexp_extract(text, full_address_pattern(), 0))
 
-    def guess(raw: Column) -> Column:
-        lead = unicode_space(rf"^\s*({sido})")
-        bounded = F.regexp_extract(raw, f"(?:^|[^가-힣])({sido})(?![가-힣])", 1)
-        leading = F.regexp_extract(raw, lead, 1)
+    known = F.create_map(*[F.lit(x) for pair in K.SIDO for x in pair])
+    lead = unicode_space(rf"^\s*({sido})")
+
+    def filled(c: Column) -> Column:
+        return F.nullif(c, F.lit(""))
+
+    def province(raw: Column) -> Column:
         long_sido = F.coalesce(
-            F.when(parts["region"] != "", parts["region"]),
-            F.when(bounded != "", bounded), F.when(leading != "", leading), F.lit(""),
+            filled(parts["region"]), filled(F.regexp_extract(raw, f"(?:^|[^가-힣])({sido})(?![가-힣])", 1)),
+            F.regexp_extract(raw, lead, 1),
         )
-        short = sido_short(long_sido)
         rest = F.regexp_replace(raw, lead, "")
-        known = F.create_map(*[F.lit(x) for pair in K.SIDO for x in pair])
         tokens = F.filter(
-            F.regexp_extract_all(rest, F.lit(f"({K.DISTRICT_TOKEN})"), F.lit(1)),
-            lambda t: ~t.rlike(K.METRO_SUFFIX) & ~F.coalesce(known[t] == short, F.lit(False)),
+            F.regexp_extract_all(rest, F.lit(f"({K.DISTRICT_TOKEN})"), F.lit(1)), lambda t: ~t.rlike(K.METRO_SUFFIX)
+        )
+        dong = F.coalesce(
+            filled(F.regexp_extract(text_or_empty(parts["street"]), K.DONG_TOKEN, 1)), F.regexp_extract(rest, K.DONG_TOKEN, 1)
+        )
+        return F.struct(
+            strip(raw).alias("raw"), let(long_sido, sido_short).alias("sido"), tokens.alias("tokens"), dong.alias("dong")
         )
-        gu = F.filter(tokens, lambda t: t.endswith("구"))
-        picked = F.coalesce(F.try_element_at(gu, F.lit(-1)), first_or_null(tokens))
-        district = F.coalesce(F.when(parts["locality"] != "", parts["locality"]), picked, F.lit(""))
-        dong_street = F.regexp_extract(text_or_empty(parts["street"]), K.DONG_TOKEN, 1)
-        dong_rest = F.regexp_extract(rest, K.DONG_TOKEN, 1)
-        dong = F.when(dong_street != "", dong_street).otherwise(dong_rest)
-        area = colloquial_district(district)
-        region = F.when(area != "", area).otherwise(short)
-        found = (region != "") | (district != "") | (dong != "")
+
+    def district(r: Column) -> Column:
+        # The detected province itself is no district; a district of the same name (광주시) is.
+        own = F.filter(r["tokens"], lambda t: ~F.coalesce(known[t] == r["sido"], F.lit(False)))
+        gu = F.filter(r["tokens"], lambda t: t.endswith("구"))
+        picked = F.coalesce(F.try_element_at(gu, F.lit(-1)), first_or_null(own), F.lit(""))
+        return r.withField("district", F.coalesce(filled(parts["locality"]), picked))
+
+    def region(r: Column) -> Column:
+        area = F.coalesce(filled(colloquial_district(r["district"])), r["sido"])
+        nothing = (area == "") & (r["district"] == "") & (r["dong"] == "")
         return F.when(
-            found,
-            F.struct(
-                strip(raw).alias("raw"), short.alias("sido"), district.alias("district"),
-                dong.alias("dong"), region.alias("region"),
-            ),
+            ~nothing,
+            F.struct(*[r[c].alias(c) for c in ("raw", "sido", "district", "dong")], area.alias("region")),
         )
 
-    return let(raw, guess)
+    guess = let(raw, lambda t: F.when(t != "", let(let(province(t), district), region)))
+    return guess
 
 
 # --- the wide row -----------------------------------------------------------------------------
@@ -647,6 +691,8 @@ def page_signals(
         F.col("_page")["visible"].alias("_text"),
         F.col("_page")["shell_lens"].alias("_shells"),
         n.alias("_nodes"),
+        with_tag(n, "meta", "link", "title", "base").alias("_head"),
+        with_tag(n, "h1", "h2").alias("_heads"),
         prose_nodes(n).alias("_prose"),
         jsonld_profile(F.col("_page")["ld"]).alias("jsonld"),
     )
@@ -655,9 +701,10 @@ def page_signals(
 
 def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
     nodes, prose, text, ld = F.col("_nodes"), F.col("_prose"), F.col("_text"), F.col("jsonld")
+    head, heads = F.col("_head"), F.col("_heads")
     visible_len = F.length(text)
-    h1 = F.filter(F.transform(with_tag(nodes, "h1"), lambda x: strip(x["text"])), lambda t: t != "")
-    h2 = F.filter(F.transform(with_tag(nodes, "h2"), lambda x: strip(x["text"])), lambda t: t != "")
+    h1 = F.filter(F.transform(with_tag(heads, "h1"), lambda x: strip(x["text"])), lambda t: t != "")
+    h2 = F.filter(F.transform(with_tag(heads, "h2"), lambda x: strip(x["text"])), lambda t: t != "")
     dates = F.filter(
         nodes,
         lambda x: (
@@ -679,17 +726,18 @@ def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
         lambda x: x["tag"].isin("details", "dl") | attr(x, "itemtype").contains("FAQPage")
         | has_class(x, "faq", "qna"),
     )
-    item, amount = K.PRICE_ITEM, unicode_space(K.PRICE_AMOUNT)
+    item, amount = PRICE_ITEM, unicode_space(K.PRICE_AMOUNT)
     price_lines = F.filter(
         F.transform(
             F.filter(
                 nodes,
                 lambda x: x["leaf"]
-                & x["tag"].isin("p", "li", "td", "th", "dd", "dt", "h2", "h3", "h4", "div"),
+                & x["tag"].isin("p", "li", "td", "th", "dd", "dt", "h2", "h3", "h4", "div")
+                & text_or_empty(x["text"]).rlike(item),
             ),
             lambda x: squeeze(text_or_empty(x["text"])),
         ),
-        lambda t: (F.length(t) < 300) & t.rlike(item) & t.rlike(amount),
+        lambda t: (F.length(t) < 300) & t.rlike(amount),
     )
     price_table = F.exists(
         with_tag(nodes, "table"), lambda x: x["text"].rlike(item) & squeeze(x["text"]).rlike(amount)
@@ -712,15 +760,15 @@ def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
     canonical_raw = attr(
         first_or_null(
-            F.filter(nodes, lambda x: (x["tag"] == "link") & (F.lower(attr(x, "rel")) == "canonical"))
+            F.filter(head, lambda x: (x["tag"] == "link") & (F.lower(attr(x, "rel")) == "canonical"))
         ),
         "href",
     )
     canonical = F.substring(strip(canonical_raw), 1, 400)
     base_href = attr(
-        first_or_null(F.filter(nodes, lambda x: (x["tag"] == "base") & has_attr(x, "href"))), "href"
+        first_or_null(F.filter(head, lambda x: (x["tag"] == "base") & has_attr(x, "href"))), "href"
     )
-    own_hosts = [link_host(canonical), link_host(_meta(nodes, "property", "og:url", 4000)), link_host(base_href)]
+    own_hosts = [link_host(canonical), link_host(_meta(head, "property", "og:url", 4000)), link_host(base_href)]
     own_host = F.coalesce(*[F.when(h != "", h) for h in own_hosts], F.lit(""))
     links = let(own_host, lambda h: source_links(nodes, prose, domain_of_host(h)))
     cites = F.filter(
@@ -732,8 +780,8 @@ def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
         with_tag(nodes, *HEADINGS, "dt", "caption", "summary", "strong", "b", "legend"),
         lambda x: squeeze(x["text"]).rlike(unicode_space(K.SOURCE_LABEL)),
     )
-    title = F.substring(squeeze(text_or_empty(first_or_null(with_tag(nodes, "title"))["text"])), 1, 300)
-    notice = text.rlike(unicode_space(K.PRICE_NOTICE))
+    title = F.substring(squeeze(text_or_empty(first_or_null(with_tag(head, "title"))["text"])), 1, 300)
+    notice = text.rlike(unicode_space("(?=[가-힣])(?:" + K.PRICE_NOTICE + ")"))
 
     first = lists.select(
         *keep, "scripts", "html_len", "has_map_embed", "jsonld",
@@ -763,20 +811,20 @@ def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
         ).alias("has_quotations"),
         links.alias("_links"),
         F.size(cites).alias("cite_count"),
-        (text.rlike(r"\[\d+\]") | source_heading | text.rlike(unicode_space(K.SOURCE_INLINE))).alias(
+        (text.rlike(r"\[\d+\]") | source_heading | text.rlike(SOURCE_INLINE)).alias(
             "_source_text"
         ),
         form_accessibility(nodes).alias("forms"),
         location_guess(text, ld).alias("location"),
         procedure_hits(text).alias("procedures"),
         title.alias("title"),
-        _meta(nodes, "name", "description", 400).alias("meta_description"),
+        _meta(head, "name", "description", 400).alias("meta_description"),
         canonical.alias("canonical"),
-        _meta(nodes, "property", "og:title", 300).alias("og_title"),
-        _meta(nodes, "property", "og:description", 400).alias("og_description"),
-        _meta(nodes, "property", "og:image", 500).alias("og_image"),
-        _meta(nodes, "name", "viewport", 200).alias("viewport"),
-        _meta(nodes, "name", "robots", 200).alias("robots_meta"),
+        _meta(head, "property", "og:title", 300).alias("og_title"),
+        _meta(head, "property", "og:description", 400).alias("og_description"),
+        _meta(head, "property", "og:image", 500).alias("og_image"),
+        _meta(head, "name", "viewport", 200).alias("viewport"),
+        _meta(head, "name", "robots", 200).alias("robots_meta"),
     )
     domains = F.size(F.array_distinct(F.transform(F.col("_links"), lambda s: s["domain"])))
     authority = F.size(F.filter(F.col("_links"), lambda s: s["authority"]))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["panel"]
+_MODULES = ["panel", "urls", "pages"]
 
 
 def load():

@@ -9,6 +9,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Long expressions build much faster without a captured call site per function call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # One row may carry a page of 3 MB: keep the Arrow batches of the shred pass small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
