@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["panel", "urls", "pages"]
+_MODULES = ["panel", "urls", "pages", "scores"]
 
 
 def load():
