@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["panel", "urls", "pages", "scores"]
+_MODULES = ["flagship", "panel", "urls", "pages", "scores", "market", "timeline"]
 
 
 def load():

@@ -15,7 +15,10 @@ KEYS = ["site", "region", "procedure"]
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is one engine run."""
-    e = table(spark, sf_dir, "events")
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(e: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     kind = F.col("event_type")
     status = F.when(kind == "error", "error").when(kind == "signup", "inconclusive").otherwise("valid")
