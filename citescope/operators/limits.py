@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions.ordered import group_row_number
+from ..functions.storage import run_folder
 
 
 def daily_counts(events: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -51,57 +53,79 @@ def cap_decisions(
 
 def reuse_decisions(
     requests: DataFrame, key: str = "cache_key", ts: str = "ts", order: str = "request_id",
-    hours: int = K.CACHE_HOURS, salts: int = 16, cut_every: int = 8,
+    hours: int = K.CACHE_HOURS, fold_limit: int = 1_000_000,
 ) -> DataFrame:
     """N4 batch twin: a request reuses the result of the run that is not yet `hours` old.
 
-    Expiry counts from the run itself, so one decision depends on the one before. Two runs of a key
-    are more than `hours` apart, hence a slice of `hours` holds at most one run per key: slice by
-    slice, the next run is the minimum of a plain aggregation over the requests after the expiry.
-    The loop is over slices (days), never over rows; a busy key is spread over `salts` tasks.
+    Expiry counts from the run itself, so one decision depends on the one before. Keys with up to
+    `fold_limit` requests are folded in order, a stream of sorted rows per task; keys with more are
+    never gathered in one task, see `_reuse_by_slices`.
     """
+    sizes = requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    busy = sizes.where(F.col("_n") > fold_limit).select(key)
+    if busy.isEmpty():
+        return _reuse_by_fold(requests, key, ts, order, hours)
+    few = _reuse_by_fold(requests.join(busy, key, "left_anti").select(*requests.columns), key, ts, order, hours)
+    many = _reuse_by_slices(requests.join(busy, key, "left_semi").select(*requests.columns), key, ts, order, hours)
+    return few.unionByName(many)
+
+
+def _reuse_by_fold(requests: DataFrame, key: str, ts: str, order: str, hours: int) -> DataFrame:
     width = hours * 3600 * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    timed = requests.select(
-        key, F.struct(micros.alias("us"), F.col(order).alias("id")).alias("_at"), (micros / width).cast("bigint").alias("_slice")
-    ).withColumn("_salt", F.pmod(F.hash("_at.id"), F.lit(salts)))
-    first, last = timed.agg(F.min("_slice"), F.max("_slice")).first()
-    if first is None:
-        return requests.withColumn("decision", F.lit("run"))
 
-    at = timed.schema["_at"].dataType.simpleString()
-    runs = timed.limit(0).select(key, F.lit(None).cast("bigint").alias("until"), F.array().cast(f"array<{at}>").alias("runs"))
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    for step, number in enumerate(range(first, last + 1), 1):
-        now = timed.where(F.col("_slice") == number).drop("_slice")
-        known = runs.withColumn("_salt", F.explode(every_salt))
-        free = F.col("until").isNull() | (F.col("_at.us") > F.col("until"))
-        merged = now.join(known, [key, "_salt"], "full_outer").groupBy(key).agg(
-            F.max("until").alias("_old"), F.max("runs").alias("_runs"), F.min(F.when(free, F.col("_at"))).alias("_new")
-        )
-        runs = merged.select(
-            key,
-            F.when(F.col("_new").isNotNull(), F.col("_new.us") + width).otherwise(F.col("_old")).alias("until"),
-            F.concat(
-                F.coalesce("_runs", F.array().cast(f"array<{at}>")),
-                F.when(F.col("_new").isNotNull(), F.array("_new")).otherwise(F.array().cast(f"array<{at}>")),
-            ).alias("runs"),
-        )
-        if step % cut_every == 0 and number < last:
-            runs = cut_lineage(runs)
-    started = runs.select(F.col(key).alias("_key"), F.explode("runs").alias("_run"))
-    mine = F.struct(micros.alias("us"), F.col(order).alias("id"))
-    joined = requests.withColumn("_mine", mine).join(
-        started, (F.col(key) == F.col("_key")) & (F.col("_mine") == F.col("_run")), "left"
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, until = None, None
+        for batch in batches:
+            decisions = []
+            for name, us in zip(batch[key], batch["_us"]):
+                if name != current:
+                    current, until = name, None
+                fresh = until is None or us > until
+                if fresh:
+                    until = us + width
+                decisions.append("run" if fresh else "reuse")
+            yield batch.drop(columns="_us").assign(decision=decisions)
+
+    sorted_rows = (
+        requests.withColumn("_us", micros).repartition(F.col(key)).sortWithinPartitions(key, "_us", order)
     )
-    decision = F.when(F.col("_key").isNotNull(), "run").otherwise("reuse")
-    return joined.select(*requests.columns, decision.alias("decision"))
+    return sorted_rows.mapInPandas(fold, StructType([*requests.schema.fields, StructField("decision", StringType())]))
+
 
+def _reuse_by_slices(requests: DataFrame, key: str, ts: str, order: str, hours: int) -> DataFrame:
+    """Keys with very many requests: slice by slice.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names; only a session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
-    return df.checkpoint()
+    Two runs of a key are more than `hours` apart, hence a slice of `hours` holds at most one run
+    per key: the next run is the minimum of a plain aggregation over the requests after the expiry.
+    The loop is over slices (days), never over rows. Requests are written once, one folder per
+    slice, and each round reads its own folder only; a busy key is split by the join and summed up
+    before it shuffles.
+    """
+    spark = requests.sparkSession
+    folder = run_folder(spark)
+    width = hours * 3600 * 1_000_000
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = F.struct(micros.alias("us"), F.col(order).alias("id"))
+    timed = requests.select(F.col(key), at.alias("_at"), F.floor(micros / width).cast("bigint").alias("_slice"))
+    timed.write.mode("overwrite").partitionBy("_slice").parquet(f"{folder}/requests")
+    schema = StructType([timed.schema[key], timed.schema["_at"]])
+    stored = spark.read.schema(StructType([*schema.fields, timed.schema["_slice"]])).parquet(f"{folder}/requests")
+
+    def runs_so_far() -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/runs")
+
+    slices = sorted(row["_slice"] for row in stored.select("_slice").distinct().collect())
+    for step, number in enumerate(slices):
+        rows = stored.where(F.col("_slice") == number)
+        if step:
+            expiry = runs_so_far().groupBy(key).agg((F.max("_at.us") + width).alias("_until"))
+            rows = rows.join(expiry, key, "left").where(F.col("_until").isNull() | (F.col("_at.us") > F.col("_until")))
+        first = rows.groupBy(key).agg(F.min("_at").alias("_at"))
+        first.write.mode("overwrite").parquet(f"{folder}/runs/round={number}")
+    if not slices:
+        return requests.withColumn("decision", F.lit("run"))
+    started = runs_so_far().select(F.col(key).alias("_key"), F.col("_at.us").alias("_us"), F.col("_at.id").alias("_id"))
+    same = (F.col(key) == F.col("_key")) & (micros == F.col("_us")) & (F.col(order) == F.col("_id"))
+    decision = F.when(F.col("_key").isNotNull(), "run").otherwise("reuse")
+    return requests.join(started, same, "left").select(*requests.columns, decision.alias("decision"))

@@ -254,13 +254,16 @@ def schema_diff(spark, sf):
 
 @query("meta_diff", """WITH m AS (
   SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'title ' || p_partkey ELSE '' END AS title, p_partkey % 4 = 0 AS des, p_partkey % 2 = 0 AS can, p_partkey % 5 = 0 AS noindex FROM part),
-j AS (SELECT u.k AS user_key, u.title AS ut, coalesce(c.title, '') AS ct, u.des AS ud, coalesce(c.des, FALSE) AS cd, u.can AS uc, coalesce(c.can, FALSE) AS cc, u.noindex AS un, coalesce(c.noindex, FALSE) AS cn FROM m u LEFT JOIN m c ON c.k = u.k + 1)
+j AS (SELECT u.k AS user_key, u.title AS ut, coalesce(c.title, '') AS ct, u.des AS ud, coalesce(c.des, FALSE) AS cd, u.can AS uc, coalesce(c.can, FALSE) AS cc, u.noindex AS un, coalesce(c.noindex, FALSE) AS cn, c.k IS NULL AS last FROM m u LEFT JOIN m c ON c.k = u.k + 1)
 SELECT user_key, 'title' AS key, CASE WHEN ut = '' AND ct <> '' THEN 'gap' WHEN ut <> '' AND ct = '' THEN 'ahead' ELSE 'same' END AS verdict, FALSE AS warn_user, CAST(length(ut) AS INT) AS user_len FROM j
 UNION ALL SELECT user_key, 'description', CASE WHEN NOT ud AND cd THEN 'gap' WHEN ud AND NOT cd THEN 'ahead' ELSE 'same' END, FALSE, 1 FROM j
 UNION ALL SELECT user_key, 'canonical', CASE WHEN NOT uc AND cc THEN 'gap' WHEN uc AND NOT cc THEN 'ahead' ELSE 'same' END, FALSE, CASE WHEN uc THEN 9 ELSE 0 END FROM j
+UNION ALL SELECT user_key, 'ogTitle', CASE WHEN last THEN 'ahead' ELSE 'same' END, FALSE, 2 FROM j
+UNION ALL SELECT user_key, 'ogImage', 'same', FALSE, 0 FROM j
+UNION ALL SELECT user_key, 'viewport', CASE WHEN last THEN 'ahead' ELSE 'same' END, FALSE, 1 FROM j
 UNION ALL SELECT user_key, 'robots', CASE WHEN un AND NOT cn THEN 'gap' ELSE 'same' END, un, 0 FROM j""")
 def meta_diff(spark, sf):
-    rows = compare.meta_diff(_joined(spark, sf), ["user_key"]).where(F.col("key").isin("title", "description", "canonical", "robots"))
+    rows = compare.meta_diff(_joined(spark, sf), ["user_key"])
     return rows.select("user_key", "key", "verdict", "warn_user", "user_len")
 
 

@@ -1,13 +1,12 @@
 """History, limits, planning, quality and stream twins."""
 
 from datetime import datetime
-from pathlib import Path
-import tempfile
 
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import history, limits, measurement, notes, panel
+from ..functions.storage import run_folder
 from . import beds
 from .core import query, table
 
@@ -134,13 +133,13 @@ def score_vs_citation(spark, sf):
 
 @query("score_citation_correlation", f"""WITH {beds.HISTORY}, {beds.RUNS}, s AS (
   SELECT site, avg(score) AS score FROM history GROUP BY site),
-c AS (SELECT CAST(regexp_extract(site, '([0-9]+)', 1) AS BIGINT) AS site, bool_or(cited) AS exposed FROM runs WHERE run_ord % 40 = 0 GROUP BY 1)
+c AS (SELECT CAST(regexp_extract(site, '([0-9]+)', 1) AS BIGINT) AS site, avg(cited::INT) > 0.2 AS exposed FROM runs GROUP BY 1)
 SELECT round(corr(score, exposed::INT), 4) AS correlation, count(*) AS sites FROM s JOIN c USING (site)""")
 def score_citation_correlation(spark, sf):
     scores = beds.history(spark, sf).groupBy("site").agg(F.avg("score").alias("score")).withColumn("band", F.lit("-"))
-    seen = beds.runs(spark, sf).where(F.col("run_ord") % 40 == 0).groupBy(
-        F.regexp_extract("site", r"(\d+)", 1).cast("bigint").alias("site")
-    ).agg(F.bool_or("cited").alias("exposed")).withColumn("measured", F.lit(True))
+    seen = beds.runs(spark, sf).groupBy(F.regexp_extract("site", r"(\d+)", 1).cast("bigint").alias("site")).agg(
+        (F.avg(F.col("cited").cast("int")) > 0.2).alias("exposed")
+    ).withColumn("measured", F.lit(True))
     return history.score_vs_citation(scores, seen).where(F.col("band") == "(all)").select("correlation", "sites")
 
 
@@ -179,10 +178,10 @@ def valid_benchmarks(spark, sf):
 
 @query("feed_candidates", """
 SELECT source AS feed, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS candidate_no FROM documents
-WHERE regexp_matches(substring(text, 1, 120), '(?i)ai search|generative engine|geo|aeo|ai overview|sge|chatgpt|perplexity|answer engine|citation|grounding|ai mode|gemini|copilot|llm|that')
+WHERE regexp_matches(text, '(?i)ai search|generative engine|geo|aeo|ai overview|sge|chatgpt|perplexity|answer engine|citation|grounding|ai mode|gemini|copilot|llm|that')
 QUALIFY candidate_no <= 6""")
 def feed_candidates(spark, sf):
-    items = table(spark, sf, "documents").select(F.col("source").alias("feed"), "doc_id", F.substring("text", 1, 120).alias("title"), F.col("doc_id").alias("item_no"))
+    items = table(spark, sf, "documents").select(F.col("source").alias("feed"), "doc_id", F.col("text").alias("title"), F.col("doc_id").alias("item_no"))
     rows = notes.feed_candidates(items, keywords=K.NEWS_KEYWORDS + "|that")
     return rows.select("feed", "doc_id", F.col("candidate_no").cast("bigint").alias("candidate_no"))
 
@@ -337,37 +336,37 @@ def reuse_decisions(spark, sf):
 
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-
-
-def _drain(stream, mode):
-    """Run a stream over all files once into a table on disk and read it back."""
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark = stream.sparkSession
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", f"{folder}/out")
-    else:
-        writer = stream.writeStream.foreachBatch(
-            lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        )
-    run = writer.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drain(stream):
+    """Run a stream over all files once; every batch becomes a folder, written again on a retry."""
+    folder = run_folder(stream.sparkSession)
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run = (
+        stream.writeStream.foreachBatch(keep).outputMode("update")
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
     run.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out") if Path(f"{folder}/out").exists() else None
-    return out.drop("batch") if out is not None and "batch" in out.columns else out
+    return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
 
 
 @query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf):
     from ..streaming.counters import daily_counts as stream_counts
 
-    return _drain(stream_counts(_stream(spark, sf, "events")), "update")
+    return _drain(stream_counts(_stream(spark, sf, "events")))
 
 
 @query("stream_daily_counts_by_ip", "SELECT substring(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS ip_hash, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts_by_ip(spark, sf):
     from ..streaming.counters import daily_counts_by_ip as stream_counts
 
-    return _drain(stream_counts(_stream(spark, sf, "events"), "user_id"), "update")
+    return _drain(stream_counts(_stream(spark, sf, "events"), "user_id"))
 
 
 @query("stream_panel", f"""WITH {beds.RUNS}
@@ -376,7 +375,7 @@ def stream_panel(spark, sf):
     from ..streaming.counters import running_panel
 
     outcomes = beds.runs_of(_stream(spark, sf, "events"))
-    rows = _drain(running_panel(outcomes, ["site"], window="365 days"), "update")
+    rows = _drain(running_panel(outcomes, ["site"], window="365 days"))
     return rows.groupBy("site", "engine").agg(
         F.sum("attempts").alias("attempts"), F.sum("valid_runs").alias("valid_runs"), F.sum("cited_runs").alias("cited_runs")
     )

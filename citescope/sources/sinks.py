@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import constants as K
+from ..functions.storage import cut_lineage
 from ..functions.text import strip, text_or_empty
 from ..operators.history import latest_monthly
 
@@ -34,8 +35,6 @@ def upsert_monthly(rows: DataFrame, path: str, keys: Sequence[str] = ("domain",
     Only months present in `rows` are read back and rewritten (dynamic partition overwrite). The
     merged rows are checkpointed before the write because they read the folders they replace.
     """
-    from ..operators.limits import cut_lineage
-
     spark = rows.sparkSession
     try:
         stored = spark.read.parquet(path)
