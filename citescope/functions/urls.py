@@ -15,7 +15,7 @@ _AUTHORITY = rf"^{_SCHEME}(?:[^/?#\\@]*@)?(\[[^\]]*\]|[^/?#\\:]*)"
 _BAD_HOST = r"[\s<>^|%\"{}`\x00-\x1f]"
 # Host of a URL with or without scheme; no match if the host holds a forbidden character.
 _HOST = (
-    rf"^\s*(?:{_SCHEME})?(?:[^/?#\\@]*@)?"
+    rf"^\s*(?:{_SCHEME})?+(?:[^/?#\\@]*@)?"
     r"(\[[^\]]*\]|[^/?#\\:@\s<>^|%\"{}`\x00-\x1f]+)(?=[/?#\\:]|\s*$)"
 )
 
