@@ -44,10 +44,10 @@ def _parts(district: Column | str, procedure: Column | str, business: Column | s
 
 
 def variant_array(
-    district: Column | str, procedure: Column | str, business: Column | str = F.lit(K.DEFAULT_BUSINESS)
+    district: Column | str, procedure: Column | str, business: Column | str | None = None
 ) -> Column:
     """B1 as array<string>: four base variants, then those whose conditions hold."""
-    parts = _parts(district, procedure, business)
+    parts = _parts(district, procedure, F.lit("") if business is None else business)
     has_d, has_p = parts["d"] != "", parts["p"] != ""
     rows = []
     for i, (need_d, need_p, no_d, no_p, template) in enumerate(K.QUERY_TEMPLATES):
