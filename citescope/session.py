@@ -9,6 +9,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Custom state with expiry needs this state store.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Long expressions build much faster without a captured call site per function call.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # One row may carry a page of 3 MB: keep the Arrow batches of the shred pass small.
@@ -28,6 +32,9 @@ def build_session(app_name: str = "citescope", master: str | None = None, **conf
 
 def tune(spark: SparkSession) -> SparkSession:
     """Set the defaults that can change at run time on a session somebody else created."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+    for key in (
+        "spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch",
+        "spark.sql.streaming.stateStore.providerClass",
+    ):
         spark.conf.set(key, DEFAULTS[key])
     return spark

@@ -45,7 +45,7 @@ def numbered_by_day(requests: DataFrame, keys: list[str], out: str) -> DataFrame
     return (
         day.select("request_id", "ts", "ip_hash", "day")
         .groupBy("day", *keys)
-        .transformWithStateInPandas(DayCount(), schema, "Update", "none")
+        .transformWithStateInPandas(DayCount(), schema, "Update", "ProcessingTime")
         .withColumnRenamed("n", out)
     )
 
@@ -152,6 +152,6 @@ def latest_30_state(history: DataFrame, keep: int = K.HISTORY_KEEP, days: int =
         .groupBy("site")
         .transformWithStateInPandas(
             Latest(keep, days), "site string, ts timestamp, record_id bigint, score bigint, hist_no bigint",
-            "Update", "none",
+            "Update", "ProcessingTime",
         )
     )
