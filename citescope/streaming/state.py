@@ -15,37 +15,51 @@ from ..functions import constants as K
 _DAY_MS = 24 * 3600 * 1000
 
 
+def _ms(stamp) -> int:
+    return int(pd.Timestamp(stamp).timestamp() * 1000)
+
+
 class DayCount(StatefulProcessor):
-    """Running number of the requests of one (day, key): `n`, kept for two days."""
+    """Running number `n` of the requests of one (day, key); forgotten when the watermark leaves the day."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._count = handle.getValueState("count", "n bigint", 2 * _DAY_MS)
+        self._handle = handle
+        self._count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self._count.get()[0] if self._count.exists() else 0
+        known = self._count.exists()
+        seen = self._count.get()[0] if known else 0
         for chunk in rows:  # one Arrow chunk at a time: a busy key never fills the memory
             batch = chunk.sort_values(["ts", "request_id"])
+            if not known:
+                day = pd.Timestamp(batch["ts"].iloc[0]).normalize()
+                self._handle.registerTimer(_ms(day) + _DAY_MS)
+                known = True
             batch["n"] = range(seen + 1, seen + 1 + len(batch))
             seen += len(batch)
             yield batch
         self._count.update((seen,))
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._count.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def numbered_by_day(requests: DataFrame, keys: list[str], out: str) -> DataFrame:
+def numbered_by_day(requests: DataFrame, keys: list[str], out: str, late: str = "2 days") -> DataFrame:
     """N3 building block: running number per (day, keys) over a stream with request_id and ts.
 
     Input columns: request_id bigint, ts timestamp, ip_hash string. For the address cap the key is
     (day, ip_hash); the global cap sees the few requests the first cap let pass.
     """
-    day = requests.withColumn("day", F.to_date("ts"))
+    day = requests.withWatermark("ts", late).withColumn("day", F.to_date("ts"))
     schema = "request_id bigint, ts timestamp, ip_hash string, day date, n bigint"
     return (
         day.select("request_id", "ts", "ip_hash", "day")
         .groupBy("day", *keys)
-        .transformWithStateInPandas(DayCount(), schema, "Update", "ProcessingTime")
+        .transformWithStateInPandas(DayCount(), schema, "Update", "EventTime")
         .withColumnRenamed("n", out)
     )
 
@@ -116,28 +130,43 @@ def dedupe_within_24h(requests: DataFrame, ts: str = "ts", hours: int = K.CACHE_
 
 
 class Latest(StatefulProcessor):
-    """The newest records of one site, expiring after 90 days."""
+    """The newest records of one site, forgotten `days` after the newest one (event time)."""
 
     def __init__(self, keep: int, days: int) -> None:
-        self._keep, self._days = keep, days
+        self._keep, self._ttl = keep, days * _DAY_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._records = handle.getListState(
-            "records", "ts timestamp, record_id bigint, score bigint", self._days * _DAY_MS
-        )
+        self._handle = handle
+        self._records = handle.getListState("records", "ts timestamp, record_id bigint, score bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = list(self._records.get()) if self._records.exists() else []
+        if not known:
+            first = next(rows)
+            self._handle.registerTimer(_ms(first["ts"].max()) + self._ttl)
+            known = self._merge(known, first)
         for batch in rows:
-            fresh = zip(batch["ts"].dt.to_pydatetime(), batch["record_id"], batch["score"])
-            known.extend((t, int(i), int(s)) for t, i, s in fresh)
-            known = sorted(known, key=lambda r: (pd.Timestamp(r[0]).timestamp(), r[1]), reverse=True)[: self._keep]
+            known = self._merge(known, batch)
         self._records.put(known)
         out = pd.DataFrame(known, columns=["ts", "record_id", "score"])
         out.insert(0, "site", key[0])
         out["hist_no"] = range(1, len(out) + 1)
         yield out
 
+    def _merge(self, known: list, batch: pd.DataFrame) -> list:
+        fresh = zip(batch["ts"].dt.to_pydatetime(), batch["record_id"], batch["score"])
+        rows = [tuple(r) for r in known] + [(t, int(i), int(s)) for t, i, s in fresh]
+        return sorted(rows, key=lambda r: (_ms(r[0]), r[1]), reverse=True)[: self._keep]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = list(self._records.get()) if self._records.exists() else []
+        expiry = _ms(known[0][0]) + self._ttl if known else 0
+        if expiry > timerValues.getCurrentWatermarkInMs():
+            self._handle.registerTimer(expiry)
+        else:
+            self._records.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -149,9 +178,10 @@ def latest_30_state(history: DataFrame, keep: int = K.HISTORY_KEEP, days: int =
     """
     return (
         history.select("site", "ts", "record_id", "score")
+        .withWatermark("ts", "2 days")
         .groupBy("site")
         .transformWithStateInPandas(
             Latest(keep, days), "site string, ts timestamp, record_id bigint, score bigint, hist_no bigint",
-            "Update", "ProcessingTime",
+            "Update", "EventTime",
         )
     )

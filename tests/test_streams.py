@@ -28,7 +28,7 @@ def drain(stream, folder, name, mode="update"):
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/{name}/b={number}")
 
     q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/{name}-cp").trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(60), q.stop()
     return stream.sparkSession.read.parquet(f"{folder}/{name}").drop("b")
 
 
@@ -49,7 +49,7 @@ def test_ip_cap_stream(spark, rows, folder):
 
 
 def test_latest_state(spark, rows, folder):
-    got = drain(state.latest_30_state(stream_of(spark, rows, folder, 3), keep=30, days=40000), folder, "out")
+    got = drain(state.latest_30_state(stream_of(spark, rows, folder, 3), keep=30, days=90), folder, "out")
     newest = got.groupBy("site", "record_id").agg(F.max("_batch").alias("b"), F.max_by("hist_no", "_batch").alias("hist_no"))
     final = newest.where(F.col("b") == got.agg(F.max("_batch")).first()[0]).select("site", "record_id", "hist_no")
     twin = history.last_n_history(rows, ["site"], F.lit("2024-01-09").cast("timestamp"), 30, 90).select("site", "record_id", F.col("hist_no").cast("bigint"))
