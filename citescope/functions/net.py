@@ -72,18 +72,23 @@ def _v6_hex(ip: Column) -> Column:
 
 def ip_scope(ip: Column | str) -> Column:
     """public, blocked-range-v4, blocked-range-v6, ipv4-mapped-v6-hex or invalid-ip."""
-    raw = text_or_empty(ip)
-    mapped = F.regexp_extract(raw, rf"(?i)^::ffff:({_V4})$", 1)
-    v4 = F.when(mapped != "", mapped).when(raw.rlike(rf"^{_V4}$"), raw)
-    v6 = _v6_hex(raw)
-    return (
-        F.when(v4.isNotNull() & _v4_blocked(v4), "blocked-range-v4")
-        .when(v4.isNotNull(), "public")
-        .when(v6.isNull(), "invalid-ip")
-        .when(raw.rlike(r"(?i)^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), "ipv4-mapped-v6-hex")
-        .when(v6.rlike(K.BLOCKED_V6_HEX), "blocked-range-v6")
-        .otherwise("public")
-    )
+    def of_v6(raw: Column) -> Column:
+        return let(
+            _v6_hex(raw),
+            lambda v6: F.when(v6.isNull(), "invalid-ip")
+            .when(raw.rlike(r"(?i)^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), "ipv4-mapped-v6-hex")
+            .when(v6.rlike(K.BLOCKED_V6_HEX), "blocked-range-v6")
+            .otherwise("public"),
+        )
+
+    def of_text(raw: Column) -> Column:
+        # An IPv4 address, plain or mapped into IPv6, is judged by the IPv4 ranges.
+        return let(
+            F.regexp_extract(raw, rf"(?i)^(?:::ffff:)?({_V4})$", 1),
+            lambda v4: F.when(v4 == "", of_v6(raw)).when(_v4_blocked(v4), "blocked-range-v4").otherwise("public"),
+        )
+
+    return let(text_or_empty(ip), of_text)
 
 
 def public_only(df: DataFrame, ip: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import no_nulls, strip, text_or_empty
+from ..functions.text import let, no_nulls, strip, text_or_empty
 
 
 def pair_profiles(pairs: DataFrame, profiles: DataFrame, key: str, user: str = "user_key", comp: str = "comp_key") -> DataFrame:
@@ -38,30 +38,32 @@ def _item(side: str, key: str) -> Column:
 
 def signal_rows() -> Column:
     """Eight items in fixed order (price is not compared). Limited on our side is no gap."""
-    rows = []
-    for key, _, _, why in K.COMPARED_SIGNALS:
-        u, c = _item("user", key), _item("comp", key)
+    def row(key: str, why: str, pair: Column) -> Column:
+        u, c = pair["u"], pair["c"]
         limited = F.coalesce(u["measurement"] == "limited", F.lit(False))
         u_ok = F.coalesce(u["status"] == "ok", F.lit(False))
         c_ok = F.coalesce(c["status"] == "ok", F.lit(False))
-        rows.append(
-            F.when(
-                u.isNotNull() | c.isNotNull(),
-                F.struct(
-                    F.lit(key).alias("key"),
-                    F.coalesce(u["label"], c["label"]).alias("label"),
-                    F.coalesce(u["layer"], c["layer"], F.lit("")).alias("layer"),
-                    F.coalesce(u["max"], c["max"], F.lit(0)).alias("weight"),
-                    F.when(limited, "na").otherwise(F.coalesce(u["status"], F.lit("na"))).alias("user_status"),
-                    F.coalesce(c["status"], F.lit("na")).alias("comp_status"),
-                    text_or_empty(u["note"]).alias("user_note"), text_or_empty(c["note"]).alias("comp_note"),
-                    u["fix"].alias("fix"),
-                    F.when(limited, "same").otherwise(_verdict(u_ok, c_ok)).alias("verdict"),
-                    F.lit(why).alias("why"),
-                ),
-            )
+        return F.when(
+            u.isNotNull() | c.isNotNull(),
+            F.struct(
+                F.lit(key).alias("key"),
+                F.coalesce(u["label"], c["label"]).alias("label"),
+                F.coalesce(u["layer"], c["layer"], F.lit("")).alias("layer"),
+                F.coalesce(u["max"], c["max"], F.lit(0)).alias("weight"),
+                F.when(limited, "na").otherwise(F.coalesce(u["status"], F.lit("na"))).alias("user_status"),
+                F.coalesce(c["status"], F.lit("na")).alias("comp_status"),
+                text_or_empty(u["note"]).alias("user_note"), text_or_empty(c["note"]).alias("comp_note"),
+                u["fix"].alias("fix"),
+                F.when(limited, "same").otherwise(_verdict(u_ok, c_ok)).alias("verdict"),
+                F.lit(why).alias("why"),
+            ),
         )
-    return no_nulls(*rows)
+
+    def signal(key: str, why: str) -> Column:
+        pair = F.struct(_item("user", key).alias("u"), _item("comp", key).alias("c"))
+        return let(pair, lambda p: row(key, why, p))
+
+    return no_nulls(*[signal(key, why) for key, _, _, why in K.COMPARED_SIGNALS])
 
 
 def schema_rows() -> Column:

@@ -307,6 +307,17 @@ def shred_pages(pages: DataFrame, html: str = "html", out: str = "page") -> Data
     return pages.withColumn(out, shred(F.col(html)))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Spread a snapshot of few partitions over all cores before the Python pass.
+
+    A large snapshot has more partitions than cores and stays as it is: nothing shuffles there.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming or pages.rdd.getNumPartitions() >= cores:
+        return pages
+    return pages.repartition(cores)
+
+
 def explode_nodes(shredded: DataFrame, key: str, page: str = "page") -> DataFrame:
     """The relational form: one row per page and element."""
     return shredded.select(key, F.inline(F.col(page)["nodes"]))

@@ -24,3 +24,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, spread over the cores where the file is too small to be split."""
+    from ..operators.shred import spread
+
+    return spread(table(spark, sf_dir, "pages"))

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from ..operators import panel
 from ..plans.audit import audit
 from . import beds
-from .core import query, table
+from .core import page_table, query
 from .pages import AUDIT
 
 
 def scored_pages_with_panel(spark, sf):
     """Score, band and top fix per page, with the rates of the runs that asked about its site."""
-    scored = audit(table(spark, sf, "pages")).select(
+    scored = audit(page_table(spark, sf)).select(
         "page_id", "domain", F.col("score").cast("bigint").alias("score"), "band", F.get("top_fixes", F.lit(0))["key"].alias("top_fix")
     )
     runs = beds.url_runs(spark, sf)

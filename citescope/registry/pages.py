@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import scoring, signals
 from ..operators.shred import explode_nodes, shred_pages
 from ..plans import audit as audit_plan
-from .core import query, table
+from .core import page_table, query, table
 
 # Visible text as SQL: tags go, entities are decoded, white space shrinks. Exact for these pages:
 # their markup holds no `<` in text and these entities only.
@@ -23,7 +23,7 @@ vis AS (
 
 @query("visible_text", f"WITH {VISIBLE} SELECT page_id, length(visible) AS visible_len, md5(visible) AS text_hash FROM vis")
 def visible_text(spark, sf):
-    s = signals.page_signals(table(spark, sf, "pages"))
+    s = signals.page_signals(page_table(spark, sf))
     return s.select("page_id", F.col("visible_len").cast("bigint").alias("visible_len"), F.md5("visible_text").alias("text_hash"))
 
 
@@ -31,7 +31,7 @@ def visible_text(spark, sf):
 SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<script\\b')) AS BIGINT) AS scripts,
   round(CAST(length(visible) AS DOUBLE) / length(html), 3) AS sn, length(visible) < 500 AS needs_render FROM vis""")
 def text_ratio(spark, sf):
-    s = signals.page_signals(table(spark, sf, "pages"))
+    s = signals.page_signals(page_table(spark, sf))
     return s.select("page_id", F.col("scripts").cast("bigint").alias("scripts"), "sn", "needs_render")
 
 
@@ -40,7 +40,7 @@ WITH h AS (SELECT page_id, regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1) AS
 SELECT page_id, CAST(len(list_filter(hs, lambda x: trim(x) <> '')) AS BIGINT) AS h1_count, CAST(0 AS BIGINT) AS h2_count,
   trim(replace(replace(replace(hs[1], '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS first_h1 FROM h""")
 def heading_counts(spark, sf):
-    s = signals.page_signals(table(spark, sf, "pages"))
+    s = signals.page_signals(page_table(spark, sf))
     return s.select(
         "page_id", F.col("h1_count").cast("bigint").alias("h1_count"), F.col("h2_count").cast("bigint").alias("h2_count"),
         F.get("h1_sample", F.lit(0)).alias("first_h1"),
@@ -52,7 +52,7 @@ SELECT page_id, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links, C
   CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) AS scripts
 FROM pages""")
 def element_counts(spark, sf):
-    rows = explode_nodes(shred_pages(table(spark, sf, "pages")), "page_id")
+    rows = explode_nodes(shred_pages(page_table(spark, sf)), "page_id")
     count = lambda tag: F.count_if(F.col("tag") == tag)
     return rows.groupBy("page_id").agg(
         count("a").alias("links"), count("li").alias("items"), count("p").alias("paragraphs"), count("script").alias("scripts")
@@ -63,7 +63,7 @@ def element_counts(spark, sf):
 SELECT page_id, substring(trim(regexp_extract(t, '^[^|–—:·ㅣ-]*')), 1, 40) AS name_guess FROM (
   SELECT page_id, substring(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 300) AS t FROM pages)""")
 def name_guess(spark, sf):
-    return signals.page_signals(table(spark, sf, "pages")).select("page_id", "name_guess")
+    return signals.page_signals(page_table(spark, sf)).select("page_id", "name_guess")
 
 
 @query("teardown", r"""
@@ -72,7 +72,7 @@ SELECT page_id, substring(trim(regexp_replace(regexp_extract(html, '(?is)<title[
   CAST(0 AS BIGINT) AS metas FROM pages""")
 def teardown(spark, sf):
     t = signals.teardown("html")
-    rows = table(spark, sf, "pages").select("page_id", t.alias("t"))
+    rows = page_table(spark, sf).select("page_id", t.alias("t"))
     return rows.select("page_id", "t.title", "t.body_text", F.size("t.metas").cast("bigint").alias("metas"))
 
 
@@ -123,7 +123,7 @@ FRAGMENTS = [
 
 
 def _with_fragment(spark, sf):
-    p = table(spark, sf, "pages")
+    p = page_table(spark, sf)
     fragment = F.element_at(F.array(*[F.lit(f[0]) for f in FRAGMENTS]), (F.col("page_id") % len(FRAGMENTS) + 1).cast("int"))
     # Only the article's own frame stays, so that the page text adds no signal of its own.
     frame = F.regexp_replace("html", r"(?s)<p>.*</article>", "")
@@ -166,7 +166,7 @@ _PLACES = [
 SELECT page_id, sido, district, region, TRUE AS address FROM pages JOIN e ON page_id % {len(_PLACES)} = e.i""")
 def location_guess(spark, sf):
     address = F.element_at(F.array(*[F.lit(p[0]) for p in _PLACES]), (F.col("page_id") % len(_PLACES) + 1).cast("int"))
-    p = table(spark, sf, "pages").select("page_id", "url", F.concat("html", F.lit("<p>오시는 길: "), address, F.lit("</p>")).alias("html"))
+    p = page_table(spark, sf).select("page_id", "url", F.concat("html", F.lit("<p>오시는 길: "), address, F.lit("</p>")).alias("html"))
     s = signals.page_signals(p)
     return s.select("page_id", "location.sido", "location.district", "location.region", "address")
 
@@ -186,7 +186,7 @@ def jsonld_profile(spark, sf):
     rated = F.concat(F.lit('{"@type":"Organization","telephone":"02-2","aggregateRating":{"@type":"AggregateRating","ratingValue":"4.'),
                      (n % 10).cast("string"), F.lit('"},}'))
     ld = F.when(n % 3 == 0, dental).when(n % 3 == 1, faq).otherwise(rated)
-    p = table(spark, sf, "pages").select("page_id", "url", F.concat("html", open_, ld, close).alias("html"))
+    p = page_table(spark, sf).select("page_id", "url", F.concat("html", open_, ld, close).alias("html"))
     j = signals.page_signals(p)
     return j.select(
         "page_id", "jsonld.has_dental", "jsonld.has_faq", "jsonld.has_telephone", F.col("jsonld.faq_count").cast("bigint").alias("faq_count"),
@@ -204,7 +204,7 @@ def section_profile(spark, sf):
         .when(n == 1, F.concat(F.lit("<h2>a</h2>"), block(125), block(125)))
         .otherwise(F.concat(F.lit("<h2>a</h2>"), block(901)))
     )
-    p = table(spark, sf, "pages").select("page_id", "url", F.concat(F.lit("<body><section>"), body, F.lit("</section>"), "html").alias("html"))
+    p = page_table(spark, sf).select("page_id", "url", F.concat(F.lit("<body><section>"), body, F.lit("</section>"), "html").alias("html"))
     return signals.page_signals(p).select("page_id", "section_profile")
 
 
@@ -216,7 +216,7 @@ def head_meta(spark, sf):
         F.lit('<head><META NAME="Description" CONTENT="About '), u, F.lit('"><link rel="Canonical" href=" '), u,
         F.lit(' "><meta name=robots content=noindex><meta name="viewport" content="'), u, F.lit('">'),
     )
-    p = table(spark, sf, "pages").select("page_id", "url", F.replace("html", F.lit("<head>"), head).alias("html"))
+    p = page_table(spark, sf).select("page_id", "url", F.replace("html", F.lit("<head>"), head).alias("html"))
     return signals.page_signals(p).select("page_id", "meta_description", "canonical", "robots_meta", "viewport")
 
 
@@ -254,7 +254,7 @@ SELECT page_id, tech_score, content_score, tech_score + content_score AS score,
   CASE WHEN NOT render AND citable = 0 THEN 'no-citable-evidence' WHEN render THEN 'measurement-limited' ELSE '' END AS gates,
   CASE WHEN tech_score + content_score >= 30 THEN '개선 여지 큼' ELSE '초기 단계' END AS band FROM audited""")
 def audit(spark, sf):
-    a = audit_plan.audit(table(spark, sf, "pages"))
+    a = audit_plan.audit(page_table(spark, sf))
     return a.select(
         "page_id", *[F.col(c).cast("bigint").alias(c) for c in ("tech_score", "content_score", "score")], "needs_render",
         F.array_join("band_gates", ",").alias("gates"), "band",
@@ -265,7 +265,7 @@ def audit(spark, sf):
 SELECT page_id, CASE WHEN page_id % 9 = 0 THEN NULL ELSE tech_score + content_score END AS score,
   CASE WHEN page_id % 9 = 0 THEN 'bad-scheme' END AS error FROM audited""")
 def batch_audit(spark, sf):
-    p = table(spark, sf, "pages")
+    p = page_table(spark, sf)
     u = F.when(F.col("page_id") % 9 == 0, F.regexp_replace("url", "^https?", "ftp")).otherwise(F.col("url"))
     rows = audit_plan.batch_audit(p.withColumn("url", u))
     return rows.select("page_id", F.col("score").cast("bigint").alias("score"), "error")
@@ -276,6 +276,6 @@ SELECT page_id, max(page_id % 10 = 0) OVER (PARTITION BY lower(regexp_extract(ur
 def llms_txt(spark, sf):
     from ..sources.readers import with_host
 
-    hosted = with_host(table(spark, sf, "pages"))
+    hosted = with_host(page_table(spark, sf))
     files = hosted.select("host", F.when(F.col("page_id") % 10 == 0, 200).otherwise(404).alias("status"))
     return signals.with_llms_txt(hosted, files).select("page_id", "has_llms_txt")

