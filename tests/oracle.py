@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from decimal import Decimal
 from pathlib import Path
@@ -24,10 +23,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if isinstance(value, float) and not math.isnan(value):
-        return round(value, 9)
     if isinstance(value, Decimal):
-        return round(float(value), 9)
+        return float(value)
     if isinstance(value, list):
         return tuple(_plain(v) for v in value)
     return value
