@@ -477,7 +477,7 @@ CONTENT_FLAGS = [
     ("quotations", "인용문", "has_quotations"),
     ("citedSources", "출처 표기", "has_cited_sources"),
 ]
-# follow-up id, rule (always / not cited / not cited or low score), score limit
+# follow-up id, rule (always / not cited / not cited or low score)
 FOLLOW_UPS = [
     ("geo-diagnosis", "always"), ("content-hub", "uncited-or-low"), ("blog-posting", "uncited"),
     ("media-feature", "uncited"), ("geo-column", "always"), ("reboot-30", "uncited"),
@@ -496,25 +496,19 @@ PLACE_URL = "https://map.naver.com/v5/entry/place/"
 PLACE_SUFFIXES = "치과의원|치과병원|교정과|한의원|클리닉|덴탈|치과|병원|의원"
 LOCAL_TOP = 5
 PLACE_GAPS = [
-    # code, condition, gap, action, follow-up
-    ("booking-missing", "matched, no booking reviews",
-     "네이버 예약 리뷰 0건 — 예약 미운영 또는 이용 초기",
-     "예약 오픈 + 플레이스 정보(NAP·진료시간·사진) 완결성 정비", "예약·플레이스 세팅"),
-    ("place-unmatched", "not matched",
-     "플레이스 매칭 실패 — 기본 정보 정합부터",
-     "예약 오픈 + 플레이스 정보(NAP·진료시간·사진) 완결성 정비", "예약·플레이스 세팅"),
-    ("owned-content", "always",
-     "네이버 AI 인용의 70%가 블로그·카페(공식) — 병원 소유 콘텐츠 필요",
-     "정보형(원인·방법·주의사항) 구조의 블로그 발행 — 임상사진·경험담 배제, 출처 명시", "네이버 블로그 포스팅"),
-    ("clip-video", "always",
-     "AI브리핑이 클립 영상을 인용(ASR·OCR로 음성·자막을 읽음)",
-     "대본=완결 정보 문장 + 화면 자막 필수의 주의사항 숏폼을 공식 클립 계정에 축적", "주의사항 숏폼영상"),
-    ("review-gap", "review gap",
-     "경쟁 상위 대비 리뷰 수 격차",
-     "진료 후 케어 메시지에 실환자 리뷰 요청 연동(대가 제공 없음)", "실환자 리뷰 (구성 중)"),
-    ("monthly-watch", "always",
-     "AI 추천은 고정·로테이션이 섞여 매번 변동",
-     "월 1회 같은 조건 재측정으로 변화 추적", "월간 관측 (구성 중)"),
+    # code, gap, action
+    ("booking-missing", "네이버 예약 리뷰 0건 — 예약 미운영 또는 이용 초기",
+     "예약 오픈 + 플레이스 정보(NAP·진료시간·사진) 완결성 정비"),
+    ("place-unmatched", "플레이스 매칭 실패 — 기본 정보 정합부터",
+     "예약 오픈 + 플레이스 정보(NAP·진료시간·사진) 완결성 정비"),
+    ("owned-content", "네이버 AI 인용의 70%가 블로그·카페(공식) — 병원 소유 콘텐츠 필요",
+     "정보형(원인·방법·주의사항) 구조의 블로그 발행 — 임상사진·경험담 배제, 출처 명시"),
+    ("clip-video", "AI브리핑이 클립 영상을 인용(ASR·OCR로 음성·자막을 읽음)",
+     "대본=완결 정보 문장 + 화면 자막 필수의 주의사항 숏폼을 공식 클립 계정에 축적"),
+    ("review-gap", "경쟁 상위 대비 리뷰 수 격차",
+     "진료 후 케어 메시지에 실환자 리뷰 요청 연동(대가 제공 없음)"),
+    ("monthly-watch", "AI 추천은 고정·로테이션이 섞여 매번 변동",
+     "월 1회 같은 조건 재측정으로 변화 추적"),
 ]
 GAP_RATIO_TEXT = "격차 ×%.1f"
 GAP_LARGE_TEXT = "격차 큼"
@@ -542,9 +536,8 @@ LEAD_LIMITS = [
     ("notes", 1000),
 ]
 LEAD_STATUS_NEW = "신규"
-PUBLIC_LEAD_CONTACT = "(네이버AI 리드젠)"
-PUBLIC_LEAD_PRODUCT = "네이버AI 토탈 패키지 문의"
-PUBLIC_LEAD_NOTE = "[naver-ai.html 공개 폼] "
+# What a lead from the public form carries where the form has no field.
+PUBLIC_LEAD = {"source": "public", "contact": "(public form)", "product": "inquiry", "note": "[public form] "}
 LEADS_PER_HOUR = 5
 CACHE_HOURS = 24
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.ordered import group_lag, top_k
-from ..functions.stats import ratio
 from ..functions.text import col
 
 
@@ -173,9 +172,3 @@ def measurability(reason: Column | str, needs_render: Column | str | None = None
         .otherwise("measured")
     )
 
-
-def exposure_rate(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of measured engines that expose the site (helper of the band report)."""
-    return panel.where("measured").groupBy(*keys).agg(
-        F.count_if("exposed").alias("exposed_engines"), F.count(F.lit(1)).alias("measured_engines")
-    ).withColumn("exposure", F.round(ratio("exposed_engines", "measured_engines"), 4))

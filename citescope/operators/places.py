@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.ordered import top_k
 from ..functions.stats import ratio
-from ..functions.text import WS, col, strip, text_or_empty
+from ..functions.text import WS, col, no_nulls, strip, text_or_empty
 from ..functions.urls import loose_host_match
 
 
@@ -189,13 +189,13 @@ def place_gaps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         "booking-missing": matched & ~booking_ok, "place-unmatched": ~matched, "owned-content": F.lit(True),
         "clip-video": F.lit(True), "review-gap": big, "monthly-watch": F.lit(True),
     }
-    gaps = no_null_structs(
-        [
+    gaps = no_nulls(
+        *[
             F.when(
                 tests[code],
-                F.struct(F.lit(code).alias("code"), F.lit(gap).alias("gap"), F.lit(act).alias("action"), F.lit(what).alias("follow_up")),
+                F.struct(F.lit(code).alias("code"), F.lit(gap).alias("gap"), F.lit(action).alias("action")),
             )
-            for code, _, gap, act, what in K.PLACE_GAPS
+            for code, gap, action in K.PLACE_GAPS
         ]
     )
     both = matched & rival
@@ -206,6 +206,3 @@ def place_gaps(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         gaps.alias("gaps"),
     )
 
-
-def no_null_structs(values: list[Column]) -> Column:
-    return F.array_compact(F.array(*values))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,6 +241,3 @@ def as_response(
     ))
     return F.when(name == "chatgpt", chatgpt).when(name == "claude", claude).when(name == "perplexity", perplexity)
 
-
-def keys_of(columns: Sequence[str] | str) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.ordered import top_k
 from ..functions.stats import ratio
-from ..functions.text import let, no_nulls, text_or_empty
+from ..functions.text import no_nulls
 
 LIMITED = [key for key, _, _, _, axis, _ in K.SCORE_ITEMS if axis == "content"]
 

@@ -65,13 +65,13 @@ def lead_problem(is_public: Column) -> Column:
     )
 
 
-def prepare_leads(leads: DataFrame, now: Column) -> DataFrame:
+def prepare_leads(leads: DataFrame, now: Column, public: dict[str, str] = K.PUBLIC_LEAD) -> DataFrame:
     """Leads (source, domain, clinic_name, contact_name, phone, email, selected_products,
     notes, geo_score, ai_cited) with `reject_reason`, clamped fields, time, id and status."""
-    is_public = text_or_empty("source") == "naver-ai"
+    is_public = text_or_empty("source") == public["source"]
     judged = leads.withColumn("reject_reason", lead_problem(is_public))
     unified = judged.select(
-        *[F.when(is_public, shaped_value(c)).otherwise(F.col(c)).alias(c) for c in judged.columns if c != "source"]
+        *[F.when(is_public, shaped_value(c, public)).otherwise(F.col(c)).alias(c) for c in judged.columns if c != "source"]
     )
     clamped = unified.withColumns({
         name: F.substring(strip(text_or_empty(name)), 1, size) for name, size in K.LEAD_LIMITS
@@ -84,22 +84,22 @@ def prepare_leads(leads: DataFrame, now: Column) -> DataFrame:
     return clamped.withColumn("lead_id", F.concat(F.lit("lead:"), stamp, F.lit(":"), site))
 
 
-def shaped_value(name: str) -> Column:
+def shaped_value(name: str, public: dict[str, str]) -> Column:
     """What a public lead carries in a common column."""
     phone = strip(text_or_empty("phone"))
     fixed = {
-        "domain": F.lit(""), "contact_name": F.lit(K.PUBLIC_LEAD_CONTACT),
+        "domain": F.lit(""), "contact_name": F.lit(public["contact"]),
         "phone": F.when(phone == "", "-").otherwise(phone),
-        "notes": strip(F.concat(F.lit(K.PUBLIC_LEAD_NOTE), strip(text_or_empty("notes")))),
-        "selected_products": F.array(F.lit(K.PUBLIC_LEAD_PRODUCT)),
+        "notes": strip(F.concat(F.lit(public["note"]), strip(text_or_empty("notes")))),
+        "selected_products": F.array(F.lit(public["product"])),
         "geo_score": F.lit(None).cast("double"), "ai_cited": F.lit(False),
     }
     return fixed.get(name, F.col(name))
 
 
-def append_leads(leads: DataFrame, path: str, now: Column) -> None:
+def append_leads(leads: DataFrame, path: str, now: Column, public: dict[str, str] = K.PUBLIC_LEAD) -> None:
     """Accepted and rejected leads go to their own folders."""
-    prepared = prepare_leads(leads, now)
+    prepared = prepare_leads(leads, now, public)
     accepted = prepared.where(F.col("reject_reason").isNull()).drop("reject_reason")
     with_day(accepted, "submitted_at").write.mode("append").partitionBy("day").parquet(f"{path}/accepted")
     prepared.where(F.col("reject_reason").isNotNull()).write.mode("append").parquet(f"{path}/rejected")

@@ -188,3 +188,10 @@ def test_compare_package(spark):
     assert len(r["schema_summary"]["missing"]) == 9 and "geo-renewal" in r["solutions"]
     assert r["recommended_products"][:3] == ["blog-posting", "media-feature", "reboot-30"]
     assert len(r["signal_diff"]) == 8
+
+
+def test_hit_map_keeps_failures(spark):
+    outcomes = random_outcomes(spark, 300)
+    failures = spark.createDataFrame([("lost", "timeout")], "region string, error string")
+    rows = {r["region"]: r for r in panel.hit_map(panel.panel_by_engine(outcomes, ["region"]), ["region"], failures=failures).collect()}
+    assert rows["lost"]["error"] == "timeout" and rows["lost"]["chatgpt"] is None and "/" in rows["r"]["chatgpt"] and rows["r"]["perplexity"] is None

@@ -148,8 +148,8 @@ def test_sinks(spark, folder):
     assert sinks.read_history(spark, folder, "score", F.lit("2026-02-01").cast("date")).count() == 1
 
     leads = spark.createDataFrame(
-        [("", "d.kr", "c" * 150, "kim", "010", "a@b.c", ["p"], "n", 1.0, True), ("naver-ai", "", "clinic", None, "", "bad", None, "hello", None, None),
-         ("naver-ai", "", "clinic", None, "", "a@b.c", None, "hello", None, None), ("", "", "c", "", "1", "", ["p"], "", None, None), ("", "", " ", "k", "1", "", ["p"], "", None, None)],
+        [("", "d.kr", "c" * 150, "kim", "010", "a@b.c", ["p"], "n", 1.0, True), ("public", "", "clinic", None, "", "bad", None, "hello", None, None),
+         ("public", "", "clinic", None, "", "a@b.c", None, "hello", None, None), ("", "", "c", "", "1", "", ["p"], "", None, None), ("", "", " ", "k", "1", "", ["p"], "", None, None)],
         "source string, domain string, clinic_name string, contact_name string, phone string, email string, selected_products array<string>, notes string, geo_score double, ai_cited boolean")
     sinks.append_leads(leads, f"{folder}/leads", F.lit("2026-01-05").cast("timestamp"))
     good = spark.read.parquet(f"{folder}/leads/accepted").orderBy("contact_name").collect()
