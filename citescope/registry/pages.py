@@ -7,16 +7,20 @@ from ..operators.shred import explode_nodes, shred_pages
 from ..plans import audit as audit_plan
 from .core import page_table, query, table
 
+def _decoded(text: str) -> str:
+    """SQL for the entities these pages use; a cut-off one without its semicolon counts as well."""
+    for name, sign in (("nbsp", "chr(160)"), ("quot", "chr(34)"), ("copy", "'©'"), ("middot", "'·'"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
+        text = f"regexp_replace({text}, '&{name};?', {sign}, 'g')"
+    return text
+
+
 # Visible text as SQL: tags go, entities are decoded, white space shrinks. Exact for these pages:
 # their markup holds no `<` in text and these entities only.
-VISIBLE = r"""
+_STRIPPED = r"""regexp_replace(regexp_replace(substring(html, instr(html, '<body')),
+        '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g')"""
+VISIBLE = rf"""
 vis AS (
-  SELECT page_id, url, html,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(substring(html, instr(html, '<body')),
-        '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g'),
-      '&nbsp;', chr(160)), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
-      '[\s\x{00a0}]+', ' ', 'g')) AS visible
+  SELECT page_id, url, html, trim(regexp_replace({_decoded(_STRIPPED)}, '[\s\x{{00a0}}]+', ' ', 'g')) AS visible
   FROM pages)
 """
 
@@ -35,10 +39,10 @@ def text_ratio(spark, sf):
     return s.select("page_id", F.col("scripts").cast("bigint").alias("scripts"), "sn", "needs_render")
 
 
-@query("heading_counts", r"""
+@query("heading_counts", rf"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages)
 SELECT page_id, CAST(len(list_filter(hs, lambda x: trim(x) <> '')) AS BIGINT) AS h1_count, CAST(0 AS BIGINT) AS h2_count,
-  trim(replace(replace(replace(hs[1], '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS first_h1 FROM h""")
+  trim({_decoded("hs[1]")}) AS first_h1 FROM h""")
 def heading_counts(spark, sf):
     s = signals.page_signals(page_table(spark, sf))
     return s.select(
@@ -59,9 +63,9 @@ def element_counts(spark, sf):
     )
 
 
-@query("name_guess", r"""
+@query("name_guess", rf"""
 SELECT page_id, substring(trim(regexp_extract(t, '^[^|–—:·ㅣ-]*')), 1, 40) AS name_guess FROM (
-  SELECT page_id, substring(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), 1, 300) AS t FROM pages)""")
+  SELECT page_id, substring(trim(regexp_replace({_decoded("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), 1, 300) AS t FROM pages)""")
 def name_guess(spark, sf):
     return signals.page_signals(page_table(spark, sf)).select("page_id", "name_guess")
 
