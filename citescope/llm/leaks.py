@@ -12,6 +12,7 @@ from .common import map_rows
 
 #: Characters of test items that one automaton may hold; larger sets are searched block by block.
 BLOCK_CHARS = 4_000_000
+_GRAM = 4
 
 
 def normal(text: str | None) -> str:
@@ -60,11 +61,21 @@ def best_match(item: str, text: str, start: int, end: int, edits: int) -> tuple[
     return best
 
 
+def gram_counts_allow(grams: list[str], window: str, edits: int) -> bool:
+    """Could a window hold the item? An edit spoils at most `_GRAM` of the item's grams; the others are in the window."""
+    least = len(grams) - _GRAM * edits
+    if least <= 0:
+        return True
+    there = {window[i : i + _GRAM] for i in range(len(window) - _GRAM + 1)}
+    return sum(map(there.__contains__, grams)) >= least
+
+
 class _Block:
     """Automaton over the pieces of some items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = {i: (text, budget(len(text), rate)) for i, text in items if text}
+        self.grams = {i: [text[k : k + _GRAM] for k in range(len(text) - _GRAM + 1)] for i, (text, _) in self.items.items()}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (text, edits) in self.items.items():
             for offset, piece in pieces(text, edits):
@@ -95,7 +106,10 @@ class _Block:
         found = {}
         for i, own in spans.items():
             item, edits = self.items[i]
-            matches = [m for a, b in own if (m := best_match(item, text, a, b, edits))]
+            matches = [
+                m for a, b in own
+                if gram_counts_allow(self.grams[i], text[a:b], edits) and (m := best_match(item, text, a, b, edits))
+            ]
             if matches:
                 found[i] = min(matches)
         return found
