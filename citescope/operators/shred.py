@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from ..functions.constants import SHELL_IDS
+from ..functions.constants import REVIEW_BOX, SHELL_IDS, SOURCE_CONTAINER_CLASSES, SOURCE_CONTAINER_TAGS
 
 # Attributes the rules read; everything else is dropped here.
 ATTRIBUTES = frozenset(
@@ -55,10 +57,36 @@ _ENDS = {
     "a": ({"a"}, _CELLS),
     "button": ({"button"}, _CELLS),
 }
-_MAX_DEPTH = 512  # as in browsers: deeper elements become siblings, none is dropped
+# Where an element stands and who names it: bits of `flags`, set in the one walk over the page.
+BELOW_CHROME, BELOW_SOURCE_TAG, BELOW_FORM, IN_SUP = 1, 2, 4, 8
+IN_REVIEW, BELOW_SOURCE_BOX, LABELLED, REFERRED = 16, 32, 64, 128
+_CHROME = frozenset("nav footer header aside".split())
+_SOURCE_TAGS = frozenset(SOURCE_CONTAINER_TAGS)
+_SOURCE_CLASSES = frozenset(SOURCE_CONTAINER_CLASSES)
+_REVIEW = re.compile(REVIEW_BOX, re.ASCII)
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+# White space as in `functions.text.WS`.
+_WS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WS_RUN = re.compile(f"[{_WS}]+")
 _CONTROLS = frozenset("input select textarea button option".split())
 
 
+def _place(above: dict | None, tag: str, attrs: dict) -> dict:
+    """`flags` and `wrap` (the nearest label around) of a new element, from those of its parent."""
+    flags, wrap = 0, None
+    if above:
+        flags = above["flags"] & ~IN_SUP
+        up = above["tag"]
+        flags |= BELOW_CHROME * (up in _CHROME) | BELOW_SOURCE_TAG * (up in _SOURCE_TAGS)
+        flags |= BELOW_FORM * (up == "form") | IN_SUP * (up == "sup")
+        if "class" in above["attrs"] and not _SOURCE_CLASSES.isdisjoint(_WS_RUN.split(above["attrs"]["class"])):
+            flags |= BELOW_SOURCE_BOX
+        wrap = above["id"] if up == "label" else above["wrap"]
+    if ("class" in attrs or "id" in attrs) and _REVIEW.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"):
+        flags |= IN_REVIEW
+    return {"flags": flags, "wrap": wrap}
+
+
 class _Tree(HTMLParser):
     """Elements in document order; text pieces with their range per element."""
 
@@ -69,28 +97,26 @@ class _Tree(HTMLParser):
         self.pieces: list[str] = []
         self.shown: list[bool] = []
         self.body: int | None = None
+        self.opened: Counter[str] = Counter()
         self._push("html", {})
 
     def _push(self, tag: str, attrs: dict) -> int:
-        if len(self.open) >= _MAX_DEPTH:
-            self._pop_to(_MAX_DEPTH - 1)
         number = len(self.nodes)
-        parent = self.open[-1] if self.open else -1
-        up = [parent, *self.nodes[parent]["up"]] if parent >= 0 else []
-        above = self.nodes[parent] if parent >= 0 else {"path": " ", "tag": ""}
-        path = f"{above['path']}{above['tag']} " if parent >= 0 else " "
+        above = self.nodes[self.open[-1]] if self.open else None
         self.nodes.append(
-            {"id": number, "parent": parent, "up": up, "path": path, "tag": tag, "attrs": attrs,
-             "start": len(self.pieces), "end": None, "leaf": True}
+            {"id": number, "parent": above["id"] if above else -1, "tag": tag, "attrs": attrs,
+             "start": len(self.pieces), "end": None, "leaf": True, **_place(above, tag, attrs)}
         )
-        if parent >= 0:
+        if above:
             above["leaf"] = False
         self.open.append(number)
+        self.opened[tag] += 1
         return number
 
     def _pop_to(self, depth: int) -> None:
         for number in self.open[depth:]:
             self.nodes[number]["end"] = len(self.pieces)
+            self.opened[self.nodes[number]["tag"]] -= 1
         del self.open[depth:]
 
     def _enter_body(self, attrs: dict | None = None) -> None:
@@ -98,6 +124,8 @@ class _Tree(HTMLParser):
         self.body = self._push("body", attrs or {})
 
     def _end_implied(self, closing, stop) -> None:
+        if not any(self.opened[tag] for tag in closing):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[depth]]["tag"]
             if tag in closing:
@@ -111,7 +139,8 @@ class _Tree(HTMLParser):
             if name in ATTRIBUTES:
                 kept.setdefault(name, value or "")
         if tag == "html":
-            self.nodes[0]["attrs"] = self.nodes[0]["attrs"] or kept
+            if not self.nodes[0]["attrs"]:
+                self.nodes[0].update(attrs=kept, **_place(None, tag, kept))
             return
         if tag == "body":
             if self.body is None:
@@ -122,7 +151,7 @@ class _Tree(HTMLParser):
                 return
             if tag not in _HEAD:
                 self._enter_body()
-        if tag == "form" and any(self.nodes[n]["tag"] == "form" for n in self.open):
+        if tag == "form" and self.opened["form"]:
             return
         if tag in _BLOCK:
             self._end_implied({"p"}, _CELLS | {"button"})
@@ -138,7 +167,7 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)  # "/>" means nothing on HTML elements
 
     def handle_endtag(self, tag):
-        if tag in ("html", "body", "head"):
+        if tag in ("html", "body", "head") or not self.opened[tag]:
             return
         for depth in range(len(self.open) - 1, 0, -1):
             here = self.nodes[self.open[depth]]["tag"]
@@ -157,7 +186,7 @@ class _Tree(HTMLParser):
                 return
             self._enter_body()
             top = self.nodes[self.open[-1]]
-        hidden = top["tag"] in ("style", "noscript") or " noscript " in top["path"] or (
+        hidden = top["tag"] == "style" or self.opened["noscript"] > 0 or (
             top["tag"] == "script" and top["attrs"].get("type") != "application/ld+json"
         )
         self.pieces.append(data)
@@ -197,25 +226,20 @@ def _no_constant(name):
     raise ValueError(name)
 
 
-def _parse_ld(raw: str):
+def _parse_ld(raw: str) -> tuple[object, bool]:
+    """(value, the parser gave up): NULL for text that isn't JSON, with one try without trailing commas."""
+    gave_up = False
     for attempt in (raw, re.sub(r",(\s*[}\]])", r"\1", raw)):
         try:
-            return json.loads(attempt, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+            return json.loads(attempt, parse_constant=_no_constant), False
+        except ValueError:
             continue
-    return None
+        except RecursionError:
+            gave_up = True
+    return None, gave_up
 
 
-def _walk_ld(value, out: list[dict]) -> None:
-    """One entry per object: `@graph` members first, then the object, then its members."""
-    if isinstance(value, list):
-        for item in value:
-            _walk_ld(item, out)
-        return
-    if not isinstance(value, dict):
-        return
-    if value.get("@graph"):
-        _walk_ld(value["@graph"], out)
+def _ld_object(value: dict) -> dict:
     kind = value.get("@type")
     kinds = kind if isinstance(kind, list) else [kind] if kind else []
     scalars: dict[str, str] = {}
@@ -228,15 +252,77 @@ def _walk_ld(value, out: list[dict]) -> None:
             scalars[key] = _as_text(item)
     same = value.get("sameAs")
     links = same if isinstance(same, list) else [same]
-    out.append({
+    return {
         "types": [_as_text(k) for k in kinds] if kind else None,
         "truthy": [k for k, v in value.items() if isinstance(v, (dict, list)) or v],
         "scalars": list(scalars.items()),
         "same_as": [x for x in links if isinstance(x, str)] if same else [],
-    })
-    for key, item in value.items():
-        if key != "@graph" and isinstance(item, (dict, list)):
-            _walk_ld(item, out)
+    }
+
+
+def _walk_ld(value, out: list[dict]) -> None:
+    """One entry per object: `@graph` members first, then the object, then its members. Any depth."""
+    todo: list[tuple[bool, object]] = [(False, value)]
+    while todo:
+        ready, item = todo.pop()
+        if ready:
+            out.append(_ld_object(item))
+        elif isinstance(item, list):
+            todo += [(False, x) for x in reversed(item)]
+        elif isinstance(item, dict):
+            inner = [x for k, x in item.items() if k != "@graph" and isinstance(x, (dict, list))]
+            todo += [(False, x) for x in reversed(inner)]
+            todo.append((True, item))
+            if item.get("@graph"):
+                todo.append((False, item["@graph"]))
+
+
+def _name_controls(tree: _Tree) -> None:
+    """Who names a form control: a label with its id, a label around it, texts it refers to."""
+    spoken = {n["id"]: bool(tree.text(n, _CONTROLS).strip(_WS)) for n in tree.nodes if n["tag"] == "label"}
+    wanted = {n["attrs"].get("for", "").strip(_WS) for n in tree.nodes if spoken.get(n["id"])}
+    texts = {n["attrs"]["id"].strip(_WS) for n in tree.nodes if "id" in n["attrs"] and n["filled"]}
+    for n in tree.nodes:
+        if n["wrap"] is not None and not spoken[n["wrap"]]:
+            n["wrap"] = None
+        own = n["attrs"].get("id", "").strip(_WS)
+        if own and own in wanted:
+            n["flags"] |= LABELLED
+        refers = n["attrs"].get("aria-labelledby", "").strip(_WS)
+        if refers and not texts.isdisjoint(_WS_RUN.split(refers)):
+            n["flags"] |= REFERRED
+
+
+def _add_neighbours(tree: _Tree) -> None:
+    """`head`: the heading before an element or, without text there, before its parent. `cite`: the first cite inside.
+    `section`: the text between an h2 and the next one beside it."""
+    last: dict[int, int] = {}
+    before: list[int | None] = []
+    running: dict[int, dict] = {}
+
+    def worded(number: int | None) -> bool:
+        return number is not None and bool(tree.nodes[number]["text"])
+
+    for n in tree.nodes:
+        parent = n["parent"]
+        before.append(last.get(parent))
+        own, above = before[-1], before[parent] if parent >= 0 else None
+        n["head"] = own if worded(own) else above if worded(above) else None
+        n["cite"] = n["section"] = None
+        if n["tag"] in _HEADING:
+            last[parent] = n["id"]
+        if n["tag"] == "h2":
+            n["section"] = []
+            running[parent] = n
+        elif parent in running and n["text"]:
+            running[parent]["section"].append(n["text"])
+        if n["tag"] == "cite":
+            while parent >= 0 and tree.nodes[parent]["cite"] is None:
+                tree.nodes[parent]["cite"] = n["id"]
+                parent = tree.nodes[parent]["parent"]
+    for n in tree.nodes:
+        if n["section"] is not None:
+            n["section"] = "".join(n["section"])
 
 
 def shred_html(html: str) -> dict:
@@ -249,49 +335,47 @@ def shred_html(html: str) -> dict:
     for piece in tree.pieces:
         filled.append(filled[-1] + bool(piece.strip()))
     beside_h2 = {n["parent"] for n in tree.nodes if n["tag"] == "h2"}
-    nodes, ld, shells = [], [], {}
+    ld, shells, gave_up = [], {}, False
     for n in tree.nodes:
         tag = n["tag"]
         wanted = tag in TEXT_TAGS or n["parent"] in beside_h2 or (tag == "div" and n["leaf"])
-        nodes.append({
-            "id": n["id"], "parent": n["parent"], "up": n["up"], "path": n["path"], "tag": tag,
-            "attrs": list(n["attrs"].items()),
-            "text": tree.text(n) if wanted else None,
-            "label": tree.text(n, _CONTROLS) if tag == "label" else None,
-            "filled": filled[n["end"]] > filled[n["start"]],
-            "leaf": n["leaf"],
-        })
+        n["text"] = tree.text(n) if wanted else None
+        n["filled"] = filled[n["end"]] > filled[n["start"]]
         if tag == "script" and n["attrs"].get("type") == "application/ld+json":
-            parsed = _parse_ld(tree.text(n).strip())
-            try:
-                _walk_ld(parsed, ld)
-            except RecursionError:
-                pass
+            parsed, failed = _parse_ld(tree.text(n).strip())
+            gave_up |= failed
+            _walk_ld(parsed, ld)
         if n["attrs"].get("id") in SHELL_IDS:
             shells.setdefault(n["attrs"]["id"], []).append(tree.visible(n))
+    _name_controls(tree)
+    _add_neighbours(tree)
     body = tree.nodes[tree.body] if tree.body is not None else tree.nodes[0]
     visible = tree.visible(body) or tree.visible(tree.nodes[0])
+    fields = [f.name for f in _ARROW_NODE]
     return {
         "visible": " ".join(visible.replace("\ufeff", " ").split()),
         "shell_lens": [len("".join(texts).strip()) for texts in shells.values()],
-        "nodes": nodes,
+        "nodes": [{**{k: n[k] for k in fields}, "attrs": list(n["attrs"].items())} for n in tree.nodes],
         "ld": ld,
+        "ld_error": gave_up,
     }
 
 
 _TEXTS = pa.list_(pa.string())
 _PAIRS = pa.map_(pa.string(), pa.string())
+_ARROW_NODE = pa.struct([
+    ("id", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", _PAIRS), ("text", pa.string()),
+    ("filled", pa.bool_()), ("leaf", pa.bool_()), ("flags", pa.int32()), ("wrap", pa.int32()), ("head", pa.int32()),
+    ("cite", pa.int32()), ("section", pa.string()),
+])
 _ARROW_PAGE = pa.struct([
     ("visible", pa.string()),
     ("shell_lens", pa.list_(pa.int32())),
-    ("nodes", pa.list_(pa.struct([
-        ("id", pa.int32()), ("parent", pa.int32()), ("up", pa.list_(pa.int32())),
-        ("path", pa.string()), ("tag", pa.string()), ("attrs", _PAIRS), ("text", pa.string()),
-        ("label", pa.string()), ("filled", pa.bool_()), ("leaf", pa.bool_()),
-    ]))),
+    ("nodes", pa.list_(_ARROW_NODE)),
     ("ld", pa.list_(pa.struct([
         ("types", _TEXTS), ("truthy", _TEXTS), ("scalars", _PAIRS), ("same_as", _TEXTS),
     ]))),
+    ("ld_error", pa.bool_()),
 ])
 
 
@@ -307,17 +391,6 @@ def shred_pages(pages: DataFrame, html: str = "html", out: str = "page") -> Data
     return pages.withColumn(out, shred(F.col(html)))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Spread a snapshot of few partitions over all cores before the Python pass.
-
-    A large snapshot has more partitions than cores and stays as it is: nothing shuffles there.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming or pages.rdd.getNumPartitions() >= cores:
-        return pages
-    return pages.repartition(cores)
-
-
 def explode_nodes(shredded: DataFrame, key: str, page: str = "page") -> DataFrame:
     """The relational form: one row per page and element."""
     return shredded.select(key, F.inline(F.col(page)["nodes"]))

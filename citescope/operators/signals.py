@@ -17,7 +17,9 @@ from ..functions.text import (
     unicode_space,
 )
 from ..functions.urls import domain_of_host
-from .shred import shred_pages
+from .shred import (
+    BELOW_CHROME, BELOW_FORM, BELOW_SOURCE_BOX, BELOW_SOURCE_TAG, IN_REVIEW, IN_SUP, LABELLED, REFERRED, shred_pages,
+)
 
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
@@ -70,9 +72,9 @@ def has_class(node: Column, *names: str) -> Column:
     return has_attr(node, "class") & F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in names]))
 
 
-def below(node: Column, tags: Sequence[str]) -> Column:
-    """The element has an ancestor with one of `tags`."""
-    return node["path"].rlike(f" (?:{'|'.join(tags)}) ")
+def flagged(node: Column, bits: int) -> Column:
+    """Any of these bits is set in the flags of the element (see `shred`)."""
+    return node["flags"].bitwiseAND(F.lit(bits)) > 0
 
 
 def with_tag(nodes: Column, *tags: str) -> Column:
@@ -83,10 +85,6 @@ def texts(nodes: Column) -> Column:
     return F.transform(nodes, lambda n: text_or_empty(n["text"]))
 
 
-def ids(nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: n["id"])
-
-
 # --- text-only signals, usable without the tree -----------------------------------------------
 
 def script_count(html: Column | str) -> Column:
@@ -316,35 +314,13 @@ def _profile_struct(ld: Column, types: Column, count: Column, organisations: Col
 
 # --- reviews, sources, quotes -----------------------------------------------------------------
 
-def review_boxes(nodes: Column) -> Column:
-    """Ids of elements whose class or id marks patient reviews."""
-    def marked(n: Column) -> Column:
-        marks = F.concat(attr(n, "class"), F.lit(" "), attr(n, "id"))
-        return (has_attr(n, "class") | has_attr(n, "id")) & marks.rlike(K.REVIEW_BOX)
-
-    return ids(F.filter(nodes, marked))
-
-
-def is_review(n: Column, boxes: Column, cites: Column, headings: Column) -> Column:
+def is_review(n: Column, nodes: Column) -> Column:
     """The element belongs to patient reviews: by its box, its cite text or the heading before it."""
-    boxed = F.array_contains(boxes, n["id"]) | F.arrays_overlap(n["up"], boxes)
-    inner = first_or_null(F.filter(cites, lambda c: F.array_contains(c["up"], n["id"])))["text"]
-    quoted = F.when(n["tag"] == "cite", n["text"]).otherwise(inner)
+    quoted = F.when(n["tag"] == "cite", n["text"]).otherwise(F.get(nodes, n["cite"])["text"])
     cite = F.coalesce(F.when(text_or_empty(quoted) != "", quoted), attr(n, "cite"))
     by_cite = squeeze(cite).rlike(unicode_space(K.REVIEW_CITE))
-
-    def heading_before(parent: Column, before: Column) -> Column:
-        earlier = F.filter(headings, lambda h: (h["parent"] == parent) & (h["id"] < before))
-        text = F.try_element_at(earlier, F.lit(-1))["text"]
-        return F.when(text_or_empty(text) != "", text)
-
-    grandparent = F.get(n["up"], F.lit(1))
-    heading = F.coalesce(
-        heading_before(n["parent"], n["id"]), heading_before(grandparent, n["parent"]), F.lit("")
-    )
-    reviewed = F.exists(headings, lambda h: h["text"].rlike(unicode_space(K.REVIEW_HEADING)))
-    by_heading = reviewed & heading.rlike(unicode_space(K.REVIEW_HEADING))
-    return F.coalesce(boxed, F.lit(False)) | F.coalesce(by_cite, F.lit(False)) | by_heading
+    by_heading = text_or_empty(F.get(nodes, n["head"])["text"]).rlike(unicode_space(K.REVIEW_HEADING))
+    return flagged(n, IN_REVIEW) | F.coalesce(by_cite, F.lit(False)) | by_heading
 
 
 _JUDGED = ["p", "li", "td", "dd", "blockquote", "figcaption", "h2", "h3", "cite", "a"]
@@ -356,25 +332,15 @@ def prose_nodes(nodes: Column) -> Column:
         nodes, lambda n: n["tag"].isin(_JUDGED) | has_class(n, "reference", "citation")
     )
 
-    def judged(r: Column) -> Column:
+    def judged(found: Column) -> Column:
         # Most pages hold no review box, cite or review heading: then every element stays.
-        plain = (
-            (F.size(r["boxes"]) == 0) & (F.size(r["cites"]) == 0)
-            & ~F.exists(r["heads"], lambda h: h["text"].rlike(unicode_space(K.REVIEW_HEADING)))
-            & ~F.exists(r["found"], lambda n: has_attr(n, "cite"))
+        suspicious = F.exists(found, lambda n: flagged(n, IN_REVIEW) | has_attr(n, "cite")) | F.exists(
+            nodes,
+            lambda n: (n["tag"] == "cite") | (n["tag"].isin(HEADINGS) & text_or_empty(n["text"]).rlike(unicode_space(K.REVIEW_HEADING))),
         )
-        kept = F.filter(r["found"], lambda n: ~is_review(n, r["boxes"], r["cites"], r["heads"]))
-        return F.when(plain, r["found"]).otherwise(kept)
+        return F.when(suspicious, F.filter(found, lambda n: ~is_review(n, nodes))).otherwise(found)
 
-    return let(
-        F.struct(
-            review_boxes(nodes).alias("boxes"),
-            with_tag(nodes, "cite").alias("cites"),
-            with_tag(nodes, *HEADINGS).alias("heads"),
-            candidates.alias("found"),
-        ),
-        judged,
-    )
+    return let(candidates, judged)
 
 
 def link_host(href: Column) -> Column:
@@ -383,18 +349,12 @@ def link_host(href: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r":\d+$", ""), r"^www\.", "")
 
 
-def source_links(nodes: Column, prose: Column, own_domain: Column) -> Column:
+def source_links(prose: Column, own_domain: Column) -> Column:
     """array<struct<host, domain, authority>> of links that can count as sources."""
-    containers = ids(F.filter(nodes, lambda n: has_class(n, *K.SOURCE_CONTAINER_CLASSES)))
-    links = let(
-        containers,
-        lambda boxes: F.filter(
-            prose,
-            lambda n: (n["tag"] == "a")
-            & has_attr(n, "href")
-            & ~below(n, ["nav", "footer", "header", "aside"])
-            & (below(n, K.SOURCE_CONTAINER_TAGS) | F.arrays_overlap(n["up"], boxes)),
-        ),
+    links = F.filter(
+        prose,
+        lambda n: (n["tag"] == "a") & has_attr(n, "href") & ~flagged(n, BELOW_CHROME)
+        & flagged(n, BELOW_SOURCE_TAG | BELOW_SOURCE_BOX),
     )
     hosts = F.filter(F.transform(links, lambda n: link_host(attr(n, "href"))), lambda h: h != "")
     found = F.transform(
@@ -413,30 +373,7 @@ def source_links(nodes: Column, prose: Column, own_domain: Column) -> Column:
 
 def section_profile(nodes: Column) -> Column:
     """Share of h2 sections with 250 to 900 characters, NULL without h2."""
-    def sections(r: Column) -> Column:
-        def length(h: Column) -> Column:
-            following = F.filter(
-                r["h2s"], lambda o: (o["parent"] == h["parent"]) & (o["id"] > h["id"])
-            )
-            stop = first_or_null(following)["id"]
-            inside = F.filter(
-                r["siblings"],
-                lambda n: (n["parent"] == h["parent"]) & (n["id"] > h["id"])
-                & (stop.isNull() | (n["id"] < stop)),
-            )
-            return F.length(squeeze(F.array_join(texts(inside), "")))
-
-        return F.transform(r["h2s"], length)
-
-    def beside(h2s: Column) -> Column:
-        parents = F.array_distinct(F.transform(h2s, lambda h: h["parent"]))
-        siblings = let(
-            parents,
-            lambda p: F.filter(nodes, lambda n: n["text"].isNotNull() & F.array_contains(p, n["parent"])),
-        )
-        return let(F.struct(h2s.alias("h2s"), siblings.alias("siblings")), sections)
-
-    lengths = let(with_tag(nodes, "h2"), beside)
+    lengths = F.transform(with_tag(nodes, "h2"), lambda h: F.length(squeeze(h["section"])))
     return let(
         lengths,
         lambda ls: F.when(
@@ -479,18 +416,9 @@ def form_accessibility(nodes: Column) -> Column:
     def kind(n: Column) -> Column:
         return F.lower(attr(n, "type"))
 
-    labels = with_tag(nodes, "label")
-    for_ids = F.transform(
-        F.filter(labels, lambda n: strip(text_or_empty(n["label"])) != ""), lambda n: strip(attr(n, "for"))
-    )
-    wrap_ids = ids(labels)
-    named_wraps = ids(F.filter(labels, lambda n: strip(text_or_empty(n["label"])) != ""))
-    text_ids = F.transform(
-        F.filter(nodes, lambda n: n["filled"] & has_attr(n, "id")), lambda n: strip(attr(n, "id"))
-    )
     controls = F.filter(
         nodes,
-        lambda n: below(n, ["form"])
+        lambda n: flagged(n, BELOW_FORM)
         & (
             ((n["tag"] == "input") & (attr(n, "type") != "hidden"))
             | n["tag"].isin("select", "textarea", "button")
@@ -512,13 +440,10 @@ def form_accessibility(nodes: Column) -> Column:
             .otherwise(F.concat(F.lit("<"), n["tag"], F.lit(">")))
         )
 
-    def facts(r: Column):
+    def facts(found: Column) -> Column:
         def one(n: Column) -> Column:
             spoken = strip(attr(n, "aria-label")) != ""
-            referred = F.arrays_overlap(F.split(strip(attr(n, "aria-labelledby")), WS + "+"), r["text_ids"])
-            aria = spoken | ((strip(attr(n, "aria-labelledby")) != "") & referred)
-            own_id = blank_to_null(attr(n, "id"))
-            wrap = first_or_null(F.array_intersect(n["up"], r["wrap_ids"]))
+            aria = spoken | flagged(n, REFERRED)
             is_button = (n["tag"] == "button") | (role(n) == "button")
             by_button = (
                 (is_button & (n["filled"] | (strip(attr(n, "value")) != "")))
@@ -530,8 +455,8 @@ def form_accessibility(nodes: Column) -> Column:
             return F.struct(
                 n["id"].alias("id"),
                 aria.alias("aria"),
-                F.when(~aria & F.array_contains(r["for_ids"], own_id), own_id).alias("for_key"),
-                F.when(F.array_contains(r["named_wraps"], wrap), wrap).alias("wrap"),
+                F.when(~aria & flagged(n, LABELLED), blank_to_null(attr(n, "id"))).alias("for_key"),
+                n["wrap"].alias("wrap"),
                 by_button.alias("by_button"),
                 ((strip(attr(n, "placeholder")) != "") | (strip(attr(n, "title")) != "")).alias("weak"),
                 (
@@ -544,15 +469,9 @@ def form_accessibility(nodes: Column) -> Column:
                 F.lit(None).cast("int").alias("wrap_key"),
             )
 
-        return F.transform(r["controls"], one)
+        return F.transform(found, one)
 
-    base = let(
-        F.struct(
-            controls.alias("controls"), for_ids.alias("for_ids"), wrap_ids.alias("wrap_ids"),
-            named_wraps.alias("named_wraps"), text_ids.alias("text_ids"),
-        ),
-        facts,
-    )
+    base = let(controls, facts)
     by_label = _first_per_key(base, "for_key", "by_for")
     waiting = F.transform(
         by_label,
@@ -695,6 +614,7 @@ def page_signals(
         with_tag(n, "h1", "h2").alias("_heads"),
         prose_nodes(n).alias("_prose"),
         jsonld_profile(F.col("_page")["ld"]).alias("jsonld"),
+        F.col("_page")["ld_error"].alias("ld_error"),
     )
     return _signals(lists, keep)
 
@@ -770,11 +690,11 @@ def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
     own_hosts = [link_host(canonical), link_host(_meta(head, "property", "og:url", 4000)), link_host(base_href)]
     own_host = F.coalesce(*[F.when(h != "", h) for h in own_hosts], F.lit(""))
-    links = let(own_host, lambda h: source_links(nodes, prose, domain_of_host(h)))
+    links = let(own_host, lambda h: source_links(prose, domain_of_host(h)))
     cites = F.filter(
         prose,
         lambda x: (x["tag"] == "cite") | has_class(x, "reference", "citation")
-        | ((x["tag"] == "a") & attr(x, "href").startswith("#") & x["path"].endswith(" sup ")),
+        | ((x["tag"] == "a") & attr(x, "href").startswith("#") & flagged(x, IN_SUP)),
     )
     source_heading = F.exists(
         with_tag(nodes, *HEADINGS, "dt", "caption", "summary", "strong", "b", "legend"),
@@ -784,7 +704,7 @@ def _signals(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
     notice = text.rlike(unicode_space("(?=[가-힣])(?:" + K.PRICE_NOTICE + ")"))
 
     first = lists.select(
-        *keep, "scripts", "html_len", "has_map_embed", "jsonld",
+        *keep, "scripts", "html_len", "has_map_embed", "jsonld", "ld_error",
         text.alias("visible_text"),
         visible_len.alias("visible_len"),
         (

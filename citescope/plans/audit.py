@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.urls import embeddable, registrable_domain, url_problem
 from ..operators import diagnosis, scoring, signals
 from ..operators.robots import robots_summary
@@ -63,7 +64,25 @@ def batch_audit(
     return rows.unionByName(rejected, allowMissingColumns=True)
 
 
-def frame_check(pages: DataFrame, headers: str = "headers") -> DataFrame:
-    """C10 on a snapshot: may the page be shown in a frame?"""
-    return pages.withColumn("embeddable", embeddable(headers))
+def audit_full(
+    pages: DataFrame, robots: DataFrame | None = None, llms: DataFrame | None = None, keys: Sequence[str] = ("page_id", "url")
+) -> DataFrame:
+    """F16 with everything that is known about a page: `audit` plus `readiness` (forms), `teardown`, `has_llms_txt`
+    (`llms`: host, status), `embeddable` (if pages carry `headers`) and the versions the figures stand under.
 
+    The page text is read once and only the joins of robots and llms.txt to hosts shuffle, one row per host each.
+    """
+    wide = page_profiles(pages.withColumn("teardown", signals.teardown("html")), robots, [*keys, "teardown"])
+    packed = wide.select(F.struct(*wide.columns).alias("_wide"), "forms", "needs_render")
+    ready = scoring.agent_readiness(packed, ["_wide"])
+    rows = ready.select("_wide.*", F.struct(*[c for c in ready.columns if c != "_wide"]).alias("readiness"))
+    if "headers" in rows.columns:
+        rows = rows.withColumn("embeddable", embeddable("headers"))
+    if llms is not None:
+        rows = signals.with_llms_txt(rows, llms)
+    carry = [c for c in rows.columns if c not in keys]
+    scored = diagnosis.structure_findings(scoring.page_scores(rows, [*keys, *carry]))
+    return scored.withColumns({
+        "domain": registrable_domain("url"), "methodology_version": F.lit(K.METHODOLOGY_VERSION),
+        "disclaimer": F.lit(K.SCORE_DISCLAIMER), "form_thresholds_version": F.lit(K.FORM_THRESHOLDS_VERSION),
+    })

@@ -27,7 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, spread over the cores where the file is too small to be split."""
-    from ..operators.shred import spread
-
-    return spread(table(spark, sf_dir, "pages"))
+    return table(spark, sf_dir, "pages")
