@@ -30,16 +30,16 @@ def group_row_number(
 ) -> DataFrame:
     """row_number() per `keys` in `order`. `slice_by` must not decrease along `order`.
 
-    Rows shuffle once, by cell; only one count per cell crosses cells.
+    Rows shuffle once, by cell; only one count per cell crosses cells. Counts are read off the numbered rows, so
+    both sides of the join stand on the same exchange.
     """
-    cells = _cells(df, keys, slice_by)
-    counts = cells.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("_cell").orderBy(*order)
+    cells = _cells(df, keys, slice_by).withColumn("_rn", F.row_number().over(inside))
+    counts = cells.groupBy("_cell").agg(F.max("_rn").alias("_n"))
     before = F.sum("_n").over(_earlier().rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_cell").orderBy(*order)
     return (
-        cells.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, "_cell")
+        cells.join(offsets, "_cell")
         .withColumn(out, (F.col("_rn") + F.col("_before")).cast("bigint"))
         .select(*df.columns, out)
     )
@@ -57,15 +57,14 @@ def group_lag(
     Only the first row of a cell needs its predecessor from outside: the last row of the nearest
     earlier cell that has rows, found among one row per cell.
     """
-    cells = _cells(df, keys, slice_by)
     row = F.struct(*[F.col(c).alias(o) for o, c in values.items()])
     position = F.struct(*[F.col(c) for c in order])
-    lasts = cells.groupBy("_cell").agg(F.max_by(row, position).alias("_last"))
-    carried = lasts.select("_cell", F.lag("_last").over(_earlier()).alias("_carry"))
     inside = Window.partitionBy("_cell").orderBy(*order)
-    looked = cells.withColumn("_prev", F.lag(row).over(inside)).withColumn(
+    looked = _cells(df, keys, slice_by).withColumn("_prev", F.lag(row).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1
     )
+    lasts = looked.groupBy("_cell").agg(F.max_by(row, position).alias("_last"))
+    carried = lasts.select("_cell", F.lag("_last").over(_earlier()).alias("_carry"))
     previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
     return (
         looked.join(carried, "_cell")

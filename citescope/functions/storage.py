@@ -1,28 +1,40 @@
-"""Where intermediate tables go: the shared folder the cluster names, never a worker's own disk."""
+"""Where intermediate tables go: a shared folder, never a worker's own disk.
+
+`spark.checkpoint.dir` names it. Without that setting it is a folder below the warehouse, which all executors of a
+cluster share as well; a local session has its warehouse on the one machine there is.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def named_folder(spark: SparkSession) -> str | None:
-    """`spark.checkpoint.dir` of the session, NULL if the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+def named_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_runs"
 
 
 def run_folder(spark: SparkSession) -> str:
-    """A new folder for one run, below the named one; only tests have none and get their own."""
-    named = named_folder(spark)
-    return f"{named}/run-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="run-")
+    """A new folder for one run."""
+    return f"{named_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system; every other error comes out."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint reliably: a lost executor then costs no recomputation from the start."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named_folder(df.sparkSession) or tempfile.mkdtemp(prefix="run-"))
+        context.setCheckpointDir(named_folder(df.sparkSession))
     return df.checkpoint()

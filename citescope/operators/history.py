@@ -127,14 +127,14 @@ def is_stale(reviewed: Column | str, now: Column, max_days: int = K.STALE_MAX_DA
 def score_vs_citation(scores: DataFrame, panel: DataFrame, site: str = "site") -> DataFrame:
     """Does the score go with exposure? Correlation, rate per band, unmeasurable share.
 
-    `scores`: one row per site with score and band. A site without a measured engine is
-    unmeasurable and leaves the correlation.
+    `scores`: one row per site with score and band. A site without a panel row or without a
+    measured engine is unmeasurable: it counts as a site and leaves the correlation.
     """
     seen = panel.groupBy(site).agg(
         F.bool_or("measured").alias("measured"),
         F.bool_or(F.coalesce(F.when(F.col("measured"), F.col("exposed")), F.lit(False))).alias("exposed"),
     )
-    joined = scores.join(seen, site)
+    joined = scores.join(seen, site, "left").withColumn("measured", F.coalesce("measured", F.lit(False)))
     measured = F.col("measured")
     hit = F.when(measured, F.col("exposed").cast("double"))
     return joined.groupingSets([["band"], []], "band").agg(

@@ -11,7 +11,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions.ordered import group_row_number
-from ..functions.storage import run_folder
 
 
 def daily_counts(events: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -53,24 +52,16 @@ def cap_decisions(
 
 def reuse_decisions(
     requests: DataFrame, key: str = "cache_key", ts: str = "ts", order: str = "request_id",
-    hours: int = K.CACHE_HOURS, fold_limit: int = 1_000_000,
+    hours: int = K.CACHE_HOURS, running: DataFrame | None = None,
 ) -> DataFrame:
     """N4 batch twin: a request reuses the result of the run that is not yet `hours` old.
 
-    Expiry counts from the run itself, so one decision depends on the one before. Keys with up to
-    `fold_limit` requests are folded in order, a stream of sorted rows per task; keys with more are
-    never gathered in one task, see `_reuse_by_slices`.
-    """
-    sizes = requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    busy = sizes.where(F.col("_n") > fold_limit).select(key)
-    if busy.isEmpty():
-        return _reuse_by_fold(requests, key, ts, order, hours)
-    few = _reuse_by_fold(requests.join(busy, key, "left_anti").select(*requests.columns), key, ts, order, hours)
-    many = _reuse_by_slices(requests.join(busy, key, "left_semi").select(*requests.columns), key, ts, order, hours)
-    return few.unionByName(many)
-
+    `running` (key, until timestamp) has results that were running before the first of these requests.
 
-def _reuse_by_fold(requests: DataFrame, key: str, ts: str, order: str, hours: int) -> DataFrame:
+    Expiry counts from the run itself, so one decision depends on the one before: a key is folded in order, as a
+    sorted stream that one task reads with two values in memory. A key's requests stay in one task, whatever their
+    number; the sort spills to disk.
+    """
     width = hours * 3600 * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -78,54 +69,22 @@ def _reuse_by_fold(requests: DataFrame, key: str, ts: str, order: str, hours: in
         current, until = None, None
         for batch in batches:
             decisions = []
-            for name, us in zip(batch[key], batch["_us"]):
+            for name, us, running_until in zip(batch[key], batch["_us"], batch["_until"]):
                 if name != current:
-                    current, until = name, None
+                    current, until = name, None if pd.isna(running_until) else running_until
                 fresh = until is None or us > until
                 if fresh:
                     until = us + width
                 decisions.append("run" if fresh else "reuse")
-            yield batch.drop(columns="_us").assign(decision=decisions)
+            yield batch.drop(columns=["_us", "_until"]).assign(decision=decisions)
 
+    timed = requests.withColumn("_us", micros)
+    if running is None:
+        timed = timed.withColumn("_until", F.lit(None).cast("bigint"))
+    else:
+        untils = running.select(F.col(key).alias("_key"), F.unix_micros("until").alias("_until"))
+        timed = timed.join(untils, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     sorted_rows = (
-        requests.withColumn("_us", micros).repartition(F.col(key)).sortWithinPartitions(key, "_us", order)
+        timed.repartition(F.col(key)).sortWithinPartitions(key, "_us", order)
     )
     return sorted_rows.mapInPandas(fold, StructType([*requests.schema.fields, StructField("decision", StringType())]))
-
-
-def _reuse_by_slices(requests: DataFrame, key: str, ts: str, order: str, hours: int) -> DataFrame:
-    """Keys with very many requests: slice by slice.
-
-    Two runs of a key are more than `hours` apart, hence a slice of `hours` holds at most one run
-    per key: the next run is the minimum of a plain aggregation over the requests after the expiry.
-    The loop is over slices (days), never over rows. Requests are written once, one folder per
-    slice, and each round reads its own folder only; a busy key is split by the join and summed up
-    before it shuffles.
-    """
-    spark = requests.sparkSession
-    folder = run_folder(spark)
-    width = hours * 3600 * 1_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    at = F.struct(micros.alias("us"), F.col(order).alias("id"))
-    timed = requests.select(F.col(key), at.alias("_at"), F.floor(micros / width).cast("bigint").alias("_slice"))
-    timed.write.mode("overwrite").partitionBy("_slice").parquet(f"{folder}/requests")
-    schema = StructType([timed.schema[key], timed.schema["_at"]])
-    stored = spark.read.schema(StructType([*schema.fields, timed.schema["_slice"]])).parquet(f"{folder}/requests")
-
-    def runs_so_far() -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{folder}/runs")
-
-    slices = sorted(row["_slice"] for row in stored.select("_slice").distinct().collect())
-    for step, number in enumerate(slices):
-        rows = stored.where(F.col("_slice") == number)
-        if step:
-            expiry = runs_so_far().groupBy(key).agg((F.max("_at.us") + width).alias("_until"))
-            rows = rows.join(expiry, key, "left").where(F.col("_until").isNull() | (F.col("_at.us") > F.col("_until")))
-        first = rows.groupBy(key).agg(F.min("_at").alias("_at"))
-        first.write.mode("overwrite").parquet(f"{folder}/runs/round={number}")
-    if not slices:
-        return requests.withColumn("decision", F.lit("run"))
-    started = runs_so_far().select(F.col(key).alias("_key"), F.col("_at.us").alias("_us"), F.col("_at.id").alias("_id"))
-    same = (F.col(key) == F.col("_key")) & (micros == F.col("_us")) & (F.col(order) == F.col("_id"))
-    decision = F.when(F.col("_key").isNotNull(), "run").otherwise("reuse")
-    return requests.join(started, same, "left").select(*requests.columns, decision.alias("decision"))

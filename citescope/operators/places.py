@@ -60,67 +60,71 @@ def _digits(phone: Column) -> Column:
     return F.regexp_replace(text_or_empty(phone), r"\D", "")
 
 
-def _substrings(text: Column) -> Column:
-    """Distinct substrings of two characters or more."""
-    size = F.length(text)
-    starts = F.when(size >= 2, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda s: F.transform(
-                    F.sequence(F.lit(2), size - s + 1), lambda n: F.substring(text, s, n)
-                ),
-            )
-        )
+def _substrings(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of the given sizes: at most length x sizes, sizes longer than the text give none."""
+    fitting = F.filter(sizes, lambda n: n <= F.length(text))
+    pieces = F.transform(
+        fitting,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda s: F.substring(text, s, n)),
     )
+    return F.array_distinct(F.flatten(pieces))
 
 
 def match_target(
     places: DataFrame, sites: DataFrame, query: Sequence[str] = ("query",), site: str = "site",
-    place_id: str = "place_id",
+    place_id: str = "place_id", carry: Sequence[str] = (),
 ) -> DataFrame:
     """K4: the listing of each site in its query, by tier: phone, last seven digits, name, name part.
 
     `places`: query, rank, place_id, name, phone. `sites`: query, site, phone, name. Inside a tier
-    the first listing wins. Sites without a match are absent.
+    the first listing wins. Sites without a match are absent. `carry` names further columns of `places` to return.
+
+    Every listing and site is turned into (tier, key) rows once; equal rows meet in one join. "Contains" is equality
+    on substrings, and only of the lengths that the other side's names have in this query.
     """
     query = list(query)
-    listing = F.struct(F.col("rank").alias("rank"), F.col(place_id).alias(place_id), F.col("name").alias("place_name"))
-    rows = places.select(
-        *query, listing.alias("_place"), _digits(F.col("phone")).alias("_phone"), core_name("name").alias("_core")
-    )
-    wanted = sites.select(
-        *query, site, _digits(F.col("phone")).alias("_phone"), core_name("name").alias("_core")
+    listing = F.struct(
+        F.col("rank").alias("rank"), F.col(place_id).alias(place_id), F.col("name").alias("place_name"), *[F.col(c).alias(c) for c in carry]
     )
-    dialled = wanted.where(F.length("_phone") >= 7)
-    named = wanted.where(F.length("_core") >= 2)
-    cores = rows.where(F.length("_core") >= 2)
-
-    def best(df: DataFrame, key: Column) -> DataFrame:
-        keyed = df.select(*query, key.alias("_key"), "_place")
-        return keyed.groupBy(*query, "_key").agg(F.min("_place").alias("_place"))
-
-    def tier(number: int, left: DataFrame, key: Column, right: DataFrame) -> DataFrame:
-        hits = left.select(*query, site, key.alias("_key")).join(right, [*query, "_key"])
-        return hits.groupBy(*query, site).agg(F.min(F.struct(F.lit(number).alias("tier"), "_place")).alias("_hit"))
-
-    last7 = F.substring("_phone", -7, 7)
-    whole = best(cores, F.col("_core"))
-    parts = best(cores.select(*query, F.explode(_substrings(F.col("_core"))).alias("_part"), "_place"), F.col("_part"))
-    site_parts = named.select(*query, site, F.explode(_substrings(F.col("_core"))).alias("_part"))
-    phones = rows.where(F.col("_phone") != "")
-    found = (
-        tier(1, dialled, F.col("_phone"), best(phones, F.col("_phone")))
-        .unionByName(tier(2, dialled, last7, best(phones.where(F.length("_phone") >= 7), last7)))
-        .unionByName(tier(3, named, F.col("_core"), whole))
-        .unionByName(tier(4, named, F.col("_core"), parts))
-        .unionByName(tier(4, site_parts, F.col("_part"), whole))
+
+    def shaped(df: DataFrame, *own: Column | str) -> DataFrame:
+        return df.select(*query, *own, _digits(F.col("phone")).alias("_phone"), core_name("name").alias("_core"))
+
+    rows, wanted = shaped(places, listing.alias("_place")), shaped(sites, site)
+
+    def sizes(df: DataFrame, out: str) -> DataFrame:
+        long = F.when(F.length("_core") >= 2, F.length("_core"))
+        return df.groupBy(*query).agg(F.collect_set(long).alias(out))
+
+    lengths = sizes(rows, "_places").join(sizes(wanted, "_sites"), query)
+    named = F.length("_core") >= 2
+
+    def keys(*tiers: tuple[int, Column, Column]) -> Column:
+        """array<struct<tier, key>>: (tier, condition, array of keys) in turn."""
+        none = F.array().cast("array<struct<tier:int,key:string>>")
+
+        def tagged(number: int, of: Column) -> Column:
+            return F.transform(of, lambda k: F.struct(F.lit(number).alias("tier"), k.alias("key")))
+
+        return F.concat(*[F.when(when, tagged(number, of)).otherwise(none) for number, when, of in tiers])
+
+    phone, last7, core = F.array("_phone"), F.array(F.substring("_phone", -7, 7)), F.array("_core")
+    dialled = F.length("_phone") >= 7
+    # 4: the listing's name holds the site's; 5: the site's name holds the listing's. Both are the same tier.
+    offered = keys(
+        (1, F.col("_phone") != "", phone), (2, dialled, last7), (3, named, core), (4, named, _substrings(F.col("_core"), F.col("_sites"))), (5, named, core)
     )
-    chosen = found.groupBy(*query, site).agg(F.min("_hit").alias("_hit"))
+    asked = keys((1, dialled, phone), (2, dialled, last7), (3, named, core), (4, named, core), (5, named, _substrings(F.col("_core"), F.col("_places"))))
+    left = rows.join(lengths.drop("_places"), query).select(*query, "_place", F.explode(offered).alias("_k"))
+    best = left.groupBy(*query, "_k").agg(F.min("_place").alias("_place"))
+    right = wanted.join(lengths.drop("_sites"), query).select(*query, site, F.explode(asked).alias("_k"))
+    hits = right.join(best, [*query, "_k"])
+    tier = F.least(F.col("_k.tier"), F.lit(4))
+    chosen = hits.groupBy(*query, site).agg(F.min(F.struct(tier.alias("tier"), "_place")).alias("_hit"))
     return chosen.select(
         *query, site, F.col("_hit.tier").alias("tier"), F.col("_hit._place.rank").alias("target_rank"),
         F.col(f"_hit._place.{place_id}").alias(place_id), F.col("_hit._place.place_name").alias("place_name"),
+        *[F.col(f"_hit._place.{c}").alias(c) for c in carry],
     )
 
 
@@ -134,12 +138,34 @@ def place_rank(
     these before sites meet them. Pass `sites` to include unmatched ones.
     """
     query = list(query)
-    head = top_k(places, query, [F.col("rank").asc()], others + 1, "_r").drop("_r")
-    asked = sites.select(*query, site) if sites is not None else matches.select(*query, site)
+    order = [F.col("rank").asc(), F.col(place_id).asc()]
+    head = top_k(places, query, order, others + 1, "_r").drop("_r")
+    asked = sites.select(*query, site) if sites is not None else None
     target = matches.select(*query, site, F.col(place_id).alias("_target"), "target_rank")
-    who = asked.join(target, [*query, site], "left")
+    who = asked.join(target, [*query, site], "left") if sites is not None else target
     rivals = who.join(head, query).where(F.col("_target").isNull() | (F.col(place_id) != F.col("_target")))
-    return top_k(rivals, [*query, site], [F.col("rank").asc()], others, "competitor_no").drop("_target")
+    return top_k(rivals, [*query, site], order, others, "competitor_no").drop("_target")
+
+
+def first_rivals(
+    places: DataFrame, matches: DataFrame, sites: DataFrame, counts: Sequence[str], query: Sequence[str] = ("query",),
+    site: str = "site", place_id: str = "place_id",
+) -> DataFrame:
+    """K7 input: every site with `matched`, its own listing's counts and those of the best-placed other listing as top_*.
+
+    `matches` carries the counts of the own listing. The first two listings per query are enough to leave one out;
+    they are gathered in one row per query, so sites meet one row each.
+    """
+    query = list(query)
+    entry = F.struct(F.col("rank").alias("rank"), F.col(place_id).alias("id"), *[F.col(c).alias(c) for c in counts])
+    head = top_k(places, query, [F.col("rank").asc(), F.col(place_id).asc()], 2, "_r")
+    pair = head.groupBy(*query).agg(F.array_sort(F.collect_list(entry)).alias("_head"))
+    own = matches.select(*query, site, F.col(place_id).alias("_own"), *counts)
+    joined = sites.select(*query, site).join(own, [*query, site], "left").join(pair, query, "left")
+    rival = F.get(F.filter("_head", lambda e: F.col("_own").isNull() | (e["id"] != F.col("_own"))), F.lit(0))
+    return joined.select(
+        *query, site, F.col("_own").isNotNull().alias("matched"), *counts, *[rival[c].alias(f"top_{c}") for c in counts]
+    )
 
 
 def local_rank(items: DataFrame, sites: DataFrame, query: Sequence[str] = ("query",), site: str = "site") -> DataFrame:

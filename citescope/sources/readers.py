@@ -49,10 +49,11 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def read_robots(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """A2: one robots.txt answer per host. Several answers of a host: the one read as 200 wins."""
+    """A2: one robots.txt answer per host. Several answers of a host: one read as 200 wins, then the largest by content."""
     rows = spark.read.schema(ROBOTS_SCHEMA).format(fmt).load(path)
     body = F.struct(*[c for c in rows.columns if c != "host"])
-    one = rows.groupBy("host").agg(F.max_by(body, (F.col("status") == 200).cast("int")).alias("_r"))
+    rank = F.struct((F.col("status") == 200).cast("int"), "body", "content_type", "status")
+    one = rows.groupBy("host").agg(F.max_by(body, rank).alias("_r"))
     return one.select("host", "_r.*")
 
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import constants as K
-from ..functions.storage import cut_lineage
+from ..functions.ordered import group_row_number
+from ..functions.storage import cut_lineage, path_exists
 from ..functions.text import strip, text_or_empty
 from ..operators.history import latest_monthly
 
@@ -30,26 +30,27 @@ def read_history(spark: SparkSession, path: str, kind: str, since: Column | None
 
 
 def upsert_monthly(rows: DataFrame, path: str, keys: Sequence[str] = ("domain", "period"), saved: str = "saved_at") -> None:
-    """A10: last write wins per (domain, period).
+    """A10: last write wins per (domain, period). A column whose type differs from the stored one raises before anything is written.
 
     Only months present in `rows` are read back and rewritten (dynamic partition overwrite). The
     merged rows are checkpointed before the write because they read the folders they replace.
     """
     spark = rows.sparkSession
-    try:
+    merged = rows
+    if path_exists(spark, path):
         stored = spark.read.parquet(path)
+        kinds = dict(stored.dtypes)
+        other = [f"{c}: {kinds[c]} stored, {t} given" for c, t in rows.dtypes if c in kinds and c != "period" and kinds[c] != t]
+        if other:
+            raise ValueError("column types differ: " + "; ".join(other))
+        # Partition folders read back as the type they look like; the month is a string here.
+        stored = stored.withColumn("period", F.col("period").cast("string"))
         touched = rows.select("period").distinct()
         merged = stored.join(touched, "period", "left_semi").unionByName(rows, allowMissingColumns=True)
-    except AnalysisException:
-        merged = rows
     final = cut_lineage(latest_monthly(merged, keys, saved))
     final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
 
 
-def valid_period(period: Column | str) -> Column:
-    return (F.col(period) if isinstance(period, str) else period).rlike(r"^\d{4}-\d{2}$")
-
-
 def lead_problem(is_public: Column) -> Column:
     """Why a lead is rejected, NULL if it is fine."""
     def blank(name: str) -> Column:
@@ -65,11 +66,25 @@ def lead_problem(is_public: Column) -> Column:
     )
 
 
+def limit_leads(leads: DataFrame, ip: str = "ip_hash", ts: str = "ts", order: str = "request_id", per_hour: int = K.LEADS_PER_HOUR) -> DataFrame:
+    """A11, hourly limit: public leads beyond the first `per_hour` of an address and clock hour get `rate_limited`.
+
+    Numbers come from slices of a minute, so no address or hour is sorted in one task.
+    """
+    public = text_or_empty("source") == K.PUBLIC_LEAD["source"] if "source" in leads.columns else F.lit(True)
+    hour = leads.withColumn("_hour", F.date_trunc("hour", F.col(ts))).withColumn("_public", public)
+    numbered = group_row_number(hour, ["_public", "_hour", ip], [ts, order], F.date_trunc("minute", F.col(ts)), "_no")
+    return numbered.withColumn("rate_limited", F.col("_no") > per_hour).drop("_public", "_hour", "_no")
+
+
 def prepare_leads(leads: DataFrame, now: Column, public: dict[str, str] = K.PUBLIC_LEAD) -> DataFrame:
     """Leads (source, domain, clinic_name, contact_name, phone, email, selected_products,
     notes, geo_score, ai_cited) with `reject_reason`, clamped fields, time, id and status."""
     is_public = text_or_empty("source") == public["source"]
     judged = leads.withColumn("reject_reason", lead_problem(is_public))
+    if "rate_limited" in leads.columns:
+        limited = is_public & F.coalesce("rate_limited", F.lit(False))
+        judged = judged.withColumn("reject_reason", F.when(limited, "rate-limited").otherwise(F.col("reject_reason"))).drop("rate_limited")
     unified = judged.select(
         *[F.when(is_public, shaped_value(c, public)).otherwise(F.col(c)).alias(c) for c in judged.columns if c != "source"]
     )

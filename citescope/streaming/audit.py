@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
+from ..functions.ordered import group_lag
+from ..functions.storage import path_exists
 from ..functions.urls import registrable_domain
 from ..operators.scoring import page_scores
 from ..operators.signals import page_signals
-from ..sources.sinks import append_history, read_history
 
 
 def score_batch(pages: DataFrame) -> DataFrame:
@@ -21,34 +21,43 @@ def score_batch(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_previous(records: DataFrame, history: DataFrame | None) -> DataFrame:
-    """Newest earlier record per domain beside each new one. One max_by per domain, no window."""
-    if history is None:
-        return records.withColumns({"prev_score": F.lit(None).cast("int"), "delta": F.lit(None).cast("int")})
-    last = history.groupBy("domain").agg(F.max_by("score", F.struct("ts", "page_id")).alias("prev_score"))
-    return records.join(last, "domain", "left").withColumn("delta", F.col("score") - F.col("prev_score"))
+def with_previous(records: DataFrame, last: DataFrame | None) -> DataFrame:
+    """The record before each new one beside it: of the same batch, else the newest of the batches before (`last`)."""
+    looked = group_lag(records, ["domain"], ["ts", "page_id"], F.date_trunc("hour", F.col("ts")), {"prev_score": "score"})
+    if last is not None:
+        stored = last.select(F.col("domain").alias("_domain"), F.col("score").alias("_score"))
+        looked = looked.join(stored, looked["domain"].eqNullSafe(F.col("_domain")), "left").withColumn(
+            "prev_score", F.coalesce("prev_score", "_score")
+        ).drop("_domain", "_score")
+    return looked.withColumn("delta", F.col("score") - F.col("prev_score"))
+
+
+def newest(records: DataFrame, last: DataFrame | None) -> DataFrame:
+    """One row per domain: the newest record, of this batch or before it."""
+    columns = ["domain", "ts", "page_id", "score"]
+    rows = records.select(columns) if last is None else records.select(columns).unionByName(last.select(columns))
+    found = rows.groupBy("domain").agg(F.max(F.struct("ts", "page_id", "score")).alias("_r"))
+    return found.select("domain", "_r.*")
 
 
 def stream_audit(pages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Writer for a stream of pages (page_id, url, ts, html).
 
-    A batch is first written under `scored/batch=<id>` (overwritten on a retry) and read back, so a
-    page is shredded once, and history never gets a batch twice.
+    A batch writes its own folders only, overwritten on a retry: `score/batch=<id>` (the history, one folder per day),
+    `delta/batch=<id>` and `last/batch=<id>`, the newest record of every domain. The next batch reads that last table and
+    nothing else of the history. Records are expected about in time order: one that is older than a domain's newest
+    record is compared with that record.
     """
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        folder = f"{path}/scored/batch={number}"
-        score_batch(batch).write.mode("overwrite").parquet(folder)
-        records = spark.read.parquet(folder)
-        try:
-            earlier = read_history(spark, path, "score").where(F.col("batch_no") < number)
-        except AnalysisException:
-            earlier = None
-        with_previous(records, earlier).write.mode("overwrite").parquet(f"{path}/delta/batch={number}")
-        done = earlier is not None and not read_history(spark, path, "score").where(
-            F.col("batch_no") == number
-        ).isEmpty()
-        if not done:
-            append_history(records.withColumn("batch_no", F.lit(number)), path, "score")
+        folder = f"{path}/score/batch={number}"
+        score_batch(batch).withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(folder)
+        if not path_exists(spark, f"{folder}/_SUCCESS") or batch.isEmpty():
+            return
+        records = spark.read.parquet(folder).drop("day")
+        before = f"{path}/last/batch={number - 1}"
+        last = spark.read.parquet(before) if path_exists(spark, before) else None
+        with_previous(records, last).write.mode("overwrite").parquet(f"{path}/delta/batch={number}")
+        newest(records, last).write.mode("overwrite").parquet(f"{path}/last/batch={number}")
 
     return pages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

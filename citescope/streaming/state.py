@@ -1,9 +1,8 @@
-"""Custom state. Every processor keeps a small, expiring state per key."""
+"""N4 (built-in form), N7: state per key that expires with event time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,113 +18,9 @@ def _ms(stamp) -> int:
     return int(pd.Timestamp(stamp).timestamp() * 1000)
 
 
-class DayCount(StatefulProcessor):
-    """Running number `n` of the requests of one (day, key); forgotten when the watermark leaves the day."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._count = handle.getValueState("count", "n bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self._count.exists()
-        seen = self._count.get()[0] if known else 0
-        for chunk in rows:  # one Arrow chunk at a time: a busy key never fills the memory
-            batch = chunk.sort_values(["ts", "request_id"])
-            if not known:
-                day = pd.Timestamp(batch["ts"].iloc[0]).normalize()
-                self._handle.registerTimer(_ms(day) + _DAY_MS)
-                known = True
-            batch["n"] = range(seen + 1, seen + 1 + len(batch))
-            seen += len(batch)
-            yield batch
-        self._count.update((seen,))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._count.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def numbered_by_day(requests: DataFrame, keys: list[str], out: str, late: str = "2 days") -> DataFrame:
-    """N3 building block: running number per (day, keys) over a stream with request_id and ts.
-
-    Input columns: request_id bigint, ts timestamp, ip_hash string. For the address cap the key is
-    (day, ip_hash); the global cap sees the few requests the first cap let pass.
-    """
-    day = requests.withWatermark("ts", late).withColumn("day", F.to_date("ts"))
-    schema = "request_id bigint, ts timestamp, ip_hash string, day date, n bigint"
-    return (
-        day.select("request_id", "ts", "ip_hash", "day")
-        .groupBy("day", *keys)
-        .transformWithStateInPandas(DayCount(), schema, "Update", "EventTime")
-        .withColumnRenamed("n", out)
-    )
-
-
-def ip_cap_stream(requests: DataFrame, per_ip: int) -> DataFrame:
-    """N3, address cap: allowed or ip-blocked per request. Chain a second query for the global cap."""
-    numbered = numbered_by_day(requests, ["ip_hash"], "ip_no")
-    return numbered.withColumn(
-        "decision", F.when((F.col("ip_no") > per_ip) if per_ip > 0 else F.lit(False), "ip-blocked").otherwise("allowed")
-    )
-
-
-def global_cap_stream(allowed: DataFrame, cap: int) -> DataFrame:
-    """N3, global cap over the requests the address cap allowed.
-
-    One counter per day is the feature itself; its input is bounded by the first cap, and Spark
-    keeps only a number as state.
-    """
-    numbered = numbered_by_day(allowed, [], "global_no")
-    return numbered.withColumn(
-        "decision", F.when((F.col("global_no") > cap) if cap > 0 else F.lit(False), "global-blocked").otherwise("allowed")
-    )
-
-
-class ReuseUntil(StatefulProcessor):
-    """The expiry of the running result of one cache key."""
-
-    def __init__(self, hours: int) -> None:
-        self._ttl = timedelta(hours=hours)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._until = handle.getValueState("until", "until timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until = pd.Timestamp(self._until.get()[0]) if self._until.exists() else None
-        for chunk in rows:
-            batch = chunk.sort_values(["ts", "request_id"])
-            decisions = []
-            for stamp in batch["ts"]:
-                fresh = until is None or stamp > until
-                if fresh:
-                    until = stamp + self._ttl
-                decisions.append("run" if fresh else "reuse")
-            batch["decision"] = decisions
-            yield batch[["cache_key", "request_id", "ts", "decision"]]
-        if until is not None:
-            self._until.update((until.to_pydatetime(),))
-
-    def close(self) -> None:
-        pass
-
-
-def reuse_stream(requests: DataFrame, hours: int = K.CACHE_HOURS) -> DataFrame:
-    """N4 exact: run or reuse per request (cache_key, request_id, ts), expiry from the run."""
-    return (
-        requests.select("cache_key", "request_id", "ts")
-        .groupBy("cache_key")
-        .transformWithStateInPandas(
-            ReuseUntil(hours), "cache_key string, request_id bigint, ts timestamp, decision string", "Update", "none"
-        )
-    )
-
-
 def dedupe_within_24h(requests: DataFrame, ts: str = "ts", hours: int = K.CACHE_HOURS) -> DataFrame:
     """N4 built-in form: one request per key until the watermark passes it. Expiry is event-time based,
-    so it may keep a key longer than `reuse_stream`, never shorter."""
+    so it may keep a key longer than `decisions.stream_reuse`, never shorter."""
     return requests.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(["cache_key"])
 
 
@@ -154,7 +49,7 @@ class Latest(StatefulProcessor):
         yield out
 
     def _merge(self, known: list, batch: pd.DataFrame) -> list:
-        fresh = zip(batch["ts"].dt.to_pydatetime(), batch["record_id"], batch["score"])
+        fresh = zip([t.to_pydatetime() for t in batch["ts"]], batch["record_id"], batch["score"])
         rows = [tuple(r) for r in known] + [(t, int(i), int(s)) for t, i, s in fresh]
         return sorted(rows, key=lambda r: (_ms(r[0]), r[1]), reverse=True)[: self._keep]
 

@@ -1,12 +1,13 @@
 """Streams give what their batch twins give on the same rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from citescope.operators import history, limits
-from citescope.streaming import audit, counters, state
+from citescope.streaming import audit, counters, decisions, state
 
 START = datetime(2024, 1, 1)
 REQUEST = "request_id bigint, ts timestamp, ip_hash string, cache_key string, site string, record_id bigint, score bigint"
@@ -32,20 +33,34 @@ def drain(stream, folder, name, mode="update"):
     return stream.sparkSession.read.parquet(f"{folder}/{name}").drop("b")
 
 
+def shuffled(spark, df, folder, files=4):
+    """The rows in no order, in several files, each a micro-batch; a day's rows are spread over two files at most."""
+    width = df.count() // files
+    for k, part in enumerate([df.orderBy("ts").collect()[a : a + width] for a in range(0, df.count(), width)]):
+        random.Random(k).shuffle(part)
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(f"{folder}/in/{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+
+
+def decided(spark, stream, folder, decide):
+    assert decisions.stream(stream, folder, f"{folder}/cp", decide).trigger(availableNow=True).start().awaitTermination(120)
+    early = spark.read.parquet(f"{folder}/decided").select("day").distinct().count()
+    decisions.close(spark, folder, decide)
+    return early, spark.read.parquet(f"{folder}/decided")
+
+
 def test_reuse_stream(spark, rows, folder):
-    got = drain(state.reuse_stream(stream_of(spark, rows, folder)), folder, "out")
+    early, got = decided(spark, shuffled(spark, rows, folder), folder, decisions.reuse(folder))
     twin = limits.reuse_decisions(rows).select("request_id", "decision")
-    assert sorted(map(tuple, got.select("request_id", "decision").collect())) == sorted(map(tuple, twin.collect()))
+    assert early >= 3 and sorted(map(tuple, got.select("request_id", "decision").collect())) == sorted(map(tuple, twin.collect()))
 
 
-def test_ip_cap_stream(spark, rows, folder):
-    got = drain(state.ip_cap_stream(stream_of(spark, rows, folder), 4), folder, "out")
-    twin = limits.cap_decisions(rows, 4, 0)
-    assert sorted(map(tuple, got.select("request_id", "ip_no", "decision").collect())) == sorted(map(tuple, twin.select("request_id", "ip_no", "decision").collect()))
-    passed = got.where("decision = 'allowed'").select("request_id", "ts", "ip_hash")
-    total = drain(state.global_cap_stream(stream_of(spark, passed, folder + "/g"), 5), folder, "all")
-    both = limits.cap_decisions(rows, 4, 5).where("global_no is not null").select("request_id", "global_no", "decision")
-    assert sorted(map(tuple, total.select("request_id", "global_no", "decision").collect())) == sorted(map(tuple, both.collect()))
+def test_cap_stream(spark, rows, folder):
+    early, got = decided(spark, shuffled(spark, rows, folder), folder, decisions.caps(folder, 4, 11))
+    columns = ["request_id", "ip_no", "global_no", "decision"]
+    twin = limits.cap_decisions(rows, 4, 11).select(columns)
+    assert early >= 3 and sorted(map(str, got.select(columns).collect())) == sorted(map(str, twin.collect()))
+    assert got.select("decision").distinct().count() == 3
 
 
 def test_latest_state(spark, rows, folder):
@@ -78,11 +93,14 @@ def test_stream_audit(spark, folder):
     page = "<html><head><title>t</title></head><body><h1>x</h1><p>" + "본문 " * 400 + "</p></body></html>"
     better = page.replace("</p>", " 전문의</p><time datetime='2026-01-01'>d</time>")
     schema = "page_id bigint, url string, ts timestamp, html string"
-    for i, html in enumerate((page, better)):
-        row = spark.createDataFrame([(i, "https://www.a.co.kr/", START + timedelta(days=i), html)], schema)
-        row.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        source = spark.readStream.schema(row.schema).parquet(f"{folder}/in")
+    # Two records of a domain in the first batch, one in the second.
+    batches = [[(1, 1, better), (0, 0, page)], [(2, 2, page)]]
+    for rows in batches:
+        data = [(i, "https://www.a.co.kr/", START + timedelta(days=d), html) for i, d, html in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
         audit.stream_audit(source, f"{folder}/h", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     scores = [r["score"] for r in spark.read.parquet(f"{folder}/h/score").orderBy("ts").collect()]
     deltas = {r["page_id"]: r["delta"] for r in spark.read.parquet(f"{folder}/h/delta").collect()}
-    assert len(scores) == 2 and scores[1] > scores[0] and deltas == {0: None, 1: scores[1] - scores[0]}
+    assert len(scores) == 3 and scores[1] > scores[0] == scores[2]
+    assert deltas == {0: None, 1: scores[1] - scores[0], 2: scores[2] - scores[1]}

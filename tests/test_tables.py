@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from citescope.functions import ordered
@@ -142,6 +143,10 @@ def test_sinks(spark, folder):
     rows = {r["period"]: r["n"] for r in spark.read.parquet(f"{folder}/m").collect()}
     assert rows == {"2026-01": 1, "2026-02": 9}
 
+    with pytest.raises(ValueError, match="n: int stored"):
+        sinks.upsert_monthly(spark.sql("select 'a' domain, '2026-02' period, 'x' n, timestamp'2026-02-09' saved_at"), f"{folder}/m")
+    assert {r["period"]: r["n"] for r in spark.read.parquet(f"{folder}/m").collect()} == rows
+
     record = spark.sql("select 'a' domain, 50 score, timestamp'2026-01-05' ts")
     sinks.append_history(record, folder, "score")
     sinks.append_history(record.withColumn("ts", F.lit("2026-03-05").cast("timestamp")), folder, "score")
@@ -157,7 +162,7 @@ def test_sinks(spark, folder):
     assert sorted(r["reject_reason"] for r in spark.read.parquet(f"{folder}/leads/rejected").collect()) == ["invalid-email", "missing-clinicName", "missing-contactName"]
 
 
-def test_reuse_paths_agree(spark):
+def test_reuse_matches_a_plain_fold(spark):
     rng = random.Random(11)
     rows = [(f"k{0 if rng.random() < 0.4 else rng.randrange(6)}", datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(86400 * 6)), i) for i in range(800)]
     df = spark.createDataFrame(rows, "cache_key string, ts timestamp, request_id bigint")
@@ -167,9 +172,41 @@ def test_reuse_paths_agree(spark):
         if fresh:
             until[key] = ts + timedelta(hours=24)
         expected[i] = "run" if fresh else "reuse"
-    for limit in (10**6, 100, 0):
-        got = {r["request_id"]: r["decision"] for r in limits.reuse_decisions(df, fold_limit=limit).collect()}
-        assert got == expected, limit
+    assert {r["request_id"]: r["decision"] for r in limits.reuse_decisions(df).collect()} == expected
+
+
+def test_numbers_share_their_input(spark, folder):
+    spark.sql("select id request_id, 'a' ip_hash, timestamp'2024-01-01' + make_interval(0,0,0,0,0,int(id),0) ts from range(5)").write.parquet(f"{folder}/r")
+    decided = limits.cap_decisions(spark.read.parquet(f"{folder}/r"), 2, 2)
+    decided.collect()
+    text = decided._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("FileScan") <= 3 and "ReusedExchange" in final
+
+
+def test_caps_with_one_key_holding_most_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(86400 * 2)), "hot" if rng.random() < 0.9 else f"a{rng.randrange(5)}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "request_id bigint, ts timestamp, ip_hash string")
+    expected, seen, passed = {}, {}, {}
+    for i, ts, ip in sorted(rows, key=lambda r: (r[1], r[0])):
+        n = seen[ts.date(), ip] = seen.get((ts.date(), ip), 0) + 1
+        if n > 400:
+            expected[i] = "ip-blocked"
+            continue
+        m = passed[ts.date()] = passed.get(ts.date(), 0) + 1
+        expected[i] = "global-blocked" if m > 450 else "allowed"
+    assert {r["request_id"]: r["decision"] for r in limits.cap_decisions(df, 400, 450).collect()} == expected
+
+
+def test_lead_limit(spark):
+    rows = [(i, datetime(2024, 1, 1, 9) + timedelta(minutes=i), "a" if i % 4 else None) for i in range(90)]
+    got = sinks.limit_leads(spark.createDataFrame(rows, "request_id bigint, ts timestamp, ip_hash string")).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r["ts"]):
+        key = (r["ts"].hour, r["ip_hash"])
+        seen[key] = seen.get(key, 0) + 1
+        assert r["rate_limited"] == (seen[key] > 5)
 
 
 def test_caps_off(spark):
