@@ -216,7 +216,5 @@ def diagnose_by_region(
 
     `regions` lists the requested panels (keys) and an `error` column, NULL where measured.
     """
-    measured = diagnose(
-        site_state(structure, panel, keys, prompts, site)
-    ).where(F.col("engines").isNotNull())
+    measured = diagnose(site_state(structure, panel, keys, prompts, site))
     return regions.join(measured, list(keys), "left")

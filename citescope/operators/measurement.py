@@ -220,11 +220,6 @@ def call_budget(manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def planned_calls(regions: Column, engines: int, prompts: Column, repeats: Column) -> Column:
-    """The same number before the manifest exists: plain arithmetic on array sizes."""
-    return (F.size(regions) * engines * F.size(prompts) * clamp_repeats(repeats)).cast("bigint")
-
-
 def cache_key(domain: Column, regions: Column, procedure: Column, query_fp: Column) -> Column:
     """Equal for equal measurements; the order of regions does not matter."""
     what = F.lower(strip(text_or_empty(procedure)))

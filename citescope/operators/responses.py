@@ -49,10 +49,21 @@ def _each(array: Column, f) -> Column:
     )
 
 
-def cited_urls(engine: Column | str, response: Column | str) -> Column:
-    """G1: cited URLs in first-seen order; a malformed response has none."""
+def _by_engine(engine: Column | str, response: Column | str, read) -> Column:
+    """`read(engine name, parsed response)` for the row's engine: one parse per engine in the plan."""
     name, text = col(engine), col(response)
+    chain = None
+    for known in SCHEMAS:
+        found = _bound(known, text, read)
+        chain = F.when(name == known, found) if chain is None else chain.when(name == known, found)
+    return chain
+
 
+def _bound(known: str, text: Column, read) -> Column:
+    return let(_parsed(known, text), lambda r: read(known, r))
+
+
+def _urls(known: str, parsed: Column) -> Column:
     def chatgpt(r: Column) -> Column:
         messages = F.filter(r["output"], lambda o: o["type"] == "message")
         return _each(
@@ -87,17 +98,15 @@ def cited_urls(engine: Column | str, response: Column | str) -> Column:
         )
 
     shapes = {"chatgpt": chatgpt, "claude": claude, "perplexity": perplexity, "gemini": gemini}
-    chain = None
-    for engine_name, shape in shapes.items():
-        found = _texts(shape(_parsed(engine_name, text)))
-        chain = F.when(name == engine_name, found) if chain is None else chain.when(name == engine_name, found)
-    return F.array_distinct(chain.otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(_texts(shapes[known](parsed)))
 
 
-def answer_text(engine: Column | str, response: Column | str) -> Column:
-    """What the engine answered, '' if nothing."""
-    name, text = col(engine), col(response)
+def cited_urls(engine: Column | str, response: Column | str) -> Column:
+    """G1: cited URLs in first-seen order; a malformed response has none."""
+    return F.coalesce(_by_engine(engine, response, _urls), F.array().cast("array<string>"))
 
+
+def _answer(known: str, parsed: Column) -> Column:
     def joined(array: Column) -> Column:
         return strip(F.array_join(_texts(array), "\n"))
 
@@ -123,35 +132,46 @@ def answer_text(engine: Column | str, response: Column | str) -> Column:
         )
 
     shapes = {"chatgpt": chatgpt, "claude": claude, "perplexity": perplexity, "gemini": gemini}
-    chain = None
-    for engine_name, shape in shapes.items():
-        found = shape(_parsed(engine_name, text))
-        chain = F.when(name == engine_name, found) if chain is None else chain.when(name == engine_name, found)
-    return text_or_empty(chain.otherwise(""))
+    return text_or_empty(shapes[known](parsed))
 
 
-def tool_error(engine: Column | str, response: Column | str) -> Column:
-    """The search tool failed although the call itself succeeded."""
+def answer_text(engine: Column | str, response: Column | str) -> Column:
+    """What the engine answered, '' if nothing."""
+    return text_or_empty(_by_engine(engine, response, _answer))
+
+
+def _tool_error(known: str, parsed: Column) -> Column:
+    if known != "claude":
+        return F.lit(None).cast("string")
     blocks = F.filter(
-        _parsed("claude", col(response))["content"],
-        lambda b: (b["type"] == "tool_result") & F.coalesce(b["is_error"], F.lit(False)),
-    )
-    first = F.get(blocks, F.lit(0))
-    code = strip(F.array_join(F.transform(first["content"], lambda c: text_or_empty(c["text"])), " "))
-    detail = F.when(text_or_empty(code) != "", code).otherwise("web_search_error")
-    return F.when(
-        (col(engine) == "claude") & (F.size(blocks) > 0),
-        F.concat(F.lit("claude: web_search_tool_result error — "), detail),
+        parsed["content"], lambda b: (b["type"] == "tool_result") & F.coalesce(b["is_error"], F.lit(False))
     )
 
+    def text(first: Column) -> Column:
+        code = strip(F.array_join(F.transform(first["content"], lambda c: text_or_empty(c["text"])), " "))
+        detail = F.when(text_or_empty(code) != "", code).otherwise("web_search_error")
+        return F.when(first.isNotNull(), F.concat(F.lit("claude: web_search_tool_result error — "), detail))
+
+    return let(F.get(blocks, F.lit(0)), text)
+
+
+def tool_error(engine: Column | str, response: Column | str) -> Column:
+    """The search tool failed although the call itself succeeded."""
+    return _by_engine(engine, response, _tool_error)
+
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """G1 to G3 on a response log: adds urls and answer, fills error, drops the raw JSON."""
-    failed = F.coalesce(F.col("error"), tool_error("engine", "response"))
+    """G1 to G3 on a response log: adds urls and answer, fills error, drops the raw JSON. Every response is parsed once."""
+    def everything(known: str, parsed: Column) -> Column:
+        return F.struct(
+            _urls(known, parsed).alias("urls"), _answer(known, parsed).alias("answer"), _tool_error(known, parsed).alias("error")
+        )
+
     keep = [c for c in responses.columns if c not in ("response", "error")]
-    return responses.select(
-        *keep, failed.alias("error"),
-        cited_urls("engine", "response").alias("urls"), answer_text("engine", "response").alias("answer"),
+    read = responses.select(*keep, "error", _by_engine("engine", "response", everything).alias("_read"))
+    return read.select(
+        *keep, F.coalesce(F.col("error"), F.col("_read.error")).alias("error"),
+        F.coalesce("_read.urls", F.array().cast("array<string>")).alias("urls"), text_or_empty("_read.answer").alias("answer"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.storage import run_folder
 from ..operators import diagnosis, panel, views
 from ..operators.responses import parse_responses, run_outcomes
 
@@ -17,7 +18,7 @@ PANEL_KEYS = ("site", "region", "procedure")
 
 @dataclass(frozen=True)
 class CitationReport:
-    """Lazy tables of one report; nothing runs until one of them is written or read."""
+    """Tables of one report. `outcomes` is written when the report is made; the others read it and stay lazy."""
 
     outcomes: DataFrame
     panel: DataFrame
@@ -37,10 +38,13 @@ def outcomes_of(responses: DataFrame) -> DataFrame:
 
 def citation_report(
     responses: DataFrame, structure: DataFrame | None = None, keys: Sequence[str] = PANEL_KEYS,
-    repeats: int = K.MAX_REPEATS,
+    repeats: int = K.MAX_REPEATS, path: str | None = None,
 ) -> CitationReport:
-    """Everything a panel produces, from raw responses and (optionally) one structure row per site."""
-    outcomes = outcomes_of(responses)
+    """Everything a panel produces, from raw responses and (optionally) one structure row per site.
+
+    Responses are parsed once: outcomes are written to `path` (by default a folder of this run) and read back.
+    """
+    outcomes = reuse_outcomes(outcomes_of(responses), path or f"{run_folder(responses.sparkSession)}/outcomes")
     by_engine = panel.citation_panel(outcomes, keys, repeats)
     by_prompt = panel.panel_by_prompt(outcomes, keys)
     if structure is None:
@@ -68,10 +72,3 @@ def reuse_outcomes(outcomes: DataFrame, path: str) -> DataFrame:
     """
     outcomes.write.mode("overwrite").parquet(path)
     return outcomes.sparkSession.read.parquet(path)
-
-
-def flag_exposed(by_engine: DataFrame, keys: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    """One row per panel: measured, exposed."""
-    return by_engine.groupBy(*keys).agg(
-        F.bool_or("measured").alias("measured"), F.bool_or(F.col("measured") & F.col("exposed")).alias("exposed")
-    )

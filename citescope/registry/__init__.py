@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["flagship", "panel", "urls", "pages", "scores", "market", "timeline"]
+_MODULES = ["flagship", "panel", "urls", "pages", "scores", "market", "timeline", "files"]
 
 
 def load():

@@ -95,16 +95,9 @@ SELECT query, site, matched AND b > 0 AS booking_ok, matched AND tv IS NOT NULL
 FROM j""")
 def place_gaps(spark, sf):
     listings, wanted = beds.places(spark, sf), beds.sites(spark, sf)
-    matches = places.match_target(listings, wanted)
-    first = places.place_rank(listings, matches, others=1, sites=wanted).select(
-        "query", "site", F.col("visitor_reviews").alias("top_visitor_reviews"), F.col("blog_reviews").alias("top_blog_reviews")
-    )
-    own = listings.select("query", "place_id", "booking_reviews", "visitor_reviews", "blog_reviews")
-    rows = (
-        wanted.select("query", "site").join(matches.select("query", "site", "place_id"), ["query", "site"], "left")
-        .join(own, ["query", "place_id"], "left").join(first, ["query", "site"], "left")
-        .withColumn("matched", F.col("place_id").isNotNull())
-    )
+    counts = ["booking_reviews", "visitor_reviews", "blog_reviews"]
+    matches = places.match_target(listings, wanted, carry=counts)
+    rows = places.first_rivals(listings, matches, wanted, counts)
     return places.place_gaps(rows, ["query", "site"]).select(
         "query", "site", "booking_ok", "review_gap_big", "visitor_gap", F.size("gaps").alias("gaps")
     )

@@ -59,10 +59,13 @@ def wilson_interval(spark, sf):
     return p.select("*", ci["low"].alias("low"), ci["high"].alias("high"))
 
 
-@query("unmeasurable_reason", f"""WITH {beds.ENGINE}
-SELECT unmeasurable, count(*) AS engines FROM engine_panel GROUP BY ALL""")
+@query("unmeasurable_reason", f"""WITH {beds.RUNS}, k AS (
+  SELECT site, prompt, engine, count(*) FILTER (status = 'valid') AS v, count(*) FILTER (status = 'error') AS e, count(*) FILTER (status = 'inconclusive') AS i
+  FROM runs GROUP BY ALL)
+SELECT CASE WHEN v > 0 THEN NULL WHEN e > 0 THEN 'engine-error' WHEN i > 0 THEN 'no-search' ELSE 'no-key' END AS unmeasurable, count(*) AS engines FROM k GROUP BY ALL""")
 def unmeasurable_reason(spark, sf):
-    rows = panel.panel_by_engine(beds.runs(spark, sf), KEYS)
+    """Panels per site and prompt: small ones, so that every reason occurs."""
+    rows = panel.panel_by_engine(beds.runs(spark, sf), ["site", "prompt"])
     return rows.groupBy("unmeasurable").agg(F.count(F.lit(1)).alias("engines"))
 
 
@@ -113,11 +116,11 @@ def public_leak_scan(spark, sf):
 
 @query("leak_scan_pages", r"""
 SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, 'https?://[^"\s\\<]+'), lambda u: NOT contains(u, host))) AS BIGINT) AS leaks
-FROM (SELECT page_id, url || ' ' AS html, CASE WHEN page_id % 2 = 0 THEN 'example.com' ELSE 'example.net' END AS host FROM pages)
+FROM (SELECT page_id, url || ' ' || html AS html, CASE WHEN page_id % 2 = 0 THEN 'example.com' ELSE 'example.net' END AS host FROM pages)
 WHERE len(list_filter(regexp_extract_all(html, 'https?://[^"\s\\<]+'), lambda u: NOT contains(u, host))) > 0""")
 def leak_scan_pages(spark, sf):
     p = table(spark, sf, "pages").select(
-        "page_id", "url", F.when(F.col("page_id") % 2 == 0, "example.com").otherwise("example.net").alias("own")
+        "page_id", "url", "html", F.when(F.col("page_id") % 2 == 0, "example.com").otherwise("example.net").alias("own")
     )
     return views.leak_scan(p, "own").select("page_id", F.size("leaked_urls").cast("bigint").alias("leaks"))
 
@@ -333,11 +336,13 @@ summary AS (
   FROM engine_panel GROUP BY ALL),
 scored AS (
   SELECT 'site' || p_partkey || '.example.com' AS site, (p_partkey * 7) % 101 AS score, p_partkey % 10 = 3 AS render,
-         p_partkey % 8 = 1 AS crawl_fail FROM part),
+         p_partkey % 8 = 1 AS crawl_fail, p_partkey % 6 = 0 AS bare, p_partkey % 7 = 0 AS unpriced, p_partkey % 9 = 0 AS undated FROM part),
 state AS (
-  SELECT m.*, coalesce(s.score, 0) AS score, coalesce(s.render OR s.crawl_fail, FALSE) AS blocked,
-         coalesce(s.crawl_fail, FALSE) AS crawl_fail, coalesce(s.render, FALSE) AS render
-  FROM summary m LEFT JOIN scored s USING (site))
+  SELECT * EXCLUDE (site, region, procedure, score, blocked, crawl_fail, render, bare, unpriced, undated), site, region, procedure,
+         coalesce(score, 0) AS score, coalesce(render OR crawl_fail, FALSE) AS blocked, coalesce(crawl_fail, FALSE) AS crawl_fail,
+         coalesce(render, FALSE) AS render, coalesce(bare, FALSE) AS bare, coalesce(unpriced, FALSE) AS unpriced,
+         coalesce(undated, FALSE) AS undated, measured_engines IS NULL OR measured_engines > 0 AS judged
+  FROM (SELECT *, NULL AS blocked FROM summary FULL JOIN scored USING (site)))
 """
 _GAPS = """,
 pr AS (
@@ -354,15 +359,16 @@ def _structure(spark, sf):
     """Structure rows from part: score, render flag, a crawl item; the other items are fine."""
     p = table(spark, sf, "part")
     k = F.col("p_partkey")
-    entry = lambda key, status, points: F.struct(
-        F.lit(key).alias("key"), status.alias("status"), F.lit(points).alias("points"), F.lit(f"{key} note").alias("note")
+    entry = lambda key, status, value: F.struct(
+        F.lit(key).alias("key"), status.alias("status"), value.alias("points"), F.lit(f"{key} note").alias("note")
     )
+    points = lambda m: F.when(k % m == 0, 0).otherwise(5)
     return p.select(
         F.concat(F.lit("site"), k.cast("string"), F.lit(".example.com")).alias("site"), (k * 7 % 101).alias("score"),
         F.lit("b").alias("band"), (k % 10 == 3).alias("needs_render"),
         F.array(
-            entry("crawl", F.when(k % 8 == 1, "fail").otherwise("ok"), 5), entry("extract", F.lit("ok"), 5),
-            entry("citable", F.lit("ok"), 5), entry("price", F.lit("ok"), 5), entry("fresh", F.lit("ok"), 5),
+            entry("crawl", F.when(k % 8 == 1, "fail").otherwise("ok"), F.lit(5)), entry("extract", F.lit("ok"), F.lit(5)),
+            entry("citable", F.lit("ok"), points(6)), entry("price", F.lit("ok"), points(7)), entry("fresh", F.lit("ok"), points(9)),
         ).alias("items"),
     )
 
@@ -372,13 +378,16 @@ def _diagnosed(spark, sf):
     state = diagnosis.site_state(
         _structure(spark, sf), panel.panel_by_engine(runs, KEYS), KEYS, panel.panel_by_prompt(runs, KEYS)
     )
-    return diagnosis.diagnose(state).where(F.col("engines").isNotNull())
+    return diagnosis.diagnose(state)
 
 
 @query("findings", f"""WITH {_STATE} {_GAPS}, f AS (
   SELECT site, region, procedure, 'not-measured' AS code, 'info' AS severity, 1 AS o, '' AS e FROM state WHERE measured_engines = 0
-  UNION ALL SELECT site, region, procedure, 'crawl-blocked', 'high', 2, '' FROM state WHERE measured_engines > 0 AND crawl_fail
-  UNION ALL SELECT site, region, procedure, 'js-rendered', 'high', 3, '' FROM state WHERE measured_engines > 0 AND render
+  UNION ALL SELECT site, region, procedure, 'crawl-blocked', 'high', 2, '' FROM state WHERE judged AND crawl_fail
+  UNION ALL SELECT site, region, procedure, 'js-rendered', 'high', 3, '' FROM state WHERE judged AND render
+  UNION ALL SELECT site, region, procedure, 'no-citable-evidence', 'high', 7, '' FROM state WHERE judged AND bare
+  UNION ALL SELECT site, region, procedure, 'no-price', 'medium', 8, '' FROM state WHERE judged AND unpriced
+  UNION ALL SELECT site, region, procedure, 'no-date', 'medium', 9, '' FROM state WHERE judged AND undated
   UNION ALL SELECT site, region, procedure, 'named-not-linked', 'medium', 4, '' FROM state
     WHERE measured_engines > 0 AND NOT blocked AND named_only > 0 AND cited_engines = 0
   UNION ALL SELECT site, region, procedure, 'prompt-gap', 'medium', 5, engine FROM state JOIN gap USING (site, region, procedure)
@@ -397,6 +406,7 @@ def findings(spark, sf):
 SELECT site, region, procedure,
   CASE WHEN measured_engines = 0 THEN '이번 회차는 판정이 나오지 않았습니다(미측정). 미인용과 다릅니다.'
     WHEN blocked THEN '먼저 해결해야 할 필요조건이 막혀 있습니다. 이 상태에서는 다른 작업의 효과를 관측할 수 없습니다.'
+    WHEN measured_engines IS NULL THEN '구조 진단 기준의 결과입니다. 실제 인용 여부는 별도 실측으로 확인합니다.'
     WHEN any_exposed THEN '이번 측정에서 답변에 노출됐습니다. 아래는 노출 폭을 넓히기 위해 비어 있는 항목입니다.'
     ELSE '읽히는 조건은 확인됐지만 이번 측정에서는 답변에 나오지 않았습니다.' END AS headline,
   measured_engines > 0 AS measured, CASE WHEN measured_engines > 0 THEN any_exposed END AS exposed

@@ -8,7 +8,8 @@ from ..functions import constants as K
 from ..operators import history, limits, measurement, notes, panel
 from ..functions.storage import run_folder
 from . import beds
-from .core import query, table
+from .core import SQL, query, table
+from .pages import AUDIT
 
 NOW = datetime(1998, 8, 2)
 NOW_SQL = "TIMESTAMP '1998-08-02'"
@@ -113,7 +114,7 @@ def staleness(spark, sf):
   SELECT 'site' || p_partkey || '.example.com' AS site, (p_partkey * 7) % 101 AS score,
     CASE WHEN (p_partkey * 7) % 101 >= 75 THEN '우수' WHEN (p_partkey * 7) % 101 >= 50 THEN '보통' WHEN (p_partkey * 7) % 101 >= 30 THEN '개선 여지 큼' ELSE '초기 단계' END AS band FROM part),
 c AS (SELECT site, count(*) FILTER (measured) > 3 AS measured, coalesce(bool_or(exposed) FILTER (measured AND engine = 'claude'), FALSE) AS exposed FROM engine_panel GROUP BY site),
-j AS (SELECT band, score, CASE WHEN measured THEN exposed::INT::DOUBLE END AS hit, measured FROM s JOIN c USING (site))
+j AS (SELECT band, score, CASE WHEN measured THEN exposed::INT::DOUBLE END AS hit, coalesce(measured, FALSE) AS measured FROM s LEFT JOIN c USING (site))
 SELECT coalesce(band, '(all)') AS band, count(*) AS sites, count(*) FILTER (measured) AS measured_sites, count(*) FILTER (hit = 1) AS exposed_sites,
   round(avg(hit), 4) AS exposure_rate, round(avg((NOT measured)::INT), 4) AS unmeasurable_share FROM j GROUP BY GROUPING SETS ((band), ())""")
 def score_vs_citation(spark, sf):
@@ -134,7 +135,7 @@ def score_vs_citation(spark, sf):
 @query("score_citation_correlation", f"""WITH {beds.HISTORY}, {beds.RUNS}, s AS (
   SELECT site, avg(score) AS score FROM history GROUP BY site),
 c AS (SELECT CAST(regexp_extract(site, '([0-9]+)', 1) AS BIGINT) AS site, avg(cited::INT) > 0.2 AS exposed FROM runs GROUP BY 1)
-SELECT round(corr(score, exposed::INT), 4) AS correlation, count(*) AS sites FROM s JOIN c USING (site)""")
+SELECT round(corr(score, exposed::INT), 4) AS correlation, count(*) AS sites FROM s LEFT JOIN c USING (site)""")
 def score_citation_correlation(spark, sf):
     scores = beds.history(spark, sf).groupBy("site").agg(F.avg("score").alias("score")).withColumn("band", F.lit("-"))
     seen = beds.runs(spark, sf).groupBy(F.regexp_extract("site", r"(\d+)", 1).cast("bigint").alias("site")).agg(
@@ -334,14 +335,30 @@ def reuse_decisions(spark, sf):
 
 # --- streams against their batch twins -----------------------------------------------------------
 
-def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def _drain(stream):
-    """Run a stream over all files once; every batch becomes a folder, written again on a retry."""
+_FILES = 4
+
+
+def _stream(spark, sf, name, order="ts"):
+    """The table as a stream of four files in time order, one per micro-batch; rows inside a file are in no order."""
+    folder = run_folder(spark)
+    rows = table(spark, sf, name)
+    if order == "ts":
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+        at = F.unix_seconds("ts")
+        low, high = rows.agg(F.min(at), F.max(at)).first()
+        cut = F.least(F.floor((at - low) * _FILES / max(high - low, 1)), F.lit(_FILES - 1)) + 1
+    else:
+        cut = F.pmod(F.col(order), F.lit(_FILES)) + 1
+    parts = rows.withColumn("_file", cut)
+    for k in range(1, _FILES + 1):
+        part = parts.where(F.col("_file") == k).drop("_file")
+        part.orderBy(F.xxhash64(*part.columns)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    schema = rows.schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def _drain(stream, keys):
+    """Run a stream to its end. Every batch becomes a folder, written again on a retry; of a key's rows the newest counts."""
     folder = run_folder(stream.sparkSession)
 
     def keep(batch, number):
@@ -352,21 +369,24 @@ def _drain(stream):
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+    out = stream.sparkSession.read.parquet(f"{folder}/out")
+    names = [c for c in out.columns if c not in (*keys, "batch")]
+    newest = out.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("_r"))
+    return newest.select(*keys, "_r.*")
 
 
 @query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf):
     from ..streaming.counters import daily_counts as stream_counts
 
-    return _drain(stream_counts(_stream(spark, sf, "events")))
+    return _drain(stream_counts(_stream(spark, sf, "events")), ["day"])
 
 
 @query("stream_daily_counts_by_ip", "SELECT substring(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS ip_hash, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts_by_ip(spark, sf):
     from ..streaming.counters import daily_counts_by_ip as stream_counts
 
-    return _drain(stream_counts(_stream(spark, sf, "events"), "user_id"))
+    return _drain(stream_counts(_stream(spark, sf, "events"), "user_id"), ["ip_hash", "day"])
 
 
 @query("stream_panel", f"""WITH {beds.RUNS}
@@ -375,7 +395,75 @@ def stream_panel(spark, sf):
     from ..streaming.counters import running_panel
 
     outcomes = beds.runs_of(_stream(spark, sf, "events"))
-    rows = _drain(running_panel(outcomes, ["site"], window="365 days"))
+    rows = _drain(running_panel(outcomes, ["site"], window="365 days"), ["site", "engine", "window_start"])
     return rows.groupBy("site", "engine").agg(
         F.sum("attempts").alias("attempts"), F.sum("valid_runs").alias("valid_runs"), F.sum("cited_runs").alias("cited_runs")
     )
+
+
+def _decided(spark, sf, make):
+    from ..streaming import decisions
+
+    folder = run_folder(spark)
+    stream = _stream(spark, sf, "events")
+    requests = stream.select(
+        F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("string").alias("ip_hash"),
+        F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("cache_key"),
+    )
+    decide = make(decisions, folder)
+    decisions.stream(requests, folder, f"{folder}/checkpoint", decide).trigger(availableNow=True).start().awaitTermination()
+    decisions.close(spark, folder, decide)
+    return spark.read.parquet(f"{folder}/decided")
+
+
+@query("stream_caps", SQL["cap_decisions"])
+def stream_caps(spark, sf):
+    rows = _decided(spark, sf, lambda d, folder: d.caps(folder, 2, 150))
+    return rows.select("request_id", "ip_no", "global_no", "decision")
+
+
+@query("stream_reuse", SQL["reuse_decisions"])
+def stream_reuse(spark, sf):
+    return _decided(spark, sf, lambda d, folder: d.reuse(folder)).select("request_id", "decision")
+
+
+@query("stream_latest", """
+SELECT user_id AS site, event_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS hist_no FROM events QUALIFY hist_no <= 30""")
+def stream_latest(spark, sf):
+    from ..streaming.state import latest_30_state
+
+    records = _stream(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("site"), "ts", F.col("event_id").alias("record_id"), (F.col("event_id") % 101).alias("score")
+    )
+    rows = _drain_lists(latest_30_state(records, days=3650))
+    return rows.select(F.col("site").cast("bigint").alias("site"), "record_id", "hist_no")
+
+
+def _drain_lists(stream):
+    """Each batch sends the whole list of every site that changed: the newest batch of a site counts."""
+    folder = run_folder(stream.sparkSession)
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = stream.sparkSession.read.parquet(f"{folder}/out")
+    last = out.groupBy("site").agg(F.max("batch").alias("_last"))
+    return out.join(last, "site").where(F.col("batch") == F.col("_last"))
+
+
+@query("stream_audit", f"""WITH {AUDIT}, s AS (
+  SELECT page_id, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '([^.]+\\.[^.]+)$', 1) AS domain, tech_score + content_score AS score FROM audited)
+SELECT page_id, domain, score, score - lag(score) OVER (PARTITION BY domain ORDER BY page_id % {_FILES}, page_id) AS delta FROM s""")
+def stream_audit(spark, sf):
+    """Pages arrive in four files; a page's time is its file, then its number."""
+    from ..streaming.audit import stream_audit as audited
+
+    folder = run_folder(spark)
+    pages = _stream(spark, sf, "pages", "page_id").withColumn(
+        "ts", F.timestamp_seconds(F.pmod(F.col("page_id"), F.lit(_FILES)) * 10_000_000 + F.col("page_id"))
+    )
+    audited(pages, folder, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/delta")
+    return rows.select("page_id", "domain", F.col("score").cast("bigint").alias("score"), F.col("delta").cast("bigint").alias("delta"))
