@@ -75,10 +75,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(id_, "text").alias("row"), id_.alias("doc_id"), "text")
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(row, copy): rows whose whole text stands in a smaller doc_id. All their windows repeat; they need no search."""
+    hashed = keyed.select("row", "doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
+    first = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"))
+    later = hashed.join(first, ["a", "b"]).where("doc_id > first_doc")
+    return later.select("row").distinct().withColumn("copy", F.lit(True))
+
+
+def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
     def per_batch(batch):
         known = _WordHashes()
-        for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch, "packed"), strict=True):
             found = _Text(text, window, known)
             at = np.unique(found.anchor)
             if len(at):
@@ -87,7 +95,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                     "place": at.astype(np.int32), "half": found.half[at].view(np.int64),
                 }
 
-    return map_rows(docs, per_batch, "row long, doc_id long, place int, half long")
+    return map_rows(texts.select("row", "doc_id", "packed"), per_batch, "row long, doc_id long, place int, half long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -136,19 +144,21 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(texts, windows): texts as (row, doc_id, packed), windows (row, start) that also start in a smaller doc_id.
+    """(texts, windows): texts as (row, doc_id, packed, copy), windows (row, start) that also start in a smaller doc_id.
 
-    Level 1 takes half windows (`window // 2` words), one per window: the anchor all equal windows agree on. Those in
+    Whole copies of a smaller doc_id (`copy`) stand aside: what repeats in them repeats in that document. Texts travel
+    once, compressed, and are read from there at every level. Level 1 takes half windows (`window // 2` words), one per window: the anchor all equal windows agree on. Those in
     one document alone are done. Level 2 doubles the rest: only windows around a repeated half window are compared as
     a whole. A longer repeat consists of repeated windows, so no level above `window` could remove more. Both levels
     compare 64-bit hashes. Hot passages are summed up before they are shuffled; joins on them can be split.
     """
     keyed = _keyed(docs)
-    texts = _packed(keyed)
-    halves = _anchor_rows(keyed, window)
+    texts = _packed(keyed).join(_copies(keyed), "row", "left")
+    single = texts.where("copy is null")
+    halves = _anchor_rows(single, window)
     alive = halves.join(_repeated(halves, "half"), "half").select("row", "place")
     places = alive.groupBy("row").agg(F.collect_set("place").alias("places"))
-    windows = _window_rows(texts.join(places, "row"), window)
+    windows = _window_rows(single.join(places, "row"), window)
     again = windows.join(_repeated(windows, "full"), "full").where("doc_id > first_doc").select("row", "start")
     return texts, again
 
@@ -166,9 +176,12 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def per_batch(batch):
         ids, kept, n_words, n_removed = batch.column(0), [], [], []
-        for starts_, text in zip(batch.column(2).to_pylist(), _unpacked(batch, "packed"), strict=True):
+        columns = (batch.column(k).to_pylist() for k in (2, 3))
+        for starts_, copy, text in zip(*columns, _unpacked(batch, "packed"), strict=True):
             tokens = words(text)
-            if starts_:
+            if copy and len(tokens) >= window:
+                left = []
+            elif starts_:
                 edges = np.zeros(len(tokens) + 1, np.int32)
                 at = np.array(starts_)
                 np.add.at(edges, at, 1)
@@ -182,5 +195,5 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             n_removed.append(len(tokens) - len(left))
         yield {"doc_id": ids, "n_words": n_words, "n_removed": n_removed, "kept": kept}
 
-    joined = texts.join(starts, "row", "left").select("doc_id", "packed", "starts")
+    joined = texts.join(starts, "row", "left").select("doc_id", "packed", "starts", "copy")
     return map_rows(joined, per_batch, "doc_id long, n_words long, n_removed long, kept string")
