@@ -25,7 +25,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.duplicate_lines(table(spark, sf_dir, "documents"))
+    found = lines.duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
