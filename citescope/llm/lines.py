@@ -123,43 +123,50 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _first_lines(documents: DataFrame) -> DataFrame:
-    """(row, rank, own): numbers of the lines of each document that are the first of their text. Lines without a word don't count."""
-    occurrences = documents.select("row", "rank", F.posexplode("lines").alias("line", "text")).where(F.col("text").rlike(WORD))
-    place = F.struct("rank", "row", "line")
-    first = occurrences.groupBy(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b")).agg(F.min(place).alias("p"))
-    return first.groupBy("p.row", "p.rank").agg(F.collect_list("p.line").alias("own"))
-
-
-def near_pairs(documents: DataFrame, first: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(rank, row, line) of first lines that are within `edits` of an earlier first line, of at least `min_chars` characters both."""
-    lines = (
-        documents.join(first.select(F.col("row").alias("_row"), "own"), F.col("row") == F.col("_row"))
-        .select("rank", "row", F.explode("own").alias("line"), "lines")
-        .select("rank", "row", "line", F.get("lines", F.col("line")).alias("text"))
-        .where(F.char_length("text") >= min_chars)
-        .dropDuplicates(["row", "line"])
+def _first_lines(documents: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(rank, row, line, index, probe): the first line of every distinct text, with its segment keys. Stored.
+
+    One pass over the texts: equal lines are summed up per task before the shuffle, and only hashes travel. Lines
+    without a word are left out; lines shorter than `min_chars` have no keys.
+    """
+    text = F.col("text")
+    long = F.char_length("text") >= min_chars
+    none = F.array().cast("array<bigint>")
+    occurrences = documents.select("rank", "row", F.posexplode("lines").alias("line", "text")).where(text.rlike(WORD))
+    keyed = occurrences.select(
+        F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"),
+        F.struct(
+            "rank", "row", "line", F.when(long, index_keys(text, edits)).otherwise(none).alias("index"),
+            F.when(long, probe_keys(text, edits)).otherwise(none).alias("probe"),
+        ).alias("first"),
     )
+    return stored(keyed.groupBy("a", "b").agg(F.min("first").alias("first")).select("first.*"))
+
+
+def _texts_of(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """(row, line, text) of some lines. `places` is a stored table of (row, line): its size decides how it is joined."""
+    wanted = places.groupBy("row").agg(F.collect_set("line").alias("wanted")).withColumnRenamed("row", "_row")
+    found = documents.join(stored(wanted), F.col("row") == F.col("_row")).select("row", F.explode("wanted").alias("line"), "lines")
+    return found.select("row", "line", F.get("lines", F.col("line")).alias("text")).dropDuplicates(["row", "line"])
+
+
+def near_lines(documents: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """(row, line) of first lines that are within `edits` of an earlier first line."""
     place = F.struct("rank", "row", "line")
-    keyed = lines.select(
-        place.alias("at"), index_keys(F.col("text"), edits).alias("index"), probe_keys(F.col("text"), edits).alias("probe"),
-    )
-    index = keyed.select("at", F.explode("index").alias("key"))
-    probe = keyed.select(F.col("at").alias("by"), F.explode("probe").alias("key"))
+    index = first.select(place.alias("at"), F.explode("index").alias("key"))
+    probe = first.select(place.alias("by"), F.explode("probe").alias("key"))
     if edits == 1:
-        counts = index.groupBy("key").count()
-        busy = stored(counts.where(F.col("count") > BUSY).select("key"))
-        crowded = (
+        busy = stored(index.groupBy("key").count().where(F.col("count") > BUSY).select("key"))
+        crowded = stored(
             index.join(busy, "key", "left_semi").select(F.col("at").alias("p"))
             .unionByName(probe.join(busy, "key", "left_semi").select(F.col("by").alias("p")))
-            .distinct().select("p.row", "p.line")
-        )
-        fine = lines.join(crowded, ["row", "line"], "left_semi").select(
-            place.alias("at"), finer_index_keys(F.col("text")).alias("index"), finer_probe_keys(F.col("text")).alias("probe")
+            .distinct().select("p.*")
         )
-        few = index.join(busy, "key", "left_anti")
-        found = few.join(probe, "key").select("at", "by").unionByName(
-            fine.select("at", F.explode("index").alias("key")).join(fine.select(F.col("at").alias("by"), F.explode("probe").alias("key")), "key").select("at", "by")
+        lines = _texts_of(documents, crowded.select("row", "line")).join(crowded, ["row", "line"])
+        fine = stored(lines.select(place.alias("at"), finer_index_keys(F.col("text")).alias("index"), finer_probe_keys(F.col("text")).alias("probe")))
+        found = index.join(busy, "key", "left_anti").join(probe.join(busy, "key", "left_anti"), "key").select("at", "by").unionByName(
+            fine.select("at", F.explode("index").alias("key"))
+            .join(fine.select(F.col("at").alias("by"), F.explode("probe").alias("key")), "key").select("at", "by")
         )
     else:
         found = index.join(probe, "key").select("at", "by")
@@ -167,7 +174,7 @@ def near_pairs(documents: DataFrame, first: DataFrame, edits: int, min_chars: in
         found.where("at <> by").select(F.least("at", "by").alias("early"), F.greatest("at", "by").alias("late")).distinct()
     )
     wanted = pairs.select(F.explode(F.array("early", "late")).alias("p")).distinct().select("p.row", "p.line")
-    texts = stored(lines.join(wanted, ["row", "line"], "left_semi").select("row", "line", F.split("text", "").alias("chars")))
+    texts = stored(_texts_of(documents, wanted).select("row", "line", F.split("text", "").alias("chars")))
     named = [texts.select(*[F.col(c).alias(f"{side}_{c}") for c in texts.columns]) for side in ("e", "l")]
     both = pairs.join(named[0], (F.col("early.row") == F.col("e_row")) & (F.col("early.line") == F.col("e_line"))).join(
         named[1], (F.col("late.row") == F.col("l_row")) & (F.col("late.line") == F.col("l_line"))
@@ -176,7 +183,7 @@ def near_pairs(documents: DataFrame, first: DataFrame, edits: int, min_chars: in
         (F.abs(F.size("e_chars") - F.size("l_chars")) <= edits)
         & (banded_distance(F.col("e_chars"), F.col("l_chars"), edits) <= edits)
     )
-    return close.select("late.rank", "late.row", "late.line").distinct()
+    return close.select("late.row", "late.line").distinct()
 
 
 def duplicate_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20) -> DataFrame:
@@ -196,11 +203,11 @@ def duplicate_lines(docs: DataFrame, edits: int = 1, min_chars: int = 20) -> Dat
     if min_chars < 2 * edits + 2:
         raise ValueError("min_chars must be at least 2 * edits + 2")
     documents = _documents(docs)
-    first = stored(_first_lines(documents))
-    near = near_pairs(documents, first, edits, min_chars).groupBy("row").agg(F.collect_set("line").alias("near"))
+    first = _first_lines(documents, edits, min_chars)
+    near = near_lines(documents, first, edits).groupBy("row").agg(F.collect_set("line").alias("near"))
     none = F.array().cast("array<int>")
     wordy = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get(F.col("lines"), i).rlike(WORD))
-    own = first.groupBy("row").agg(F.flatten(F.collect_list("own")).alias("own"))
+    own = first.groupBy("row").agg(F.collect_list("line").alias("own"))
     joined = (
         documents.select("row", "doc_id", F.size("lines").cast("long").alias("n_lines"), wordy.alias("wordy"))
         .join(own, "row", "left")
