@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,10 +17,9 @@ from .common import map_rows, stored
 END = 2
 #: Ids per block at least, unless the shard ends; a block never cuts a document.
 BLOCK_IDS = 1 << 20
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 #: A blank with no white space on either side: pre-tokens never cross it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
 
 
 class Encoder:
@@ -32,21 +32,28 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(_CUT.split(t) if _DOUBLE.search(t) else t.split(" ")) for t in (x or "" for x in texts)]
         known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
+        split = [(x or "").split(" ") for x in texts]
+        # White space at a unit's edge may join the blank beside it: such texts are cut with more care.
+        for k, units in enumerate(split):
+            if any(not u or u[0].isspace() or u[-1].isspace() for u in units if u not in known) or units[0][:1].isspace():
+                split[k] = _CUT.split(texts[k] or "")
         missing = list({u for units in split for u in units[1:] if u not in known})
-        known.update(zip(missing, self._ids([" " + u for u in missing]), strict=True))
+        safe = [u for u in missing if u and not u[0].isspace() and not u[-1].isspace()]
+        odd = [u for u in missing if not u or u[0].isspace() or u[-1].isspace()]
+        known.update(zip(safe, self._ids([" " + u for u in safe]), strict=True))
+        own = dict(zip(odd, self._ids([" " + u for u in odd]), strict=True))
         firsts = self._ids([units[0] for units in split])
-        return [
-            np.frombuffer(first + b"".join(map(known.__getitem__, units[1:])), "<u4")
-            for first, units in zip(firsts, split, strict=True)
-        ]
+        out = []
+        for first, units in zip(firsts, split, strict=True):
+            rest = map(known.__getitem__, units[1:]) if not own else (known[u] if u in known else own[u] for u in units[1:])
+            out.append(np.frombuffer(first + b"".join(rest), "<u4"))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -76,30 +83,30 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int =
     joined = np.ones(len(symbols), bool)  # does the symbol belong to the same document as the next one?
     joined[doc_ends - 1] = False
     rules: list[np.ndarray] = []
-    buckets = 1 << 20
-    for k in range(rounds):
+    for _ in range(rounds):
         at, pair = _pairs(symbols, joined)
         if not len(at):
             break
-        mixed = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        rough = np.bincount(mixed, minlength=buckets)
-        heavy = rough[mixed] >= max(least, rough.max() // 8)
-        values, counts = np.unique(pair[heavy], return_counts=True)
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+        rough = np.bincount(bucket, minlength=1 << 18)
+        # Only pairs of a crowded bucket can be frequent; these few are counted exactly.
+        crowded = rough >= max(least, rough.max() // 8)
+        heavy = np.flatnonzero(crowded[bucket])
+        at, pair = at[heavy], pair[heavy]
+        values, where, counts = np.unique(pair, return_inverse=True, return_counts=True)
         if not len(values) or counts.max() < least:
-            if rough.max() < least or k and not len(values):
-                break
-            values, counts = np.unique(pair[rough[mixed] >= least], return_counts=True)
-            if not len(values) or counts.max() < least:
-                break
-        chosen = values[counts >= max(least, counts.max() // 4)]
-        if len(chosen) > per_round:
-            order = np.argsort(-counts[counts >= max(least, counts.max() // 4)], kind="stable")[:per_round]
-            chosen = np.sort(chosen[order])
+            break
+        cut = max(least, counts.max() // 4)
+        picked = np.flatnonzero(counts >= cut)
+        if len(picked) > per_round:
+            picked = np.sort(picked[np.argsort(-counts[picked], kind="stable")[:per_round]])
+        chosen = values[picked]
         base = first_rule + sum(map(len, rules))
-        slot = np.searchsorted(chosen, pair)
-        slot[slot == len(chosen)] = 0
-        hit = chosen[slot] == pair
-        places, named = at[hit], slot[hit]
+        slot = np.full(len(values), -1)
+        slot[picked] = np.arange(len(picked))
+        named = slot[where]
+        hit = named >= 0
+        places, named = at[hit], named[hit]
         # Of overlapping occurrences every second one counts, from the left.
         new_run = np.concatenate(([True], np.diff(places) > 1))
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(places)), 0))
