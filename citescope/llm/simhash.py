@@ -1,10 +1,15 @@
-"""SimHash near-duplicates: multi-index hashing over fingerprint segments, then connected components."""
+"""SimHash near-duplicates: multi-index hashing over fingerprint segments, then connected components. Similar sets by prefixes."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +20,12 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BITS = 64
 #: Shingles whose hashes are held at once.
 _CHUNK = 1 << 16
+#: Odd factor that joins word hashes to the hash of a run.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Documents sampled for the order of shingles, and usual shingles known by name. Neither changes a result.
+_SAMPLE, _USUAL = 1 << 13, 1 << 17
+#: 64-bit words of parities per set.
+_PARITY_WORDS = 16
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -127,12 +138,159 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """Documents without near-duplicates: of each group the row of the smallest doc_id stays, once.
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """Hashes of the different runs of `size` words, ASCII case ignored, ascending. A shorter text is one run."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    size = min(size, len(tokens))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    runs = np.zeros(len(tokens) - size + 1, np.uint64)
+    for k in range(size):
+        runs = runs * _FACTOR + hashes[k : k + len(runs)]
+    return np.unique(runs)
+
+
+def _name(runs: np.ndarray) -> int:
+    value = xxhash.xxh64_intdigest(runs.tobytes(), 1)
+    return value - (1 << _BITS) if value >> 63 else value
+
+
+def _usual(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several documents of a sample have, and in how many. They only order a prefix."""
+
+    def per_batch(batch):
+        found = [shingles(t, size) for t in batch.column(0).to_pylist()]
+        yield {"key": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)}
+
+    every = max(1, docs.count() // _SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    counts = map_rows(sample, per_batch, "key long").groupBy("key").count().where("count > 2")
+    rows = counts.orderBy(F.desc("count"), "key").limit(_USUAL).collect()
+    found = np.array([(r["key"], r["count"]) for r in rows], np.int64).reshape(-1, 2)
+    keys = np.ascontiguousarray(found[:, 0]).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found[order, 1]
+
+
+def _prefixes(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """(doc_id, node, n, at, key): the shingles, from the rarest, of which two similar sets must share one.
+
+    `node` names the set of the text's n shingles. A text without a word has one row without a key.
+    """
+    keys, counts = _usual(docs, size)
+
+    def per_batch(batch):
+        out = []
+        for text in batch.column(1).to_pylist():
+            runs = shingles(text, size)
+            n = len(runs)
+            frequency = np.zeros(n, np.int64)
+            if n and len(keys):
+                at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+                frequency = np.where(keys[at] == runs, counts[at], 0)
+            first = np.argsort(frequency, kind="stable")[: n - math.ceil(share * n) + 1]
+            out.append((_name(runs), n, runs[first].view(np.int64)))
+        lengths = [max(1, len(k)) for _, _, k in out]
+        rows = np.repeat(np.arange(len(out)), lengths)
+        yield {
+            "doc_id": batch.column(0).take(pa.array(rows)),
+            "node": np.repeat(np.array([x for x, _, _ in out], np.int64), lengths),
+            "n": np.repeat(np.array([n for _, n, _ in out], np.int32), lengths),
+            "at": np.concatenate([np.empty(0, np.int32), *[np.arange(m, dtype=np.int32) for m in lengths]]),
+            "key": pa.chunked_array([pa.array(k if n else [None], pa.int64()) for _, n, k in out], pa.int64()).combine_chunks(),
+        }
+
+    return stored(map_rows(docs, per_batch, "doc_id long, node long, n int, at int, key long"))
+
+
+def _fits(n: Column, at: Column, other_n: Column, other_at: Column, share: Fraction) -> Column:
+    """Sets whose first common shingle is at these places can still share enough."""
+    p, q = share.numerator, share.denominator
+    return (p + q) * F.least(n - at, other_n - other_at) >= p * (n + other_n)
+
+
+def _parities(runs: np.ndarray) -> np.ndarray:
+    """1,024 bits: is the number of shingles odd that have this bit's number? Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((runs >> np.uint64(54)).astype(np.int64), minlength=64 * _PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _sides(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """`pairs` (u, v) with n_u, n_v and what `make` gives for either set. Only texts in a pair are read again."""
+
+    def per_batch(batch):
+        found = [shingles(t, size) for t in batch.column(1).to_pylist()]
+        yield {"wanted": batch.column(0), "node": [_name(x) for x in found], "n": [len(x) for x in found], "made": [make(x) for x in found]}
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node")
+    texts = docs.join(stored(wanted.select(F.col("first_id").alias("doc_id"), "node")), "doc_id").select("node", "text")
+    sets = map_rows(texts, per_batch, "wanted long, node long, n int, made array<long>").where("wanted = node")
+    sets = stored(sets.drop("wanted").dropDuplicates(["node"]))
+    u, v = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("made").alias(f"of_{x}")) for x in "uv")
+    return pairs.join(u, "u").join(v, "v")
+
+
+def _similar(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """The `pairs` (u, v) of sets with at least that Jaccard similarity. Stored.
+
+    Parities leave out pairs that differ in too many shingles; the others are compared on all shingles.
+    """
+    p, q = share.numerator, share.denominator
+    total = F.col("n_u") + F.col("n_v")
+    bits = [F.bit_count(F.get("of_u", F.lit(k)).bitwiseXOR(F.get("of_v", F.lit(k)))) for k in range(_PARITY_WORDS)]
+    apart = reduce(lambda x, y: x + y, bits)
+    likely = _sides(docs, firsts, pairs, size, _parities).where((p + q) * apart <= (q - p) * total)
+    likely = stored(likely.select("u", "v"))
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    same = _sides(docs, firsts, likely, size, lambda runs: runs.view(np.int64)).where((p + q) * common >= p * total)
+    return stored(same.select("u", "v"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, first_id, group_id) of every distinct set of shingles: groups linked by a Jaccard similarity of at least `similarity`.
+
+    `first_id` is the smallest doc_id of the set, `group_id` that of the group. Exact: two sets that are so similar share
+    one of their rarest n - ceil(similarity * n) + 1 shingles, whatever the order of shingles, so no fingerprint distance
+    is assumed. Members of such a key are compared with its least and greatest set first; then only members that are
+    still in different groups are, each with those outside the key's largest group. Candidates are verified on all shingles.
+    """
+    share = Fraction(str(similarity))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    postings = _prefixes(docs, shingle, share)
+    firsts = stored(postings.where("at = 0").groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    several = stored(postings.where("key is not null").groupBy("key").count().where("count > 1").select("key"))
+    shared = stored(postings.select("key", "node", "n", "at").join(several, "key", "left_semi").distinct())
+    member = F.struct("node", "n", "at")
+    tops = stored(shared.groupBy("key").agg(F.array(F.min(member), F.max(member)).alias("tops")))
+    led = shared.join(tops, "key").select("node", "n", "at", F.explode("tops").alias("o"))
+    led = led.where((F.col("node") != F.col("o.node")) & _fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), share))
+    tested = stored(led.select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v")).distinct())
+    found = _similar(docs, firsts, tested, shingle, share)
+    roots = stored(components(found))
+    rooted = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # A key of one group has no open pair left.
+    sizes = rooted.groupBy("key", "root").count()
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+    mixed = stored(rooted.join(stored(main.where("roots > 1")), "key"))
+    a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
+    fits = _fits(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"), share)
+    open_ = a.join(b, F.col("a.key") == F.col("b.key")).where(
+        (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & fits
+    )
+    open_ = open_.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    late = _similar(docs, firsts, stored(open_.join(tested, ["u", "v"], "left_anti")), shingle, share)
+    roots = stored(components(found.unionByName(late)))
+    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
+    return rooted.join(least, "root").select("node", "first_id", "group_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Documents without near-duplicates: of each group of `similar_groups` the row of the smallest doc_id stays, once.
 
-    Rows without a doc_id can't stand for a group; they stay as they are.
+    Rows without a doc_id can't stand for a group and link none; they stay as they are. Texts without a word are one group.
     """
-    groups = near_duplicates(docs, distance)
-    survivors = groups.where("doc_id = component_id").select("doc_id").distinct()
+    survivors = similar_groups(docs, shingle, similarity).select(F.col("group_id").alias("doc_id")).distinct()
     kept = docs.join(survivors, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

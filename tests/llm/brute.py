@@ -78,3 +78,26 @@ def levenshtein(a, b):
         for j, d in enumerate(b, 1):
             row.append(min(above[j - 1] + (c != d), above[j] + 1, row[j - 1] + 1))
     return row[-1]
+
+
+def similar_groups(texts, size=5):
+    """id -> smallest id reachable over texts whose sets of `size`-word runs have a Jaccard similarity of at least 0.8."""
+    table = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    sets = {}
+    for d, t in texts.items():
+        w = (t or "").encode().translate(table).split()
+        sets[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return {d: root(d) for d in ids}

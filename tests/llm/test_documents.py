@@ -92,6 +92,28 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 9] and kept.columns == documents(spark, []).columns
 
 
+def similar_texts(seed=8):
+    rnd = random.Random(seed)
+    rows = [(0, None, "a"), (1, " ", "a"), (2, "one two", "a"), (3, "One TWO", "a"), (4, "one two three", "a")]
+    footer = [f"f{i}" for i in range(60)]
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(rnd.choice([6, 12, 44, 104, 204]))] + footer * (group % 3 == 0)
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rnd.randrange(len(copy))] = f"x{rnd.random()}"
+            rows.append((len(rows), " ".join(copy), "a"))
+    return rows
+
+
+def test_keep_one_of_similar_texts(spark):
+    for rows in (similar_texts(), [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()]):
+        expected = brute.similar_groups({d: t for d, t, _ in rows})
+        assert len(set(expected.values())) < len(set(brute.groups({d: brute.simhash(t) for d, t, _ in rows}).values()))
+        kept = simhash.keep_one(documents(spark, rows))
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
+
+
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
