@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import constants as K
 from ..functions.ordered import group_row_number
+from ..functions.storage import stored
+from . import chains
 
 
 def daily_counts(events: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -52,39 +52,30 @@ def cap_decisions(
 
 def reuse_decisions(
     requests: DataFrame, key: str = "cache_key", ts: str = "ts", order: str = "request_id",
-    hours: int = K.CACHE_HOURS, running: DataFrame | None = None,
+    hours: int = K.CACHE_HOURS, running: DataFrame | None = None, slice_hours: float = 1,
 ) -> DataFrame:
     """N4 batch twin: a request reuses the result of the run that is not yet `hours` old.
 
-    `running` (key, until timestamp) has results that were running before the first of these requests.
+    `running` (key, until timestamp) has results that were running before the first of these requests. `order` tells
+    the requests of one key and time apart; the first of them is the one that may run.
 
-    Expiry counts from the run itself, so one decision depends on the one before: a key is folded in order, as a
-    sorted stream that one task reads with two values in memory. A key's requests stay in one task, whatever their
-    number; the sort spills to disk.
+    Expiry counts from the run itself, so one decision depends on the one before. The chain of a key's runs is found
+    by `chains.reached`, so neither a busy key nor its history is ever folded in one task; `slice_hours` is the stretch of
+    a key's requests that is sorted together.
     """
     width = hours * 3600 * 1_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, until = None, None
-        for batch in batches:
-            decisions = []
-            for name, us, running_until in zip(batch[key], batch["_us"], batch["_until"]):
-                if name != current:
-                    current, until = name, None if pd.isna(running_until) else running_until
-                fresh = until is None or us > until
-                if fresh:
-                    until = us + width
-                decisions.append("run" if fresh else "reuse")
-            yield batch.drop(columns=["_us", "_until"]).assign(decision=decisions)
-
-    timed = requests.withColumn("_us", micros)
-    if running is None:
-        timed = timed.withColumn("_until", F.lit(None).cast("bigint"))
-    else:
-        untils = running.select(F.col(key).alias("_key"), F.unix_micros("until").alias("_until"))
-        timed = timed.join(untils, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    sorted_rows = (
-        timed.repartition(F.col(key)).sortWithinPartitions(key, "_us", order)
+    timed = requests.withColumns({
+        "_key": F.struct(F.col(key).alias("value")), "_us": F.unix_micros(F.col(ts).cast("timestamp")),
+    })
+    points = stored(timed.groupBy(F.col("_key").alias("key"), F.col("_us").alias("us")).agg(F.min(order).alias("first_order")))
+    candidates = points
+    if running is not None:
+        untils = running.groupBy(F.struct(F.col(key).alias("value")).alias("key")).agg(F.max(F.unix_micros("until")).alias("until"))
+        candidates = points.join(untils, "key", "left").where(F.col("until").isNull() | (F.col("us") > F.col("until")))
+    starts = candidates.groupBy("key").agg(F.min("us").alias("us"))
+    runs = chains.reached(points, starts, width, int(slice_hours * 3600 * 1_000_000)).join(points, ["key", "us"])
+    named = runs.select(
+        F.col("key").alias("_key"), F.col("us").alias("_us"), F.col("first_order").alias(order), F.lit(True).alias("_run")
     )
-    return sorted_rows.mapInPandas(fold, StructType([*requests.schema.fields, StructField("decision", StringType())]))
+    decision = F.when(F.col("_run"), "run").otherwise("reuse")
+    return timed.join(named, ["_key", "_us", order], "left").select(*requests.columns, decision.alias("decision"))

@@ -129,8 +129,12 @@ def prompt_distribution(prompts: DataFrame, keys: Sequence[str], repeats: int =
 
 def citation_panel(outcomes: DataFrame, keys: Sequence[str], repeats: int = K.MAX_REPEATS) -> DataFrame:
     """G8 to G12 in one pass: engine rows with their distribution."""
-    rows = prompt_counts(outcomes, keys)
-    totals = rows.groupBy(*keys, "engine").agg(*_totals(), *_distribution(F.col("valid") > 0))
+    return citation_panel_of(prompt_counts(outcomes, keys), keys, repeats)
+
+
+def citation_panel_of(prompts: DataFrame, keys: Sequence[str], repeats: int = K.MAX_REPEATS) -> DataFrame:
+    """The same from the counts per prompt."""
+    totals = prompts.groupBy(*keys, "engine").agg(*_totals(), *_distribution(F.col("valid") > 0))
     return _engine_row(totals, keys, _distribution_row(repeats))
 
 

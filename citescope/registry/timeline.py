@@ -336,11 +336,15 @@ def reuse_decisions(spark, sf):
 # --- streams against their batch twins -----------------------------------------------------------
 
 _FILES = 4
+_ROWS_PER_FILE = 20_000
 
 
-def _stream(spark, sf, name, order="ts"):
-    """The table as a stream of four files in time order, one per micro-batch; rows inside a file are in no order."""
-    folder = run_folder(spark)
+def _stream(spark, sf, name, order="ts", closing=False):
+    """The table as a stream of four micro-batches in time order; rows inside a batch are in no order.
+
+    A batch is a set of files that grows with the table, each written by its own task. `closing` adds a batch with one
+    row, NULL but for a time far ahead: it opens a window of its own and closes all others.
+    """
     rows = table(spark, sf, name)
     if order == "ts":
         rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -349,15 +353,27 @@ def _stream(spark, sf, name, order="ts"):
         cut = F.least(F.floor((at - low) * _FILES / max(high - low, 1)), F.lit(_FILES - 1)) + 1
     else:
         cut = F.pmod(F.col(order), F.lit(_FILES)) + 1
-    parts = rows.withColumn("_file", cut)
-    for k in range(1, _FILES + 1):
-        part = parts.where(F.col("_file") == k).drop("_file")
-        part.orderBy(F.xxhash64(*part.columns)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    schema = rows.schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-
-
-def _drain(stream, keys):
+    stream, folder = _batches(spark, rows.withColumn("_file", cut))
+    if closing:
+        ahead = (F.lit(high) + 10 * 365 * 86400).cast("timestamp")
+        mark = spark.range(1).select(*[(ahead if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
+        mark.write.mode("append").parquet(folder)
+    return stream
+
+
+def _batches(spark, rows):
+    """(stream, folder): the rows of each `_file`, 1 to four, as one micro-batch."""
+    folder = f"{run_folder(spark)}/in"
+    counts = {r["_file"]: r["n"] for r in rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    files = max(1, min(counts.values(), default=1) // _ROWS_PER_FILE)
+    for k in sorted(counts):
+        part = rows.where(F.col("_file") == k).drop("_file")
+        part.repartition(files).write.mode("append").parquet(folder)
+    schema = rows.drop("_file").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder), folder
+
+
+def _drain(stream, keys, mode="update"):
     """Run a stream to its end. Every batch becomes a folder, written again on a retry; of a key's rows the newest counts."""
     folder = run_folder(stream.sparkSession)
 
@@ -365,7 +381,7 @@ def _drain(stream, keys):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     run = (
-        stream.writeStream.foreachBatch(keep).outputMode("update")
+        stream.writeStream.foreachBatch(keep).outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()
@@ -389,9 +405,9 @@ def stream_daily_counts_by_ip(spark, sf):
     return _drain(stream_counts(_stream(spark, sf, "events"), "user_id"), ["ip_hash", "day"])
 
 
-@query("stream_panel", f"""WITH {beds.RUNS}
+@query("stream_running_panel", f"""WITH {beds.RUNS}
 SELECT site, engine, count(*) AS attempts, count(*) FILTER (status = 'valid') AS valid_runs, count(*) FILTER (status = 'valid' AND cited) AS cited_runs FROM runs GROUP BY ALL""")
-def stream_panel(spark, sf):
+def stream_running_panel(spark, sf):
     from ..streaming.counters import running_panel
 
     outcomes = beds.runs_of(_stream(spark, sf, "events"))
@@ -401,30 +417,47 @@ def stream_panel(spark, sf):
     )
 
 
-def _decided(spark, sf, make):
-    from ..streaming import decisions
+@query("stream_panel", f"""WITH {beds.RUNS},
+p AS (SELECT site, engine, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS week, prompt, count(*) AS attempts, count(*) FILTER (status = 'valid') AS valid,
+  count(*) FILTER (status = 'valid' AND cited) AS cited FROM runs GROUP BY ALL),
+e AS (SELECT site, engine, week, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(valid) AS BIGINT) AS valid_runs, CAST(sum(cited) AS BIGINT) AS cited_runs, count(*) FILTER (valid > 0) AS prompts_scored,
+  count(*) FILTER (valid > 0 AND cited = valid) AS always_cited, count(*) FILTER (valid > 0 AND cited = 0) AS never_cited FROM p GROUP BY ALL)
+SELECT *, round(1 - CAST(abs(always_cited - never_cited) AS DOUBLE) / nullif(prompts_scored, 0), 2) AS spread FROM e""")
+def stream_panel(spark, sf):
+    """Closed weeks: engine rows with their distribution over prompts, by two aggregations in a chain."""
+    from ..streaming.counters import closed_panel
+
+    outcomes = beds.runs_of(_stream(spark, sf, "events", closing=True))
+    rows = _drain(closed_panel(outcomes, ["site"], window="7 days"), ["site", "engine", "window_start"], "append")
+    return rows.select(
+        "site", "engine", F.floor(F.unix_seconds("window_start") / 604800).alias("week"), "attempts", "valid_runs", "cited_runs",
+        "prompts_scored", "always_cited", "never_cited", "spread",
+    )
 
-    folder = run_folder(spark)
-    stream = _stream(spark, sf, "events")
-    requests = stream.select(
+
+def _request_stream(spark, sf):
+    return _stream(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), "ts", F.col("user_id").cast("string").alias("ip_hash"),
         F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("cache_key"),
     )
-    decide = make(decisions, folder)
-    decisions.stream(requests, folder, f"{folder}/checkpoint", decide).trigger(availableNow=True).start().awaitTermination()
-    decisions.close(spark, folder, decide)
-    return spark.read.parquet(f"{folder}/decided")
 
 
 @query("stream_caps", SQL["cap_decisions"])
 def stream_caps(spark, sf):
-    rows = _decided(spark, sf, lambda d, folder: d.caps(folder, 2, 150))
-    return rows.select("request_id", "ip_no", "global_no", "decision")
+    """Decided batch by batch; rows late by more than two days would be in `late`, and miss here."""
+    from ..streaming import decisions
+
+    folder = run_folder(spark)
+    writer = decisions.cap_decisions(_request_stream(spark, sf), folder, f"{folder}/checkpoint", 2, 150)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/decided").select("request_id", "ip_no", "global_no", "decision")
 
 
 @query("stream_reuse", SQL["reuse_decisions"])
 def stream_reuse(spark, sf):
-    return _decided(spark, sf, lambda d, folder: d.reuse(folder)).select("request_id", "decision")
+    from ..streaming import decisions
+
+    return _drain(decisions.reuse_decisions(_request_stream(spark, sf)), ["request_id"], "append").select("request_id", "decision")
 
 
 @query("stream_latest", """
@@ -453,17 +486,30 @@ def _drain_lists(stream):
     return out.join(last, "site").where(F.col("batch") == F.col("_last"))
 
 
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
+
+
 @query("stream_audit", f"""WITH {AUDIT}, s AS (
-  SELECT page_id, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '([^.]+\\.[^.]+)$', 1) AS domain, tech_score + content_score AS score FROM audited)
-SELECT page_id, domain, score, score - lag(score) OVER (PARTITION BY domain ORDER BY page_id % {_FILES}, page_id) AS delta FROM s""")
+  SELECT page_id, regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS domain, CASE length({_HOST}) % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'ok' ELSE 'warn' END AS crawl,
+    tech_score - 11 + content_score + CASE length({_HOST}) % 3 WHEN 0 THEN 2 WHEN 1 THEN 15 ELSE 11 END AS score FROM audited)
+SELECT page_id, domain, crawl, score, score - lag(score) OVER (PARTITION BY domain ORDER BY page_id % {_FILES}, page_id) AS delta FROM s""")
 def stream_audit(spark, sf):
-    """Pages arrive in four files; a page's time is its file, then its number."""
+    """Pages arrive in four batches, each with the robots answers of its hosts and hours; a page's time is its batch, then its number."""
+    from ..sources.readers import with_host
     from ..streaming.audit import stream_audit as audited
 
     folder = run_folder(spark)
-    pages = _stream(spark, sf, "pages", "page_id").withColumn(
-        "ts", F.timestamp_seconds(F.pmod(F.col("page_id"), F.lit(_FILES)) * 10_000_000 + F.col("page_id"))
+    batch = F.pmod(F.col("page_id"), F.lit(_FILES))
+    pages = table(spark, sf, "pages").select(
+        "page_id", "url", F.timestamp_seconds(1_700_000_000 + batch * 10_000_000 + F.col("page_id")).alias("ts"), "html", (batch + 1).alias("_file")
+    )
+    kind = F.length("host") % 3
+    rule = F.when(kind == 0, "Disallow: /").otherwise("Allow: /")
+    answers = with_host(pages).select("host", F.date_trunc("hour", "ts").alias("ts"), "_file").distinct().select(
+        "host", "ts", F.when(kind == 2, 404).otherwise(200).alias("status"), F.lit("text/plain").alias("content_type"),
+        F.concat(F.lit("User-agent: *\n"), rule).alias("body"), "_file",
     )
-    audited(pages, folder, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/delta")
-    return rows.select("page_id", "domain", F.col("score").cast("bigint").alias("score"), F.col("delta").cast("bigint").alias("delta"))
+    writer = audited(_batches(spark, pages)[0], folder, f"{folder}/checkpoint", _batches(spark, answers)[0])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/score")
+    return rows.select("page_id", "domain", "crawl", F.col("score").cast("bigint").alias("score"), F.col("delta").cast("bigint").alias("delta"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.stats import ratio, wilson
-from ..operators.panel import unmeasurable_reason
+from ..operators.panel import citation_panel_of, prompt_counts, unmeasurable_reason
 from ..operators.views import hash_ip
 
 
@@ -59,3 +60,24 @@ def running_panel(
         interval["low"].alias("ci_low"), interval["high"].alias("ci_high"), measured.alias("measured"),
         unmeasurable_reason(measured, F.col("errored_runs"), F.col("inconclusive_runs")).alias("unmeasurable"),
     )
+
+
+def prompt_windows(
+    outcomes: DataFrame, keys: Sequence[str], ts: str = "ts", window: str = "30 days", late: str = "2 days"
+) -> DataFrame:
+    """Counts per prompt, engine and window. Append mode emits a window when the watermark has passed it."""
+    timed = outcomes.withWatermark(ts, late).withColumn("_w", F.window(ts, window))
+    return prompt_counts(timed, [*keys, "_w"])
+
+
+def closed_panel(
+    outcomes: DataFrame, keys: Sequence[str], ts: str = "ts", window: str = "30 days", late: str = "2 days",
+    repeats: int = K.MAX_REPEATS,
+) -> DataFrame:
+    """N6 with G8 to G12: engine rows of closed windows with their distribution over prompts.
+
+    Two aggregations in a chain: prompts first, then engines over the prompts' counts. The second one waits for the
+    watermark that the first passes on, so a window is final in both. Append mode.
+    """
+    rows = citation_panel_of(prompt_windows(outcomes, keys, ts, window, late), [*keys, "_w"], repeats)
+    return rows.withColumn("window_start", F.col("_w.start")).drop("_w")

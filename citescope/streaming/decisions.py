@@ -1,88 +1,192 @@
-"""Caps and reuse over streams that arrive in any order.
+"""Caps and reuse over streams, decided in the micro-batch a request arrives in.
 
-A decision about a request depends on all earlier requests, so it is final only when the watermark has passed its day.
-Micro-batches are logged by day; a day that is closed is decided by the batch operator, which splits busy keys. The
-log is the only state, one folder per day; a batch that is retried overwrites its own folder. Rows that arrive after
-their day was closed are late and not decided.
+What a decision needs of the past is keyed state: the requests of an address and day so far, the time until which a result
+runs. Both end by event-time timers, so state holds open days and running results only. Requests that come after their
+day is closed (caps) or behind the watermark (reuse) change nothing any more; they leave as `late` rows, never unseen.
+
+The number of a request within its whole day is one counter for everybody. It isn't kept as state of one key, which one
+task would count up: a micro-batch is numbered in slices of time like the batch twin, and only one number per open day goes
+on to the next batch.
+
+Requests of one batch count in order of time, batches in order of arrival: on a stream in time order the decisions are those
+of the batch twin. An address or cache key holds the rows of one micro-batch in memory to sort them, so the trigger's size
+(`maxFilesPerTrigger`, `maxBytesPerTrigger`) bounds a task, however busy a key is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import date, timedelta
+from collections.abc import Iterator
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import constants as K
-from ..functions.storage import path_exists
-from ..operators import limits
+from ..functions.ordered import group_row_number
+from ..functions.storage import forget_batches, newest_batch
 
-Decide = Callable[[DataFrame, date], None]
+_DAY_MS = 24 * 3600 * 1000
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/log")
+def _with_watermark(requests: DataFrame, ts: str, late: str) -> DataFrame:
+    """A watermark on a copy of the time: operators that keep no column of it drop no late row, but know the watermark."""
+    return requests.withColumn("_seen", F.col(ts)).withWatermark("_seen", late)
 
 
-def _open_days(spark: SparkSession, path: str) -> list[date]:
-    """Days with logged requests that are not decided yet, oldest first."""
-    done = spark.read.parquet(f"{path}/decided").select("day").distinct() if path_exists(spark, f"{path}/decided") else None
-    days = _log(spark, path).select("day").distinct()
-    if done is not None:
-        # A late day before the last decided one stays closed.
-        last = done.agg(F.max("day")).first()[0]
-        days = days.where(F.col("day") > F.lit(last))
-    return sorted(r["day"] for r in days.collect())
+class _Numbers(StatefulProcessor):
+    """Running number of an address's requests on one day, until the day is closed."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._count = handle.getValueState("count", "n bigint")
 
-def _keep(path: str, late_days: int, decide: Decide):
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/log/batch={number}")
-        if not path_exists(spark, f"{path}/log"):
-            return
-        newest = _log(spark, path).agg(F.max("day")).first()[0]
-        if newest is not None:
-            close(spark, path, decide, newest - timedelta(days=late_days))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        day, address = key
+        closes = ((day - date(1970, 1, 1)).days + 1) * _DAY_MS
+        late = closes <= timerValues.getCurrentWatermarkInMs()
+        known = not late and self._count.exists()
+        n = self._count.get()[0] if known else 0
+        for row in sorted(rows, key=lambda r: (r["_us"], r["_order"])):
+            n += 1
+            yield Row(**row["_row"], day=day, ip_no=None if late else n, late=late)
+        if not late:
+            if not known:
+                self._handle.registerTimer(closes)
+            self._count.update((n,))
 
-    return handle
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._count.clear()
+        return iter([])
 
+    def close(self) -> None:
+        pass
 
-def close(spark: SparkSession, path: str, decide: Decide, before: date | None = None) -> None:
-    """Decide all logged days before `before`; without it, all of them (the stream has ended)."""
-    for day in _open_days(spark, path):
-        if before is None or day < before:
-            decide(_log(spark, path).where(F.col("day") == F.lit(day)).drop("batch", "day"), day)
 
+def _packed(requests: DataFrame, ts: str, order: str, *keys: Column) -> DataFrame:
+    """The row as it came, beside what the operator reads of it."""
+    row = F.struct(*[c for c in requests.columns if c != "_seen"])
+    return requests.select(*keys, F.unix_micros(ts).alias("_us"), F.col(order).alias("_order"), row.alias("_row"))
 
-def caps(path: str, per_ip: int, cap: int) -> Decide:
-    """N3 for one day of requests (request_id, ts, ip_hash)."""
-    def decide(requests: DataFrame, day: date) -> None:
-        limits.cap_decisions(requests, per_ip, cap).drop("day").write.mode("overwrite").parquet(f"{path}/decided/day={day}")
 
-    return decide
+def address_numbers(requests: DataFrame, ip: str = "ip_hash", ts: str = "ts", order: str = "request_id", late: str = "2 days") -> DataFrame:
+    """Stream of requests with day, `ip_no` (number within address and day) and `late`."""
+    schema = StructType([
+        *requests.schema.fields, StructField("day", requests.select(F.to_date(ts)).schema[0].dataType),
+        StructField("ip_no", LongType()), StructField("late", BooleanType()),
+    ])
+    rows = _packed(_with_watermark(requests, ts, late), ts, order, F.to_date(ts).alias("day"), F.col(ip).alias("_ip"))
+    return rows.groupBy("day", "_ip").transformWithState(_Numbers(), schema, "Append", "EventTime")
 
 
-def reuse(path: str, hours: int = K.CACHE_HOURS) -> Decide:
-    """N4 for one day of requests (cache_key, request_id, ts). Expiries that still run go on to the next day."""
-    def decide(requests: DataFrame, day: date) -> None:
-        spark = requests.sparkSession
-        running = None
-        if path_exists(spark, f"{path}/until"):
-            earlier = spark.read.parquet(f"{path}/until").where(F.col("day") < F.lit(day))
-            running = earlier.groupBy("cache_key").agg(F.max("until").alias("until"))
-        decided = limits.reuse_decisions(requests, hours=hours, running=running)
-        folder = f"{path}/decided/day={day}"
-        decided.write.mode("overwrite").parquet(folder)
-        runs = spark.read.schema(decided.schema).parquet(folder).where("decision = 'run'")
-        until = runs.groupBy("cache_key").agg((F.max("ts") + F.expr(f"INTERVAL {hours} HOURS")).alias("until"))
-        until.write.mode("overwrite").parquet(f"{path}/until/day={day}")
+def _days_so_far(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """day, n: requests within their address's cap, per open day, of all batches before."""
+    before = newest_batch(batch.sparkSession, f"{path}/days", number)
+    if before is None:
+        return batch.sparkSession.createDataFrame([], "day date, n bigint")
+    return batch.sparkSession.read.schema("day date, n bigint").parquet(before)
 
-    return decide
+
+def _decide(
+    path: str, per_ip: int, cap: int, ts: str, order: str, slice_unit: str, days_open: int,
+):
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = f"{path}/numbered/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        rows = spark.read.schema(batch.schema).parquet(folder)
+        if rows.isEmpty():
+            return
+        rows.where("late").drop("late", "ip_no").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        ok = F.coalesce(F.col("ip_no") <= per_ip, F.lit(False)) if per_ip > 0 else F.lit(True)
+        earlier = _days_so_far(batch, path, number)
+        # Blocked requests get their own group, so they never move the count of the others.
+        cut = F.date_trunc(slice_unit, F.col(ts))
+        marked = rows.where("NOT late").drop("late").withColumn("_ok", ok)
+        numbered = group_row_number(marked, ["day", "_ok"], [ts, order], cut, "_no").join(
+            earlier.withColumnRenamed("n", "_before"), "day", "left"
+        )
+        place = F.when(F.col("_ok"), F.col("_no") + F.coalesce("_before", F.lit(0))) if cap > 0 else F.lit(None).cast("bigint")
+        counted = numbered.withColumn("global_no", place)
+        decision = (
+            F.when(~F.col("_ok"), "ip-blocked")
+            .when(F.coalesce(F.col("global_no") > cap, F.lit(False)), "global-blocked")
+            .otherwise("allowed")
+        )
+        out = counted.withColumn("decision", decision).drop("_no", "_before")
+        out.drop("_ok").write.mode("overwrite").parquet(f"{path}/decided/batch={number}")
+        # An address's cap decides alone which requests count, so the day's count needs no decision.
+        now = marked.where("_ok").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+        days = now.unionByName(earlier).groupBy("day").agg(F.sum("n").alias("n"))
+        newest = F.date_sub(F.lit(rows.agg(F.max("day")).first()[0]), days_open)
+        days.where(F.col("day") >= newest).coalesce(1).write.mode("overwrite").parquet(f"{path}/days/batch={number}")
+        forget_batches(spark, f"{path}/days", number)
+        forget_batches(spark, f"{path}/numbered", number)
+
+    return handle
 
 
-def stream(requests: DataFrame, path: str, checkpoint: str, decide: Decide, late_days: int = 2) -> DataStreamWriter:
-    """Writer for a stream of requests. Decisions appear under `path/decided`, one folder per day."""
-    return requests.writeStream.foreachBatch(_keep(path, late_days, decide)).option("checkpointLocation", checkpoint)
+def cap_decisions(
+    requests: DataFrame, path: str, checkpoint: str, per_ip: int, cap: int, ip: str = "ip_hash", ts: str = "ts",
+    order: str = "request_id", late_days: int = 2, slice_unit: str = "hour",
+) -> DataStreamWriter:
+    """Writer for a stream of requests; a cap of 0 is off.
+
+    `path/decided` gets every request with ip_no, global_no and decision, `path/late` the ones whose day was closed, a
+    folder per micro-batch that a retry writes again. `path/days` is the one count per open day.
+    """
+    numbered = address_numbers(requests, ip, ts, order, f"{late_days} days")
+    handle = _decide(path, per_ip, cap, ts, order, slice_unit, late_days + 2)
+    return numbered.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", checkpoint)
+
+
+class _Running(StatefulProcessor):
+    """Until when a key's result runs."""
+
+    def __init__(self, width: int) -> None:
+        self._width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._until = handle.getValueState("until", "us bigint")
+
+    @staticmethod
+    def _over_ms(until: int) -> int:
+        """The first full millisecond later than `until`."""
+        return until // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        open_from = timerValues.getCurrentWatermarkInMs() * 1000
+        before = self._until.get()[0] if self._until.exists() else None
+        until = before
+        for row in sorted(rows, key=lambda r: (r["_us"], r["_order"])):
+            if row["_us"] < open_from:
+                decision = "late"
+            elif until is None or row["_us"] > until:
+                decision, until = "run", row["_us"] + self._width
+            else:
+                decision = "reuse"
+            yield Row(**row["_row"], decision=decision)
+        if until != before:
+            self._until.update((until,))
+            self._handle.registerTimer(self._over_ms(until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # A newer run has set its own timer.
+        if self._until.exists() and self._over_ms(self._until.get()[0]) <= timerValues.getCurrentWatermarkInMs():
+            self._until.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def reuse_decisions(
+    requests: DataFrame, key: str = "cache_key", ts: str = "ts", order: str = "request_id",
+    hours: int = K.CACHE_HOURS, late: str = "2 days",
+) -> DataFrame:
+    """Stream of requests with `decision`: run, reuse, or late for one behind the watermark."""
+    schema = StructType([*requests.schema.fields, StructField("decision", StringType())])
+    rows = _packed(_with_watermark(requests, ts, late), ts, order, F.col(key).alias("_key"))
+    return rows.groupBy("_key").transformWithState(_Running(hours * 3600 * 1_000_000), schema, "Append", "EventTime")
