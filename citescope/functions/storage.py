@@ -33,14 +33,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path's own file system, and the path in its form."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def finished_batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete folders `batch=<number>` below `path`, in order."""
-    system, found = _file_system(spark, path)
+    system, found = file_system(spark, path)
     if not system.exists(found):
         return []
     names = [status.getPath().getName() for status in system.listStatus(found)]
@@ -57,13 +58,13 @@ def newest_batch(spark: SparkSession, path: str, below: int) -> str | None:
 def forget_batches(spark: SparkSession, path: str, below: int) -> None:
     """Drop batch folders that no retry can need: all before the newest one below `below`."""
     for number in [n for n in finished_batches(spark, path) if n < below][:-1]:
-        system, found = _file_system(spark, f"{path}/batch={number}")
+        system, found = file_system(spark, f"{path}/batch={number}")
         system.delete(found, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Asked of the path's own file system; every other error comes out."""
-    system, found = _file_system(spark, path)
+    system, found = file_system(spark, path)
     return system.exists(found)
 
 

@@ -133,7 +133,7 @@ def upsert_monthly(spark, sf):
     folder = f"{run_folder(spark)}/monthly"
     for k in range(2):
         sinks.upsert_monthly(rows.where(F.col("record_id") % 2 == k), folder)
-    return spark.read.parquet(folder).select("domain", F.col("period").cast("string").alias("period"), "record_id")
+    return sinks.read_monthly(spark, folder).select("domain", "period", "record_id")
 
 
 @query("append_leads", """WITH l AS (

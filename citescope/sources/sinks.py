@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.ordered import group_row_number
-from ..functions.storage import cut_lineage, path_exists
 from ..functions.text import strip, text_or_empty
 from ..operators.history import latest_monthly
+from . import commits
 
 
 def with_day(records: DataFrame, ts: str = "ts") -> DataFrame:
@@ -29,26 +29,27 @@ def read_history(spark: SparkSession, path: str, kind: str, since: Column | None
     return rows.where(F.col("day") >= since) if since is not None else rows
 
 
-def upsert_monthly(rows: DataFrame, path: str, keys: Sequence[str] = ("domain", "period"), saved: str = "saved_at") -> None:
-    """A10: last write wins per (domain, period). A column whose type differs from the stored one raises before anything is written.
+def upsert_monthly(rows: DataFrame, path: str, keys: Sequence[str] = ("domain", "period"), saved: str = "saved_at", **options) -> int:
+    """A10: last write wins per (domain, period), in one atomic commit (see `commits`); gives its number.
 
-    Only months present in `rows` are read back and rewritten (dynamic partition overwrite). The
-    merged rows are checkpointed before the write because they read the folders they replace.
+    Only months present in `rows` are read and written. A column whose type differs from the stored one raises before
+    anything is written. `read_monthly` reads the table.
     """
-    spark = rows.sparkSession
-    merged = rows
-    if path_exists(spark, path):
-        stored = spark.read.parquet(path)
+    def combine(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        if stored is None:
+            return latest_monthly(new, keys, saved)
         kinds = dict(stored.dtypes)
-        other = [f"{c}: {kinds[c]} stored, {t} given" for c, t in rows.dtypes if c in kinds and c != "period" and kinds[c] != t]
+        other = [f"{c}: {kinds[c]} stored, {t} given" for c, t in new.dtypes if c in kinds and kinds[c] != t]
         if other:
             raise ValueError("column types differ: " + "; ".join(other))
-        # Partition folders read back as the type they look like; the month is a string here.
-        stored = stored.withColumn("period", F.col("period").cast("string"))
-        touched = rows.select("period").distinct()
-        merged = stored.join(touched, "period", "left_semi").unionByName(rows, allowMissingColumns=True)
-    final = cut_lineage(latest_monthly(merged, keys, saved))
-    final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+        return latest_monthly(stored.unionByName(new, allowMissingColumns=True), keys, saved)
+
+    return commits.merge(rows, path, combine, **options)
+
+
+def read_monthly(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The monthly table at its newest commit, or at an earlier one."""
+    return commits.read(spark, path, version)
 
 
 def lead_problem(is_public: Column) -> Column:

@@ -140,12 +140,12 @@ def test_sinks(spark, folder):
     sinks.upsert_monthly(first, f"{folder}/m")
     sinks.upsert_monthly(spark.sql("select 'a' domain, '2026-02' period, 9 n, timestamp'2026-02-06' saved_at"), f"{folder}/m")
     sinks.upsert_monthly(spark.sql("select 'a' domain, '2026-02' period, 5 n, timestamp'2026-02-01' saved_at"), f"{folder}/m")
-    rows = {r["period"]: r["n"] for r in spark.read.parquet(f"{folder}/m").collect()}
+    rows = {r["period"]: r["n"] for r in sinks.read_monthly(spark, f"{folder}/m").collect()}
     assert rows == {"2026-01": 1, "2026-02": 9}
 
     with pytest.raises(ValueError, match="n: int stored"):
         sinks.upsert_monthly(spark.sql("select 'a' domain, '2026-02' period, 'x' n, timestamp'2026-02-09' saved_at"), f"{folder}/m")
-    assert {r["period"]: r["n"] for r in spark.read.parquet(f"{folder}/m").collect()} == rows
+    assert {r["period"]: r["n"] for r in sinks.read_monthly(spark, f"{folder}/m").collect()} == rows
 
     record = spark.sql("select 'a' domain, 50 score, timestamp'2026-01-05' ts")
     sinks.append_history(record, folder, "score")
