@@ -7,6 +7,10 @@ exactly this. Rules that use the values live in `citescope/operators`.
 # --- fixed values: site domains -------------------------------------------------------------
 # Public suffixes with more than one label. The full Public Suffix List is not shipped; pass your
 # own list to `registrable_domain` to extend it.
+
+# Fixed value: subject and topic particles, each between ASCII word characters.
+ANSWER_PARTICLE = r"[A-Za-z0-9_](은|는|이|가|란)[A-Za-z0-9_]"
+
 MULTI_LABEL_SUFFIXES = [
     "co.kr", "or.kr", "ne.kr", "re.kr", "pe.kr", "go.kr", "mil.kr", "ac.kr", "hs.kr", "ms.kr",
     "es.kr", "sc.kr", "kg.kr", "seoul.kr", "busan.kr", "daegu.kr", "incheon.kr", "gwangju.kr",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -28,14 +28,19 @@ def last_n_history(
 
 def score_delta(
     history: DataFrame, keys: Sequence[str], ts: str = "ts", tiebreak: Sequence[str] = (), band: str | None = None,
-    slice_unit: str = "month",
+    slice_unit: str | None = "month",
 ) -> DataFrame:
     """M2: previous score (and band), difference and direction for every record.
 
-    `slice_unit` is the `date_trunc` unit that keeps (site, unit) in one task.
+    `slice_unit` is the `date_trunc` unit that keeps (site, unit) in one task. None keeps a site in one: over a history
+    that is bucketed by site nothing is exchanged then.
     """
     values = {"prev_score": "score", **({"prev_band": band} if band else {})}
-    looked = group_lag(history, keys, [ts, *tiebreak], F.date_trunc(slice_unit, F.col(ts)), values)
+    if slice_unit is None:
+        before = Window.partitionBy(*keys).orderBy(ts, *tiebreak)
+        looked = history.withColumns({out: F.lag(name).over(before) for out, name in values.items()})
+    else:
+        looked = group_lag(history, keys, [ts, *tiebreak], F.date_trunc(slice_unit, F.col(ts)), values)
     delta = F.col("score") - F.col("prev_score")
     return looked.withColumn("delta", delta).withColumn(
         "direction",

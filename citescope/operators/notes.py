@@ -35,6 +35,7 @@ def feed_candidates(
     items: DataFrame, feed: Sequence[str] = ("feed",), order: Sequence[Column] | None = None,
     keywords: str = K.NEWS_KEYWORDS, k: int = K.NEWS_PER_FEED,
 ) -> DataFrame:
-    """The first k items per feed whose title names the topic."""
+    """The first k items per feed whose title names the topic, file by file where the items have one."""
     hits = items.where(F.col("title").rlike(keywords))
-    return top_k(hits, feed, order or [F.col("item_no").asc()], k, "candidate_no")
+    place = [F.col(c).asc() for c in ("file", "item_no") if c in items.columns]
+    return top_k(hits, feed, order or place, k, "candidate_no")

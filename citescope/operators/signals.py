@@ -112,6 +112,15 @@ def is_question(text: Column | str) -> Column:
     return col(text).rlike(question_pattern())
 
 
+def answer_first(text: Column | str) -> Column:
+    """A particle between two ASCII word characters in the first 240 characters, if there are more than 80.
+
+    Word borders are those of ASCII words; plain Korean text has none beside a particle. Informational: no score reads it.
+    """
+    start = F.substring(text_or_empty(text), 1, 240)
+    return (F.length(start) > 80) & start.rlike(K.ANSWER_PARTICLE)
+
+
 def has_map_embed(html: Column | str) -> Column:
     return col(html).rlike(K.MAP_EMBED)
 

@@ -1,18 +1,28 @@
 """Readers and sinks: the tables are written in the formats the readers know, and read back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.storage import run_folder
-from ..operators import funnel, notes, panel, views
+from ..operators import funnel, history, notes, panel, views
 from ..operators.responses import as_response
 from ..plans.citation import outcomes_of
-from ..sources import dimensions, readers, sinks
+from ..sources import dimensions, history_store, readers, sinks
 from . import beds
 from .core import page_table, query, table
 
 _HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
 
 
+_ROWS_PER_FILE = 500
+
+
+def _file_of(df, key):
+    """Number of the file a row goes to: as many files as hold about _ROWS_PER_FILE rows each, whatever the table holds."""
+    return F.pmod(F.xxhash64(key), F.lit(max(4, -(-df.count() // _ROWS_PER_FILE))))
+
+
 def _one_file_each(df, path, kind):
     """`df` has one row per `k`: every row becomes a file of its own."""
     getattr(df.write.partitionBy("k"), kind)(path)
@@ -75,7 +85,7 @@ def read_bot_hits(spark, sf):
     )
     groups = table(spark, sf, "events").groupBy("user_id").agg(group.alias("g"))
     zone = F.struct(F.collect_list("g").alias("httpRequestsAdaptiveGroups"))
-    reports = groups.groupBy((F.col("user_id") % 8).alias("k")).agg(zone.alias("z"))
+    reports = groups.groupBy(_file_of(groups, "user_id").alias("k")).agg(zone.alias("z"))
     data = reports.select("k", F.struct(F.struct(F.array("z").alias("zones")).alias("viewer")).alias("data"))
     folder = f"{run_folder(spark)}/bots"
     _one_file_each(data, folder, "json")
@@ -91,25 +101,33 @@ def read_field_notes(spark, sf):
         F.concat(F.lit("note "), n.cast("string")).alias("title"), F.when(n % 5 == 0, "ftp://x").otherwise(F.col("url")).alias("url"),
         F.lit("s").alias("summary"), F.when(n % 2 == 0, "high").otherwise("medium").alias("confidence"),
     )
-    files = page_table(spark, sf).groupBy((n % 4).alias("k")).agg(F.collect_list(note).alias("notes"))
+    pages = page_table(spark, sf)
+    reviewed = F.concat(F.lit("r"), (n % 4).cast("string"))
+    by_file = pages.groupBy(_file_of(pages, "page_id").alias("_f"), reviewed.alias("reviewedAt")).agg(F.collect_list(note).alias("notes"))
+    files = by_file.select("reviewedAt", "notes", F.concat("reviewedAt", F.lit("-"), F.col("_f").cast("string")).alias("k"))
     folder = f"{run_folder(spark)}/notes"
-    _one_file_each(files.withColumn("reviewedAt", F.concat(F.lit("r"), F.col("k").cast("string"))), folder, "json")
+    _one_file_each(files, folder, "json")
     found, _ = readers.read_field_notes(spark, folder)
     return notes.valid_notes(found).select("title", "confidence", "reviewed_at")
 
 
 @query("read_feed_items", """
-SELECT 'feed' AS feed, source || ' item ' || doc_id AS title, 'https://f.example/' || doc_id AS url, 'd' || doc_id % 9 AS date FROM documents""")
+SELECT 'feed' AS feed, source || ' item ' || doc_id AS title, 'https://f.example/' || doc_id AS url, 'd' || doc_id % 9 AS date,
+  row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) - 1 AS item_no FROM documents""")
 def read_feed_items(spark, sf):
+    """Items of 500 neighbouring documents stand in one file, in the order of their ids."""
     d = F.col("doc_id").cast("string")
     item = F.concat(
         F.lit("<item><title> "), "source", F.lit(" item "), d, F.lit("</title><link>https://f.example/"), d,
         F.lit("</link><pubDate>d"), (F.col("doc_id") % 9).cast("string"), F.lit("</pubDate></item>"),
     )
-    files = table(spark, sf, "documents").groupBy((F.col("doc_id") % 4).alias("k")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    numbered = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / _ROWS_PER_FILE).alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))).alias("_items")
+    )
+    files = numbered.select("k", F.concat(F.lit("<rss><channel>"), F.array_join("_items.item", ""), F.lit("</channel></rss>")).alias("value"))
     folder = f"{run_folder(spark)}/feeds"
-    _one_file_each(files.select("k", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")), folder, "text")
-    return readers.read_feed_items(spark, folder, "feed").select("feed", "title", "url", "date")
+    _one_file_each(files, folder, "text")
+    return readers.read_feed_items(spark, folder, "feed").select("feed", "title", "url", "date", "item_no")
 
 
 @query("append_history", """
@@ -118,7 +136,8 @@ def append_history(spark, sf):
     folder = run_folder(spark)
     rows = beds.history(spark, sf).withColumnRenamed("site", "domain")
     for k in range(2):
-        sinks.append_history(rows.where(F.col("record_id") % 2 == k).coalesce(1), folder, "score")
+        part = rows.where(F.col("record_id") % 2 == k)
+        sinks.append_history(part.repartition(4 * spark.sparkContext.defaultParallelism, F.to_date("ts")), folder, "score")
     return sinks.read_history(spark, folder, "score", F.lit("1997-06-01").cast("date")).select("domain", "record_id", "day")
 
 
@@ -175,8 +194,70 @@ def write_reports(spark, sf):
     return out
 
 
+@query("compacted_history", f"""WITH {beds.HISTORY}
+SELECT site AS domain, record_id, score, score - lag(score) OVER (PARTITION BY site ORDER BY ts, record_id) AS delta,
+  row_number() OVER (PARTITION BY site ORDER BY ts DESC, record_id DESC) AS newest_no FROM history WHERE ts < TIMESTAMP '2001-08-01'""")
+def compacted_history(spark, sf):
+    """Day folders moved into buckets by domain in two rounds; differences and ranks read the buckets where they lie."""
+    folder = run_folder(spark)
+    name = "history_" + folder.rsplit("-", 1)[-1]
+    rows = beds.history(spark, sf).withColumnRenamed("site", "domain")
+    for low, high in (("1995-01-01", "1998-01-01"), ("1998-01-01", "2001-08-02")):
+        part = rows.where((F.col("ts") >= low) & (F.col("ts") < high))
+        sinks.append_history(part.repartition(4 * spark.sparkContext.defaultParallelism, F.to_date("ts")), folder, "score")
+        history_store.compact_history(spark, folder, "score", name, F.lit(high).cast("date"), buckets=8)
+    moved = history_store.compacted_history(spark, folder, "score", name)
+    looked = history.score_delta(moved, ["domain"], tiebreak=["record_id"], slice_unit=None)
+    order = [F.col("ts").desc(), F.col("record_id").desc()]
+    numbered = looked.withColumn("newest_no", F.row_number().over(Window.partitionBy("domain").orderBy(*order)).cast("bigint"))
+    return numbered.select("domain", "record_id", "score", "delta", "newest_no")
+
+
 @query("dimensions", f"""WITH {beds.RUNS}
 SELECT engine, count(*) AS runs, 'auto-api' AS measure_mode FROM runs GROUP BY engine""")
 def dimension_join(spark, sf):
     counts = beds.runs(spark, sf).groupBy("engine").agg(F.count(F.lit(1)).alias("runs"))
     return counts.join(dimensions.dim_engine(spark).select("engine", "measure_mode"), "engine")
+
+
+def _values(rows, names):
+    """Fixed values as SQL rows."""
+    def text(v):
+        return "[" + ", ".join(map(text, v)) + "]" if isinstance(v, list | tuple) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
+
+
+_DIMENSIONS = {
+    "bot": (dimensions.dim_bot, ["token", "category"]),
+    "detection": (dimensions.dim_bot_detection, ["bot", "detection_id"]),
+    "checklist": (dimensions.dim_checklist, ["checklist", "item_id"]),
+    "procedure": (dimensions.dim_procedure, ["q", "label"]),
+    "follow_up": (dimensions.dim_follow_up, ["product_id", "rule"]),
+    "sido": (dimensions.dim_sido, ["spelling", "short"]),
+    "region_term": (dimensions.dim_region_term, ["term", "term"]),
+    "score_item": (dimensions.dim_score_item, ["key", "axis"]),
+}
+_DIMENSION_ROWS = [
+    *[("bot", t, c) for t, _, c in K.BOTS], *[("detection", b, str(i)) for b, ids in K.BOT_DETECTION_IDS for i in ids],
+    *[("checklist", c, i) for c, i, *_ in K.CHECKLIST_ITEMS], *[("procedure", q, label) for q, label, _ in K.PROCEDURES],
+    *[("follow_up", p, r) for p, r in K.FOLLOW_UPS], *[("sido", s, x) for s, x in K.SIDO], *[("region_term", t, t) for t in K.REGION_TERMS],
+    *[("score_item", row[0], row[4]) for row in K.SCORE_ITEMS],
+]
+
+
+@query("dimension_lookups", f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY k, v) - 1 AS no, count(*) OVER (PARTITION BY dimension) AS n
+  FROM {_values(_DIMENSION_ROWS, 'dimension, k, v')})
+SELECT d.dimension, d.k AS key, d.v AS value, count(*) AS events FROM events e JOIN d ON e.event_id % d.n = d.no GROUP BY ALL""")
+def dimension_lookups(spark, sf):
+    """All eight small dimensions as lookup tables of a fact table: events per entry."""
+    e = table(spark, sf, "events")
+    out = None
+    for name, (build, (key, value)) in _DIMENSIONS.items():
+        entries = build(spark).select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
+        numbered = sorted(tuple(r) for r in entries.collect())
+        lookup = spark.createDataFrame([(i, *r) for i, r in enumerate(numbered)], "no bigint, key string, value string")
+        counts = e.groupBy((F.col("event_id") % len(numbered)).alias("no")).agg(F.count(F.lit(1)).alias("events"))
+        part = counts.join(lookup, "no").select(F.lit(name).alias("dimension"), "key", "value", "events")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.storage import run_folder
 from ..operators import funnel, panel, places
 from ..sources import readers
 from . import beds
@@ -30,7 +31,7 @@ def core_name(spark, sf):
 SELECT query, rank, CAST(place_id AS VARCHAR) AS place_id, 'https://map.naver.com/v5/entry/place/' || place_id AS map_url, name, phone,
   visitor_reviews, CASE WHEN place_id % 2 = 0 THEN 127.0 + place_id / 1000.0 END AS lng FROM places""")
 def normalize_places(spark, sf):
-    """The nested search response is built from the listings, then read back."""
+    """The nested search response is written from the listings, then read by the reader."""
     raw = beds.places(spark, sf).select(
         F.col("query").cast("string").alias("query"), F.col("rank").cast("int").alias("start"), F.lit(1).cast("bigint").alias("total"),
         F.array(F.struct(
@@ -41,7 +42,9 @@ def normalize_places(spark, sf):
             F.lit("0").alias("bookingReviewCount"), F.lit("5").alias("imageCount"), F.lit(None).cast("string").alias("businessHours"),
         )).alias("items"),
     )
-    rows = readers.place_rows(raw)
+    folder = f"{run_folder(spark)}/places"
+    raw.write.json(folder)
+    rows = readers.read_place_results(spark, folder)
     return rows.select(
         F.col("query").cast("bigint").alias("query"), F.col("rank").cast("bigint").alias("rank"), "place_id", "map_url", "name", "phone",
         "visitor_reviews", "coords.lng",
@@ -110,7 +113,7 @@ def _sessions(spark, sf):
     medium = F.when(F.col("event_type") == "error", "referral").otherwise(K.AI_MEDIUM)
     host = F.element_at(F.array(*[F.lit(h) for _, _, h in K.FUNNEL_LINKS]), (F.col("user_id") % 3 + 1).cast("int"))
     return e.select(
-        F.concat(host, F.lit(" / "), medium).alias("source_medium"), medium.alias("medium"), F.lit(1).cast("bigint").alias("sessions"),
+        "event_id", F.concat(host, F.lit(" / "), medium).alias("source_medium"), medium.alias("medium"), F.lit(1).cast("bigint").alias("sessions"),
         F.lit(1).cast("bigint").alias("users"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("bigint").alias("key_events"),
     )
 
@@ -129,16 +132,24 @@ def ai_sessions_by_platform(spark, sf):
     return funnel.ai_sessions_by_platform(funnel.keep_ai_sessions(_sessions(spark, sf)))
 
 
+def _files(rows, per_file=500):
+    """Enough files that each holds about `per_file` rows."""
+    return max(4, -(-rows.count() // per_file))
+
+
 @query("read_ai_sessions", f"""WITH {SESSIONS}
 SELECT source_medium, count(*) AS sessions, CAST(sum(key_events) AS BIGINT) AS key_events FROM sessions WHERE medium = 'ai-assistant' GROUP BY ALL""")
 def read_ai_sessions(spark, sf):
-    """The nested export is built from the rows, then read back."""
+    """The nested export is written as many report files, then read by the reader."""
     value = lambda c: F.struct(F.col(c).cast("string").alias("value"))
-    report = _sessions(spark, sf).select(F.array(F.struct(
+    report = _sessions(spark, sf).select("event_id", F.array(F.struct(
         F.array(value("source_medium"), F.struct(F.lit("20260620").alias("value"))).alias("dimensionValues"),
         F.array(value("sessions"), value("users"), value("key_events")).alias("metricValues"),
     )).alias("rows"))
-    rows = funnel.keep_ai_sessions(readers.ai_session_rows(report))
+    folder = f"{run_folder(spark)}/sessions"
+    busy = report.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(_files(report))).alias("k")).agg(F.flatten(F.collect_list("rows")).alias("rows"))
+    busy.write.partitionBy("k").json(folder)
+    rows = readers.read_ai_sessions(spark, folder)
     return rows.groupBy("source_medium").agg(F.sum("sessions").alias("sessions"), F.sum("key_events").alias("key_events"))
 
 

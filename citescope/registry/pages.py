@@ -39,6 +39,17 @@ def text_ratio(spark, sf):
     return s.select("page_id", F.col("scripts").cast("bigint").alias("scripts"), "sn", "needs_render")
 
 
+@query("answer_first", f"""WITH {VISIBLE}, t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'AI는 ' WHEN 1 THEN 'AI는X ' WHEN 2 THEN repeat('x', 239) || '가Y' ELSE '' END || visible AS t FROM vis)
+SELECT page_id, page_id % 4 = 1 AND length(t) > 80 AS answer_first FROM t""")
+def answer_first(spark, sf):
+    """Only a particle between two ASCII word characters counts, and only within the first 240 characters."""
+    n = F.col("page_id") % 4
+    text = F.concat(
+        F.when(n == 0, "AI는 ").when(n == 1, "AI는X ").when(n == 2, F.concat(F.repeat(F.lit("x"), 239), F.lit("가Y"))).otherwise(""), "visible_text"
+    )
+    return signals.page_signals(page_table(spark, sf)).select("page_id", signals.answer_first(text).alias("answer_first"))
+
+
 @query("heading_counts", rf"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages)
 SELECT page_id, CAST(len(list_filter(hs, lambda x: trim(x) <> '')) AS BIGINT) AS h1_count, CAST(0 AS BIGINT) AS h2_count,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import diagnosis, panel, views
+from ..operators import diagnosis, panel, reach, views
 from ..operators.responses import as_response, match_citations, mention_position, names_mentioned, normalize_name
 from ..plans.citation import outcomes_of
 from . import beds
@@ -216,6 +216,21 @@ def share_of_citations(spark, sf):
     return panel.share_of_citations(_host_runs(spark, sf), ["site"])
 
 
+@query("citation_reach", f"""WITH {_HOSTS}, r AS (SELECT DISTINCT site, engine, run_ord, host FROM cites)
+SELECT site, engine, count(DISTINCT run_ord % 9) AS days, count(DISTINCT run_ord) AS valid_runs, count(*) AS citations, count(DISTINCT host) AS exact_domains, true AS within_error
+FROM r GROUP BY ALL""")
+def citation_reach(spark, sf):
+    """Domains by merged daily sketches, with the exact count beside them: off by no more than 3 percent, or by one."""
+    runs = _host_runs(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("run_ord") % 9 * 86_400))
+    about = reach.reach(reach.daily_reach(runs, ["site"]), ["site"])
+    both = about.join(reach.exact_reach(runs, ["site"]), ["site", "engine"])
+    off = F.abs(F.col("domains") - F.col("exact_domains"))
+    return both.select(
+        "site", "engine", "days", "valid_runs", "citations", "exact_domains",
+        (off <= F.greatest(F.lit(1.0), 0.03 * F.col("exact_domains"))).alias("within_error"),
+    )
+
+
 @query("cited_path_match", r"""WITH p AS (
   SELECT page_id, page_id % 40 AS site, url,
     CASE WHEN regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '') = '' THEN '/'

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import net, urls
+from ..functions import net, suffixes, urls
+from ..functions.storage import run_folder
 from .core import query, table
 
 # Every third host becomes a Korean one with a two-label suffix, every seventh a bare host.
@@ -34,6 +35,21 @@ def registrable_domain(spark, sf):
     return _variant(spark, sf).select("page_id", urls.registrable_domain("u").alias("domain"))
 
 
+_RULES = ["// rules of this query", "com", "kr", "co.kr", "or.kr", "org", "*.net", "!example.net  exception", "*.org", "!example.org", ""]
+
+
+@query("registrable_domain_rules", rf"""WITH {_VARIANT_SQL}, w AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(host, 'example.net', 'sample.net') ELSE host END AS host FROM h)
+SELECT page_id, CASE WHEN host LIKE '%.sample.net' THEN regexp_extract(host, '([^.]+\.sample\.net)$', 1)
+  ELSE regexp_extract(host, '([^.]+\.(?:co\.kr|or\.kr|[^.]+))$', 1) END AS domain FROM w""")
+def registrable_domain_rules(spark, sf):
+    """The rules come from a file: plain ones, `*.net` with its exception, `*.org` with its exception."""
+    folder = f"{run_folder(spark)}/rules"
+    spark.createDataFrame([("\n".join(_RULES),)], "value string").coalesce(1).write.text(folder)
+    rules = suffixes.read_suffix_rules(spark, folder)
+    swapped = F.when(F.col("page_id") % 5 == 0, F.replace("u", F.lit("example.net"), F.lit("sample.net"))).otherwise(F.col("u"))
+    return suffixes.with_registrable_domain(_variant(spark, sf).withColumn("u", swapped), "u", rules).select("page_id", "domain")
+
+
 @query("unwrap_redirect", """
 SELECT page_id, CASE page_id % 4
     WHEN 0 THEN 'https://vertexaisearch.cloud.google.com/grounding-api-redirect/abc?x=1&url=https%3A%2F%2Fsite' || page_id || '.example.com%2Fa'

@@ -140,18 +140,25 @@ def read_field_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return notes, marks
 
 
+_ITEM = r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"
+_LINK = "link array<struct<_href:string,_rel:string,_VALUE:string>>"
+
+
 def read_feed_items(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """RSS items and Atom entries of one feed -> title, url, date."""
-    item = spark.read.schema("title string, link string, pubDate string").format("xml").option("rowTag", "item").load(path)
-    link = "link struct<_href:string,_VALUE:string>"
-    entry = (
-        spark.read.schema(f"title string, {link}, updated string").format("xml").option("rowTag", "entry").load(path)
-    )
-    rows = item.select("title", F.col("link").alias("url"), F.col("pubDate").alias("date")).unionByName(
-        entry.select("title", F.coalesce("link._href", "link._VALUE").alias("url"), F.col("updated").alias("date"))
-    )
+    """RSS items and Atom entries of one feed -> title, url, date, file, item_no.
+
+    `item_no` is the item's place in its file, so order and first k don't depend on how files are split or read. A feed file is
+    read as a whole by one task; many files are many tasks. Of several Atom links the first that isn't a relation
+    other than "alternate" counts.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = files.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(_ITEM), F.lit(0))).alias("item_no", "_xml"))
+    item = F.from_xml(F.col("_xml"), f"title string, {_LINK}, pubDate string, updated string")
+    rows = found.select("file", F.col("item_no").cast("bigint").alias("item_no"), item.alias("_i"))
+    links = F.filter("_i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.get(links, F.lit(0))
     cleaned = rows.select(
-        F.lit(feed).alias("feed"), strip("title").alias("title"), strip("url").alias("url"),
-        strip(text_or_empty("date")).alias("date"), F.monotonically_increasing_id().alias("item_no"),
+        F.lit(feed).alias("feed"), strip("_i.title").alias("title"), strip(F.coalesce(link["_href"], link["_VALUE"])).alias("url"),
+        strip(text_or_empty(F.coalesce("_i.pubDate", "_i.updated"))).alias("date"), "file", "item_no",
     )
     return cleaned.where((text_or_empty("title") != "") & (text_or_empty("url") != ""))
