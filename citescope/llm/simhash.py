@@ -26,6 +26,13 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SAMPLE, _USUAL = 1 << 13, 1 << 17
 #: 64-bit words of parities per set.
 _PARITY_WORDS = 16
+#: Keys of up to so many sets are compared pair by pair.
+_PAIRED = 16
+#: Bands of larger keys, values in each, and the odd factors that order a set's values.
+_BANDS, _ROWS = 10, 2
+#: Leaders per band, round by round; later rounds are for few sets.
+_LEADERS = (3, 16)
+_ORDERS = [np.uint64(xxhash.xxh64_intdigest(b"order", i) | 1) for i in range(_BANDS * _ROWS)]
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -216,21 +223,61 @@ def _parities(runs: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _sides(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """`pairs` (u, v) with n_u, n_v and what `make` gives for either set. Only texts in a pair are read again."""
+def _made(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(node, n, made) of the wanted `nodes`: what `make` gives for their sets. Only their texts are read again. Stored."""
 
     def per_batch(batch):
         found = [shingles(t, size) for t in batch.column(1).to_pylist()]
         yield {"wanted": batch.column(0), "node": [_name(x) for x in found], "n": [len(x) for x in found], "made": [make(x) for x in found]}
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node")
+    wanted = nodes.select("node").distinct().join(firsts, "node")
     texts = docs.join(stored(wanted.select(F.col("first_id").alias("doc_id"), "node")), "doc_id").select("node", "text")
     sets = map_rows(texts, per_batch, "wanted long, node long, n int, made array<long>").where("wanted = node")
-    sets = stored(sets.drop("wanted").dropDuplicates(["node"]))
+    return stored(sets.drop("wanted").dropDuplicates(["node"]))
+
+
+def _sides(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """`pairs` (u, v) with n_u, n_v and what `make` gives for either set."""
+    sets = _made(docs, firsts, pairs.select(F.explode(F.array("u", "v")).alias("node")), size, make)
     u, v = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("made").alias(f"of_{x}")) for x in "uv")
     return pairs.join(u, "u").join(v, "v")
 
 
+def _band_keys(runs: np.ndarray) -> np.ndarray:
+    """A key per band: the least values of the set under the band's orders. Two sets share a band's key with the power of their similarity."""
+    least = [int((runs * f).min()) for f in _ORDERS]
+    keys = [xxhash.xxh64_intdigest(np.array(least[i : i + _ROWS], np.uint64).tobytes(), i) for i in range(0, len(least), _ROWS)]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def _led_pairs(bands: DataFrame, members: DataFrame, searching: DataFrame, leaders: int) -> DataFrame:
+    """Candidates (u, v): every node of `searching` with the leaders of its `bands` (node, band) that are in other groups.
+
+    `members` (node, root) has all nodes. Linear in the nodes, whatever the size of a key or band. Two sets of similarity s
+    share one of the bands with probability 1 - (1 - s ** _ROWS) ** _BANDS, 0.99996 at 0.8; every band has other leaders, so
+    a set of a large band meets many different ones.
+    """
+    who = F.struct("node", "root")
+    rows = stored(bands.join(members, "node"))
+    drawn = [F.min_by(who, F.xxhash64("node", "band", F.lit(leaders), F.lit(i))) for i in range(leaders)]
+    tops = rows.groupBy("band").agg(F.array(*drawn).alias("tops"))
+    led = rows.join(searching, "node", "left_semi").join(tops, "band").select("node", "root", F.explode("tops").alias("o"))
+    return led.where("root <> o.root").select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, root, ...) of keys with several groups, with the key's largest group `main` and its number of members."""
+    sizes = rows.groupBy("key", "root").count()
+    main = sizes.groupBy("key").agg(
+        F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("count").alias("members")
+    )
+    return stored(rows.join(stored(main.where("roots > 1")), "key"))
+
+
+def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
+    return stored(rows.join(stored(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
 def _similar(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, share: Fraction) -> DataFrame:
     """The `pairs` (u, v) of sets with at least that Jaccard similarity. Stored.
 
@@ -250,10 +297,12 @@ def _similar(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, sh
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, first_id, group_id) of every distinct set of shingles: groups linked by a Jaccard similarity of at least `similarity`.
 
-    `first_id` is the smallest doc_id of the set, `group_id` that of the group. Exact: two sets that are so similar share
+    `first_id` is the smallest doc_id of the set, `group_id` that of the group. Two sets that are so similar share
     one of their rarest n - ceil(similarity * n) + 1 shingles, whatever the order of shingles, so no fingerprint distance
     is assumed. Members of such a key are compared with its least and greatest set first; then only members that are
-    still in different groups are, each with those outside the key's largest group. Candidates are verified on all shingles.
+    still in different groups are. In keys of up to _PAIRED sets every open pair is compared, which is exact; larger ones,
+    whose pairs would grow with the square of a group, are searched by bands (see `_led_pairs`). Candidates are
+    verified on all shingles.
     """
     share = Fraction(str(similarity))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -267,21 +316,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     led = led.where((F.col("node") != F.col("o.node")) & _fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), share))
     tested = stored(led.select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v")).distinct())
     found = _similar(docs, firsts, tested, shingle, share)
-    roots = stored(components(found))
-    rooted = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # A key of one group has no open pair left.
-    sizes = rooted.groupBy("key", "root").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"))
-    mixed = stored(rooted.join(stored(main.where("roots > 1")), "key"))
-    a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
+    mixed = _mixed(_with_root(shared, found))
+    few = mixed.where(F.col("members") <= _PAIRED)
+    a, b = few.where("root <> main").alias("a"), few.alias("b")
     fits = _fits(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"), share)
     open_ = a.join(b, F.col("a.key") == F.col("b.key")).where(
         (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & fits
     )
-    open_ = open_.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    late = _similar(docs, firsts, stored(open_.join(tested, ["u", "v"], "left_anti")), shingle, share)
-    roots = stored(components(found.unionByName(late)))
-    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = open_.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    crowded = mixed.where(F.col("members") > _PAIRED).select("key", "node", "root")
+    bands = _made(docs, firsts, crowded, shingle, _band_keys).select("node", F.explode("made").alias("band"))
+    for leaders in _LEADERS:
+        # What isn't in its key's largest group looks on.
+        rest = _mixed(crowded).where("root <> main").select("node").distinct()
+        led = _led_pairs(bands, crowded.select("node", "root").distinct(), rest, leaders)
+        open_ = led if open_ is None else open_.unionByName(led)
+        open_ = stored(open_.distinct().join(tested, ["u", "v"], "left_anti"))
+        found = stored(found.unionByName(_similar(docs, firsts, open_, shingle, share)))
+        crowded, tested, open_ = _with_root(crowded.select("key", "node"), found), tested.unionByName(open_), None
+    rooted = _with_root(firsts, found)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return rooted.join(least, "root").select("node", "first_id", "group_id")
 

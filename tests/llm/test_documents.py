@@ -114,6 +114,30 @@ def test_keep_one_of_similar_texts(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_keep_one_in_crowded_keys(spark):
+    """A passage in most texts, a large group of near copies, and pairs hidden among them: keys too large to be paired."""
+    rnd = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(160):
+        body = [f"u{i}x{j}" for j in range(rnd.choice([10, 14, 18]))]
+        rows.append((len(rows), " ".join(body + passage), "a"))
+        if i % 8 == 0:
+            rows.append((len(rows), " ".join([*body[:-1], f"y{i}", *passage]), "a"))
+    for _ in range(140):
+        copy = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            copy[rnd.randrange(200)] = f"x{rnd.random()}"
+        rows.append((len(rows), " ".join(copy), "a"))
+    expected = brute.similar_groups({d: t for d, t, _ in rows})
+    groups = simhash.similar_groups(documents(spark, rows)).collect()
+    assert len(set(expected.values())) < 200
+    # No wrong link, and nearly none lost.
+    assert all(expected[r["first_id"]] == expected[r["group_id"]] for r in groups)
+    assert len({r["group_id"] for r in groups}) <= len(set(expected.values())) + 2
+
+
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -21,7 +21,7 @@ def test_stages(spark):
             scores = toxic.score(before, spark.read.parquet(f"{SMALL}/labels.parquet"))
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in scores.collect() if not r["predicted"]}
         elif name == "near_duplicates":
-            groups = brute.groups({r["doc_id"]: brute.simhash(r["text"]) for r in before.collect()})
+            groups = brute.similar_groups({r["doc_id"]: r["text"] for r in before.collect()})
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted(set(groups.values()))
         elif name == "decontamination":
             leaking = {
