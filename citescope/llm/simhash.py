@@ -260,9 +260,10 @@ def _led_pairs(bands: DataFrame, members: DataFrame, searching: DataFrame, leade
     who = F.struct("node", "root")
     rows = stored(bands.join(members, "node"))
     drawn = [F.min_by(who, F.xxhash64("node", "band", F.lit(leaders), F.lit(i))) for i in range(leaders)]
-    tops = rows.groupBy("band").agg(F.array(*drawn).alias("tops"))
-    led = rows.join(searching, "node", "left_semi").join(tops, "band").select("node", "root", F.explode("tops").alias("o"))
-    return led.where("root <> o.root").select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v"))
+    tops = rows.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("tops"), F.count("*").alias("sets")).where("sets > 1")
+    others = F.filter("tops", lambda o: o["root"] != F.col("root"))
+    led = rows.join(searching, "node", "left_semi").join(tops, "band").select("node", F.explode(others).alias("o"))
+    return led.select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
