@@ -14,6 +14,8 @@ from .common import map_rows, stored, words
 _ODD = 0x9E3779B97F4A7C15
 #: Different words whose hashes a task remembers.
 _REMEMBERED = 1 << 19
+#: Keys with over one part in so many of all rows are joined by broadcast; there can't be more of them than that.
+_HOT = 1000
 
 
 class _WordHashes(dict):
@@ -43,6 +45,11 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         return _mixed((sums[size:] - sums[:-size]) * falling[: n - size + 1])
 
 
+def _second(hashes: np.ndarray, size: int) -> np.ndarray:
+    """32 more bits for every window, from the words' hashes mixed once more: equal windows are told by 96 bits."""
+    return (window_hashes(_mixed(hashes ^ np.uint64(_ODD)), size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def anchors(half: np.ndarray, window: int) -> np.ndarray:
     """For every window start, the position of the smallest half window inside it (the leftmost of equal ones).
 
@@ -57,16 +64,8 @@ def anchors(half: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(chosen) + np.arange(len(view))
 
 
-class _Text:
-    """Hashes of one text at both lengths."""
-
-    def __init__(self, text: str | None, window: int, known: _WordHashes):
-        self.words = words(text)
-        n = len(self.words)
-        hashes = np.fromiter(map(known.__getitem__, self.words), np.uint64, n) if n >= window else np.empty(0, np.uint64)
-        self.hashes = hashes
-        self.half = window_hashes(hashes, window // 2)
-        self.anchor = anchors(self.half, window)
+def _hashes(tokens: list[bytes], known: _WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -84,18 +83,23 @@ def _copies(keyed: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, window: int) -> DataFrame:
+    """One row per anchor: the hash of its half window, and the windows it stands for, `n` starts from `start` on."""
+
     def per_batch(batch):
         known = _WordHashes()
         for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch, "packed"), strict=True):
-            found = _Text(text, window, known)
-            at = np.unique(found.anchor)
-            if len(at):
-                yield {
-                    "row": np.full(len(at), row), "doc_id": [doc] * len(at),
-                    "place": at.astype(np.int32), "half": found.half[at].view(np.int64),
-                }
+            tokens = words(text)
+            if len(tokens) < window:
+                continue
+            half = window_hashes(_hashes(tokens, known), window // 2)
+            # Anchors never step back, so the windows of one are neighbours.
+            at, start, n = np.unique(anchors(half, window), return_index=True, return_counts=True)
+            yield {
+                "row": np.full(len(at), row), "doc_id": [doc] * len(at), "start": start.astype(np.int32),
+                "n": n.astype(np.int32), "half": half[at].view(np.int64),
+            }
 
-    return map_rows(texts.select("row", "doc_id", "packed"), per_batch, "row long, doc_id long, place int, half long")
+    return map_rows(texts.select("row", "doc_id", "packed"), per_batch, "row long, doc_id long, start int, n int, half long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -119,47 +123,67 @@ def _unpacked(batch, name: str):
 
 
 def _window_rows(candidates: DataFrame, window: int) -> DataFrame:
-    """Windows whose anchor repeats: the candidates at the doubled length."""
+    """Windows whose anchor repeats: the candidates at the doubled length. Only their words are hashed again."""
 
     def per_batch(batch):
         known = _WordHashes()
         columns = (batch.column(k).to_pylist() for k in (0, 1, 3))
-        for row, doc, places, text in zip(*columns, _unpacked(batch, "packed"), strict=True):
-            found = _Text(text, window, known)
-            starts = np.flatnonzero(np.isin(found.anchor, np.array(places)))
-            if len(starts):
-                full = window_hashes(found.hashes, window)[starts]
-                yield {
-                    "row": np.full(len(starts), row), "doc_id": [doc] * len(starts),
-                    "start": starts.astype(np.int32), "full": full.view(np.int64),
-                }
-
-    return map_rows(candidates.select("row", "doc_id", "packed", "places"), per_batch, "row long, doc_id long, start int, full long")
-
-
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that occur in two documents at least, with the smallest of them. Summed up before the shuffle."""
-    ends = rows.groupBy(key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return ends.where("first_doc < last_doc").select(key, "first_doc")
+        for row, doc, runs, text in zip(*columns, _unpacked(batch, "packed"), strict=True):
+            tokens = words(text)
+            # Neighbouring runs of starts are joined; the words they cover are laid end to end.
+            joined: list[list[int]] = []
+            for start, n in sorted((r["start"], r["n"]) for r in runs):
+                if joined and joined[-1][1] == start:
+                    joined[-1][1] += n
+                else:
+                    joined.append([start, start + n])
+            covered, starts, places = [], [], []
+            for a, b in joined:
+                starts.append(np.arange(a, b, dtype=np.int32))
+                places.append(np.arange(len(covered), len(covered) + b - a))
+                covered += tokens[a : b + window - 1]
+            hashes, place = _hashes(covered, known), np.concatenate(places)
+            yield {
+                "row": np.full(len(place), row), "doc_id": [doc] * len(place), "start": np.concatenate(starts),
+                "full": window_hashes(hashes, window)[place].view(np.int64), "more": _second(hashes, window)[place],
+            }
+
+    return map_rows(
+        candidates.select("row", "doc_id", "packed", "runs"), per_batch, "row long, doc_id long, start int, full long, more int"
+    )
+
+
+def _in_several(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key occurs in two documents at least, with the smallest of them (first_doc). `rows` are stored.
+
+    Keys are summed up before the shuffle. At most _HOT keys can hold over one part in _HOT of all rows each; these go to all
+    tasks by a broadcast that never exceeds _HOT rows, so no task of the join gets such a key as a whole.
+    """
+    ends = rows.groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("times"))
+    ends = stored(ends.where("first_doc < last_doc").drop("last_doc"))
+    hot = ends.where(F.col("times") * _HOT > rows.count()).drop("times")
+    rest = ends.where(F.col("times") * _HOT <= rows.count()).drop("times")
+    spread = rows.join(F.broadcast(hot), keys)
+    return spread.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(rest, keys))
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
     """(texts, windows): texts as (row, doc_id, packed, copy), windows (row, start) that also start in a smaller doc_id.
 
-    Whole copies of a smaller doc_id (`copy`) stand aside: what repeats in them repeats in that document. Texts travel
+    Whole copies of a smaller doc_id (`copy`) stand aside: what repeats in them repeats in that document. Texts are stored
     once, compressed, and are read from there at every level. Level 1 takes half windows (`window // 2` words), one per window: the anchor all equal windows agree on. Those in
     one document alone are done. Level 2 doubles the rest: only windows around a repeated half window are compared as
-    a whole. A longer repeat consists of repeated windows, so no level above `window` could remove more. Both levels
-    compare 64-bit hashes. Hot passages are summed up before they are shuffled; joins on them can be split.
+    a whole. A longer repeat consists of repeated windows, so no level above `window` could remove more. Level 1 compares
+    64-bit hashes, level 2, which decides, 96 bits. Hot passages are summed up before they are shuffled and spread over tasks.
     """
     keyed = _keyed(docs)
-    texts = _packed(keyed).join(_copies(keyed), "row", "left")
+    texts = stored(_packed(keyed).join(_copies(keyed), "row", "left"))
     single = texts.where("copy is null")
-    halves = _anchor_rows(single, window)
-    alive = halves.join(_repeated(halves, "half"), "half").select("row", "place")
-    places = alive.groupBy("row").agg(F.collect_set("place").alias("places"))
-    windows = _window_rows(single.join(places, "row"), window)
-    again = windows.join(_repeated(windows, "full"), "full").where("doc_id > first_doc").select("row", "start")
+    halves = stored(_anchor_rows(single, window))
+    alive = _in_several(halves, ["half"])
+    runs = alive.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    windows = stored(_window_rows(single.join(runs, "row"), window))
+    again = _in_several(windows, ["full", "more"]).where("doc_id > first_doc").select("row", "start")
     return texts, again
 
 
