@@ -54,9 +54,24 @@ _ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "a": ({"a"}, _CELLS),
     "button": ({"button"}, _CELLS),
 }
+# What may stand right inside a table, its sections and rows, and the elements a part goes back to.
+_TABLE_INSIDES = frozenset("table thead tbody tfoot tr".split())
+_FIT_TABLES = frozenset("caption colgroup col thead tbody tfoot tr td th style script template form".split())
+_HOLDERS = {
+    "caption": {"table"}, "colgroup": {"table"}, "col": {"colgroup", "table"}, "thead": {"table"}, "tbody": {"table"},
+    "tfoot": {"table"}, "tr": {"thead", "tbody", "tfoot", "table"}, "td": _TABLE_INSIDES, "th": _TABLE_INSIDES,
+}
+# Elements that go on after a block cuts them off; those that never nest; those that keep outer ones from going on inside.
+_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+_ONCE = frozenset("a nobr".split())
+_MARKED = frozenset("td th caption object applet marquee template".split())
+_SPECIAL = _BLOCK | _TABLE_PARTS | frozenset(
+    "applet body button colgroup iframe marquee noframes noscript object script select style template textarea title".split()
+)
+_PLAIN = frozenset("iframe noframes noscript optgroup option script select style template textarea title".split())
+_REOPENED = 32
 # Where an element stands and who names it: bits of `flags`, set in the one walk over the page.
 BELOW_CHROME, BELOW_SOURCE_TAG, BELOW_FORM, IN_SUP = 1, 2, 4, 8
 IN_REVIEW, BELOW_SOURCE_BOX, LABELLED, REFERRED = 16, 32, 64, 128
@@ -87,60 +102,212 @@ def _place(above: dict | None, tag: str, attrs: dict) -> dict:
     return {"flags": flags, "wrap": wrap}
 
 
+class _Element:
+    """An element while the page is read. `children` holds elements and pieces of text."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "is_open", "copied")
+
+    def __init__(self, tag: str, attrs: dict, copied: bool = False) -> None:
+        self.tag, self.attrs, self.parent, self.children, self.is_open, self.copied = tag, attrs, None, [], False, copied
+
+    def again(self) -> _Element:
+        return _Element(self.tag, self.attrs, True)
+
+    def add(self, child: _Element | str, before: _Element | None = None) -> None:
+        at = len(self.children)
+        if before is not None:  # an open element is the last child or close to it
+            while self.children[at - 1] is not before:
+                at -= 1
+            at -= 1
+        self.children.insert(at, child)
+        if isinstance(child, _Element):
+            child.parent = self
+
+    def detach(self) -> None:
+        if self.parent is not None:
+            siblings = self.parent.children
+            del siblings[next(i for i in range(len(siblings) - 1, -1, -1) if siblings[i] is self)]
+            self.parent = None
+
+
 class _Tree(HTMLParser):
-    """Elements in document order; text pieces with their range per element."""
+    """Elements in document order; text pieces with their range per element.
+
+    Misnested pages are repaired as browsers do. Formatting elements that a block or a wrong end tag cuts off go on in
+    the next text (`active` lists them, with None where a cell or caption begins; at most _REOPENED go on, so that pages of
+    nothing but unclosed elements stay linear). Text and elements that no table may hold move before the table.
+    A `leaf` has no element of its own inside; formatting that only goes on in it doesn't count.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.root = _Element("html", {})
+        self.body: _Element | None = None
+        self.open: list[_Element] = []
+        self.opened: Counter[str] = Counter()
+        self.active: list[_Element | None] = []
         self.nodes: list[dict] = []
-        self.open: list[int] = []
         self.pieces: list[str] = []
         self.shown: list[bool] = []
-        self.body: int | None = None
-        self.opened: Counter[str] = Counter()
-        self._push("html", {})
-
-    def _push(self, tag: str, attrs: dict) -> int:
-        number = len(self.nodes)
-        above = self.nodes[self.open[-1]] if self.open else None
-        self.nodes.append(
-            {"id": number, "parent": above["id"] if above else -1, "tag": tag, "attrs": attrs,
-             "start": len(self.pieces), "end": None, "leaf": True, **_place(above, tag, attrs)}
-        )
-        if above:
-            above["leaf"] = False
-        self.open.append(number)
-        self.opened[tag] += 1
-        return number
+        self.body_node: dict | None = None
+        self._push(self.root)
+
+    def _push(self, element: _Element) -> None:
+        self.open.append(element)
+        element.is_open = True
+        self.opened[element.tag] += 1
 
     def _pop_to(self, depth: int) -> None:
-        for number in self.open[depth:]:
-            self.nodes[number]["end"] = len(self.pieces)
-            self.opened[self.nodes[number]["tag"]] -= 1
+        for element in self.open[depth:]:
+            element.is_open = False
+            self.opened[element.tag] -= 1
+            if element.tag in _MARKED:
+                while self.active and self.active.pop() is not None:
+                    pass
         del self.open[depth:]
 
+    def _insert(self, child: _Element | str, into: _Element | None = None) -> None:
+        """Put a child where it belongs: into the current (or a given) element, or before the table that can't hold it."""
+        into = into or self.open[-1]
+        if into.tag in _TABLE_INSIDES:
+            if isinstance(child, str):
+                fits = not child.strip()
+            else:
+                fits = child.tag in _FIT_TABLES or (child.tag == "input" and child.attrs.get("type", "").lower() == "hidden")
+            table = None if fits else next((e for e in reversed(self.open) if e.tag == "table"), None)
+            if table is not None and table.parent is not None:
+                table.parent.add(child, before=table)
+                return
+        into.add(child)
+
     def _enter_body(self, attrs: dict | None = None) -> None:
         self._pop_to(1)
-        self.body = self._push("body", attrs or {})
+        self.body = _Element("body", attrs or {})
+        self._insert(self.body)
+        self._push(self.body)
 
     def _end_implied(self, closing, stop) -> None:
         if not any(self.opened[tag] for tag in closing):
             return
         for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[depth]]["tag"]
+            tag = self.open[depth].tag
             if tag in closing:
                 self._pop_to(depth)
             elif tag in stop:
                 return
 
+    def _back_to_table(self, tag: str) -> None:
+        """A part of a table ends all that is open inside the part it belongs to."""
+        if self.opened["table"]:
+            holders = _HOLDERS[tag]
+            depth = len(self.open)
+            while depth > 1 and self.open[depth - 1].tag not in holders:
+                depth -= 1
+            if depth > 1:
+                self._pop_to(depth)
+
+    def _go_on(self) -> None:
+        """Open formatting elements again that were cut off, before text or inline content."""
+        at = len(self.active)
+        while at and self.active[at - 1] is not None and not self.active[at - 1].is_open:
+            at -= 1
+        for i in range(at, len(self.active)):
+            self.active[i] = self.active[i].again()
+            self._insert(self.active[i])
+            self._push(self.active[i])
+
+    def _remember(self, element: _Element) -> None:
+        since = next((i + 1 for i in range(len(self.active) - 1, -1, -1) if self.active[i] is None), 0)
+        same = [i for i in range(since, len(self.active)) if self.active[i].tag == element.tag and self.active[i].attrs == element.attrs]
+        if len(same) >= 3:
+            del self.active[same[0]]
+        elif len(self.active) - since >= _REOPENED:
+            del self.active[since]
+        self.active.append(element)
+
+    def _remembered(self, tag: str) -> _Element | None:
+        for element in reversed(self.active):
+            if element is None or element.tag == tag:
+                return element
+        return None
+
+    def _end_formatting(self, tag: str) -> bool:
+        """End a formatting element. Blocks inside it move out and what they hold so far is formatted by a copy.
+
+        False: none of that name is remembered, any end tag's rule applies.
+        """
+        if self.open[-1].tag == tag and self.open[-1] not in self.active:
+            self._pop_to(len(self.open) - 1)
+            return True
+        for turn in range(8):
+            ended = self._remembered(tag)
+            if ended is None:
+                return turn > 0
+            if not ended.is_open:
+                self.active.remove(ended)
+                return True
+            depth = len(self.open) - 1
+            while self.open[depth] is not ended:
+                if self.open[depth].tag in _CELLS:
+                    return True
+                depth -= 1
+            block = next((i for i in range(depth + 1, len(self.open)) if self.open[i].tag in _SPECIAL), None)
+            if block is None:
+                self._pop_to(depth)
+                self.active.remove(ended)
+                return True
+            furthest, above = self.open[block], self.open[depth - 1]
+            place = self.active.index(ended)
+            last, steps = furthest, 0
+            for i in range(block - 1, depth, -1):
+                steps += 1
+                between = self.open[i]
+                if steps > 3 and between in self.active:
+                    at = self.active.index(between)
+                    del self.active[at]
+                    place -= at < place
+                if between not in self.active:
+                    self._leave(i)
+                    continue
+                copy = between.again()
+                at = self.active.index(between)
+                self.active[at], self.open[i] = copy, copy
+                between.is_open, copy.is_open = False, True
+                if last is furthest:
+                    place = at + 1
+                last.detach()
+                copy.add(last)
+                last = copy
+            last.detach()
+            self._insert(last, above)
+            copy = ended.again()
+            for child in furthest.children:
+                if isinstance(child, _Element):
+                    child.parent = copy
+            copy.children, furthest.children = furthest.children, []
+            furthest.add(copy)
+            at = self.active.index(ended)
+            self.active.insert(min(place, len(self.active)), copy)
+            del self.active[at + (at >= place)]
+            self._leave(depth)
+            self.open.insert(self.open.index(furthest) + 1, copy)
+            copy.is_open = True
+            self.opened[tag] += 1
+        return True
+
+    def _leave(self, depth: int) -> None:
+        element = self.open.pop(depth)
+        element.is_open = False
+        self.opened[element.tag] -= 1
+
     def handle_starttag(self, tag, attrs):
         kept: dict[str, str] = {}
         for name, value in attrs:
             if name in ATTRIBUTES:
                 kept.setdefault(name, value or "")
         if tag == "html":
-            if not self.nodes[0]["attrs"]:
-                self.nodes[0].update(attrs=kept, **_place(None, tag, kept))
+            if not self.root.attrs:
+                self.root.attrs = kept
             return
         if tag == "body":
             if self.body is None:
@@ -155,22 +322,43 @@ class _Tree(HTMLParser):
             return
         if tag in _BLOCK:
             self._end_implied({"p"}, _CELLS | {"button"})
+        if tag in _HOLDERS:
+            self._back_to_table(tag)
         if tag in _ENDS:
             self._end_implied(*_ENDS[tag])
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.nodes[self.open[-1]]["tag"]):
+        if tag in _HEADING and self.open[-1].tag in _HEADING:
             self._pop_to(len(self.open) - 1)
-        self._push(tag, kept)
+        element = _Element(tag, kept)
+        if self.body is not None and not self.opened["select"]:
+            if tag in _ONCE and (earlier := self._remembered(tag)):
+                self._end_formatting(tag)
+                if earlier in self.active:
+                    self.active.remove(earlier)
+                if earlier.is_open:
+                    self._leave(self.open.index(earlier))
+            if tag not in _SPECIAL and tag not in _HEAD or tag == "button":
+                self._go_on()
+        self._insert(element)
         if tag in _VOID:
-            self._pop_to(len(self.open) - 1)
+            return
+        self._push(element)
+        if tag in _FORMATTING and self.body is not None:
+            self._remember(element)
+        elif tag in _MARKED:
+            self.active.append(None)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # "/>" means nothing on HTML elements
 
     def handle_endtag(self, tag):
-        if tag in ("html", "body", "head") or not self.opened[tag]:
+        if tag in ("html", "body", "head"):
+            return
+        if tag in _FORMATTING and self._end_formatting(tag):
+            return
+        if not self.opened[tag]:
             return
         for depth in range(len(self.open) - 1, 0, -1):
-            here = self.nodes[self.open[depth]]["tag"]
+            here = self.open[depth].tag
             if here == tag:
                 self._pop_to(depth)
                 return
@@ -180,20 +368,46 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        top = self.nodes[self.open[-1]]
-        if self.body is None and top["tag"] == "html":
+        if self.body is None and len(self.open) == 1:
             if not data.strip():
                 return
             self._enter_body()
-            top = self.nodes[self.open[-1]]
-        hidden = top["tag"] == "style" or self.opened["noscript"] > 0 or (
-            top["tag"] == "script" and top["attrs"].get("type") != "application/ld+json"
-        )
-        self.pieces.append(data)
-        self.shown.append(not hidden)
+        top = self.open[-1].tag
+        if self.body is not None and top not in _PLAIN and (top not in _TABLE_INSIDES or data.strip()):
+            self._go_on()
+        self._insert(data)
 
     def finish(self) -> None:
+        """Number the elements in document order and lay their text end to end."""
         self._pop_to(0)
+        noscript = 0
+        todo: list[tuple[_Element | str | None, dict | None]] = [(self.root, None)]
+        while todo:
+            item, above = todo.pop()
+            if item is None:  # the end of an element
+                above["end"] = len(self.pieces)
+                noscript -= above["tag"] == "noscript"
+            elif isinstance(item, str):
+                tag = above["tag"]
+                plain_script = tag == "script" and above["attrs"].get("type") != "application/ld+json"
+                self.pieces.append(item)
+                self.shown.append(not (tag == "style" or noscript or plain_script))
+            else:
+                node = {
+                    "id": len(self.nodes), "parent": above["id"] if above else -1, "tag": item.tag, "attrs": item.attrs,
+                    "start": len(self.pieces), "end": None, "leaf": True,
+                    "copied": item.copied, **_place(above, item.tag, item.attrs),
+                }
+                holder = None if item.copied else above
+                while holder:
+                    holder["leaf"] = False
+                    holder = self.nodes[holder["parent"]] if holder["copied"] else None
+                if item is self.body:
+                    self.body_node = node
+                self.nodes.append(node)
+                noscript += item.tag == "noscript"
+                todo.append((None, node))
+                todo += [(child, node) for child in reversed(item.children)]
 
     def text(self, node: dict, without: frozenset = frozenset()) -> str:
         if not without:
@@ -349,7 +563,7 @@ def shred_html(html: str) -> dict:
             shells.setdefault(n["attrs"]["id"], []).append(tree.visible(n))
     _name_controls(tree)
     _add_neighbours(tree)
-    body = tree.nodes[tree.body] if tree.body is not None else tree.nodes[0]
+    body = tree.body_node or tree.nodes[0]
     visible = tree.visible(body) or tree.visible(tree.nodes[0])
     fields = [f.name for f in _ARROW_NODE]
     return {

@@ -190,6 +190,28 @@ def fragment_signals(spark, sf):
     )
 
 
+# --- pages that end misnested: what browsers make of them --------------------------------------
+# (html, quotes, distinct outside hosts, form controls, named ones)
+_QUOTE = "<blockquote>설명이 자세해서 마음 놓고 다녀왔습니다 추천해요</blockquote>"
+MISNESTED = [
+    (f"<table><tr><div class=testimonials>{_QUOTE}</div><td>x</table>", False, 0, 0, 0),
+    (f"<table><tr><td><div class=testimonials>x<td>{_QUOTE}</table>", True, 0, 0, 0),
+    ("<p><a href='https://one.example.org/'>1<p>2</a><p><a href='https://two.example.net/'>3</a></p>", False, 2, 0, 0),
+    ("<form><table><label>성함 <input name=n></label><tr><td><input name=m></table></form>", False, 0, 2, 1),
+    ("<nav><table><p><a href='https://one.example.org/'>1</a></table></nav><b>x<p><a href='https://two.example.net/'>2</b></a></p>", False, 1, 0, 0),
+]
+_REPAIRED = ", ".join("(" + ", ".join([str(i), *[str(x) for x in f[1:]]]) + ")" for i, f in enumerate(MISNESTED))
+
+
+@query("misnested_signals", f"""WITH {AUDIT}, e(i, quotes, hosts, controls, named) AS (VALUES {_REPAIRED})
+SELECT page_id, quotes OR quoted AS has_quotations, hosts AS source_link_count, controls AS controls_total, named AS controls_named
+FROM marks JOIN e ON page_id % {len(MISNESTED)} = e.i""")
+def misnested_signals(spark, sf):
+    end = F.element_at(F.array(*[F.lit(f[0]) for f in MISNESTED]), (F.col("page_id") % len(MISNESTED) + 1).cast("int"))
+    s = signals.page_signals(page_table(spark, sf).select("page_id", "url", F.concat("html", end).alias("html")))
+    return s.select("page_id", "has_quotations", "source_link_count", "forms.controls_total", "forms.controls_named")
+
+
 @query("form_readiness", f"""SELECT page_id,
   CASE WHEN page_id % {len(FRAGMENTS)} = 11 THEN 'measured' ELSE 'no-form' END AS status,
   CASE WHEN page_id % {len(FRAGMENTS)} = 11 THEN 3 END AS passed FROM pages""")
