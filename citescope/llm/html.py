@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -12,10 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,8 +38,9 @@ ASIDE_WORDS = frozenset(
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Share of a host's pages on which a token must stand exactly once to belong to its template.
 SUPPORT = 0.5
-#: Texts on nearly all of at least so many pages of a host are part of the template.
+#: Texts on nearly all of at least so many different pages of a host are part of the template, outside article and main.
 FIXED_PAGES, FIXED_SHARE = 10, 0.9
+_IN_ARTICLE = re.compile(r"(?:^|>)(?:article|main)(?:\.|>|$)")
 
 
 @dataclass
@@ -73,6 +75,57 @@ def _label(tag: str, rest: str) -> tuple[str, bool]:
     return tag + "".join("." + w for w in sorted(set(names.split()))), aside
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """(places of `>` and quotes, where a tag ends that reaches such a place outside quotes): -1 where none ever does.
+
+    Worked out once from the end of the page, so broken tags are not scanned again and again.
+    """
+    places = [m.start() for m in _SPECIAL.finditer(html)]
+    ends = [-1] * (len(places) + 1)
+    later = {'"': len(places), "'": len(places)}
+    for i in range(len(places) - 1, -1, -1):
+        sign = html[places[i]]
+        if sign == ">":
+            ends[i] = places[i]
+        else:
+            closing = later[sign]
+            ends[i] = ends[closing + 1] if closing < len(places) else -1
+            later[sign] = i
+    return places, ends
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name or "", attributes) of tags, comments and declarations, in one walk over the page.
+
+    The reader may send a later place to go on from. A `<` that starts none of these is text.
+    """
+    places, ends = _tag_ends(html)
+    last = html.rfind(">")
+    at = html.find("<")
+    while 0 <= at:
+        found = None
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            found = (at, len(html) if end < 0 else end + 3, "", "", "")
+        elif at < last:
+            named = _NAME.match(html, at)
+            if named:
+                end = ends[bisect_left(places, named.end())]
+                if end >= 0:
+                    found = (at, end + 1, named[1], named[2].lower(), html[named.end() : end])
+            if not found and html[at + 1 : at + 2] in ("!", "?", "/"):
+                found = (at, html.index(">", at) + 1, "", "", "")
+            if not found and named:
+                # The same holds for every `<` within the name, but for comments and declarations.
+                inner = [i for i in (html.find("<!", at + 1, named.end()), html.find("<?", at + 1, named.end())) if i > 0]
+                at = min(inner, default=html.find("<", named.end()))
+                continue
+        if found:
+            at = html.find("<", (yield found) or found[1])
+        else:
+            at = html.find("<", at + 1)
+
+
 def parse(html: str | None) -> Page:
     """Element paths in page order and blocks of text. Unclosed elements end where HTML lets them."""
     page = Page()
@@ -103,19 +156,19 @@ def parse(html: str | None) -> Page:
             if stack[-1].link:
                 links += len(text)
 
-    while at < len(html):
-        found = _TOKEN.search(html, at)
-        if not found:
-            rest = html[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)
-            add(rest[: cut.start()] if cut else rest)
+    last = html.rfind(">") + 1
+    tags, go_on = _tags(html), None
+    while True:
+        try:
+            start, end, close, tag, rest = tags.send(go_on)
+        except StopIteration:
             break
-        add(html[at : found.start()])
-        at = found.end()
-        if not found["tag"]:
+        go_on = None
+        add(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag, rest = found["tag"].lower(), found["rest"]
-        if found["close"]:
+        if close:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth:
                 close_to(depth)
@@ -124,8 +177,8 @@ def parse(html: str | None) -> Page:
             continue
         if tag in RAW:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|</{re.escape(tag)}>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at, last)
+                at = go_on = end.end() if end else len(html)
             continue
         if tag not in HEAD and (depth := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "head"), 0)):
             close_to(depth)
@@ -153,6 +206,10 @@ def parse(html: str | None) -> Page:
         path = f"{above.path}>{label}" if above.path else label
         page.tokens.append(path)
         stack.append(_Open(tag, path, aside, above.link or tag == "a"))
+    # What looks like a tag that never ends is no text.
+    rest = html[at:]
+    cut = re.search(r"<[a-zA-Z/!?]", rest)
+    add(rest[: cut.start()] if cut else rest)
     flush()
     return page
 
@@ -169,6 +226,8 @@ def _host(url):
 def page_tokens(pages: DataFrame) -> DataFrame:
     """(host, page, token, text, times, place, chars): how often each token stands on each page.
 
+    `page` names a page by its content: copies of a page say nothing about a template and count once per host.
+
     A token is an element with its path (`token` is the path, `chars` the characters of text below it that stand
     neither aside nor in links) or a block of text with its path (`text` is its hash).
     """
@@ -193,8 +252,10 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                     out[k].append(v)
         yield out
 
-    keyed = pages.select(_host(F.col("url")).alias("host"), F.xxhash64(F.col("page_id").cast("long"), "url", "html").alias("page"), "html")
-    return map_rows(keyed, per_batch, "host string, page long, token string, text long, times int, place int, chars long")
+    keyed = pages.where("html is not null").select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    return map_rows(keyed, per_batch, "host string, page long, token string, text long, times int, place int, chars long").dropDuplicates(
+        ["host", "page", "token", "text"]
+    )
 
 
 def templates(tokens: DataFrame, pages_per_host: DataFrame) -> DataFrame:
@@ -241,9 +302,9 @@ def slot_text(html: str | None, root: str | None, fixed: frozenset[int]) -> str:
 
     chosen = within(root) if root and page.tokens.count(root) else []
     if not chosen:
-        inner = [b for b in blocks if re.search(r"(?:^|>)(?:article|main)(?:\.|>|$)", b.path)]
+        inner = [b for b in blocks if _IN_ARTICLE.search(b.path)]
         chosen = inner or blocks
-    kept = [b.text for b in chosen if not (fixed and _hash(b.text) in fixed)]
+    kept = [b.text for b in chosen if not (fixed and _hash(b.text) in fixed) or _IN_ARTICLE.search(b.path)]
     return "\n".join(kept)
 
 
@@ -253,11 +314,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     Blocks of text are joined by a line break; white space inside a block is one blank; character references are
     decoded. Elements that stand aside (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
     styles) are no text. Missing and empty pages give an empty text. Pages without a host, or with a missing url, are one
-    host; a page that doesn't follow its host's template is read by its own structure. Rows that repeat a page count once each.
+    host; a page that doesn't follow its host's template is read by its own structure. Pages
+    of one content count once for the template, and every row gets its text. Texts inside article or main are never template.
     An empty table gives an empty result; other columns are ignored.
     """
     tokens = stored(page_tokens(pages))
-    per_host = pages.select(_host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("host_pages"))
+    per_host = pages.where("html is not null").groupBy(_host(F.col("url")).alias("host")).agg(
+        F.count_distinct(F.xxhash64("html")).alias("host_pages")
+    )
     found = stored(templates(tokens, per_host))
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", _host(F.col("url")).alias("host"))
 

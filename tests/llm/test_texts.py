@@ -5,6 +5,7 @@ import html as stdlib_html
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -264,3 +265,29 @@ def test_outliers(spark):
         d2 /= max(1, quantile(d2, 0.5) / quality.CHI2_MEDIAN)
         np.testing.assert_allclose([got[i]["d2"] for i in ids], d2, rtol=1e-6)
     assert quality.rules(documents(spark, [])).count() == 0
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """One article under twelve addresses keeps its text, as does a line that all articles of a host have."""
+    same = "<html><body><nav>menu</nav><article><h1>Head</h1><p>One story.</p></article></body></html>"
+    each = [f"<html><body><article><p>By the desk</p><p>Story {'ab' * (i + 1)} ends.</p></article></body></html>" for i in range(12)]
+    rows = [(i, f"http://copies.test/{i}", same) for i in range(12)] + [(100 + i, f"http://desk.test/{i}", h) for i, h in enumerate(each)]
+    rows += [rows[0], (200, "http://copies.test/none", None)]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in found}
+    assert len(found) == len(rows) and texts[200] == ""
+    assert all(texts[i] == "Head\nOne story." for i in range(12))
+    assert all(texts[100 + i] == f"By the desk\nStory {'ab' * (i + 1)} ends." for i in range(12))
+
+
+def test_broken_tags_take_linear_time():
+    for broken in ("<a " * 100_000, "<a '" * 100_001 + ">", "<a" * 200_000 + ' "x>', "<p " + "a" * 300_000 + " =>", "<script></script " * 40_000):
+        start = time.process_time()
+        page = html.parse("<p>before</p>" + broken)
+        assert page.blocks[0].text == "before" and time.process_time() - start < 10
+    cases = {
+        "a<b": "a", "1 < 2<p>x": "1 < 2|x", "<p>x<!-- y": "x", "<p title='>'>x</p>y": "x|y", "<p>x<a href='>y": "x",
+        "<p>x</ >y": "xy", "<p a=1 <b>x": "x", "<a\"<!--z-->\">x": '">x',
+    }
+    for text, shown in cases.items():
+        assert "|".join(b.text for b in html.parse(text).blocks) == shown, text
