@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,43 +19,117 @@ from .common import map_rows, stored
 END = 2
 #: Ids per block at least, unless the shard ends; a block never cuts a document.
 BLOCK_IDS = 1 << 20
-_REMEMBERED = 500_000
-#: A blank with no white space on either side: pre-tokens never cross it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Units and pre-tokens whose ids a worker remembers before the older ones are forgotten, and the longest ones that it does.
+_REMEMBERED, _LONGEST = 300_000, 64
+#: A blank before which a pre-token always ends.
+_CUT = re.compile(r"(?<=\S) | (?=\S)")
+#: Units of these characters are cut into pre-tokens here; their classes are the same in every Unicode version.
+_PLAIN = re.compile(r"[\x20-\x7E\n\r\t\u00A1-\u024F]*")
+_MARKS = frozenset(".,;:!?()\"'-")
+#: Fixed value: the pre-token pattern of byte-level BPE tokenizers.
+_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as itself, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return "".join(chr(b if b in shown else 256 + others.index(b)) for b in range(256))
+
+
+class _Units(dict):
+    """Ids (bytes) of a blank and the unit after it, found when first asked for."""
+
+    def __init__(self, tokenizer, settings: dict):
+        import regex
+
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.pre_tokens, self.letters, self.parts = regex.compile(_PRE_TOKEN).findall, _byte_letters(), {}
+        first = settings["pre_tokenizer"] or {}
+        added = [t["content"] for t in settings["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
+        #: Are pre-tokens cut by the fixed pattern and nothing else?
+        self.known_form = (
+            first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+            and settings["normalizer"] is None and settings["model"]["type"] == "BPE"
+        )
+        #: May texts be cut at blanks at all?
+        self.cuts = self.known_form and not any(t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"])) for t in settings["added_tokens"])
+
+        #: Can no special id hide in letters with one mark behind them?
+        self.short = self.known_form and all(len(c) > 1 and not c[:-1].isalpha() for c in added)
+        self.older, self.crossed = {}, False
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def part(self, part: str) -> bytes | None:
+        """Ids of one pre-token; none if it has other letters than the plain ones."""
+        found = self.parts.get(part)
+        if found is None and (part.isascii() or _PLAIN.fullmatch(part)):
+            letters = charmap_decode(part.encode(), "strict", self.letters)[0]
+            found = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+            if len(part) <= _LONGEST:
+                if len(self.parts) >= _REMEMBERED:
+                    self.parts.clear()
+                self.parts[part] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        if not self.known_form or not _PLAIN.fullmatch(text) or self.special.search(text):
+            return self.whole(text)
+        return b"".join(map(self.part, self.pre_tokens(text)))
+
+    def __missing__(self, unit: str) -> bytes:
+        if not unit or unit[0].isspace():
+            self.crossed = True  # A pre-token may go on over this blank.
+            return b""
+        found = self.older.get(unit)
+        if found is None and self.short:
+            if unit.isalpha():
+                found = self.part(" " + unit)
+            elif unit[-1] in _MARKS and unit[:-1].isalpha() and (found := self.part(" " + unit[:-1])) is not None:
+                found += self.part(unit[-1])
+        if found is None:
+            found = self.ids(" " + unit)
+        if len(unit) <= _LONGEST:
+            if len(self) >= _REMEMBERED:
+                # What is met again comes back from the older ones.
+                self.older = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering the ids of blank-separated units."""
+    """Ids of whole texts by the tokenizers library, remembering the ids of blank-separated units and of pre-tokens.
+
+    A byte-level tokenizer's pre-tokens never cross most blanks, so a text is cut there, and its units of plain letters are
+    cut into pre-tokens, for which the library's BPE model gives the ids. Other units, and texts for tokenizers of any other
+    form, go whole through the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.units = _Units(self.tokenizer, json.loads(self.tokenizer.to_str()))
+
+    def _text(self, text: str) -> bytes:
+        units = self.units
+        if not units.cuts:
+            return units.whole(text)
+        first, *rest = text.split(" ")
+        units.crossed = False
+        found = b"".join(map(units.__getitem__, rest))
+        if not units.crossed:
+            return units.ids(first) + found
+        first, *rest = _CUT.split(text)
+        return units.ids(first) + b"".join([units[u] if u and not u[0].isspace() else units.ids(" " + u) for u in rest])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        split = [(x or "").split(" ") for x in texts]
-        # White space at a unit's edge may join the blank beside it: such texts are cut with more care.
-        for k, units in enumerate(split):
-            if any(not u or u[0].isspace() or u[-1].isspace() for u in units if u not in known) or units[0][:1].isspace():
-                split[k] = _CUT.split(texts[k] or "")
-        missing = list({u for units in split for u in units[1:] if u not in known})
-        safe = [u for u in missing if u and not u[0].isspace() and not u[-1].isspace()]
-        odd = [u for u in missing if not u or u[0].isspace() or u[-1].isspace()]
-        known.update(zip(safe, self._ids([" " + u for u in safe]), strict=True))
-        own = dict(zip(odd, self._ids([" " + u for u in odd]), strict=True))
-        firsts = self._ids([units[0] for units in split])
-        out = []
-        for first, units in zip(firsts, split, strict=True):
-            rest = map(known.__getitem__, units[1:]) if not own else (known[u] if u in known else own[u] for u in units[1:])
-            out.append(np.frombuffer(first + b"".join(rest), "<u4"))
-        return out
+        return [np.frombuffer(self._text(t) if t else b"", "<u4") for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -65,47 +141,47 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pairs(symbols: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, pair) of neighbours that may be replaced."""
-    at = np.flatnonzero(joined[:-1])
-    return at, (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1].astype(np.uint64)
+_BUCKETS = 1 << 18
 
 
-def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int = 32, per_round: int = 1024, rounds: int = 12):
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
+
+
+def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int = 32, share: int = 16):
     """(symbols, rules, ends): Re-Pair of one block.
 
-    Each round counts neighbouring pairs and replaces the most frequent ones (those with at least a quarter of the
-    top count), left to right, by new nonterminals; rules[k] is the pair of nonterminal first_rule + k. Pairs never
-    cross the end of a document, so `ends` (where documents end among the symbols) allows decoding one alone. Ends
-    when no pair occurs `least` times.
+    Each round counts neighbouring pairs and replaces the most frequent ones (those with at least 1/`share` of the top
+    count), left to right, by new nonterminals; rules[k] is the pair of nonterminal first_rule + k. Pairs never cross the
+    end of a document, so `ends` (where documents end among the symbols) allows decoding one alone. Ends when no pair
+    occurs `least` times.
     """
     symbols = ids.astype(np.uint32)
     joined = np.ones(len(symbols), bool)  # does the symbol belong to the same document as the next one?
     joined[doc_ends - 1] = False
     rules: list[np.ndarray] = []
-    for _ in range(rounds):
-        at, pair = _pairs(symbols, joined)
-        if not len(at):
-            break
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        rough = np.bincount(bucket, minlength=1 << 18)
-        # Only pairs of a crowded bucket can be frequent; these few are counted exactly.
-        crowded = rough >= max(least, rough.max() // 8)
-        heavy = np.flatnonzero(crowded[bucket])
-        at, pair = at[heavy], pair[heavy]
-        values, where, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    base = first_rule
+    while True:
+        bucket = _bucket(symbols[:-1], symbols[1:])
+        bucket[~joined[:-1]] = _BUCKETS
+        rough = np.bincount(bucket, minlength=_BUCKETS + 1)
+        rough[_BUCKETS] = 0
+        # A frequent pair makes its bucket crowded; only the pairs of such buckets are counted exactly.
+        at = np.flatnonzero((rough >= least)[bucket])
+        pair = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+        values, counts = np.unique(pair, return_counts=True)
         if not len(values) or counts.max() < least:
             break
-        cut = max(least, counts.max() // 4)
-        picked = np.flatnonzero(counts >= cut)
-        if len(picked) > per_round:
-            picked = np.sort(picked[np.argsort(-counts[picked], kind="stable")[:per_round]])
-        chosen = values[picked]
-        base = first_rule + sum(map(len, rules))
-        slot = np.full(len(values), -1)
-        slot[picked] = np.arange(len(picked))
-        named = slot[where]
-        hit = named >= 0
+        picked = counts >= max(least, counts.max() // share)
+        chosen, counts = values[picked], counts[picked]
+        # One pair per bucket and round, the most frequent; others wait for the next round.
+        slot = np.full(_BUCKETS + 1, -1)
+        rising = np.argsort(counts, kind="stable")
+        slot[_bucket((chosen[rising] >> np.uint64(32)).astype(np.uint32), chosen[rising].astype(np.uint32))] = rising
+        chosen = chosen[np.sort(slot[slot >= 0])]
+        slot[slot >= 0] = np.argsort(np.argsort(slot[slot >= 0]))
+        named = slot[bucket[at]]
+        hit = (named >= 0) & (chosen[named] == pair)
         places, named = at[hit], named[hit]
         # Of overlapping occurrences every second one counts, from the left.
         new_run = np.concatenate(([True], np.diff(places) > 1))
@@ -118,6 +194,7 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int =
         stay[places + 1] = False
         symbols, joined = symbols[stay], joined[stay]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        base += len(chosen)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return symbols, table, np.flatnonzero(~joined) + 1
 
@@ -131,17 +208,24 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """Ids of some symbols: nonterminals give way to their pairs until none is left."""
+    """Ids of some symbols: every rule is written out once, then each nonterminal gives way to its own ids."""
+    flat: list[np.ndarray] = []
+    for pair in rules.astype(np.uint32):
+        flat.append(np.concatenate([flat[x - first_rule] if x >= first_rule else pair[k : k + 1] for k, x in enumerate(pair.tolist())]))
+    sizes = np.array([len(x) for x in flat], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    ids = np.concatenate([np.empty(0, np.uint32), *flat])
     symbols = symbols.astype(np.uint32)
-    while len(symbols) and symbols.max() >= first_rule:
-        inner = symbols >= first_rule
-        at = np.cumsum(np.where(inner, 2, 1)) - np.where(inner, 2, 1)
-        out = np.empty(int(at[-1]) + (2 if inner[-1] else 1), np.uint32)
-        out[at] = symbols
-        pair = rules[symbols[inner] - first_rule]
-        out[at[inner]], out[at[inner] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+    at = np.flatnonzero(symbols >= first_rule)
+    rule = symbols[at] - np.uint32(first_rule)
+    times = np.ones(len(symbols), np.int64)
+    times[at] = sizes[rule]
+    first = np.cumsum(times) - times
+    out = np.repeat(symbols, times)
+    length = times[at]
+    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(first[at], length) + inside] = ids[np.repeat(starts[rule], length) + inside]
+    return out
 
 
 def decode_slice(symbols, rules, lengths, first_rule: int, start: int, stop: int) -> np.ndarray:

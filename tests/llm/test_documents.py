@@ -157,6 +157,30 @@ def test_tokens_round_trip(spark):
     assert tokens.token_blocks(documents(spark, []), path).count() == 0
 
 
+def test_encoder_cuts_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    plain, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    rnd = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\r", "a", "Bc", "é", "ß", "1", "²", "¼", "_", "-", "'s", "'ll", "'", ".", "<|endoftext|>", "<|end", "\x1c", "\x85",
+             "\xa0", "\u2003", "日", "ǆ", "ª", "\xad", "😀", "\u0301", "x" * 70]
+    for _ in range(5000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(12)))
+        assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_repair_goes_on_to_the_least_count():
+    rnd = np.random.default_rng(3)
+    ids = (rnd.zipf(1.3, 60_000) % 5_000).astype(np.uint32)
+    ends = np.arange(100, len(ids) + 1, 100)
+    symbols, rules, symbol_ends = tokens.repair(ids, ends, 5_000)
+    assert (tokens.expand(symbols, rules, 5_000) == ids).all()
+    last = set((symbol_ends - 1).tolist())
+    left = Counter((int(a), int(b)) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if k not in last)
+    assert len(rules) and max(left.values()) < 32
+
+
 def test_repair_blocks():
     rnd = np.random.default_rng(1)
     phrase = rnd.integers(0, 50, 30)
