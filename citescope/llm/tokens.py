@@ -68,8 +68,7 @@ class _Units(dict):
         """Ids of one pre-token; none if it has other letters than the plain ones."""
         found = self.parts.get(part)
         if found is None and (part.isascii() or _PLAIN.fullmatch(part)):
-            letters = charmap_decode(part.encode(), "strict", self.letters)[0]
-            found = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+            found = array("I", [t.id for t in self.tokenize(charmap_decode(part.encode(), "strict", self.letters)[0])]).tobytes()
             if len(part) <= _LONGEST:
                 if len(self.parts) >= _REMEMBERED:
                     self.parts.clear()
@@ -89,8 +88,10 @@ class _Units(dict):
         if found is None and self.short:
             if unit.isalpha():
                 found = self.part(" " + unit)
-            elif unit[-1] in _MARKS and unit[:-1].isalpha() and (found := self.part(" " + unit[:-1])) is not None:
-                found += self.part(unit[-1])
+            elif unit[-1] in _MARKS:
+                word = unit[:-1]
+                if word.isalpha() and (found := self.get(word) or self.part(" " + word)) is not None:
+                    found += self.part(unit[-1])
         if found is None:
             found = self.ids(" " + unit)
         if len(unit) <= _LONGEST:
@@ -148,7 +149,7 @@ def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
 
 
-def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int = 32, share: int = 16):
+def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int = 32, share: int = 32):
     """(symbols, rules, ends): Re-Pair of one block.
 
     Each round counts neighbouring pairs and replaces the most frequent ones (those with at least 1/`share` of the top
@@ -160,29 +161,36 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int =
     joined = np.ones(len(symbols), bool)  # does the symbol belong to the same document as the next one?
     joined[doc_ends - 1] = False
     rules: list[np.ndarray] = []
-    base = first_rule
+    base, fresh = first_rule, 0
     while True:
-        bucket = _bucket(symbols[:-1], symbols[1:])
-        bucket[~joined[:-1]] = _BUCKETS
+        if fresh:
+            # The last round took every pair that occurs `least` times: only pairs with one of its nonterminals can be new.
+            new = symbols >= fresh
+            at = np.flatnonzero((new[:-1] | new[1:]) & joined[:-1])
+            bucket = _bucket(symbols[at], symbols[at + 1])
+        else:
+            at = np.arange(len(symbols) - 1)
+            bucket = _bucket(symbols[:-1], symbols[1:])
+            bucket[~joined[:-1]] = _BUCKETS
         rough = np.bincount(bucket, minlength=_BUCKETS + 1)
         rough[_BUCKETS] = 0
         # A frequent pair makes its bucket crowded; only the pairs of such buckets are counted exactly.
-        at = np.flatnonzero((rough >= least)[bucket])
+        crowded = (rough >= least)[bucket]
+        at, bucket = at[crowded], bucket[crowded]
         pair = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
         values, counts = np.unique(pair, return_counts=True)
         if not len(values) or counts.max() < least:
             break
-        picked = counts >= max(least, counts.max() // share)
-        chosen, counts = values[picked], counts[picked]
-        # One pair per bucket and round, the most frequent; others wait for the next round.
-        slot = np.full(_BUCKETS + 1, -1)
-        rising = np.argsort(counts, kind="stable")
-        slot[_bucket((chosen[rising] >> np.uint64(32)).astype(np.uint32), chosen[rising].astype(np.uint32))] = rising
-        chosen = chosen[np.sort(slot[slot >= 0])]
-        slot[slot >= 0] = np.argsort(np.argsort(slot[slot >= 0]))
-        named = slot[bucket[at]]
-        hit = (named >= 0) & (chosen[named] == pair)
-        places, named = at[hit], named[hit]
+        cut = max(least, counts.max() // share)
+        chosen = values[counts >= cut]
+        wanted = np.zeros(_BUCKETS + 1, bool)
+        wanted[_bucket((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))] = True
+        likely = np.flatnonzero(wanted[bucket])
+        named = np.minimum(np.searchsorted(chosen, pair[likely]), len(chosen) - 1)
+        hit = chosen[named] == pair[likely]
+        places, named = at[likely[hit]], named[hit]
+        if cut == least:
+            fresh = base
         # Of overlapping occurrences every second one counts, from the left.
         new_run = np.concatenate(([True], np.diff(places) > 1))
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(places)), 0))
