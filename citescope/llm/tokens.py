@@ -216,14 +216,24 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """Ids of some symbols: every rule is written out once, then each nonterminal gives way to its own ids."""
+    """Ids of some symbols: every rule they need is written out once, then each nonterminal gives way to its own ids."""
+    symbols = symbols.astype(np.uint32)
+    pairs = rules.tolist()
+    needed = [False] * len(pairs)
+    for x in np.unique(symbols[symbols >= first_rule]).tolist():
+        needed[x - first_rule] = True
+    for k in range(len(pairs) - 1, -1, -1):
+        if needed[k]:
+            for x in pairs[k]:
+                if x >= first_rule:
+                    needed[x - first_rule] = True
     flat: list[np.ndarray] = []
-    for pair in rules.astype(np.uint32):
-        flat.append(np.concatenate([flat[x - first_rule] if x >= first_rule else pair[k : k + 1] for k, x in enumerate(pair.tolist())]))
+    for pair, wanted in zip(pairs, needed, strict=True):
+        own = [flat[x - first_rule] if x >= first_rule else np.array([x], np.uint32) for x in pair] if wanted else []
+        flat.append(np.concatenate([np.empty(0, np.uint32), *own]))
     sizes = np.array([len(x) for x in flat], np.int64)
     starts = np.cumsum(sizes) - sizes
     ids = np.concatenate([np.empty(0, np.uint32), *flat])
-    symbols = symbols.astype(np.uint32)
     at = np.flatnonzero(symbols >= first_rule)
     rule = symbols[at] - np.uint32(first_rule)
     times = np.ones(len(symbols), np.int64)
