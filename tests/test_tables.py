@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citescope.functions import ordered
+from citescope.functions.stats import one_decimal
 from citescope.operators import funnel, history, limits, measurement, notes, places
 from citescope.sources import dimensions, readers, sinks
 
@@ -90,6 +91,16 @@ def test_parse_count(spark):
     assert [r["n"] for r in df.select("i", places.parse_count("v").alias("n")).orderBy("i").collect()] == [2203, 51, 0, None, None, None, 12]
 
 
+def test_review_gap_rounds_the_exact_ratio(spark):
+    # 2869 / 20 is a little under 143.45, 6396 / 624 is exactly 10.25, 1999999 / 100000 carries.
+    cases = [(20, 2869, "143.4"), (624, 6396, "10.3"), (20, 23, "1.1"), (4, 7, "1.8"), (100000, 1999999, "20.0"), (3, 10**15, "333333333333333.3")]
+    df = spark.createDataFrame([(i, m, t) for i, (m, t, _) in enumerate(cases)], "i int, m bigint, t bigint")
+    got = df.orderBy("i").select(places.review_gap(F.col("m"), F.col("t")).alias("x")).collect()
+    assert [r["x"] for r in got] == [f"격차 ×{x}" for _, _, x in cases]
+    tiny = spark.createDataFrame([(0.05,), (0.04,), (0.0,), (0.95,), (0.25,)], "x double")
+    assert [r["s"] for r in tiny.select(one_decimal("x").alias("s")).collect()] == ["0.1", "0.0", "0.0", "0.9", "0.3"]
+
+
 def test_readers(spark, folder):
     def put(name, value):
         with open(f"{folder}/{name}", "w") as f:
