@@ -8,7 +8,7 @@ from ..functions import constants as K
 from ..operators import history, limits, measurement, notes, panel
 from ..functions.storage import run_folder
 from . import beds
-from .core import SQL, query, table
+from .core import SQL, dealt, query, table
 from .pages import AUDIT
 
 NOW = datetime(1998, 8, 2)
@@ -190,8 +190,9 @@ def feed_candidates(spark, sf):
 # --- planning ------------------------------------------------------------------------------------
 
 def _targets(spark, sf):
+    # A target becomes up to 72 calls.
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select(
+    return dealt(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 5_000).select(
         "s_suppkey", F.when(k % 4 < 2, F.concat(F.lit(" 구역"), k.cast("string"))).otherwise("").alias("district"),
         F.when(k % 2 == 0, "임플란트 ").otherwise("").alias("procedure"), F.when(k % 3 == 0, "피부과").otherwise("").alias("business_type"),
     )

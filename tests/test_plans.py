@@ -8,7 +8,7 @@ from citescope.operators import history, panel, robots
 from citescope.operators.scoring import page_scores, top_fixes
 from citescope.operators.signals import page_signals
 from citescope.plans.audit import audit
-from citescope.registry import beds
+from citescope.registry import beds, timeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,13 @@ def test_no_forced_broadcasts_or_cross_joins(spark):
     source = "\n".join(p.read_text() for p in Path("citescope").rglob("*.py") if not {"registry", "llm"} & set(p.parts))
     for word in ("crossJoin", "broadcast(", "localCheckpoint", ".toPandas("):
         assert word not in source, word
+
+
+def _largest_task(rows):
+    return max(r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def test_targets_are_dealt_out(spark, folder):
+    """One row group, which one task reads, must not become one task of calls."""
+    spark.range(1, 20_001, 1, 1).select(F.col("id").alias("s_suppkey")).write.parquet(f"{folder}/supplier.parquet")
+    assert _largest_task(timeline._targets(spark, folder)) < 6_000
