@@ -47,7 +47,7 @@ def page_scores(spark, sf):
 
 
 def _long_items(spark, sf):
-    return beds.part_items(spark, sf).select("p_partkey", F.inline("items"))
+    return beds.part_items_of(beds.parts(spark, sf)).select("p_partkey", F.inline("items"))
 
 
 @query("total_band", f"""WITH {beds.ITEMS}, s AS (SELECT p_partkey, CAST(sum(points) AS BIGINT) AS score FROM items GROUP BY 1)

@@ -8,7 +8,7 @@ from citescope.operators import history, panel, robots
 from citescope.operators.scoring import page_scores, top_fixes
 from citescope.operators.signals import page_signals
 from citescope.plans.audit import audit
-from citescope.registry import beds, timeline
+from citescope.registry import beds, scores, timeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,8 @@ def test_targets_are_dealt_out(spark, folder):
     """One row group, which one task reads, must not become one task of calls."""
     spark.range(1, 20_001, 1, 1).select(F.col("id").alias("s_suppkey")).write.parquet(f"{folder}/supplier.parquet")
     assert _largest_task(timeline._targets(spark, folder)) < 6_000
+
+
+def test_part_items_are_dealt_out(spark, folder):
+    spark.range(1, 60_001, 1, 1).select(F.col("id").alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
+    assert _largest_task(scores._long_items(spark, folder)) < 9 * 25_000
