@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from citescope.operators import history, panel, robots
-from citescope.operators.scoring import page_scores, top_fixes
+from citescope.operators.scoring import page_scores, score_items, top_fixes
 from citescope.operators.signals import page_signals
 from citescope.plans.audit import audit
 from citescope.registry import beds, scores, timeline
@@ -75,3 +75,10 @@ def test_targets_are_dealt_out(spark, folder):
 def test_part_items_are_dealt_out(spark, folder):
     spark.range(1, 60_001, 1, 1).select(F.col("id").alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
     assert _largest_task(scores._long_items(spark, folder)) < 9 * 25_000
+
+
+def test_items_are_built_once(spark, folder):
+    """A filter inferred from the generator would build them a second time, in the task that reads the row group."""
+    spark.range(1, 60_001, 1, 1).select(F.col("id").alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
+    df = score_items(beds.part_signals(spark, folder), ["p_partkey"])
+    assert not re.search(r"\bFilter \(", plan(df)) and _largest_task(df) < 9 * 25_000
