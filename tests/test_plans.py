@@ -82,3 +82,14 @@ def test_items_are_built_once(spark, folder):
     spark.range(1, 60_001, 1, 1).select(F.col("id").alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
     df = score_items(beds.part_signals(spark, folder), ["p_partkey"])
     assert not re.search(r"\bFilter \(", plan(df)) and _largest_task(df) < 9 * 25_000
+
+
+def test_listings_are_dealt_out(spark, folder):
+    listings = spark.range(1, 60_001, 1, 1).select(F.col("id").alias("c_custkey"), F.lit(1).alias("c_nationkey"), F.lit(1.5).alias("c_acctbal"))
+    listings.write.parquet(f"{folder}/customer.parquet")
+    assert _largest_task(beds.places(spark, folder)) < 25_000
+
+
+def test_sites_are_dealt_out(spark, folder):
+    spark.range(1, 60_001, 1, 1).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey")).write.parquet(f"{folder}/supplier.parquet")
+    assert _largest_task(beds.sites(spark, folder)) < 25_000
