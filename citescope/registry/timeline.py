@@ -338,6 +338,7 @@ def reuse_decisions(spark, sf):
 
 _FILES = 4
 _ROWS_PER_FILE = 20_000
+_PAGES_PER_FILE = 500
 
 
 def _stream(spark, sf, name, order="ts", closing=False):
@@ -362,11 +363,11 @@ def _stream(spark, sf, name, order="ts", closing=False):
     return stream
 
 
-def _batches(spark, rows):
+def _batches(spark, rows, per_file=_ROWS_PER_FILE):
     """(stream, folder): the rows of each `_file`, 1 to four, as one micro-batch."""
     folder = f"{run_folder(spark)}/in"
     counts = {r["_file"]: r["n"] for r in rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()}
-    files = max(1, min(counts.values(), default=1) // _ROWS_PER_FILE)
+    files = max(1, min(counts.values(), default=1) // per_file)
     for k in sorted(counts):
         part = rows.where(F.col("_file") == k).drop("_file")
         part.repartition(files).write.mode("append").parquet(folder)
@@ -510,7 +511,7 @@ def stream_audit(spark, sf):
         "host", "ts", F.when(kind == 2, 404).otherwise(200).alias("status"), F.lit("text/plain").alias("content_type"),
         F.concat(F.lit("User-agent: *\n"), rule).alias("body"), "_file",
     )
-    writer = audited(_batches(spark, pages)[0], folder, f"{folder}/checkpoint", _batches(spark, answers)[0])
+    writer = audited(_batches(spark, pages, _PAGES_PER_FILE)[0], folder, f"{folder}/checkpoint", _batches(spark, answers)[0])
     writer.trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{folder}/score")
     return rows.select("page_id", "domain", "crawl", F.col("score").cast("bigint").alias("score"), F.col("delta").cast("bigint").alias("delta"))

@@ -93,3 +93,10 @@ def test_listings_are_dealt_out(spark, folder):
 def test_sites_are_dealt_out(spark, folder):
     spark.range(1, 60_001, 1, 1).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey")).write.parquet(f"{folder}/supplier.parquet")
     assert _largest_task(beds.sites(spark, folder)) < 25_000
+
+
+def test_pages_of_a_batch_are_many_files(spark):
+    """A file of a micro-batch is one task: 20,000 pages would be parsed by one core."""
+    rows = spark.range(4_000).select("id", (F.col("id") % 4 + 1).cast("int").alias("_file"))
+    _, folder = timeline._batches(spark, rows, timeline._PAGES_PER_FILE)
+    assert len(spark.read.parquet(folder).inputFiles()) == 8
