@@ -49,9 +49,11 @@ class Latest(StatefulProcessor):
         yield out
 
     def _merge(self, known: list, batch: pd.DataFrame) -> list:
-        fresh = zip([t.to_pydatetime() for t in batch["ts"]], batch["record_id"], batch["score"])
+        # Only a batch's own newest can be among the newest of all.
+        newest = batch.sort_values(["ts", "record_id"], ascending=False)[: self._keep]
+        fresh = zip([t.to_pydatetime() for t in newest["ts"]], newest["record_id"], newest["score"])
         rows = [tuple(r) for r in known] + [(t, int(i), int(s)) for t, i, s in fresh]
-        return sorted(rows, key=lambda r: (_ms(r[0]), r[1]), reverse=True)[: self._keep]
+        return sorted(rows, key=lambda r: (r[0], r[1]), reverse=True)[: self._keep]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known = list(self._records.get()) if self._records.exists() else []

@@ -242,3 +242,10 @@ def test_chained_panel(spark, folder):
     twin = citation_panel(batch, ["site", "window_start"]).where(F.col("window_start") < F.lit(START + timedelta(days=29)))
     assert got.count() == twin.count() >= 8
     assert sorted(str(r) for r in got.select(columns).collect()) == sorted(str(r) for r in twin.select(columns).collect())
+
+
+def test_latest_state_orders_by_microseconds(spark, folder):
+    data = [(i, START + timedelta(microseconds=us), "ip", "k", "s", i, 0) for i, us in ((9, 1), (1, 2), (5, 2000))]
+    rows = spark.createDataFrame(data, REQUEST)
+    got = drain(state.latest_30_state(stream_of(spark, rows, folder), keep=2, days=90), folder, "out").collect()
+    assert sorted((r["hist_no"], r["record_id"]) for r in got) == [(1, 5), (2, 1)]
