@@ -1,6 +1,6 @@
 """Caps and reuse over streams, decided in the micro-batch a request arrives in.
 
-What a decision needs of the past is keyed state: the requests of an address and day so far, the time until which a result
+What a decision needs of the past is keyed state: the requests of every address of a bucket on a day so far, the time until which a result
 runs. Both end by event-time timers, so state holds open days and running results only. Requests that come after their
 day is closed (caps) or behind the watermark (reuse) change nothing any more; they leave as `late` rows, never unseen.
 
@@ -9,8 +9,8 @@ task would count up: a micro-batch is numbered in slices of time like the batch
 on to the next batch.
 
 Requests of one batch count in order of time, batches in order of arrival: on a stream in time order the decisions are those
-of the batch twin. An address or cache key holds the rows of one micro-batch in memory to sort them, so the trigger's size
-(`maxFilesPerTrigger`, `maxBytesPerTrigger`) bounds a task, however busy a key is.
+of the batch twin. A bucket of addresses or a cache key holds the rows of one micro-batch in memory to sort them, so the
+trigger's size (`maxFilesPerTrigger`, `maxBytesPerTrigger`) bounds a task, however busy a key is.
 """
 
 from __future__ import annotations
@@ -18,16 +18,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from ..functions import constants as K
 from ..functions.ordered import group_row_number
 from ..functions.storage import forget_batches, newest_batch
 
 _DAY_MS = 24 * 3600 * 1000
+#: Groups of addresses of one day. A call of Python and its state serve a bucket, not an address.
+_BUCKETS = 64
 
 
 def _with_watermark(requests: DataFrame, ts: str, late: str) -> DataFrame:
@@ -35,49 +39,72 @@ def _with_watermark(requests: DataFrame, ts: str, late: str) -> DataFrame:
     return requests.withColumn("_seen", F.col(ts)).withWatermark("_seen", late)
 
 
+def _frames(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of the micro-batch in order of time."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(["us", "place"], kind="stable", ignore_index=True)
+
+
 class _Numbers(StatefulProcessor):
-    """Running number of an address's requests on one day, until the day is closed."""
+    """Running numbers of the requests of a bucket of addresses on one day, until the day is closed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._count = handle.getValueState("count", "n bigint")
+        self._counts = handle.getListState("counts", "ip string, n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        day, address = key
-        closes = ((day - date(1970, 1, 1)).days + 1) * _DAY_MS
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = _frames(rows)
+        closes = ((frame["day"].iloc[0] - date(1970, 1, 1)).days + 1) * _DAY_MS
         late = closes <= timerValues.getCurrentWatermarkInMs()
-        known = not late and self._count.exists()
-        n = self._count.get()[0] if known else 0
-        for row in sorted(rows, key=lambda r: (r["_us"], r["_order"])):
-            n += 1
-            yield Row(**row["_row"], day=day, ip_no=None if late else n, late=late)
+        numbers = [None] * len(frame)
         if not late:
-            if not known:
+            exists = self._counts.exists()
+            known = {ip: n for ip, n in self._counts.get()} if exists else {}
+            for i, ip in enumerate(frame["ip"]):
+                ip = ip if isinstance(ip, str) else None
+                numbers[i] = known[ip] = known.get(ip, 0) + 1
+            if not exists:
                 self._handle.registerTimer(closes)
-            self._count.update((n,))
+            self._counts.put(list(known.items()))
+        yield frame[["packed", "day"]].assign(ip_no=pd.Series(numbers, dtype="object"), late=late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self._count.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._counts.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+#: Times inside of structs and lists keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def _packed(requests: DataFrame, ts: str, order: str, *keys: Column) -> DataFrame:
-    """The row as it came, beside what the operator reads of it."""
-    row = F.struct(*[c for c in requests.columns if c != "_seen"])
-    return requests.select(*keys, F.unix_micros(ts).alias("_us"), F.col(order).alias("_order"), row.alias("_row"))
+    """The row as it came in one text, which pandas doesn't take apart, beside what the operator reads of it."""
+    row = F.struct(*[
+        F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, TimestampType) else F.col(f.name)
+        for f in requests.schema.fields if f.name != "_seen"
+    ])
+    return requests.select(*keys, F.unix_micros(ts).alias("us"), F.col(order).alias("place"), F.to_json(row, _JSON).alias("packed"))
+
+
+def _unpacked(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of `schema` out of `packed`, then the others."""
+    times = {f.name for f in schema.fields if isinstance(f.dataType, TimestampType)}
+    plain = StructType([StructField(f.name, LongType() if f.name in times else f.dataType) for f in schema.fields])
+    others = [c for c in rows.columns if c != "packed"]
+    back = [F.col("_row")[f.name] for f in schema.fields]
+    named = [(F.timestamp_micros(c) if f.name in times else c).alias(f.name) for c, f in zip(back, schema.fields)]
+    return rows.select(F.from_json("packed", plain, _JSON).alias("_row"), *others).select(*named, *others)
 
 
 def address_numbers(requests: DataFrame, ip: str = "ip_hash", ts: str = "ts", order: str = "request_id", late: str = "2 days") -> DataFrame:
     """Stream of requests with day, `ip_no` (number within address and day) and `late`."""
-    schema = StructType([
-        *requests.schema.fields, StructField("day", requests.select(F.to_date(ts)).schema[0].dataType),
-        StructField("ip_no", LongType()), StructField("late", BooleanType()),
-    ])
-    rows = _packed(_with_watermark(requests, ts, late), ts, order, F.to_date(ts).alias("day"), F.col(ip).alias("_ip"))
-    return rows.groupBy("day", "_ip").transformWithState(_Numbers(), schema, "Append", "EventTime")
+    address, bucket = F.col(ip).cast("string").alias("ip"), F.pmod(F.xxhash64(F.col(ip)), F.lit(_BUCKETS)).alias("bucket")
+    rows = _packed(_with_watermark(requests, ts, late), ts, order, F.to_date(ts).alias("day"), address, bucket)
+    schema = "packed string, day date, ip_no bigint, late boolean"
+    numbered = rows.groupBy("day", "bucket").transformWithStateInPandas(_Numbers(), schema, "Append", "EventTime")
+    return _unpacked(numbered, requests.schema)
 
 
 def _days_so_far(batch: DataFrame, path: str, number: int) -> DataFrame:
@@ -156,23 +183,28 @@ class _Running(StatefulProcessor):
         """The first full millisecond later than `until`."""
         return until // 1000 + 1
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         open_from = timerValues.getCurrentWatermarkInMs() * 1000
         before = self._until.get()[0] if self._until.exists() else None
         until = before
-        for row in sorted(rows, key=lambda r: (r["_us"], r["_order"])):
-            if row["_us"] < open_from:
-                decision = "late"
-            elif until is None or row["_us"] > until:
-                decision, until = "run", row["_us"] + self._width
-            else:
-                decision = "reuse"
-            yield Row(**row["_row"], decision=decision)
+        frame = _frames(rows)
+        us = frame["us"].to_numpy(np.int64)
+        at = int(np.searchsorted(us, open_from))
+        decisions = np.full(len(us), "reuse", object)
+        decisions[:at] = "late"
+        while at < len(us):
+            if until is not None and us[at] <= until:
+                # From run to run, over all that reuses.
+                at = max(at, int(np.searchsorted(us, until, "right")))
+                continue
+            decisions[at], until = "run", int(us[at]) + self._width
+            at += 1
         if until != before:
             self._until.update((until,))
             self._handle.registerTimer(self._over_ms(until))
+        yield frame[["packed"]].assign(decision=decisions)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A newer run has set its own timer.
         if self._until.exists() and self._over_ms(self._until.get()[0]) <= timerValues.getCurrentWatermarkInMs():
             self._until.clear()
@@ -187,6 +219,7 @@ def reuse_decisions(
     hours: int = K.CACHE_HOURS, late: str = "2 days",
 ) -> DataFrame:
     """Stream of requests with `decision`: run, reuse, or late for one behind the watermark."""
-    schema = StructType([*requests.schema.fields, StructField("decision", StringType())])
-    rows = _packed(_with_watermark(requests, ts, late), ts, order, F.col(key).alias("_key"))
-    return rows.groupBy("_key").transformWithState(_Running(hours * 3600 * 1_000_000), schema, "Append", "EventTime")
+    rows = _packed(_with_watermark(requests, ts, late), ts, order, F.col(key).alias("key"))
+    running = _Running(hours * 3600 * 1_000_000)
+    decided = rows.groupBy("key").transformWithStateInPandas(running, "packed string, decision string", "Append", "EventTime")
+    return _unpacked(decided, requests.schema)

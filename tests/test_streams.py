@@ -249,3 +249,15 @@ def test_latest_state_orders_by_microseconds(spark, folder):
     rows = spark.createDataFrame(data, REQUEST)
     got = drain(state.latest_30_state(stream_of(spark, rows, folder), keep=2, days=90), folder, "out").collect()
     assert sorted((r["hist_no"], r["record_id"]) for r in got) == [(1, 5), (2, 1)]
+
+
+def test_caps_call_python_once_a_bucket(spark, folder):
+    """State and calls go with the buckets of a day, and every value comes back as it was."""
+    big = 2**60 + 1
+    data = [(i, START + timedelta(microseconds=i), None if i % 300 == 0 else f"ip{i % 300}", float("nan") if i % 2 else None, big if i % 3 else None) for i in range(900)]
+    rows = spark.createDataFrame(data, "request_id bigint, ts timestamp, ip_hash string, x double, n bigint")
+    got, _, progress = cap_stream(spark, stream_of(spark, rows, folder), folder, 2, 0)
+    assert max(p.stateOperators[0].numRowsTotal for p in progress) < 300
+    assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    twin = limits.cap_decisions(rows, 2, 0).select(CAP_COLUMNS)
+    assert sorted(map(str, got.select(CAP_COLUMNS).collect())) == sorted(map(str, twin.collect()))
