@@ -261,3 +261,12 @@ def test_caps_call_python_once_a_bucket(spark, folder):
     assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
     twin = limits.cap_decisions(rows, 2, 0).select(CAP_COLUMNS)
     assert sorted(map(str, got.select(CAP_COLUMNS).collect())) == sorted(map(str, twin.collect()))
+
+
+def test_reuse_returns_rows_as_they_were(spark, folder):
+    data = [(i, START + timedelta(hours=i, microseconds=i), "k", None if i % 2 else 2**60 + i) for i in range(60)]
+    rows = spark.createDataFrame(data, "request_id bigint, ts timestamp, cache_key string, n bigint")
+    got, _ = written(spark, decisions.reuse_decisions(stream_of(spark, rows, folder)), folder)
+    assert sorted(map(str, got.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+    twin = limits.reuse_decisions(rows).select("request_id", "decision")
+    assert sorted(map(tuple, got.select("request_id", "decision").collect())) == sorted(map(tuple, twin.collect()))
