@@ -1,15 +1,13 @@
-"""SimHash near-duplicates: multi-index hashing over fingerprint segments, then connected components. Similar sets by prefixes."""
+"""SimHash near-duplicates: multi-index hashing over fingerprint segments, then connected components."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from fractions import Fraction
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +22,17 @@ _CHUNK = 1 << 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Documents sampled for the order of shingles, and usual shingles known by name. Neither changes a result.
 _SAMPLE, _USUAL = 1 << 13, 1 << 17
-#: 64-bit words of parities per set.
-_PARITY_WORDS = 16
-#: Keys of up to so many sets are compared pair by pair.
-_PAIRED = 16
-#: Bands of larger keys, values in each, and the odd factors that order a set's values.
-_BANDS, _ROWS = 10, 2
-#: Leaders per band, round by round; later rounds are for few sets.
-_LEADERS = (3, 16)
-_ORDERS = [np.uint64(xxhash.xxh64_intdigest(b"order", i) | 1) for i in range(_BANDS * _ROWS)]
+#: 64-bit words of parities per set, and of its long fingerprint: _PRINT_WORDS * 2 segments of up to 32 bits.
+_PARITY_WORDS = _PRINT_WORDS = 16
+#: Bits of the first word by which similar sets may differ. At the similarity of 0.8 about 10 +- 3 do, of unlike sets 32 +- 4.
+_WORD_BITS = 24
+#: Keys of up to so many sets, and so many outside their largest group, are compared pair by pair.
+_LISTED, _PAIRED = 256, 16
+#: Leaders that a set meets under each segment, round by round. Later rounds are for sets outside a key's largest group.
+_LEADERS = (2, 16)
+_STREAMS = np.array([xxhash.xxh64_intdigest(b"stream", i) for i in range(_PRINT_WORDS)], np.uint64)
+#: Shingles whose bits are summed in a byte.
+_BYTE = 240
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -180,35 +180,43 @@ def _usual(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], found[order, 1]
 
 
-def _prefixes(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """(doc_id, node, n, at, key): the shingles, from the rarest, of which two similar sets must share one.
+def _print(runs: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles, _PRINT_WORDS words: a bit is 1 if it is set in over half the shingles' hashes. 0 without shingles."""
+    ones = np.zeros(_BITS * _PRINT_WORDS, np.int64)
+    for at in range(0, len(runs), _BYTE):
+        mixed = runs[at : at + _BYTE, None] + _STREAMS
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")
 
-    `node` names the set of the text's n shingles. A text without a word has one row without a key.
+
+def _sets(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """(row, doc_id, node, n, print, parities, keys) of every row. Stored.
+
+    `node` names the set of the text's n shingles, `print` is its fingerprint, `keys` are the shingles, from the rarest, of
+    which two similar sets must share one. A text without a word has no keys.
     """
-    keys, counts = _usual(docs, size)
+    usual, counts = _usual(docs, size)
 
     def per_batch(batch):
-        out = []
-        for text in batch.column(1).to_pylist():
-            runs = shingles(text, size)
+        found = [shingles(t, size) for t in batch.column(2).to_pylist()]
+        keys = []
+        for runs in found:
             n = len(runs)
             frequency = np.zeros(n, np.int64)
-            if n and len(keys):
-                at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
-                frequency = np.where(keys[at] == runs, counts[at], 0)
-            first = np.argsort(frequency, kind="stable")[: n - math.ceil(share * n) + 1]
-            out.append((_name(runs), n, runs[first].view(np.int64)))
-        lengths = [max(1, len(k)) for _, _, k in out]
-        rows = np.repeat(np.arange(len(out)), lengths)
+            if n and len(usual):
+                at = np.minimum(np.searchsorted(usual, runs), len(usual) - 1)
+                frequency = np.where(usual[at] == runs, counts[at], 0)
+            keys.append(runs[np.argsort(frequency, kind="stable")[: n - math.ceil(share * n) + 1]].view(np.int64))
         yield {
-            "doc_id": batch.column(0).take(pa.array(rows)),
-            "node": np.repeat(np.array([x for x, _, _ in out], np.int64), lengths),
-            "n": np.repeat(np.array([n for _, n, _ in out], np.int32), lengths),
-            "at": np.concatenate([np.empty(0, np.int32), *[np.arange(m, dtype=np.int32) for m in lengths]]),
-            "key": pa.chunked_array([pa.array(k if n else [None], pa.int64()) for _, n, k in out], pa.int64()).combine_chunks(),
+            "row": batch.column(0), "doc_id": batch.column(1), "node": [_name(x) for x in found], "n": [len(x) for x in found],
+            "print": [_print(x) for x in found], "parities": [_parities(x) for x in found], "keys": keys,
         }
 
-    return stored(map_rows(docs, per_batch, "doc_id long, node long, n int, at int, key long"))
+    schema = "row long, doc_id long, node long, n int, print array<long>, parities array<long>, keys array<long>"
+    return stored(map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), per_batch, schema))
 
 
 def _fits(n: Column, at: Column, other_n: Column, other_at: Column, share: Fraction) -> Column:
@@ -223,119 +231,130 @@ def _parities(runs: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _made(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(node, n, made) of the wanted `nodes`: what `make` gives for their sets. Only their texts are read again. Stored."""
+def _texts_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, n, shingles) of the wanted `nodes`. Only their texts are read again. Stored."""
 
     def per_batch(batch):
         found = [shingles(t, size) for t in batch.column(1).to_pylist()]
-        yield {"wanted": batch.column(0), "node": [_name(x) for x in found], "n": [len(x) for x in found], "made": [make(x) for x in found]}
+        yield {"wanted": batch.column(0), "node": [_name(x) for x in found], "n": [len(x) for x in found], "shingles": [x.view(np.int64) for x in found]}
 
-    wanted = nodes.select("node").distinct().join(firsts, "node")
-    texts = docs.join(stored(wanted.select(F.col("first_id").alias("doc_id"), "node")), "doc_id").select("node", "text")
-    sets = map_rows(texts, per_batch, "wanted long, node long, n int, made array<long>").where("wanted = node")
-    return stored(sets.drop("wanted").dropDuplicates(["node"]))
+    wanted = nodes.select("node").distinct().join(sets.select("node", "doc_id"), "node")
+    texts = docs.join(stored(wanted), "doc_id").select("node", "text")
+    found = map_rows(texts, per_batch, "wanted long, node long, n int, shingles array<long>").where("wanted = node")
+    return stored(found.drop("wanted").dropDuplicates(["node"]))
 
 
-def _sides(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """`pairs` (u, v) with n_u, n_v and what `make` gives for either set."""
-    sets = _made(docs, firsts, pairs.select(F.explode(F.array("u", "v")).alias("node")), size, make)
-    u, v = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("made").alias(f"of_{x}")) for x in "uv")
+def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """`pairs` (u, v) with n and `column` of either set."""
+    u, v = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"of_{x}")) for x in "uv")
     return pairs.join(u, "u").join(v, "v")
 
 
-def _band_keys(runs: np.ndarray) -> np.ndarray:
-    """A key per band: the least values of the set under the band's orders. Two sets share a band's key with the power of their similarity."""
-    least = [int((runs * f).min()) for f in _ORDERS]
-    keys = [xxhash.xxh64_intdigest(np.array(least[i : i + _ROWS], np.uint64).tobytes(), i) for i in range(0, len(least), _ROWS)]
-    return np.array(keys, np.uint64).view(np.int64)
+def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, share: Fraction) -> DataFrame:
+    """The `pairs` (u, v) of sets with at least that Jaccard similarity. Stored.
 
+    Parities leave out pairs that differ in too many shingles; the others are compared on all shingles.
+    """
+    p, q = share.numerator, share.denominator
+    total = F.col("n_u") + F.col("n_v")
+    bits = [F.bit_count(F.get("of_u", F.lit(k)).bitwiseXOR(F.get("of_v", F.lit(k)))) for k in range(_PARITY_WORDS)]
+    apart = reduce(lambda x, y: x + y, bits)
+    likely = stored(_sides(pairs, sets, "parities").where((p + q) * apart <= (q - p) * total).select("u", "v"))
+    whole = _texts_sets(docs, sets, likely.select(F.explode(F.array("u", "v")).alias("node")), size)
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    return stored(_sides(likely, whole, "shingles").where((p + q) * common >= p * total).select("u", "v"))
 
-def _led_pairs(bands: DataFrame, members: DataFrame, searching: DataFrame, leaders: int) -> DataFrame:
-    """Candidates (u, v): every node of `searching` with the leaders of its `bands` (node, band) that are in other groups.
 
-    `members` (node, root) has all nodes. Linear in the nodes, whatever the size of a key or band. Two sets of similarity s
-    share one of the bands with probability 1 - (1 - s ** _ROWS) ** _BANDS, 0.99996 at 0.8; every band has other leaders, so
-    a set of a large band meets many different ones.
-    """
-    who = F.struct("node", "root")
-    rows = stored(bands.join(members, "node"))
-    drawn = [F.min_by(who, F.xxhash64("node", "band", F.lit(leaders), F.lit(i))) for i in range(leaders)]
-    tops = rows.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("tops"), F.count("*").alias("sets")).where("sets > 1")
-    others = F.filter("tops", lambda o: o["root"] != F.col("root"))
-    led = rows.join(searching, "node", "left_semi").join(tops, "band").select("node", F.explode(others).alias("o"))
-    return led.select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v"))
+def _with_root(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return stored(nodes.join(stored(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, root, ...) of keys with several groups, with the key's largest group `main` and its number of members."""
-    sizes = rows.groupBy("key", "root").count()
-    main = sizes.groupBy("key").agg(
-        F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("count").alias("members")
-    )
-    return stored(rows.join(stored(main.where("roots > 1")), "key"))
+def _segment_keys(width: int) -> Column:
+    """One number per segment of `print`: the segment's place and its lowest `width` bits."""
+    halves = [F.shiftrightunsigned(F.get("print", F.lit(s // 2)), 32 * (s % 2)) for s in range(2 * _PRINT_WORDS)]
+    return F.array(*[h.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 32)).cast("long") for s, h in enumerate(halves)])
 
 
-def _with_root(rows: DataFrame, links: DataFrame) -> DataFrame:
-    return stored(rows.join(stored(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+def _main(rows: DataFrame) -> DataFrame:
+    """(key, main, size, sets): the largest group of every key of `rows` (key, root), its number of sets and that of all groups."""
+    sizes = rows.groupBy("key", "root").count()
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("sets"))
+    return main.select("key", F.col("main.root").alias("main"), F.col("main.count").alias("size"), "sets")
 
 
-def _similar(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """The `pairs` (u, v) of sets with at least that Jaccard similarity. Stored.
+def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool) -> DataFrame:
+    """Candidates (u, v) by multi-index hashing: sets of different groups that agree in a segment of the fingerprint, near in its first word.
 
-    Parities leave out pairs that differ in too many shingles; the others are compared on all shingles.
+    Every set, or with `outside` every one that is not in its key's largest group, meets `leaders` of each of its keys, drawn
+    anew for each key, so the work is linear in the sets however many agree. `roots` (node, root) has all sets.
     """
-    p, q = share.numerator, share.denominator
-    total = F.col("n_u") + F.col("n_v")
-    bits = [F.bit_count(F.get("of_u", F.lit(k)).bitwiseXOR(F.get("of_v", F.lit(k)))) for k in range(_PARITY_WORDS)]
-    apart = reduce(lambda x, y: x + y, bits)
-    likely = _sides(docs, firsts, pairs, size, _parities).where((p + q) * apart <= (q - p) * total)
-    likely = stored(likely.select("u", "v"))
-    common = F.size(F.array_intersect("of_u", "of_v"))
-    same = _sides(docs, firsts, likely, size, lambda runs: runs.view(np.int64)).where((p + q) * common >= p * total)
-    return stored(same.select("u", "v"))
+    # Keys have a few bits more than it takes to number the sets, so unlike sets rarely meet.
+    width = min(32, max(8, math.ceil(math.log2(max(1, sets.count()))) + 2))
+    rows = sets.select("node", F.explode(_segment_keys(width)).alias("key")).join(roots, "node")
+    salts = [F.xxhash64("key", F.lit(leaders), F.lit(i)) for i in range(leaders)]
+    drawn = F.array(*[F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt) for salt in salts])
+    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.array_distinct(drawn).alias("tops"))
+    searching = rows.join(mixed.where("least < most").select("key", "tops"), "key")
+    if outside:
+        searching = stored(searching)
+        searching = searching.join(_main(searching), "key").where("root <> main")
+    met = searching.select("node", F.explode("tops").alias("top")).where("node <> top")
+    pairs = met.select(F.least("node", "top").alias("u"), F.greatest("node", "top").alias("v")).distinct()
+    words_ = sets.select("node", F.get("print", F.lit(0)).alias("word")).join(roots, "node")
+    u, v = (words_.select(F.col("node").alias(x), F.col("word").alias(f"of_{x}"), F.col("root").alias(f"root_{x}")) for x in "uv")
+    near = F.bit_count(F.col("of_u").bitwiseXOR(F.col("of_v"))) <= _WORD_BITS
+    return stored(pairs.join(u, "u").join(v, "v").where((F.col("root_u") != F.col("root_v")) & near).select("u", "v"))
+
+
+def _key_pairs(sets: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
+    """Candidates (u, v): sets of different groups that share one of their `keys`.
+
+    In keys of up to _LISTED sets with up to _PAIRED outside the key's largest group these are all pairs, at most _PAIRED per set.
+    """
+    rows = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).join(roots, "node")
+    ends = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("root").alias("least"), F.max("root").alias("most"))
+    several = ends.where((F.col("sets") <= _LISTED) & (F.col("least") < F.col("most"))).select("key")
+    mixed = stored(rows.join(several, "key", "left_semi"))
+    open_ = stored(mixed.join(_main(mixed).where(F.col("sets") - F.col("size") <= _PAIRED), "key"))
+    a, b = open_.where("root <> main").alias("a"), open_.alias("b")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    fits = _fits(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"), share)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & fits)
+    return stored(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, first_id, group_id) of every distinct set of shingles: groups linked by a Jaccard similarity of at least `similarity`.
 
-    `first_id` is the smallest doc_id of the set, `group_id` that of the group. Two sets that are so similar share
-    one of their rarest n - ceil(similarity * n) + 1 shingles, whatever the order of shingles, so no fingerprint distance
-    is assumed. Members of such a key are compared with its least and greatest set first; then only members that are
-    still in different groups are. In keys of up to _PAIRED sets every open pair is compared, which is exact; larger ones,
-    whose pairs would grow with the square of a group, are searched by bands (see `_led_pairs`). Candidates are
-    verified on all shingles.
+    `first_id` is the smallest doc_id of the set, `group_id` that of the group. SimHash with multi-index hashing finds the
+    candidates: each of the segments of a set's long fingerprint is entered into a table, sets that agree in one meet (see
+    `_print_pairs`; fingerprints that differ in fewer bits than there are segments always agree in one). What is still
+    apart is looked up by its rarest shingles: two sets that are so similar share one of their rarest
+    n - ceil(similarity * n) + 1 shingles, whatever the order of shingles (see `_key_pairs`). Pairs of keys that hold more
+    sets, or more outside their largest group, would grow with the square of a group; there the fingerprints alone
+    decide. Candidates are verified on all shingles.
     """
     share = Fraction(str(similarity))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    postings = _prefixes(docs, shingle, share)
-    firsts = stored(postings.where("at = 0").groupBy("node").agg(F.min("doc_id").alias("first_id")))
-    several = stored(postings.where("key is not null").groupBy("key").count().where("count > 1").select("key"))
-    shared = stored(postings.select("key", "node", "n", "at").join(several, "key", "left_semi").distinct())
-    member = F.struct("node", "n", "at")
-    tops = stored(shared.groupBy("key").agg(F.array(F.min(member), F.max(member)).alias("tops")))
-    led = shared.join(tops, "key").select("node", "n", "at", F.explode("tops").alias("o"))
-    led = led.where((F.col("node") != F.col("o.node")) & _fits(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), share))
-    tested = stored(led.select(F.least("node", "o.node").alias("u"), F.greatest("node", "o.node").alias("v")).distinct())
-    found = _similar(docs, firsts, tested, shingle, share)
-    mixed = _mixed(_with_root(shared, found))
-    few = mixed.where(F.col("members") <= _PAIRED)
-    a, b = few.where("root <> main").alias("a"), few.alias("b")
-    fits = _fits(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"), share)
-    open_ = a.join(b, F.col("a.key") == F.col("b.key")).where(
-        (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))) & fits
-    )
-    open_ = open_.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
-    crowded = mixed.where(F.col("members") > _PAIRED).select("key", "node", "root")
-    bands = _made(docs, firsts, crowded, shingle, _band_keys).select("node", F.explode("made").alias("band"))
+    rows = _sets(docs, shingle, share)
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = rows.select("row", "node", "doc_id").join(first, ["node", "doc_id"]).groupBy("node").agg(F.min("row").alias("row"))
+    sets = rows.join(stored(first.select("row")), "row", "left_semi")
+    nodes = stored(sets.select("node", F.col("doc_id").alias("first_id")))
+    some = sets.where("n > 0")
+    found = tested = None
+    roots = nodes.select("node", F.col("node").alias("root"))
     for leaders in _LEADERS:
-        # What isn't in its key's largest group looks on.
-        rest = _mixed(crowded).where("root <> main").select("node").distinct()
-        led = _led_pairs(bands, crowded.select("node", "root").distinct(), rest, leaders)
-        open_ = led if open_ is None else open_.unionByName(led)
-        open_ = stored(open_.distinct().join(tested, ["u", "v"], "left_anti"))
-        found = stored(found.unionByName(_similar(docs, firsts, open_, shingle, share)))
-        crowded, tested, open_ = _with_root(crowded.select("key", "node"), found), tested.unionByName(open_), None
-    rooted = _with_root(firsts, found)
+        pairs = _print_pairs(some, roots, leaders, found is not None)
+        if found is None:
+            found, tested = _similar(docs, some, pairs, shingle, share), pairs
+        else:
+            pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"))
+            found, tested = found.unionByName(_similar(docs, some, pairs, shingle, share)), tested.unionByName(pairs)
+        roots = _with_root(nodes.select("node"), found)
+    pairs = _key_pairs(some, roots, share).join(tested, ["u", "v"], "left_anti")
+    found = stored(found.unionByName(_similar(docs, some, stored(pairs), shingle, share)))
+    rooted = _with_root(nodes, found)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return rooted.join(least, "root").select("node", "first_id", "group_id")
 

@@ -3,10 +3,12 @@
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citescope.llm import leaks, mixing, queries, repeats, simhash, tokens, toxic
 from citescope.llm.common import components
@@ -114,6 +116,41 @@ def test_keep_one_of_similar_texts(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_fingerprints_find_near_copies(spark):
+    """SimHash segments give the candidates: as many as the sets allow in a large group, and all that a small one has."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(40)), "a") for i in range(40)]
+    for i in range(300):
+        copy = list(base)
+        copy[rnd.randrange(200)] = f"x{i}"
+        rows.append((len(rows), " ".join(copy), "a"))
+    docs = documents(spark, rows).select("doc_id", "text")
+    sets = simhash._sets(docs, 5, Fraction(4, 5))
+    roots = sets.select("node", F.col("node").alias("root"))
+    pairs = simhash._print_pairs(sets, roots, 2, False)
+    assert pairs.count() <= 2 * 32 * 300
+    found = simhash._similar(docs, sets, pairs, 5, Fraction(4, 5))
+    named = {r["node"]: r["doc_id"] for r in sets.collect()}
+    groups = components(found).groupBy("root").agg(F.collect_set("node").alias("nodes")).collect()
+    assert [sorted(named[n] for n in r["nodes"]) for r in groups] == [list(range(40, 340))]
+
+
+def test_fingerprints_match_a_plain_version():
+    runs = simhash.shingles(" ".join(f"w{i}" for i in range(700)))
+    mask = (1 << 64) - 1
+    for word in (0, 15):
+        ones = [0] * 64
+        for x in runs.tolist():
+            h = x + int(simhash._STREAMS[word]) & mask
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            h ^= h >> 31
+            ones = [n + (h >> b & 1) for b, n in enumerate(ones)]
+        assert int(simhash._print(runs)[word]) % (1 << 64) == sum(1 << b for b, n in enumerate(ones) if 2 * n > len(runs))
+    assert not simhash._print(runs[:0]).any() and len(simhash._print(runs)) == 16
+
+
 def test_keep_one_in_crowded_keys(spark):
     """A passage in most texts, a large group of near copies, and pairs hidden among them: keys too large to be paired."""
     rnd = random.Random(6)
