@@ -31,8 +31,8 @@ _LISTED, _PAIRED = 256, 16
 #: Leaders that a set meets under each segment, round by round. Later rounds are for sets outside a key's largest group.
 _LEADERS = (2, 16)
 _STREAMS = np.array([xxhash.xxh64_intdigest(b"stream", i) for i in range(_PRINT_WORDS)], np.uint64)
-#: Shingles whose bits are summed in a byte.
-_BYTE = 240
+#: Shingles whose bits are summed in a byte, and texts whose sets are held at once.
+_BYTE, _HELD = 240, 256
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -200,7 +200,7 @@ def _sets(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
     """
     usual, counts = _usual(docs, size)
 
-    def per_batch(batch):
+    def per_part(batch):
         found = [shingles(t, size) for t in batch.column(2).to_pylist()]
         keys = []
         for runs in found:
@@ -210,11 +210,15 @@ def _sets(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
                 at = np.minimum(np.searchsorted(usual, runs), len(usual) - 1)
                 frequency = np.where(usual[at] == runs, counts[at], 0)
             keys.append(runs[np.argsort(frequency, kind="stable")[: n - math.ceil(share * n) + 1]].view(np.int64))
-        yield {
+        return {
             "row": batch.column(0), "doc_id": batch.column(1), "node": [_name(x) for x in found], "n": [len(x) for x in found],
             "print": [_print(x) for x in found], "parities": [_parities(x) for x in found], "keys": keys,
         }
 
+    def per_batch(batch):
+        for at in range(0, batch.num_rows, _HELD):
+            yield per_part(batch.slice(at, _HELD))
+
     schema = "row long, doc_id long, node long, n int, print array<long>, parities array<long>, keys array<long>"
     return stored(map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), per_batch, schema))
 
@@ -234,9 +238,13 @@ def _parities(runs: np.ndarray) -> np.ndarray:
 def _texts_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, n, shingles) of the wanted `nodes`. Only their texts are read again. Stored."""
 
-    def per_batch(batch):
+    def per_part(batch):
         found = [shingles(t, size) for t in batch.column(1).to_pylist()]
-        yield {"wanted": batch.column(0), "node": [_name(x) for x in found], "n": [len(x) for x in found], "shingles": [x.view(np.int64) for x in found]}
+        return {"wanted": batch.column(0), "node": [_name(x) for x in found], "n": [len(x) for x in found], "shingles": [x.view(np.int64) for x in found]}
+
+    def per_batch(batch):
+        for at in range(0, batch.num_rows, _HELD):
+            yield per_part(batch.slice(at, _HELD))
 
     wanted = nodes.select("node").distinct().join(sets.select("node", "doc_id"), "node")
     texts = docs.join(stored(wanted), "doc_id").select("node", "text")
