@@ -273,8 +273,12 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, shar
     return stored(_sides(likely, whole, "shingles").where((p + q) * common >= p * total).select("u", "v"))
 
 
-def _with_root(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return stored(nodes.join(stored(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`roots` (node, root) after further `links` (u, v) of nodes. Only links between the groups so far are followed. Stored."""
+    of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    between = links.join(of_u, "u").join(of_v, "v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    merged = stored(components(between).select(F.col("node").alias("root"), F.col("root").alias("least")))
+    return stored(roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
 
 
 def _segment_keys(width: int) -> Column:
@@ -290,23 +294,37 @@ def _main(rows: DataFrame) -> DataFrame:
     return main.select("key", F.col("main.root").alias("main"), F.col("main.count").alias("size"), "sets")
 
 
-def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool) -> DataFrame:
+def _shared(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The `rows` (node, key, ...) whose key several sets have, at most `most` if given. Stored. Most keys have one set."""
+    sizes = rows.groupBy("key").count().where("count > 1")
+    if most is not None:
+        sizes = sizes.where(F.col("count") <= most)
+    return stored(rows.join(sizes.select("key"), "key", "left_semi"))
+
+
+def _segment_rows(sets: DataFrame) -> DataFrame:
+    """(node, key): the segments of fingerprints in which several sets agree. Stored."""
+    # Keys have a few bits more than it takes to number the sets, so unlike sets rarely meet.
+    width = min(32, max(8, math.ceil(math.log2(max(1, sets.count()))) + 2))
+    return _shared(sets.select("node", F.explode(_segment_keys(width)).alias("key")))
+
+
+def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool, agreeing: DataFrame | None = None) -> DataFrame:
     """Candidates (u, v) by multi-index hashing: sets of different groups that agree in a segment of the fingerprint, near in its first word.
 
     Every set, or with `outside` every one that is not in its key's largest group, meets `leaders` of each of its keys, drawn
-    anew for each key, so the work is linear in the sets however many agree. `roots` (node, root) has all sets.
+    anew for each key, so the work is linear in the sets however many agree. `roots` (node, root) has all sets; `agreeing`
+    are the `_segment_rows`, if they are known.
     """
-    # Keys have a few bits more than it takes to number the sets, so unlike sets rarely meet.
-    width = min(32, max(8, math.ceil(math.log2(max(1, sets.count()))) + 2))
-    rows = sets.select("node", F.explode(_segment_keys(width)).alias("key")).join(roots, "node")
+    rows = (_segment_rows(sets) if agreeing is None else agreeing).join(roots, "node")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    searching = stored(rows.join(mixed.select("key"), "key", "left_semi"))
     salts = [F.xxhash64("key", F.lit(leaders), F.lit(i)) for i in range(leaders)]
     drawn = F.array(*[F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt) for salt in salts])
-    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.array_distinct(drawn).alias("tops"))
-    searching = rows.join(mixed.where("least < most").select("key", "tops"), "key")
+    tops = searching.groupBy("key").agg(F.array_distinct(drawn).alias("tops"))
     if outside:
-        searching = stored(searching)
         searching = searching.join(_main(searching), "key").where("root <> main")
-    met = searching.select("node", F.explode("tops").alias("top")).where("node <> top")
+    met = searching.join(tops, "key").select("node", F.explode("tops").alias("top")).where("node <> top")
     pairs = met.select(F.least("node", "top").alias("u"), F.greatest("node", "top").alias("v")).distinct()
     words_ = sets.select("node", F.get("print", F.lit(0)).alias("word")).join(roots, "node")
     u, v = (words_.select(F.col("node").alias(x), F.col("word").alias(f"of_{x}"), F.col("root").alias(f"root_{x}")) for x in "uv")
@@ -319,11 +337,10 @@ def _key_pairs(sets: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
 
     In keys of up to _LISTED sets with up to _PAIRED outside the key's largest group these are all pairs, at most _PAIRED per set.
     """
-    rows = sets.select("node", "n", F.posexplode("keys").alias("at", "key")).join(roots, "node")
-    ends = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min("root").alias("least"), F.max("root").alias("most"))
-    several = ends.where((F.col("sets") <= _LISTED) & (F.col("least") < F.col("most"))).select("key")
-    mixed = stored(rows.join(several, "key", "left_semi"))
-    open_ = stored(mixed.join(_main(mixed).where(F.col("sets") - F.col("size") <= _PAIRED), "key"))
+    shared = _shared(sets.select("node", F.posexplode("keys").alias("at", "key")), _LISTED)
+    rows = stored(shared.join(sets.select("node", "n").join(roots, "node"), "node"))
+    mixed = _main(rows).where((F.col("size") < F.col("sets")) & (F.col("sets") - F.col("size") <= _PAIRED))
+    open_ = stored(rows.join(mixed, "key"))
     a, b = open_.where("root <> main").alias("a"), open_.alias("b")
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     fits = _fits(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"), share)
@@ -350,19 +367,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     sets = rows.join(stored(first.select("row")), "row", "left_semi")
     nodes = stored(sets.select("node", F.col("doc_id").alias("first_id")))
     some = sets.where("n > 0")
-    found = tested = None
+    tested = None
     roots = nodes.select("node", F.col("node").alias("root"))
+    agreeing = _segment_rows(some)
     for leaders in _LEADERS:
-        pairs = _print_pairs(some, roots, leaders, found is not None)
-        if found is None:
-            found, tested = _similar(docs, some, pairs, shingle, share), pairs
-        else:
+        pairs = _print_pairs(some, roots, leaders, tested is not None, agreeing)
+        if tested is not None:
             pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"))
-            found, tested = found.unionByName(_similar(docs, some, pairs, shingle, share)), tested.unionByName(pairs)
-        roots = _with_root(nodes.select("node"), found)
-    pairs = _key_pairs(some, roots, share).join(tested, ["u", "v"], "left_anti")
-    found = stored(found.unionByName(_similar(docs, some, stored(pairs), shingle, share)))
-    rooted = _with_root(nodes, found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = _merged(roots, _similar(docs, some, pairs, shingle, share))
+    pairs = stored(_key_pairs(some, roots, share).join(tested, ["u", "v"], "left_anti"))
+    roots = _merged(roots, _similar(docs, some, pairs, shingle, share))
+    rooted = nodes.join(roots, "node")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return rooted.join(least, "root").select("node", "first_id", "group_id")
 

@@ -1,9 +1,11 @@
 """Operators on documents against plain versions."""
 
 import random
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citescope.llm import leaks, mixing, queries, repeats, simhash, tokens, toxic
-from citescope.llm.common import components
+from citescope.llm.common import components, stored
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, key string"
@@ -175,6 +177,39 @@ def test_keep_one_in_crowded_keys(spark):
     assert len({r["group_id"] for r in groups}) <= len(set(expected.values())) + 2
 
 
+def test_links_within_a_group_are_followed_once(spark, monkeypatch):
+    """Later rounds connect groups, not again all sets of a large group."""
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        copy[rnd.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy), "a"))
+    given = []
+
+    def counted(edges):
+        given.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    groups = simhash.similar_groups(documents(spark, rows)).collect()
+    assert {r["group_id"] for r in groups} == {0} and len(groups) == 150
+    assert given[0] >= 149 and sum(given[1:]) < 149
+
+
+def test_stored_keeps_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+    before = files()
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 7
+
+
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
