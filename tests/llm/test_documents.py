@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citescope.llm import leaks, mixing, queries, repeats, simhash, tokens, toxic
-from citescope.llm.common import components, stored
+from citescope.llm.common import components, map_rows, stored
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, key string"
@@ -210,6 +210,18 @@ def test_stored_keeps_no_shuffle_files(spark):
     assert table.count() == 7
 
 
+def test_stored_rows_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        sizes = stored(map_rows(spark.range(0, 9000, 1, 1), lambda batch: iter([{"n": [batch.num_rows]}]), "n int"))
+        assert sizes.agg(F.max("n"), F.sum("n")).first() == (1024, 9000)
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
