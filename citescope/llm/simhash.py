@@ -309,12 +309,12 @@ def _segment_rows(sets: DataFrame) -> DataFrame:
     return _shared(sets.select("node", F.explode(_segment_keys(width)).alias("key")))
 
 
-def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool, agreeing: DataFrame | None = None) -> DataFrame:
+def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool, agreeing: DataFrame | None = None, tested: DataFrame | None = None) -> DataFrame:
     """Candidates (u, v) by multi-index hashing: sets of different groups that agree in a segment of the fingerprint, near in its first word.
 
     Every set, or with `outside` every one that is not in its key's largest group, meets `leaders` of each of its keys, drawn
     anew for each key, so the work is linear in the sets however many agree. `roots` (node, root) has all sets; `agreeing`
-    are the `_segment_rows`, if they are known.
+    are the `_segment_rows`, if they are known. Pairs that were `tested` (u, v) don't come up again.
     """
     rows = (_segment_rows(sets) if agreeing is None else agreeing).join(roots, "node")
     mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
@@ -326,6 +326,8 @@ def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool,
         searching = searching.join(_main(searching), "key").where("root <> main")
     met = searching.join(tops, "key").select("node", F.explode("tops").alias("top")).where("node <> top")
     pairs = met.select(F.least("node", "top").alias("u"), F.greatest("node", "top").alias("v")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["u", "v"], "left_anti")
     words_ = sets.select("node", F.get("print", F.lit(0)).alias("word")).join(roots, "node")
     u, v = (words_.select(F.col("node").alias(x), F.col("word").alias(f"of_{x}"), F.col("root").alias(f"root_{x}")) for x in "uv")
     near = F.bit_count(F.col("of_u").bitwiseXOR(F.col("of_v"))) <= _WORD_BITS
@@ -371,9 +373,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     roots = nodes.select("node", F.col("node").alias("root"))
     agreeing = _segment_rows(some)
     for leaders in _LEADERS:
-        pairs = _print_pairs(some, roots, leaders, tested is not None, agreeing)
-        if tested is not None:
-            pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"))
+        pairs = _print_pairs(some, roots, leaders, tested is not None, agreeing, tested)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = _merged(roots, _similar(docs, some, pairs, shingle, share))
     pairs = stored(_key_pairs(some, roots, share).join(tested, ["u", "v"], "left_anti"))

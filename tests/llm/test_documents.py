@@ -198,6 +198,15 @@ def test_links_within_a_group_are_followed_once(spark, monkeypatch):
     assert given[0] >= 149 and sum(given[1:]) < 149
 
 
+def test_tested_pairs_do_not_come_up_again(spark):
+    rows = [(i, " ".join([*(f"b{j}" for j in range(100)), f"x{i}"]), "a") for i in range(30)]
+    sets = simhash._sets(documents(spark, rows).select("doc_id", "text"), 5, Fraction(4, 5))
+    roots = sets.select("node", F.col("node").alias("root"))
+    first = simhash._print_pairs(sets, roots, 2, False)
+    tested = stored(first.limit(10))
+    assert simhash._print_pairs(sets, roots, 2, False, tested=tested).count() == first.count() - 10
+
+
 def test_stored_keeps_no_shuffle_files(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
     files = lambda: {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
