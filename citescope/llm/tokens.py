@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import zlib
-from array import array
-from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,15 +19,12 @@ from .common import map_rows, stored
 END = 2
 #: Ids per block at least, unless the shard ends; a block never cuts a document.
 BLOCK_IDS = 1 << 20
-#: Units and pre-tokens whose ids a worker remembers before the older ones are forgotten, and the longest ones that it does.
-_REMEMBERED, _LONGEST = 300_000, 64
+#: Units whose ids a worker remembers before it forgets all but the latest half, and the longest that the library gets joined.
+_REMEMBERED, _LONGEST = 1_000_000, 64
+#: Bytes of text cut at once, unless one text is longer, and unknown units that the library gets at once.
+_SLICE, _JOINED = 1 << 23, 128
 #: A blank before which a pre-token always ends.
 _CUT = re.compile(r"(?<=\S) | (?=\S)")
-#: Units of these characters are cut into pre-tokens here; their classes are the same in every Unicode version.
-_PLAIN = re.compile(r"[\x20-\x7E\n\r\t\u00A1-\u024F]*")
-_MARKS = frozenset(".,;:!?()\"'-")
-#: Fixed value: the pre-token pattern of byte-level BPE tokenizers.
-_PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_letters() -> str:
@@ -37,100 +34,149 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in shown else 256 + others.index(b)) for b in range(256))
 
 
-class _Units(dict):
-    """Ids (bytes) of a blank and the unit after it, found when first asked for."""
-
-    def __init__(self, tokenizer, settings: dict):
-        import regex
-
-        super().__init__()
-        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
-        self.pre_tokens, self.letters, self.parts = regex.compile(_PRE_TOKEN).findall, _byte_letters(), {}
-        first = settings["pre_tokenizer"] or {}
-        added = [t["content"] for t in settings["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
-        #: Are pre-tokens cut by the fixed pattern and nothing else?
-        self.known_form = (
-            first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
-            and settings["normalizer"] is None and settings["model"]["type"] == "BPE"
-        )
-        #: May texts be cut at blanks at all?
-        self.cuts = self.known_form and not any(t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"])) for t in settings["added_tokens"])
-
-        #: Can no special id hide in letters with one mark behind them?
-        self.short = self.known_form and all(len(c) > 1 and not c[:-1].isalpha() for c in added)
-        self.older, self.crossed = {}, False
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def part(self, part: str) -> bytes | None:
-        """Ids of one pre-token; none if it has other letters than the plain ones."""
-        found = self.parts.get(part)
-        if found is None and (part.isascii() or _PLAIN.fullmatch(part)):
-            found = array("I", [t.id for t in self.tokenize(charmap_decode(part.encode(), "strict", self.letters)[0])]).tobytes()
-            if len(part) <= _LONGEST:
-                if len(self.parts) >= _REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = found
-        return found
-
-    def ids(self, text: str) -> bytes:
-        if not self.known_form or not _PLAIN.fullmatch(text) or self.special.search(text):
-            return self.whole(text)
-        return b"".join(map(self.part, self.pre_tokens(text)))
-
-    def __missing__(self, unit: str) -> bytes:
-        if not unit or unit[0].isspace():
-            self.crossed = True  # A pre-token may go on over this blank.
-            return b""
-        found = self.older.get(unit)
-        if found is None and self.short:
-            if unit.isalpha():
-                found = self.part(" " + unit)
-            elif unit[-1] in _MARKS:
-                word = unit[:-1]
-                if word.isalpha() and (found := self.get(word) or self.part(" " + word)) is not None:
-                    found += self.part(unit[-1])
-        if found is None:
-            found = self.ids(" " + unit)
-        if len(unit) <= _LONGEST:
-            if len(self) >= _REMEMBERED:
-                # What is met again comes back from the older ones.
-                self.older = dict(self)
-                self.clear()
-            self[unit] = found
-        return found
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at `starts` and have `sizes`, one run after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(sizes.sum())
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, remembering the ids of blank-separated units and of pre-tokens.
+    """Ids of whole texts by the tokenizers library, which gets each different unit once while it is remembered.
 
-    A byte-level tokenizer's pre-tokens never cross most blanks, so a text is cut there, and its units of plain letters are
-    cut into pre-tokens, for which the library's BPE model gives the ids. Other units, and texts for tokenizers of any other
-    form, go whole through the library.
+    A byte-level tokenizer's pre-tokens never cross most blanks, so texts are cut there. A mark after a unit's last letter is
+    a pre-token of its own. Arrow finds the different units of a slice of texts; unknown ones go to the library in one text,
+    whose ids are cut where a blank starts. Texts for tokenizers of any other form go whole through the library.
     """
 
     def __init__(self, path: str):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = _Units(self.tokenizer, json.loads(self.tokenizer.to_str()))
-
-    def _text(self, text: str) -> bytes:
-        units = self.units
-        if not units.cuts:
-            return units.whole(text)
-        first, *rest = text.split(" ")
-        units.crossed = False
-        found = b"".join(map(units.__getitem__, rest))
-        if not units.crossed:
-            return units.ids(first) + found
-        first, *rest = _CUT.split(text)
-        return units.ids(first) + b"".join([units[u] if u and not u[0].isspace() else units.ids(" " + u) for u in rest])
+        settings = json.loads(self.tokenizer.to_str())
+        first, model, added = settings["pre_tokenizer"] or {}, settings["model"], settings["added_tokens"]
+        letters, specials = _byte_letters(), "".join(t["content"] for t in added)
+        #: May texts be cut at blanks? Pre-tokens are then cut by the fixed pattern and nothing else, and no byte lacks an id.
+        self.cuts = (
+            first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+            and settings["normalizer"] is None and settings["truncation"] is None and settings["padding"] is None
+            and model["type"] == "BPE" and all(x in model["vocab"] for x in letters)
+            and not any(t["lstrip"] or t["rstrip"] for t in added) and not any(map(str.isspace, specials))
+        )
+        if not self.cuts:
+            return
+        #: Does an id stand for a blank and what follows it?
+        self.blank = np.zeros(1 + max([*model["vocab"].values(), *(t["id"] for t in added)]), bool)
+        self.blank[[k for token, k in model["vocab"].items() if token[0] == letters[32]]] = True
+        self.blank[[t["id"] for t in added]] = False
+        marks = sorted(set(string.punctuation) - set(specials))
+        self.marks, self.mark_ids = pa.array(marks, pa.string()), np.array([model["vocab"][m] for m in marks], "<u4")
+        #: Letters and digits of every Unicode version, each with a mark behind it.
+        self.ended = pa.array([chr(c) + m for c in range(0x250) if chr(c).isalnum() for m in marks], pa.string())
+        # Places of units, ids of a blank and the unit after it, and the slice that met them last.
+        self.known, self.ids, self.sizes = {}, np.empty(0, "<u4"), np.empty(0, np.int64)
+        self.met, self.slice = np.empty(0, np.int64), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(" " + " ".join(units))
+        sizes = np.diff(np.flatnonzero(self.blank[ids]), append=len(ids))
+        if len(sizes) != len(units):
+            raise ValueError("the ids of joined units can't be told apart")
+        return ids, sizes
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each unit) of a blank and the unit after it, for each unit."""
+        self.slice += 1
+        at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            asked = [units[k] for k in unknown.tolist()]
+            new = dict.fromkeys(asked)
+            short = [x for x in new if 0 < len(x) <= _LONGEST and not x[0].isspace() and " " not in x]
+            found = [self._joined(short[a : a + _JOINED]) for a in range(0, len(short), _JOINED)]
+            if len(short) < len(new):
+                others = list(new.keys() - set(short))
+                found += [(ids, np.array([len(ids)])) for ids in (self._ids(" " + x) for x in others)]
+                short += others
+            self.known.update(zip(short, range(len(self.known), len(self.known) + len(short))))
+            at[unknown] = [self.known[x] for x in asked]
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+            self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+            self.met = np.concatenate((self.met, np.zeros(len(short), np.int64)))
+        self.met[at] = self.slice
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[at]
+        ids = self.ids[_ragged(starts[at], sizes)]
+        if len(self.known) > _REMEMBERED or len(self.ids) > 8 * _REMEMBERED:
+            # The latest half stays, long ones go.
+            latest = np.argsort(-self.met, kind="stable")[: _REMEMBERED // 2]
+            kept = np.sort(latest[self.sizes[latest] <= _LONGEST // 4])
+            names = list(self.known)
+            self.known = {names[k]: n for n, k in enumerate(kept.tolist())}
+            self.ids = self.ids[_ragged(starts[kept], self.sizes[kept])]
+            self.sizes, self.met = self.sizes[kept], self.met[kept]
+        return ids, sizes
+
+    def _cut(self, texts) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = split.flatten().dictionary_encode()
+        code, units = coded.indices.to_numpy(), coded.dictionary
+        first = code[bounds[:-1]]
+        heads = units.take(pa.array(first)).to_pylist()
+        # A text's first unit has no blank before it, so the library gets it as it is.
+        asked = np.flatnonzero(np.bincount(code, minlength=len(units)) > np.bincount(first, minlength=len(units)))
+        ended = pc.is_in(pc.utf8_slice_codeunits(units, -2), value_set=self.ended)
+        stems = pc.if_else(ended, pc.utf8_slice_codeunits(units, 0, -1), units)
+        sizes = np.zeros(len(units), np.int64)
+        ids, sizes[asked] = self._units(stems.take(pa.array(asked)).to_numpy(zero_copy_only=False).tolist())
+        at = asked[ended.to_numpy(zero_copy_only=False)[asked]]
+        mark = pc.index_in(pc.utf8_slice_codeunits(units.take(pa.array(at)), -1), value_set=self.marks).to_numpy()
+        ids = np.insert(ids, np.cumsum(sizes)[at], self.mark_ids[mark])
+        sizes[at] += 1
+        starts, out = np.cumsum(sizes) - sizes, []
+        for a in range(0, len(texts), 256):
+            near = bounds[a : a + 257]
+            own = code[near[0] : near[-1]]
+            times = sizes[own]
+            times[near[:-1] - near[0]] = 0
+            found, ends = ids[_ragged(starts[own], times)], np.cumsum(times)[near[1:] - near[0] - 1].tolist()
+            out += [np.concatenate((self._ids(head), found[b:c])) for head, b, c in zip(heads[a : a + 256], [0, *ends], ends)]
+        kinds = pc.utf8_slice_codeunits(units, 0, 1).dictionary_encode()
+        crossed = np.array([not x or x.isspace() for x in kinds.dictionary.to_pylist()])[kinds.indices.to_numpy()][code]
+        crossed[bounds[:-1]] = False
+        # A pre-token may go on over a blank of these texts.
+        crossed = np.unique(np.searchsorted(bounds, np.flatnonzero(crossed), "right") - 1).tolist()
+        pieces = [_CUT.split(texts[k].as_py()) for k in crossed]
+        if pieces:
+            ids, sizes = self._units([unit for _, *rest in pieces for unit in rest])
+            upto = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0] + [len(x) - 1 for x in pieces])].tolist()
+            for k, (first, *_), b, c in zip(crossed, pieces, upto, upto[1:]):
+                out[k] = np.concatenate((self._ids(first), ids[b:c]))
+        return out
+
+    def slices(self, texts) -> Iterator[list[np.ndarray]]:
+        """Ids of some texts after the other, as lists of arrays. texts: an Arrow array of strings."""
+        import pyarrow.compute as pc
+
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _SLICE, "right")))
+            part = texts.slice(start, stop - start)
+            yield self._cut(part) if self.cuts else [self._ids(t or "") for t in part.to_pylist()]
+            start = stop
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(self._text(t) if t else b"", "<u4") for t in texts]
+        import pyarrow as pa
+
+        return [ids for found in self.slices(pa.array(texts, pa.string())) for ids in found]
 
 
 @lru_cache(maxsize=2)
@@ -142,11 +188,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-_BUCKETS = 1 << 18
-
-
-def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.intp)
+def _by_pair(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, counts, places): the different pairs that start at `at`, and their places, pair by pair."""
+    bits, place_bits = int(symbols.max()).bit_length(), len(symbols).bit_length()
+    pair = (symbols[at].astype(np.uint64) << np.uint64(bits)) | symbols[at + 1]
+    if 2 * bits + place_bits <= 64:
+        # A pair and its place fit one number: sorting those numbers groups the places.
+        pair <<= np.uint64(place_bits)
+        pair |= at.astype(np.uint64)
+        pair.sort()
+        places = (pair & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+        pair >>= np.uint64(place_bits)
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair, places = pair[order], at[order]
+    starts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    pairs = pair[starts]
+    left, right = (pairs >> np.uint64(bits)).astype(np.uint32), (pairs & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    return left, right, np.diff(starts, append=len(pair)), places
 
 
 def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int = 32, share: int = 32):
@@ -158,53 +217,41 @@ def repair(ids: np.ndarray, doc_ends: np.ndarray, first_rule: int, least: int =
     occurs `least` times.
     """
     symbols = ids.astype(np.uint32)
-    joined = np.ones(len(symbols), bool)  # does the symbol belong to the same document as the next one?
-    joined[doc_ends - 1] = False
+    ends = doc_ends
     rules: list[np.ndarray] = []
-    base, fresh = first_rule, 0
-    while True:
-        if fresh:
-            # The last round took every pair that occurs `least` times: only pairs with one of its nonterminals can be new.
-            new = symbols >= fresh
-            at = np.flatnonzero((new[:-1] | new[1:]) & joined[:-1])
-            bucket = _bucket(symbols[at], symbols[at + 1])
-        else:
-            at = np.arange(len(symbols) - 1)
-            bucket = _bucket(symbols[:-1], symbols[1:])
-            bucket[~joined[:-1]] = _BUCKETS
-        rough = np.bincount(bucket, minlength=_BUCKETS + 1)
-        rough[_BUCKETS] = 0
-        # A frequent pair makes its bucket crowded; only the pairs of such buckets are counted exactly.
-        crowded = (rough >= least)[bucket]
-        at, bucket = at[crowded], bucket[crowded]
-        pair = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-        values, counts = np.unique(pair, return_counts=True)
-        if not len(values) or counts.max() < least:
+    base = first_rule
+    live = np.ones(len(symbols), bool)  # may the pair that starts here occur `least` times?
+    live[ends - 1] = False
+    while len(at := np.flatnonzero(live[:-1])):
+        left, right, counts, places = _by_pair(symbols, at)
+        if counts.max() < least:
             break
         cut = max(least, counts.max() // share)
-        chosen = values[counts >= cut]
-        wanted = np.zeros(_BUCKETS + 1, bool)
-        wanted[_bucket((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))] = True
-        likely = np.flatnonzero(wanted[bucket])
-        named = np.minimum(np.searchsorted(chosen, pair[likely]), len(chosen) - 1)
-        hit = chosen[named] == pair[likely]
-        places, named = at[likely[hit]], named[hit]
-        if cut == least:
-            fresh = base
+        starts = np.cumsum(counts) - counts
+        # Pairs of old symbols that don't occur often enough now never will: the next round looks at those left and at new ones.
+        later = np.flatnonzero((counts >= least) & (counts < cut))
+        live[:] = False
+        live[places[_ragged(starts[later], counts[later])]] = True
+        chosen = np.flatnonzero(counts >= cut)
+        named = np.sort((places[_ragged(starts[chosen], counts[chosen])] << 32) | np.repeat(np.arange(len(chosen)), counts[chosen]))
+        places, named = named >> 32, named & 0xFFFFFFFF
         # Of overlapping occurrences every second one counts, from the left.
-        new_run = np.concatenate(([True], np.diff(places) > 1))
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(places)), 0))
-        take = (np.arange(len(places)) - run_start) % 2 == 0
+        order = np.arange(len(places))
+        run_start = np.maximum.accumulate(np.where(np.diff(places, prepend=-2) > 1, order, 0))
+        take = np.flatnonzero(((order - run_start) & 1) == 0)
         places, named = places[take], named[take]
         symbols[places] = (base + named).astype(np.uint32)
-        joined[places] = joined[places + 1]
+        live[places] = True
+        live[np.maximum(places, 1) - 1] = True
         stay = np.ones(len(symbols), bool)
         stay[places + 1] = False
-        symbols, joined = symbols[stay], joined[stay]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        stay = np.flatnonzero(stay)
+        symbols, live, ends = symbols[stay], live[stay], np.searchsorted(stay, ends)
+        live[ends - 1] = False
+        rules.append(np.stack([left[chosen], right[chosen]], axis=1))
         base += len(chosen)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    return symbols, table, np.flatnonzero(~joined) + 1
+    return symbols, table, ends
 
 
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -216,40 +263,30 @@ def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """Ids of some symbols: every rule they need is written out once, then each nonterminal gives way to its own ids."""
-    symbols = symbols.astype(np.uint32)
-    pairs = rules.tolist()
-    needed = [False] * len(pairs)
-    for x in np.unique(symbols[symbols >= first_rule]).tolist():
-        needed[x - first_rule] = True
-    for k in range(len(pairs) - 1, -1, -1):
-        if needed[k]:
-            for x in pairs[k]:
-                if x >= first_rule:
-                    needed[x - first_rule] = True
-    flat: list[np.ndarray] = []
-    for pair, wanted in zip(pairs, needed, strict=True):
-        own = [flat[x - first_rule] if x >= first_rule else np.array([x], np.uint32) for x in pair] if wanted else []
-        flat.append(np.concatenate([np.empty(0, np.uint32), *own]))
-    sizes = np.array([len(x) for x in flat], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    ids = np.concatenate([np.empty(0, np.uint32), *flat])
-    at = np.flatnonzero(symbols >= first_rule)
-    rule = symbols[at] - np.uint32(first_rule)
-    times = np.ones(len(symbols), np.int64)
-    times[at] = sizes[rule]
-    first = np.cumsum(times) - times
-    out = np.repeat(symbols, times)
-    length = times[at]
-    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat(first[at], length) + inside] = ids[np.repeat(starts[rule], length) + inside]
-    return out
+    """Ids of some symbols: all rules are written out, one level a step, then each nonterminal gives way to its own ids."""
+    rules = rules.astype(np.uint32)
+    ids, sizes = rules.ravel(), np.full(len(rules), 2)
+    while len(inner := np.flatnonzero(ids >= first_rule)):
+        pairs = rules[ids[inner] - np.uint32(first_rule)]
+        sizes += np.bincount(np.searchsorted(np.cumsum(sizes), inner, "right"), minlength=len(rules))
+        ids = ids.copy()
+        ids[inner] = pairs[:, 0]
+        ids = np.insert(ids, inner + 1, pairs[:, 1])
+    source = np.concatenate((np.arange(first_rule, dtype=np.uint32), ids))
+    begin = np.concatenate((np.arange(first_rule), first_rule + np.cumsum(sizes) - sizes))
+    times = _symbol_sizes(symbols, sizes, first_rule)
+    upto = np.cumsum(times)
+    return source[np.repeat(begin[symbols] - upto + times, times) + np.arange(times.sum())]
+
+
+def _symbol_sizes(symbols: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    """Ids that each symbol stands for; lengths: those of the nonterminals."""
+    return np.concatenate((np.ones(first_rule, np.int64), lengths))[symbols]
 
 
 def decode_slice(symbols, rules, lengths, first_rule: int, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of some symbols; the expansion lengths tell which symbols to expand."""
-    sizes = np.where(symbols >= first_rule, lengths[np.maximum(symbols.astype(np.int64) - first_rule, 0)] if len(lengths) else 1, 1)
-    upto = np.cumsum(sizes)
+    upto = np.cumsum(_symbol_sizes(symbols, lengths, first_rule))
     a, b = np.searchsorted(upto, start, "right"), np.searchsorted(upto, stop, "left") + 1
     offset = start - (upto[a - 1] if a else 0)
     return expand(symbols[a:b], rules, first_rule)[offset : offset + stop - start]
@@ -278,11 +315,11 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END, first_
         held: list[tuple[int | None, np.ndarray]] = []
         size = number = 0
         end = np.array([end_id], "<u4")
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), 256):
-                for doc, found in zip(ids[a : a + 256], encoder(tokenizer_path).encode(texts[a : a + 256]), strict=True):
-                    held.append((doc, np.concatenate((found, end))))
+        for ids, texts in _gathered(batches):
+            docs = iter(ids.to_pylist())
+            for part in encoder(tokenizer_path).slices(texts):
+                for found in part:
+                    held.append((next(docs), np.concatenate((found, end))))
                     size += len(found) + 1
                     if size >= block_ids:
                         yield _block(held, number, first_rule)
@@ -293,6 +330,21 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END, first_
     return stored(_whole_partitions(ordered, blocks, BLOCK_SCHEMA))
 
 
+def _gathered(batches) -> Iterator[list]:
+    """The columns of some batches together, as soon as they fill a slice."""
+    import pyarrow as pa
+
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= _SLICE:
+            yield [pa.concat_arrays(columns) for columns in zip(*(b.columns for b in group))]
+            group, size = [], 0
+    if group:
+        yield [pa.concat_arrays(columns) for columns in zip(*(b.columns for b in group))]
+
+
 def _block(held: list[tuple[int | None, np.ndarray]], number: int, first_rule: int) -> dict:
     ends = np.cumsum([len(x) for _, x in held])
     symbols, rules, symbol_ends = repair(np.concatenate([x for _, x in held]), ends, first_rule)
@@ -346,10 +398,7 @@ def read_documents(blocks: DataFrame, first_rule: int = 50_257) -> DataFrame:
             rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
             ends = np.frombuffer(row["symbol_ends"], "<u4").astype(np.int64)
             lengths = np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64)
-            inner = symbols >= first_rule
-            sizes = np.ones(len(symbols), np.int64)
-            sizes[inner] = lengths[symbols[inner].astype(np.int64) - first_rule]
-            tokens = np.concatenate(([0], np.cumsum(sizes)[ends - 1]))
+            tokens = np.concatenate(([0], np.cumsum(_symbol_sizes(symbols, lengths, first_rule))[ends - 1]))
             ids = expand(symbols, rules, first_rule).astype("<u4")
             missing = np.unpackbits(np.frombuffer(row["doc_missing"], np.uint8))[: len(ends)].astype(bool)
             docs = np.frombuffer(row["doc_ids"], "<i8").tolist()
@@ -357,7 +406,7 @@ def read_documents(blocks: DataFrame, first_rule: int = 50_257) -> DataFrame:
                 "doc_id": [None if m else d for d, m in zip(docs, missing.tolist(), strict=True)],
                 "shard": np.full(len(ends), row["shard"], np.int32), "block": np.full(len(ends), row["block"], np.int32),
                 "inner": tokens[:-1], "n_tokens": np.diff(tokens),
-                "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(tokens[:-1], tokens[1:], strict=True)],
+                "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(tokens[:-1], tokens[1:], strict=True)],
             }
 
     decoded = map_rows(

@@ -263,6 +263,48 @@ def test_encoder_cuts_as_the_library():
         assert own.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_asks_the_library_once_for_each_unit():
+    class Asked(list):
+        def encode_batch_fast(self, texts, **kinds):
+            self.extend(texts)
+            return library.encode_batch_fast(texts, **kinds)
+
+    own = tokens.Encoder(queries.tokenizer_path())
+    library, own.tokenizer = own.tokenizer, Asked()
+    texts = ["one " + " ".join(f"unit{k % 70}" + ".,!"[k % 3] for k in range(n)) for n in (40, 210, 210)] + ["x" * 99, None]
+    found = own.encode(texts) + own.encode(texts)
+    assert [x.tolist() for x in found] == [library.encode(t or "", add_special_tokens=False).ids for t in texts] * 2
+    units = Counter(unit for text in own.tokenizer if text.startswith(" ") for unit in text.split())
+    assert units == Counter({f"unit{k}": 1 for k in range(70)})
+    assert own.tokenizer.count("x" * 99) == 2
+
+
+def test_encoder_with_little_memory(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "_REMEMBERED", 20)
+    monkeypatch.setattr(tokens, "_SLICE", 150)
+    monkeypatch.setattr(tokens, "_JOINED", 3)
+    path = queries.tokenizer_path()
+    plain, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    rnd = random.Random(7)
+    parts = ["a", "Bc", "é", "×", "1", ".", "...", "$$$", "'", "'s", "\n", "\x1c", "<|endoftext|>", "日", "😀", "\u0120", "y" * 70]
+    units = ["".join(rnd.choices(parts, k=rnd.randrange(1, 4))) for _ in range(80)] + [""]
+    for _ in range(60):
+        texts = [rnd.choice([None, "", *[" ".join(rnd.choices(units, k=rnd.randrange(12))) for _ in range(9)]]) for _ in range(20)]
+        assert [x.tolist() for x in own.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_pairs_and_their_places():
+    rnd = np.random.default_rng(4)
+    for top in (5, 70_000, 1 << 32):
+        symbols = rnd.integers(top - 5, top, 500).astype(np.uint32)
+        at = np.flatnonzero(rnd.random(499) < 0.7)
+        left, right, counts, places = tokens._by_pair(symbols, at)
+        expected = sorted((int(symbols[k]), int(symbols[k + 1]), int(k)) for k in at)
+        assert list(zip(np.repeat(left, counts).tolist(), np.repeat(right, counts).tolist(), places.tolist())) == expected
+
+
 def test_repair_goes_on_to_the_least_count():
     rnd = np.random.default_rng(3)
     ids = (rnd.zipf(1.3, 60_000) % 5_000).astype(np.uint32)
