@@ -96,7 +96,9 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
     segment's bits; a probe enumerates the small Hamming ball around its own segment, fetches what the table holds
     and verifies the whole distance. A table entry shared by more fingerprints than the other half's ball has members
     is not scanned: the probe enumerates that ball too and looks the complete fingerprints up, so the work per
-    fingerprint is bounded and nothing is capped.
+    fingerprint is bounded and nothing is capped. Such entries are few, at most one for every member of that ball, and
+    the only table that is sent to all executors. Spark takes an exploded table for no larger than what it came from and
+    would send out the others too.
     """
     found = None
     for shift, width, radius in _segments(distance):
@@ -108,9 +110,9 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
         probes = prints.select("fp", F.explode(F.lit(_ball(width, radius, shift))).alias("flip")).select(
             "fp", F.bit_count("flip").alias("spent"), F.col("fp").bitwiseAND(mask).bitwiseXOR(F.col("flip")).alias("key")
         )
-        routed = probes.join(busy, "key", "left")
+        routed = probes.join(F.broadcast(busy), "key", "left")
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance
-        pairs = routed.where("busy is null").join(entries, "key").where((F.col("fp") < F.col("other")) & near)
+        pairs = routed.where("busy is null").join(entries.hint("merge"), "key").where((F.col("fp") < F.col("other")) & near)
         if other_width:
             crowded = (
                 routed.where("busy")
@@ -118,7 +120,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
                 .where(F.col("spent") + F.bit_count("flip") <= distance)
                 .select("fp", F.col("key").bitwiseOR(F.col("fp").bitwiseAND(F.bitwise_not(mask)).bitwiseXOR(F.col("flip"))).alias("other"))
                 .where("fp < other")
-                .join(prints.select(F.col("fp").alias("other")), "other")
+                .join(prints.select(F.col("fp").alias("other")).hint("merge"), "other")
             )
             pairs = pairs.select("fp", "other").unionByName(crowded.select("fp", "other"))
         pairs = pairs.select(F.col("fp").alias("u"), F.col("other").alias("v"))
@@ -137,12 +139,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed:
     prints = stored(fingerprints(docs, shingle, seed))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     group = components(links(nodes.select("fp"), distance))
-    rooted = nodes.join(group, nodes["fp"] == group["node"], "left").select(
+    rooted = nodes.join(group.hint("merge"), nodes["fp"] == group["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:

@@ -84,6 +84,30 @@ def test_links_in_crowded_entries(spark, distance):
     assert got == expected
 
 
+def test_simhash_broadcasts_only_busy_entries(spark, monkeypatch):
+    """However small Spark takes a table for: exploded ones are larger than their files. Broadcast joins by table written."""
+    from citescope.llm import common
+
+    found = []
+
+    def seen(df):
+        found.append(df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin"))
+        return stored(df)
+
+    monkeypatch.setattr(common, "stored", seen)
+    monkeypatch.setattr(simhash, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(20)), "a") for i in range(20)]
+        got = seen(simhash.near_duplicates(documents(spark, rows)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == [i // 2 * 2 for i in range(20)]
+    # Fingerprints, their nodes, the links (entries that are busy or not, in two segments), rounds of components, the result.
+    assert len(found) >= 5 and found[:3] == [0, 0, 4] and not any(found[3:])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
