@@ -8,6 +8,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ _SAMPLE, _USUAL = 1 << 13, 1 << 17
 _PARITY_WORDS = _PRINT_WORDS = 16
 #: Bits of the first word by which similar sets may differ. At the similarity of 0.8 about 10 +- 3 do, of unlike sets 32 +- 4.
 _WORD_BITS = 24
-#: Keys of up to so many sets, and so many outside their largest group, are compared pair by pair.
+#: Keys of up to so many sets, and so many outside their largest group, are compared by a join. Others are crowded.
 _LISTED, _PAIRED = 256, 16
+#: Sets of a block of a crowd, cells of an array while two blocks are compared, most words of parities per set.
+_BLOCK, _CELLS, _ODD_WORDS = 1 << 9, 1 << 16, 1 << 10
 #: Leaders that a set meets under each segment, round by round. Later rounds are for sets outside a key's largest group.
 _LEADERS = (2, 16)
 _STREAMS = np.array([xxhash.xxh64_intdigest(b"stream", i) for i in range(_PRINT_WORDS)], np.uint64)
@@ -195,10 +198,10 @@ def _print(runs: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
-    """(row, doc_id, node, n, print, parities, keys) of every row. Stored.
+    """(row, doc_id, node, n, print, parities, odd, keys) of every row. Stored.
 
     `node` names the set of the text's n shingles, `print` is its fingerprint, `keys` are the shingles, from the rarest, of
-    which two similar sets must share one. A text without a word has no keys.
+    which two similar sets must share one. A text without a word has no keys. `odd` are more parities of a larger set.
     """
     usual, counts = _usual(docs, size)
 
@@ -214,14 +217,15 @@ def _sets(docs: DataFrame, size: int, share: Fraction) -> DataFrame:
             keys.append(runs[np.argsort(frequency, kind="stable")[: n - math.ceil(share * n) + 1]].view(np.int64))
         return {
             "row": batch.column(0), "doc_id": batch.column(1), "node": [_name(x) for x in found], "n": [len(x) for x in found],
-            "print": [_print(x) for x in found], "parities": [_parities(x) for x in found], "keys": keys,
+            "print": [_print(x) for x in found], "parities": [_parities(x) for x in found],
+            "odd": [_parities(x, w) if (w := _odd_words(len(x))) > _PARITY_WORDS else None for x in found], "keys": keys,
         }
 
     def per_batch(batch):
         for at in range(0, batch.num_rows, _HELD):
             yield per_part(batch.slice(at, _HELD))
 
-    schema = "row long, doc_id long, node long, n int, print array<long>, parities array<long>, keys array<long>"
+    schema = "row long, doc_id long, node long, n int, print array<long>, parities array<long>, odd array<long>, keys array<long>"
     return stored(map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), per_batch, schema))
 
 
@@ -231,12 +235,71 @@ def _fits(n: Column, at: Column, other_n: Column, other_at: Column, share: Fract
     return (p + q) * F.least(n - at, other_n - other_at) >= p * (n + other_n)
 
 
-def _parities(runs: np.ndarray) -> np.ndarray:
-    """1,024 bits: is the number of shingles odd that have this bit's number? Two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((runs >> np.uint64(54)).astype(np.int64), minlength=64 * _PARITY_WORDS) & 1
+def _parities(runs: np.ndarray, words_: int = _PARITY_WORDS) -> np.ndarray:
+    """64 bits a word: is the number of shingles odd that have this bit's number? Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((runs & np.uint64(64 * words_ - 1)).astype(np.int64), minlength=64 * words_) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _odd_words(n: int) -> int:
+    """Words of parities that tell unlike sets of n shingles apart: two bits a shingle, a power of two."""
+    return min(_ODD_WORDS, max(_PARITY_WORDS, 1 << max(0, (2 * n - 1) // 64).bit_length()))
+
+
+def _folded(parities: np.ndarray, words_: int) -> np.ndarray:
+    """What `_parities` with fewer words gives for the same sets, one per row."""
+    while parities.shape[1] > words_:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] ^ parities[:, half:]
+    return parities
+
+
+def _likely(crowd: pa.Table, share: Fraction) -> pa.Table:
+    """(u, v): the pairs of a crowd's blocks `lo` and `hi` that are of different groups and can be that similar by size and parities.
+
+    Every pair is looked at but those within the blocks' largest group. What is held at once doesn't grow with their number.
+    """
+    p, q = share.numerator, share.denominator
+    node, n, root, block = (crowd[c].to_numpy() for c in ("node", "n", "root", "block"))
+    n = n.astype(np.int64)
+    lists = crowd["odd"].combine_chunks()
+    widths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(widths)
+    place, parities = np.zeros(len(node), np.int64), {}
+    for w in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == w)
+        place[rows] = np.arange(len(rows))
+        parities[w] = values[(ends[rows] - w)[:, None] + np.arange(w)]
+    groups, counts = np.unique(root, return_counts=True)
+    others = np.flatnonzero(root != groups[counts.argmax()])
+    rank = np.full(len(node), len(node))
+    rank[others] = np.arange(len(others))
+    within = crowd["lo"][0].as_py() == crowd["hi"][0].as_py()
+    u, v = [], []
+    step = max(1, _CELLS // len(node))
+    for at in range(0, len(others), step):
+        a = others[at : at + step]
+        met = (root[a][:, None] != root) & (rank[a][:, None] < rank)
+        met &= q * np.minimum(n[a][:, None], n) >= p * np.maximum(n[a][:, None], n)
+        if not within:
+            met &= block[a][:, None] != block
+        i, j = np.nonzero(met)
+        i = a[i]
+        kinds = widths[i].astype(np.int64) << 32 | widths[j]
+        for kind in np.unique(kinds).tolist():
+            x, y = kind >> 32, kind & 0xFFFFFFFF
+            of_kind = np.flatnonzero(kinds == kind)
+            part = max(1, _CELLS // max(x, y))
+            for k in range(0, len(of_kind), part):
+                c, d = i[of_kind[k : k + part]], j[of_kind[k : k + part]]
+                differ = _folded(parities[x][place[c]], min(x, y)) ^ _folded(parities[y][place[d]], min(x, y))
+                near = (p + q) * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= (q - p) * (n[c] + n[d])
+                u.append(np.minimum(node[c[near]], node[d[near]]))
+                v.append(np.maximum(node[c[near]], node[d[near]]))
+    none = np.empty(0, np.int64)
+    return pa.table({"u": np.concatenate([none, *u]), "v": np.concatenate([none, *v])})
+
+
 def _texts_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, n, shingles) of the wanted `nodes`. Only their texts are read again. Stored."""
 
@@ -296,11 +359,9 @@ def _main(rows: DataFrame) -> DataFrame:
     return main.select("key", F.col("main.root").alias("main"), F.col("main.count").alias("size"), "sets")
 
 
-def _shared(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """The `rows` (node, key, ...) whose key several sets have, at most `most` if given. Stored. Most keys have one set."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """The `rows` (node, key, ...) whose key several sets have. Stored. Most keys have one set."""
     sizes = rows.groupBy("key").count().where("count > 1")
-    if most is not None:
-        sizes = sizes.where(F.col("count") <= most)
     return stored(rows.join(sizes.select("key"), "key", "left_semi"))
 
 
@@ -336,33 +397,69 @@ def _print_pairs(sets: DataFrame, roots: DataFrame, leaders: int, outside: bool,
     return stored(pairs.join(u, "u").join(v, "v").where((F.col("root_u") != F.col("root_v")) & near).select("u", "v"))
 
 
+def _crowds(rows: DataFrame) -> DataFrame:
+    """(crowd, node): sets that share a key of `rows` (key, node) are together in a crowd. Stored.
+
+    A passage in many texts gives many keys to nearly the same sets. A key is put with the largest key that most of its sets
+    have, where all sets of such keys make no more pairs than the keys one by one.
+    """
+    sized = stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key"))
+    tops = sized.groupBy("node").agg(F.max(F.struct("size", "key")).alias("top")).select("node", F.col("top.key").alias("top"))
+    votes = sized.join(tops, "node").groupBy("key", "size", "top").count()
+    leads = votes.groupBy("key", "size").agg(F.max(F.struct("count", "top")).alias("most"))
+    leads = stored(leads.select("key", "size", F.col("most.top").alias("lead")))
+    named = sized.select("key", "node").join(leads.select("key", "lead"), "key")
+    together = named.groupBy("lead").agg(F.count_distinct("node").cast("double").alias("together"))
+    alone = leads.groupBy("lead").agg(F.sum(F.col("size").cast("double") ** 2).alias("alone"))
+    joined = together.join(alone, "lead").select("lead", (F.col("together") ** 2 <= F.col("alone")).alias("joined"))
+    crowd = F.struct("joined", F.when(F.col("joined"), F.col("lead")).otherwise(F.col("key")).alias("id")).alias("crowd")
+    return stored(named.join(joined, "lead").select(crowd, "node").distinct())
+
+
+def _crowd_pairs(sets: DataFrame, rows: DataFrame, share: Fraction) -> DataFrame:
+    """Candidates (u, v): sets of different groups that share a key of `rows` (key, node, n, root).
+
+    A crowd is dealt into blocks, and every two blocks of it, or one with itself, meet in one call of `_likely`: the sets
+    that Spark moves grow with the blocks of a crowd, not with its pairs, and a large crowd is spread over all tasks.
+    """
+    members = _crowds(rows.select("key", "node"))
+    sizes = members.groupBy("crowd").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    known = rows.select("node", "n", "root").dropDuplicates(["node"])
+    known = known.join(sets.select("node", F.coalesce("odd", "parities").alias("odd")), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "crowd").withColumn("block", block)
+    dealt = dealt.withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("crowd", "node", "block", F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"))
+
+    def per_pair(crowd: pa.Table) -> pa.Table:
+        return _likely(crowd, share)
+
+    return dealt.join(known, "node").groupBy("crowd", "lo", "hi").applyInArrow(per_pair, "u long, v long").distinct()
+
+
 def _key_pairs(sets: DataFrame, roots: DataFrame, share: Fraction) -> DataFrame:
-    """Candidates (u, v): sets of different groups that share one of their `keys`.
+    """Candidates (u, v): all sets of different groups that share one of their `keys` and can be that similar. Stored.
 
-    In keys of up to _LISTED sets with up to _PAIRED outside the key's largest group these are all pairs, at most _PAIRED per set.
+    In keys of up to _LISTED sets with up to _PAIRED outside the key's largest group these are pairs by a join, at most
+    _PAIRED per set; the other keys are crowded (see `_crowd_pairs`). A pair can be ruled out by the places of its first
+    common key only, so crowds, which may not show it, don't use them.
     """
-    shared = _shared(sets.select("node", F.posexplode("keys").alias("at", "key")), _LISTED)
+    shared = _shared(sets.select("node", F.posexplode("keys").alias("at", "key")))
     rows = stored(shared.join(sets.select("node", "n").join(roots, "node"), "node"))
-    mixed = _main(rows).where((F.col("size") < F.col("sets")) & (F.col("sets") - F.col("size") <= _PAIRED))
-    open_ = stored(rows.join(mixed, "key"))
+    mixed = stored(_main(rows).where(F.col("size") < F.col("sets")))
+    few = (F.col("sets") <= _LISTED) & (F.col("sets") - F.col("size") <= _PAIRED)
+    open_ = stored(rows.join(mixed.where(few), "key"))
     a, b = open_.where("root <> main").alias("a"), open_.alias("b")
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     fits = _fits(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"), share)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & fits)
-    return stored(met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
+    pairs = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+    crowded = stored(rows.join(mixed.where(~few).select("key"), "key", "left_semi"))
+    return stored(pairs.unionByName(_crowd_pairs(sets, crowded, share)).distinct())
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, first_id, group_id) of every distinct set of shingles: groups linked by a Jaccard similarity of at least `similarity`.
-
-    `first_id` is the smallest doc_id of the set, `group_id` that of the group. SimHash with multi-index hashing finds the
-    candidates: each of the segments of a set's long fingerprint is entered into a table, sets that agree in one meet (see
-    `_print_pairs`; fingerprints that differ in fewer bits than there are segments always agree in one). What is still
-    apart is looked up by its rarest shingles: two sets that are so similar share one of their rarest
-    n - ceil(similarity * n) + 1 shingles, whatever the order of shingles (see `_key_pairs`). Pairs of keys that hold more
-    sets, or more outside their largest group, would grow with the square of a group; there the fingerprints alone
-    decide. Candidates are verified on all shingles.
-    """
+def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The `_sets` of all rows with a doc_id, and (node, first_id, root) of every distinct set (see `similar_groups`)."""
     share = Fraction(str(similarity))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     rows = _sets(docs, shingle, share)
@@ -380,16 +477,52 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         roots = _merged(roots, _similar(docs, some, pairs, shingle, share))
     pairs = stored(_key_pairs(some, roots, share).join(tested, ["u", "v"], "left_anti"))
     roots = _merged(roots, _similar(docs, some, pairs, shingle, share))
-    rooted = nodes.join(roots, "node")
+    return rows, nodes.join(roots, "node").select("node", "first_id", "root")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, first_id, group_id) of every distinct set of shingles: groups linked by a Jaccard similarity of at least `similarity`.
+
+    `first_id` is the smallest doc_id of the set, `group_id` that of the group. SimHash with multi-index hashing finds the
+    first candidates: each of the segments of a set's long fingerprint is entered into a table, sets that agree in one meet
+    (see `_print_pairs`; fingerprints that differ in fewer bits than there are segments always agree in one). All pairs of
+    sets that are then still in different groups are looked up by their rarest shingles: two sets that are so similar share
+    one of their rarest n - ceil(similarity * n) + 1 shingles, whatever the order of shingles (see `_key_pairs`). Candidates
+    are verified on all shingles, so the groups are exact.
+    """
+    rooted = _grouped(docs, shingle, similarity)[1]
     least = rooted.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return rooted.join(least, "root").select("node", "first_id", "group_id")
 
 
+def _texts_of(docs: DataFrame, stands: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text): one text of every set of `stands` (doc_id, node) among the rows of its id, the least."""
+
+    def per_batch(batch):
+        yield {"doc_id": batch.column(0), "text": batch.column(1), "node": [_name(shingles(t, size)) for t in batch.column(1).to_pylist()]}
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(stands.select("doc_id"), "doc_id", "left_semi").distinct()
+    named = map_rows(texts, per_batch, "doc_id long, text string, node long")
+    return stored(named.join(stands, ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min("text").alias("text")).drop("node"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents without near-duplicates: of each group of `similar_groups` the row of the smallest doc_id stays, once.
 
     Rows without a doc_id can't stand for a group and link none; they stay as they are. Texts without a word are one group.
+    An id of several texts stands for every group of which it is the smallest, with a text of that group.
     """
-    survivors = similar_groups(docs, shingle, similarity).select(F.col("group_id").alias("doc_id")).distinct()
-    kept = docs.join(survivors, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows, rooted = _grouped(docs, shingle, similarity)
+    stands = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("doc_id"), "node")).alias("first"))
+    stands = stored(stands.select("first.*"))
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    several = stored(several.select("doc_id"))
+    kept = docs.join(stands.select("doc_id"), "doc_id", "left_semi")
+    if several.isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    else:
+        texts = _texts_of(docs, stands.join(several, "doc_id", "left_semi"), shingle)
+        same = (docs["doc_id"] == texts["doc_id"]) & docs["text"].eqNullSafe(texts["text"])
+        chosen = docs.join(texts, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(several, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(chosen)
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
